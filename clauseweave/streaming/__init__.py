@@ -1,0 +1,5 @@
+"""Placeholder package: no operator in scope has streaming semantics.
+
+No record type carries an event time, so there are no watermarks, windows or
+stateful operators to provide.  Every operator here is a batch DataFrame job.
+"""
