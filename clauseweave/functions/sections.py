@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MULTI_VALUE_SEPARATOR, strip
+from .text import MULTI_VALUE_SEPARATOR, casefold, strip
 
 # Section grammar and the default provenance tokens.
 SECTION_TOKEN = r"\d+[A-Z]?(?:\.[0-9A-Z]+)*"
@@ -57,13 +57,11 @@ def marked_sections(file_path: Column, source_token: str = DEFAULT_SOURCE_TOKEN)
 
 def names_spec(attributes: Column, spec_token: str = DEFAULT_SPEC_TOKEN) -> Column:
     """Any provenance attribute mentions the token, ignoring case and dots."""
-    token = F.lit(spec_token.casefold().replace(".", ""))
-    keys = ("source_file", "file_path", "description", "source_id")
-    hits = [
-        F.contains(
-            F.replace(F.lower(F.coalesce(F.try_element_at(attributes, F.lit(key)), F.lit(""))), F.lit("."), F.lit("")),
-            token,
-        )
-        for key in keys
-    ]
-    return hits[0] | hits[1] | hits[2] | hits[3]
+    token = spec_token.casefold().replace(".", "")
+    hits = F.lit(False)
+    for key in ("source_file", "file_path", "description", "source_id"):
+        value = F.coalesce(F.try_element_at(attributes, F.lit(key)), F.lit(""))
+        if any(char.isalpha() for char in token):  # digits need no folding
+            value = casefold(value)
+        hits = hits | F.contains(F.replace(value, F.lit("."), F.lit("")), F.lit(token))
+    return hits

@@ -30,33 +30,42 @@ def tokenize_literal(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _fold_exceptions() -> dict[str, str]:
-    """Code points whose case folding is not their lower case, by rule."""
-    table = {}
+def _fold_exceptions() -> tuple[dict[str, str], dict[str, str]]:
+    """Code points whose folding is not their lower case, found by rule.
+
+    Returned as (one letter to one letter, one letter to several).
+    """
+    single = {"Σ": "σ"}  # lower() of a final sigma depends on its context
+    multiple = {}
     for code in range(0x80, 0x110000):
-        char = chr(code)
-        if char.casefold() != char.lower():
-            table[char] = char.casefold()
-    table["Σ"] = "σ"  # lower() of a final sigma depends on its context
-    return table
+        char, folded = chr(code), chr(code).casefold()
+        if folded != char.lower():
+            (single if len(folded) == 1 else multiple)[char] = folded
+    return single, multiple
 
 
 def casefold(text: Column) -> Column:
     """Full Unicode case folding, with a fast path for everything but rarities."""
-    exceptions = _fold_exceptions()
-    sharp = {"ß", "ẞ"}  # common in German text: handled on the fast path
-    rare = {char: folded for char, folded in exceptions.items() if char not in sharp}
-    pairs = [F.lit(part) for item in rare.items() for part in item]
-    plain = F.lower(F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss")))
-    spelled = F.array_join(
+    single, multiple = _fold_exceptions()
+    sharp = ("ß", "ẞ")  # common in German text: handled on the fast path
+    table = ",".join(f"{char}:{folded}" for char, folded in multiple.items() if char not in sharp)
+    rare = "".join(sorted({*single, *multiple} - {*sharp}))
+
+    def sharp_s(value: Column) -> Column:
+        return F.replace(F.replace(value, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
+
+    mapped = F.translate(text, "".join(single), "".join(single.values()))
+    folded = F.array_join(
         F.transform(
-            F.split(text, ""),
-            lambda char: F.coalesce(F.try_element_at(F.create_map(*pairs), char), F.lower(char)),
+            F.split(sharp_s(mapped), ""),
+            lambda char: F.coalesce(
+                F.try_element_at(F.str_to_map(F.lit(table), F.lit(","), F.lit(":")), char),
+                F.lower(char),
+            ),
         ),
         "",
     )
-    spelled = F.replace(F.replace(spelled, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
-    return F.when(text.rlike("[" + "".join(sorted(rare)) + "]"), spelled).otherwise(plain)
+    return F.when(text.rlike(f"[{rare}]"), folded).otherwise(F.lower(sharp_s(text)))
 
 
 def strip(text: Column) -> Column:
