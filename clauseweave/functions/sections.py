@@ -29,8 +29,8 @@ def numeric_sort_key(section: Column) -> Column:
     return F.transform(
         F.split(section, r"\."),
         lambda part: F.struct(
-            F.when(part.rlike("^[0-9]+$"), F.try_to_number(part, F.lit("9" * 18)).cast("long"))
-            .otherwise(F.lit(10**9))
+            F.when(part.rlike("^[0-9]+$"), part.try_cast("decimal(38,0)"))
+            .otherwise(F.lit(10**9).cast("decimal(38,0)"))
             .alias("number"),
             F.when(part.rlike("^[0-9]+$"), F.lit("")).otherwise(part).alias("text"),
         ),
