@@ -58,6 +58,20 @@ def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input too small to be split for them.
+
+    Files far below one split per core (or of a single row group) would leave
+    text work on one task.  A large input already has enough splits and is
+    returned as it is, so no big table is ever shuffled here.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * split else df
+
+
 def top_k_per_group(
     df: DataFrame,
     keys: Sequence[str],

@@ -100,11 +100,11 @@ def _escape(value: Column, quote: bool = False) -> Column:
     return value
 
 
-def _data_lines(key_ids: dict[str, str], ordered: bool) -> Column:
-    """<data> elements of the attribute map."""
+def _data_lines(key_ids: dict[str, str]) -> Column:
+    """<data> elements of the attribute map, in declaration order."""
     pairs = [part for item in key_ids.items() for part in (F.lit(item[0]), F.lit(item[1]))]
     ids = F.create_map(*pairs)
-    names = F.array(*[F.lit(n) for n in key_ids]) if ordered else F.map_keys("attributes")
+    names = F.array(*[F.lit(n) for n in key_ids])
     present = F.filter(names, lambda n: F.map_contains_key("attributes", n))
     lines = F.transform(
         present,
@@ -150,8 +150,7 @@ def write_graphml(
     spark = nodes.sparkSession
 
     def rows(section: int, order: Column, text: Column, df: DataFrame) -> DataFrame:
-        place = F.when(F.lit(True), order).cast("string") if section in (1, 2) else F.lit("")
-        return df.select(F.lit(section).alias("part"), place.alias("place"), text.alias("value"))
+        return df.select(F.lit(section).alias("part"), order.alias("place"), text.alias("value"))
 
     def padded(name: str) -> Column:
         """Numbers are zero-padded so that text order is numeric order."""
@@ -162,7 +161,7 @@ def write_graphml(
         F.lit('<node id="'),
         _escape(F.col("node_id"), True),
         F.lit('">'),
-        _data_lines({n: ids[("node", n)] for n in node_keys}, True),
+        _data_lines({n: ids[("node", n)] for n in node_keys}),
         F.lit("</node>"),
     )
     edge_text = F.concat(
@@ -173,7 +172,7 @@ def write_graphml(
         F.lit('" target="'),
         _escape(F.col("target"), True),
         F.lit('">'),
-        _data_lines({n: ids[("edge", n)] for n in edge_keys}, True),
+        _data_lines({n: ids[("edge", n)] for n in edge_keys}),
         F.lit("</edge>"),
     )
     frame = spark.createDataFrame(
