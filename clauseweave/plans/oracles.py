@@ -392,18 +392,18 @@ shaped AS (
   FROM raw_blocks
 ),
 blocks AS (
-  SELECT *, row_number() OVER (PARTITION BY doc ORDER BY i) AS at,
+  SELECT *, row_number() OVER (PARTITION BY doc ORDER BY i) AS ord,
          styled AND regexp_matches(text, '^\\d+[A-Z]?(?:\\.[0-9A-Z]+)*\\s+\\S') AS is_head,
          regexp_extract(text, '^(\\d+[A-Z]?(?:\\.[0-9A-Z]+)*)\\s+', 1) AS number
   FROM shaped WHERE text <> ''
 ),
 walk AS (
-  SELECT doc, at, is_head, CASE WHEN is_head THEN number END AS section, CASE WHEN is_head THEN at END AS head_at,
+  SELECT doc, ord, is_head, CASE WHEN is_head THEN number END AS section, CASE WHEN is_head THEN ord END AS head_ord,
          0 AS grp, 0 AS idx, NULL::VARCHAR AS open_kind, 0 AS size
-  FROM blocks WHERE at = 1
+  FROM blocks WHERE ord = 1
   UNION ALL
-  SELECT b.doc, b.at, b.is_head,
-         CASE WHEN b.is_head THEN b.number ELSE w.section END, CASE WHEN b.is_head THEN b.at ELSE w.head_at END,
+  SELECT b.doc, b.ord, b.is_head,
+         CASE WHEN b.is_head THEN b.number ELSE w.section END, CASE WHEN b.is_head THEN b.ord ELSE w.head_ord END,
          CASE WHEN NOT b.is_head AND w.section IS NOT NULL AND (b.kind = 'table' OR w.open_kind IS NULL OR w.open_kind = 'table'
               OR w.size + length(b.text) + 2 > {Q.PACK_CHARS}) THEN w.grp + 1 ELSE w.grp END,
          CASE WHEN b.is_head THEN 0 WHEN w.section IS NOT NULL AND (b.kind = 'table' OR w.open_kind IS NULL OR w.open_kind = 'table'
@@ -411,19 +411,19 @@ walk AS (
          CASE WHEN b.is_head THEN NULL WHEN w.section IS NOT NULL THEN b.kind ELSE w.open_kind END,
          CASE WHEN b.is_head THEN 0 WHEN w.section IS NOT NULL AND (b.kind = 'table' OR w.open_kind IS NULL OR w.open_kind = 'table'
               OR w.size + length(b.text) + 2 > {Q.PACK_CHARS}) THEN length(b.text) + 2 ELSE w.size + length(b.text) + 2 END
-  FROM walk w JOIN blocks b ON b.doc = w.doc AND b.at = w.at + 1
+  FROM walk w JOIN blocks b ON b.doc = w.doc AND b.ord = w.ord + 1
 ),
 packed AS (
-  SELECT w.doc, CAST(w.grp - 1 AS INTEGER) AS chunk_no, w.section, w.head_at, w.idx, any_value(b.kind) AS content_type,
-         {_strip("string_agg(b.text, chr(10) || chr(10) ORDER BY b.at)")} AS text
-  FROM walk w JOIN blocks b USING (doc, at) WHERE NOT w.is_head AND w.section IS NOT NULL GROUP BY ALL
+  SELECT w.doc, CAST(w.grp - 1 AS INTEGER) AS chunk_no, w.section, w.head_ord, w.idx, any_value(b.kind) AS content_type,
+         {_strip("string_agg(b.text, chr(10) || chr(10) ORDER BY b.ord)")} AS text
+  FROM walk w JOIN blocks b USING (doc, ord) WHERE NOT w.is_head AND w.section IS NOT NULL GROUP BY ALL
 ),
-heads AS (SELECT doc, at, level, number FROM blocks WHERE is_head),
+heads AS (SELECT doc, ord, level, number FROM blocks WHERE is_head),
 trails AS (
-  SELECT h.doc, h.at, string_agg(u.number, '|' ORDER BY u.at) AS heading_path
-  FROM heads h JOIN heads u ON u.doc = h.doc AND u.at <= h.at
-  WHERE NOT EXISTS (SELECT 1 FROM heads x WHERE x.doc = h.doc AND x.at > u.at AND x.at <= h.at AND x.level <= u.level)
-  GROUP BY h.doc, h.at
+  SELECT h.doc, h.ord, string_agg(u.number, '|' ORDER BY u.ord) AS heading_path
+  FROM heads h JOIN heads u ON u.doc = h.doc AND u.ord <= h.ord
+  WHERE NOT EXISTS (SELECT 1 FROM heads x WHERE x.doc = h.doc AND x.ord > u.ord AND x.ord <= h.ord AND x.level <= u.level)
+  GROUP BY h.doc, h.ord
 )"""
 
 _PAGE = "CASE WHEN split_part(section, '.', 2) IN ('0', '1', '2') THEN CAST(doc % 50 + CAST(split_part(section, '.', 2) AS INTEGER) AS INTEGER) END"
@@ -522,11 +522,11 @@ FROM tested WHERE method IS NOT NULL ORDER BY score DESC, length(label), lower(l
     "chunk_ids": f"""WITH RECURSIVE {INGEST} SELECT doc, chunk_no, 'ts24501-v19.2.0-' || lower(replace(section, '.', '-')) || '-'
         || printf('%03d', idx) || '-' || substr(sha1(text), 1, 10) AS chunk_id FROM packed""",
     "heading_paths": f"""WITH RECURSIVE {INGEST} SELECT p.doc, p.chunk_no, t.heading_path FROM packed p
-        JOIN trails t ON t.doc = p.doc AND t.at = p.head_at""",
+        JOIN trails t ON t.doc = p.doc AND t.ord = p.head_ord""",
     "toc_pages": f"""WITH RECURSIVE {INGEST} SELECT doc, chunk_no, section, {_PAGE} AS page_start, {_PAGE} AS page_end FROM packed""",
     "ingest_summary": f"""WITH RECURSIVE {INGEST} SELECT
-        (SELECT count(*) FROM walk w JOIN blocks b USING (doc, at) WHERE NOT w.is_head AND section IS NOT NULL AND kind = 'paragraph') AS paragraphs,
-        (SELECT count(*) FROM walk w JOIN blocks b USING (doc, at) WHERE NOT w.is_head AND section IS NOT NULL AND kind = 'table') AS tables,
+        (SELECT count(*) FROM walk w JOIN blocks b USING (doc, ord) WHERE NOT w.is_head AND section IS NOT NULL AND kind = 'paragraph') AS paragraphs,
+        (SELECT count(*) FROM walk w JOIN blocks b USING (doc, ord) WHERE NOT w.is_head AND section IS NOT NULL AND kind = 'table') AS tables,
         (SELECT count(*) FROM heads) AS sections, (SELECT count(*) FROM packed) AS chunks,
         (SELECT count(*) FROM packed WHERE {_PAGE} IS NOT NULL) AS chunks_with_page""",
     "corpus_validation": f"""WITH {CHUNKS} SELECT CASE chunk_seq % 50 WHEN 7 THEN 'not a JSON object'
