@@ -182,7 +182,7 @@ def _adjacency(edges: DataFrame, directed: bool) -> DataFrame:
         F.col("source").alias("here"),
         F.col("target").alias("there"),
         F.struct(F.lit(0).alias("dir"), F.col("edge_seq").alias("seq")).alias("step"),
-        F.struct("edge_id", "source", "target").alias("edge"),
+        F.struct("edge_id", "source", "target", "edge_seq").alias("edge"),
     ).filter(F.col("here") != F.col("there"))
     if directed:
         return out
@@ -190,7 +190,7 @@ def _adjacency(edges: DataFrame, directed: bool) -> DataFrame:
         F.col("target").alias("here"),
         F.col("source").alias("there"),
         F.struct(F.lit(1).alias("dir"), F.col("edge_seq").alias("seq")).alias("step"),
-        F.struct("edge_id", "source", "target").alias("edge"),
+        F.struct("edge_id", "source", "target", "edge_seq").alias("edge"),
     )
     return out.unionByName(back)
 
@@ -223,7 +223,7 @@ def find_paths(
     directed: bool = False,
     nodes: DataFrame | None = None,
 ) -> DataFrame:
-    """(rank, hops, path array<struct<edge_id,source,target>>), shortest first.
+    """(rank, hops, path array<struct<edge_id,source,target,edge_seq>>), shortest first.
 
     Paths repeat no node; parallel edges give distinct paths; ties follow edge
     order, outgoing before incoming, hop by hop.  A breadth of nodes around the
@@ -239,7 +239,7 @@ def find_paths(
     spark = edges.sparkSession
     found_schema = (
         "hops int, key array<struct<dir:int,seq:bigint>>, "
-        "path array<struct<edge_id:string,source:string,target:string>>"
+        "path array<struct<edge_id:string,source:string,target:string,edge_seq:bigint>>"
     )
     adjacency = _adjacency(edges, directed)
     results = spark.createDataFrame([], found_schema)
@@ -249,7 +249,7 @@ def find_paths(
         frontier = spark.createDataFrame(
             [(source, [source], [], [])],
             "here string, visited array<string>, key array<struct<dir:int,seq:bigint>>, "
-            "path array<struct<edge_id:string,source:string,target:string>>",
+            "path array<struct<edge_id:string,source:string,target:string,edge_seq:bigint>>",
         )
         count = 0
         for hop in range(1, max_hops + 1):

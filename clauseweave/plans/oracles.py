@@ -29,6 +29,18 @@ def _strip(text: str) -> str:
     return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
 
 
+def _half_even(x: str) -> str:
+    """Six digits, half to even on the exact binary value of x (product error included)."""
+    big = f"({x} * 134217729::DOUBLE)"
+    high = f"({big} - ({big} - {x}))"
+    product = f"({x} * 1e6::DOUBLE)"
+    error = f"(({high} * 1e6::DOUBLE - {product}) + ({x} - {high}) * 1e6::DOUBLE)"
+    whole = f"floor({product})"
+    beyond = f"({product} - {whole} - 0.5::DOUBLE)"
+    up = f"{beyond} > 0 OR ({beyond} = 0 AND ({error} > 0 OR ({error} = 0 AND {whole}::BIGINT % 2 = 1)))"
+    return f"({whole} + CASE WHEN {up} THEN 1 ELSE 0 END) / 1e6::DOUBLE"
+
+
 CHUNKS = """
 chunks AS (
   SELECT doc_id AS chunk_seq, 'doc-' || doc_id AS chunk_id,
@@ -361,10 +373,9 @@ components AS (
          CASE WHEN ni = 0 OR nc = 0 THEN 0::DOUBLE ELSE shared::DOUBLE / (ni + nc - shared) END AS overlap
   FROM signals
 ),
-rounded AS (
-  SELECT *, round_even(least(overlap / 0.3::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE, 6) AS overlap_score FROM components
-),
-totals AS (SELECT *, round_even(section_score + name_score + overlap_score, 6) AS confidence FROM rounded),
+scaled AS (SELECT *, least(overlap / 0.3::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE AS raw_overlap FROM components),
+rounded AS (SELECT *, {_half_even('raw_overlap')} AS overlap_score FROM scaled),
+totals AS (SELECT *, round(section_score + name_score + overlap_score, 6) AS confidence FROM rounded),
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY graph_item_id ORDER BY confidence DESC, chunk_id) AS INTEGER) AS rank FROM totals
 ),
