@@ -65,7 +65,9 @@ def casefold(text: Column) -> Column:
         ),
         "",
     )
-    return F.when(text.rlike(f"[{rare}]"), folded).otherwise(F.lower(sharp_s(text)))
+    # Looking letters up in a hash table beats a character class of this size.
+    has_rare = F.translate(text, rare, "") != text
+    return F.when(has_rare, folded).otherwise(F.lower(sharp_s(text)))
 
 
 def strip(text: Column) -> Column:
@@ -95,13 +97,21 @@ def slug(text: Column) -> Column:
     return F.when(trimmed == "", F.lit("item")).otherwise(trimmed)
 
 
-def span(text: Column, value: Column) -> Column:
-    """Offsets of ``value`` in ``text`` ignoring case, or a leading placeholder."""
-    size, width = F.char_length(text), F.char_length(value)
-    at = F.when(value == "", F.lit(0)).otherwise(F.instr(casefold(text), casefold(value)))
+def span_at(at: Column, value: Column, size: Column) -> Column:
+    """Offsets of ``value`` found at 1-based ``at`` (0: nowhere) in a text of ``size``.
+
+    A value that does not occur gets a leading placeholder of its length.
+    """
+    width = F.char_length(value)
     start = F.when(at > 0, at - 1).otherwise(F.lit(0))
     end = F.when(at > 0, at - 1 + width).otherwise(F.least(size, F.greatest(width, F.lit(1))))
-    return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
+def span(text: Column, value: Column) -> Column:
+    """Offsets of ``value`` in ``text`` ignoring case."""
+    at = F.when(value == "", F.lit(0)).otherwise(F.instr(casefold(text), casefold(value)))
+    return span_at(at, value, F.char_length(text))
 
 
 def find_spans(text: Column, pattern: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sections as S
-from ..functions.text import REFERENCE_PATTERN, find_spans, reference_label, slug, span, strip
+from ..functions.text import REFERENCE_PATTERN, casefold, find_spans, reference_label, slug, span_at, strip
 
 # The (source type, relation, target type) triples an edge may have.
 ALLOWED_TRIPLES = (
@@ -69,78 +69,113 @@ def node_type(section: Column) -> Column:
 
 
 def prepare(chunks: DataFrame, reference_pattern: str = REFERENCE_PATTERN) -> DataFrame:
-    """The narrow facts every node and edge is made of; the text is dropped."""
-    title, text = F.col("section_title"), F.col("text")
-    return chunks.select(
+    """The narrow facts every node and edge is made of; the text is dropped.
+
+    Each text is folded once, and every position in it is its own column, so no
+    later expression can pull a scan of the text back in.
+    """
+    texts = chunks.select(
         "chunk_seq",
         "chunk_id",
         "section",
         "section_title",
         "source_file",
-        F.char_length(text).cast("long").alias("text_len"),
-        S.parent(F.col("section")).alias("parent"),
-        F.nullif(strip(title), F.lit("")).alias("label"),
-        node_type(F.col("section")).alias("kind"),
-        span(text, title).alias("title_span"),
-        span(text, strip(title)).alias("label_span"),
-        find_spans(text, reference_pattern).alias("refs"),
+        F.char_length("text").alias("text_len"),
+        casefold(F.col("text")).alias("folded"),
+        F.coalesce(strip(F.col("section_title")), F.lit("")).alias("name"),
+        find_spans(F.col("text"), reference_pattern).alias("refs"),
+    )
+    title_at = F.instr("folded", casefold(F.col("section_title")))
+    return (
+        texts.withColumn("title_at", F.when(F.col("section_title") == "", 0).otherwise(title_at))
+        .withColumn(
+            "name_at",
+            F.when(F.col("name") == F.col("section_title"), F.col("title_at"))
+            .when(F.col("name") == "", 0)
+            .otherwise(F.instr("folded", casefold(F.col("name")))),
+        )
+        .select(
+            "chunk_seq",
+            "chunk_id",
+            "section",
+            "section_title",
+            "source_file",
+            "text_len",
+            S.parent(F.col("section")).alias("parent"),
+            F.nullif("name", F.lit("")).alias("label"),
+            node_type(F.col("section")).alias("kind"),
+            span_at(F.col("title_at"), F.col("section_title"), F.col("text_len")).alias("title_span"),
+            span_at(F.col("name_at"), F.col("name"), F.col("text_len")).alias("label_span"),
+            "refs",
+        )
     )
 
 
-def _ids(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("section_id", F.concat(F.lit("section:"), F.col("section"))).withColumn(
-        "entity_node", F.concat(F.lower("kind"), F.lit(":"), slug(F.col("label")))
-    )
+def _string(value: Column | str) -> Column:
+    return (F.lit(value) if isinstance(value, str) else value).cast("string")
 
 
-def _node(facts: DataFrame, step: Column, node_id: Column, **values: Column) -> DataFrame:
-    columns = {
-        "section": F.col("section"),
-        "section_title": F.col("section_title"),
-        "confidence_label": F.lit("verified"),
-        **values,
+def _node(step: Column, node_id: Column, **values: Column | str) -> Column:
+    """One node proposal as a struct; unnamed fields come from the chunk."""
+    fields = {
+        "entity_id": values.get("entity_id"),
+        "node_type": values.get("node_type"),
+        "section": values.get("section", F.col("section")),
+        "section_title": values.get("section_title", F.col("section_title")),
+        "char_start": values.get("char_start"),
+        "char_end": values.get("char_end"),
+        "confidence_label": values.get("confidence_label", "verified"),
     }
-    return facts.select(
-        F.struct(F.col("chunk_seq"), step.cast("long").alias("step")).alias("seq"),
+    return F.struct(
+        step.cast("long").alias("step"),
         node_id.alias("node_id"),
-        "chunk_id",
-        *[c.cast("string").alias(name) for name, c in columns.items()],
+        *[_string(value).alias(name) for name, value in fields.items()],
     )
 
 
-def section_nodes(facts: DataFrame) -> DataFrame:
-    label = strip(F.concat_ws(" ", "section", "section_title"))
+def section_id() -> Column:
+    return F.concat(F.lit("section:"), F.col("section"))
+
+
+def entity_id() -> Column:
+    """Node id of the chunk's titled entity, null without a title."""
+    return F.concat(F.lower("kind"), F.lit(":"), slug(F.col("label")))
+
+
+def external_id(ref: Column) -> Column:
+    return F.concat(F.lit("external_spec:"), slug(reference_label(ref["match"])))
+
+
+def section_node() -> Column:
     return _node(
-        facts,
         F.lit(0),
-        F.concat(F.lit("section:"), F.col("section")),
-        entity_id=label,
-        node_type=F.lit("Section"),
+        section_id(),
+        entity_id=strip(F.concat_ws(" ", "section", "section_title")),
+        node_type="Section",
         char_start=F.col("title_span.start"),
         char_end=F.col("title_span.end"),
     )
 
 
-def parent_nodes(facts: DataFrame) -> DataFrame:
+def parent_node() -> Column:
     """Placeholder for the section one level up; never replaces an earlier node."""
     parent = F.col("parent")
-    return _node(
-        facts.filter(parent.isNotNull()),
+    node = _node(
         F.lit(1),
         F.concat(F.lit("section:"), parent),
         entity_id=parent,
-        node_type=F.lit("Section"),
+        node_type="Section",
         section=parent,
-        section_title=F.lit(""),
-        char_start=F.lit(0),
-        char_end=F.least(F.col("text_len"), F.char_length(parent).cast("long")),
-        confidence_label=F.lit("candidate"),
+        section_title="",
+        char_start="0",
+        char_end=F.least(F.col("text_len"), F.char_length(parent)),
+        confidence_label="candidate",
     )
+    return F.when(parent.isNotNull(), node)
 
 
-def entity_nodes(facts: DataFrame) -> DataFrame:
-    return _node(
-        _ids(facts.filter(F.col("label").isNotNull())),
+def entity_node() -> Column:
+    node = _node(
         F.lit(2),
         F.col("entity_node"),
         entity_id=F.col("label"),
@@ -148,105 +183,107 @@ def entity_nodes(facts: DataFrame) -> DataFrame:
         char_start=F.col("label_span.start"),
         char_end=F.col("label_span.end"),
     )
-
-
-def references(facts: DataFrame) -> DataFrame:
-    """One row per external reference of a chunk, with its order and offsets."""
-    # Outer explode plus filter: the plain form would evaluate the finder twice.
-    found = _ids(facts).select("*", F.posexplode_outer("refs").alias("ref_no", "ref"))
-    found = found.filter(F.col("ref_no").isNotNull()).drop("refs")
-    return found.withColumn("ref_label", reference_label(F.col("ref.match"))).withColumn(
-        "external_id", F.concat(F.lit("external_spec:"), slug(F.col("ref_label")))
-    )
-
-
-def external_nodes(found: DataFrame) -> DataFrame:
-    return _node(
-        found,
-        F.col("ref_no") + 3,
-        F.col("external_id"),
-        entity_id=F.col("ref_label"),
-        node_type=F.lit("ExternalSpec"),
-        char_start=F.col("ref.start"),
-        char_end=F.col("ref.end"),
+    return F.when(F.col("label").isNotNull(), node)
+
+
+def external_nodes() -> Column:
+    return F.transform(
+        "refs",
+        lambda ref, i: _node(
+            i + 3,
+            external_id(ref),
+            entity_id=reference_label(ref["match"]),
+            node_type="ExternalSpec",
+            char_start=ref["start"],
+            char_end=ref["end"],
+        ),
     )
 
 
 def _edge(
-    facts: DataFrame,
     step: Column,
     source: tuple[Column, Column],
     relation: str,
     target: tuple[Column, Column],
     offsets: tuple[Column, Column],
     method: str,
-) -> DataFrame:
-    legal = F.struct(source[1], F.lit(relation), target[1]).isin(
-        [F.struct(*[F.lit(part) for part in triple]) for triple in ALLOWED_TRIPLES]
-    )
-    return facts.select(
-        F.struct(F.col("chunk_seq"), step.cast("long").alias("step")).alias("seq"),
+) -> Column:
+    """One edge proposal as a struct, marked legal or not by the whitelist."""
+    triple = F.concat_ws("|", source[1], F.lit(relation), target[1])
+    return F.struct(
+        step.cast("long").alias("step"),
         source[0].alias("source"),
         target[0].alias("target"),
         F.lit(relation).alias("keywords"),
-        "chunk_id",
-        "section",
         offsets[0].cast("string").alias("char_start"),
         offsets[1].cast("string").alias("char_end"),
         F.lit("verified").alias("confidence_label"),
         F.lit(method).alias("extraction_method"),
-        "source_file",
-        legal.alias("legal"),
+        triple.isin(["|".join(t) for t in ALLOWED_TRIPLES]).alias("legal"),
     )
 
 
-def hierarchy_edges(facts: DataFrame) -> DataFrame:
-    facts = facts.filter(F.col("parent").isNotNull())
+def hierarchy_edge() -> Column:
     section = F.lit("Section")
-    return _edge(
-        facts,
+    edge = _edge(
         F.lit(1),
-        (F.concat(F.lit("section:"), F.col("section")), section),
+        (section_id(), section),
         "SUBCLAUSE_OF",
         (F.concat(F.lit("section:"), F.col("parent")), section),
         (
             F.lit(0),
-            F.least(F.col("text_len"), F.greatest(F.char_length("section"), F.lit(1)).cast("long")),
+            F.least(F.col("text_len"), F.greatest(F.char_length("section"), F.lit(1))),
         ),
         "section_hierarchy",
     )
+    return F.when(F.col("parent").isNotNull(), edge)
 
 
-def definition_edges(facts: DataFrame) -> DataFrame:
-    facts = _ids(facts.filter(F.col("label").isNotNull()))
-    return _edge(
-        facts,
+def definition_edge() -> Column:
+    edge = _edge(
         F.lit(2),
         (F.col("entity_node"), F.col("kind")),
         "DEFINED_IN",
-        (F.col("section_id"), F.lit("Section")),
+        (section_id(), F.lit("Section")),
         (F.col("label_span.start"), F.col("label_span.end")),
         "section_title",
     )
+    return F.when(F.col("label").isNotNull(), edge)
 
 
-def reference_edges(found: DataFrame) -> DataFrame:
+def reference_edges() -> Column:
     """From the entity of the chunk, or from its section when it has no title."""
     titled = F.col("label").isNotNull()
-    return _edge(
-        found,
-        F.col("ref_no") + 3,
-        (
-            F.coalesce("entity_node", "section_id"),
-            F.when(titled, F.col("kind")).otherwise(F.lit("Section")),
+    source = (
+        F.coalesce("entity_node", section_id()),
+        F.when(titled, F.col("kind")).otherwise(F.lit("Section")),
+    )
+    return F.transform(
+        "refs",
+        lambda ref, i: _edge(
+            i + 3,
+            source,
+            "REFERENCES",
+            (external_id(ref), F.lit("ExternalSpec")),
+            (ref["start"], ref["end"]),
+            "reference_pattern",
         ),
-        "REFERENCES",
-        (F.col("external_id"), F.lit("ExternalSpec")),
-        (F.col("ref.start"), F.col("ref.end")),
-        "reference_pattern",
     )
 
 
+def _proposals(facts: DataFrame, single: list[Column], many: Column, columns: list[str]) -> DataFrame:
+    """All proposals of a chunk from one row, so the texts are read once.
+
+    The outer explode keeps the optimizer from inferring a filter that would
+    evaluate every proposal a second time at the scan.
+    """
+    offered = F.concat(F.array_compact(F.array(*single)), many)
+    rows = facts.select("chunk_seq", *columns, F.explode_outer(offered).alias("p"))
+    return rows.select(
+        F.struct("chunk_seq", F.col("p.step").alias("step")).alias("seq"), *columns, "p.*"
+    ).drop("step")
+
+
 def first_wins(proposals: DataFrame, keys: list[str]) -> DataFrame:
     """Per key the proposal with the smallest ``seq``."""
     rest = [c for c in proposals.columns if c not in {*keys, "seq"}]
@@ -254,10 +291,6 @@ def first_wins(proposals: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, "row.*")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 class SpecGraph:
     """Nodes, edges and counters of the graph built from ``chunks``.
 
@@ -266,27 +299,21 @@ class SpecGraph:
 
     def __init__(self, chunks: DataFrame, *, reference_pattern: str = REFERENCE_PATTERN) -> None:
         self.chunks = chunks
-        self.facts = prepare(chunks, reference_pattern)
-        self.references = references(self.facts)
+        self.facts = prepare(chunks, reference_pattern).withColumn("entity_node", entity_id())
 
     def node_proposals(self) -> DataFrame:
-        return _union(
-            [
-                section_nodes(self.facts),
-                parent_nodes(self.facts),
-                entity_nodes(self.facts),
-                external_nodes(self.references),
-            ]
-        )
+        single = [section_node(), parent_node(), entity_node()]
+        return _proposals(self.facts, single, external_nodes(), ["chunk_id"])
 
     def edge_proposals(self) -> DataFrame:
-        return _union(
-            [
-                hierarchy_edges(self.facts),
-                definition_edges(self.facts),
-                reference_edges(self.references),
-            ]
+        single = [hierarchy_edge(), definition_edge()]
+        rows = _proposals(
+            self.facts,
+            single,
+            reference_edges(),
+            ["chunk_id", "section", "source_file"],
         )
+        return rows.filter(F.col("source").isNotNull())
 
     def nodes(self) -> DataFrame:
         return first_wins(self.node_proposals(), ["node_id"])
