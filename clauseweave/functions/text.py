@@ -30,44 +30,35 @@ def tokenize_literal(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _fold_exceptions() -> tuple[dict[str, str], dict[str, str]]:
-    """Code points whose folding is not their lower case, found by rule.
-
-    Returned as (one letter to one letter, one letter to several).
-    """
-    single = {"Σ": "σ"}  # lower() of a final sigma depends on its context
-    multiple = {}
+def _fold_exceptions() -> dict[str, str]:
+    """Letters whose folding is not their lower case, found by rule."""
+    table = {"Σ": "σ"}  # lower() of a final sigma depends on its context
     for code in range(0x80, 0x110000):
-        char, folded = chr(code), chr(code).casefold()
-        if folded != char.lower():
-            (single if len(folded) == 1 else multiple)[char] = folded
-    return single, multiple
+        char = chr(code)
+        if char.casefold() != char.lower():
+            table[char] = char.casefold()
+    return table
 
 
 def casefold(text: Column) -> Column:
     """Full Unicode case folding, with a fast path for everything but rarities."""
-    single, multiple = _fold_exceptions()
-    sharp = ("ß", "ẞ")  # common in German text: handled on the fast path
-    table = ",".join(f"{char}:{folded}" for char, folded in multiple.items() if char not in sharp)
-    rare = "".join(sorted({*single, *multiple} - {*sharp}))
-
-    def sharp_s(value: Column) -> Column:
-        return F.replace(F.replace(value, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
-
-    mapped = F.translate(text, "".join(single), "".join(single.values()))
-    folded = F.array_join(
+    table = _fold_exceptions()
+    rare = "".join(sorted(set(table) - {"ß", "ẞ"}))  # sharp s is common: fast path
+    pairs = ",".join(f"{char}:{folded}" for char, folded in table.items())
+    spelled = F.array_join(
         F.transform(
-            F.split(sharp_s(mapped), ""),
+            F.split(text, ""),
             lambda char: F.coalesce(
-                F.try_element_at(F.str_to_map(F.lit(table), F.lit(","), F.lit(":")), char),
+                F.try_element_at(F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":")), char),
                 F.lower(char),
             ),
         ),
         "",
     )
+    plain = F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
     # Looking letters up in a hash table beats a character class of this size.
     has_rare = F.translate(text, rare, "") != text
-    return F.when(has_rare, folded).otherwise(F.lower(sharp_s(text)))
+    return F.when(has_rare, spelled).otherwise(F.lower(plain))
 
 
 def strip(text: Column) -> Column:

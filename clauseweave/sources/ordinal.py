@@ -18,10 +18,10 @@ def with_ordinal(raw: DataFrame, name: str, columns: list[str], per_file: bool =
         *columns,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     splits = placed.groupBy("_file", "_start").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first")
+        F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first")
     )
     keys = ["_file"] if per_file else []
     before = Window.partitionBy(*keys).orderBy("_file", "_start").rowsBetween(
@@ -29,5 +29,5 @@ def with_ordinal(raw: DataFrame, name: str, columns: list[str], per_file: bool =
     )
     offsets = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     joined = placed.join(broadcast_within(offsets.drop("_rows")), ["_file", "_start"])
-    ordinal = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    ordinal = F.col("_before") + F.col("_row") - F.col("_first") + 1
     return joined.select(*columns, ordinal.cast("long").alias(name), F.col("_file").alias("_path"))
