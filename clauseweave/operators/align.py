@@ -191,8 +191,8 @@ def align(
     unmatched = prepared.join(direct.select("qid").distinct(), "qid", "left_anti")
     if not unmatched.isEmpty():
         found = fallback_candidates(unmatched, Bm25Index(chunks), max_per_item)
-        # Every question has at most 2 * max_per_item of these.
-        picked = found.join(prepared, "qid")
+        # At most 2 * max_per_item rows per question, searched once.
+        picked = materialize(found).join(prepared, "qid")
         fallback = _best(score_pairs(facts.join(broadcast_within(picked), "chunk_id")), max_per_item)
         direct = direct.unionByName(fallback)
     described = _describe(direct)

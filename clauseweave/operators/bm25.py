@@ -131,12 +131,6 @@ def _ranking() -> list[Column]:
     return [F.col("score").desc(), F.col("section"), F.col("chunk_id")]
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, pos, term): distinct terms of every query, first use first."""
-    terms = F.array_distinct(tokenize(F.col("query")))
-    return queries.select("query_id", F.posexplode(terms).alias("pos", "term"))
-
-
 class Bm25Index:
     """BM25 over a chunk DataFrame, or over tables written by :meth:`save`."""
 
@@ -317,7 +311,13 @@ class Bm25Index:
         """
         if top_k < 1:
             raise ValueError("top_k must be at least 1")
-        terms = query_terms(queries)
+        # Queries with the same terms are one search; its hits are joined back.
+        worded = queries.select(
+            "query_id", F.array_distinct(tokenize(F.col("query"))).alias("terms")
+        ).withColumn("wording", F.array_join("terms", " "))
+        worded = materialize(worded.filter(F.size("terms") > 0))
+        distinct = worded.select("wording", "terms").distinct()
+        terms = distinct.select("wording", F.posexplode("terms").alias("pos", "term"))
         vocabulary = terms.select("term").distinct()
         words = [r[0] for r in vocabulary.limit(LITERAL_VOCABULARY + 1).collect()]
         if self._stored is None and len(words) <= LITERAL_VOCABULARY:
@@ -336,7 +336,8 @@ class Bm25Index:
         n, avg_len = float(stats["n"]), float(stats["avg_len"] or 1.0)
         weighted = terms.join(
             frequencies.withColumn("idf", idf_column(F.lit(n), F.col("df"))), "term"
-        ).select("query_id", "pos", "term", "idf")
+        ).select("wording", "pos", "term", "idf")
+        weighted = materialize(weighted)
         partial = _partial_score(
             F.col("idf"), F.col("tf"), F.col("doc_len"), F.lit(avg_len), self.params
         )
@@ -346,7 +347,7 @@ class Bm25Index:
         scored = (
             hits.filter(_candidate_filter(section_prefix, content_types))
             .join(broadcast_within(weighted), "term")
-            .groupBy("chunk_id", "section", "query_id")
+            .groupBy("chunk_id", "section", "wording")
             .agg(
                 F.sum(F.floor(partial * F.lit(SCORE_UNIT))).alias("units"),
                 *[
@@ -358,12 +359,7 @@ class Bm25Index:
             )
         )
         order = [F.col("units").desc(), F.col("section"), F.col("chunk_id")]
-        ranked = top_k_per_group(scored, ["query_id"], order, top_k)
-        wording = terms.groupBy("query_id").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda t: t["term"]
-            ).alias("terms")
-        )
+        ranked = top_k_per_group(scored, ["wording"], order, top_k)
         used = F.filter(
             "terms",
             lambda term, pos: F.bit_get(
@@ -371,7 +367,7 @@ class Bm25Index:
             )
             == 1,
         )
-        return ranked.join(wording, "query_id").select(
+        return ranked.join(worded, "wording").select(
             "query_id",
             "rank",
             "chunk_id",
@@ -397,6 +393,9 @@ def _number(hits: DataFrame) -> DataFrame:
 
 
 def attach_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Fetch the chunk columns of ranked hits last, once ranking is done."""
-    wide = chunks.drop("section", "content_type")
-    return wide.join(broadcast_within(hits), "chunk_id")
+    """Fetch the chunk columns of ranked hits last, once ranking is done.
+
+    The limit of a single search bounds the hits in the plan, so Spark
+    broadcasts them; hits of very many queries are joined by shuffle.
+    """
+    return chunks.drop("section", "content_type").join(hits, "chunk_id")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import py_round
 from ..functions.sections import under_prefix
-from ..session import broadcast_within
 from .bm25 import Bm25Index
 
 
@@ -56,5 +55,5 @@ def evaluate_bm25(index: Bm25Index, questions: DataFrame, *, top_k: int = 5) ->
         raise ValueError("the evaluation needs at least one question")
     queries = questions.select(F.col("id").alias("query_id"), F.col("question").alias("query"))
     hits = index.search_many(queries, top_k=top_k).select("query_id", "rank", "section")
-    results = judge_hits(broadcast_within(hits), questions)
+    results = judge_hits(hits, questions)
     return summarize(results, top_k), results

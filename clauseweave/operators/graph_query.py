@@ -155,15 +155,16 @@ def neighbors(
     return found.orderBy(*order).limit(max(limit, 0)).drop("_side")
 
 
-def label_endpoints(edges: DataFrame, nodes: DataFrame, bounded: bool = True) -> DataFrame:
+def label_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add both endpoint labels; an endpoint missing from the nodes is an error.
 
-    Pass ``bounded=False`` for edge sets that are not a small query result.
+    The edges are a query's result and read twice, so they are computed once.
+    (It also keeps a caller's limit from being pushed below a ranked one.)
     """
+    edges = materialize(edges)
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
     labels = nodes.select("node_id", node_label().alias("label"))
-    if bounded:  # fetch just the labels of a small result
-        ends = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
-        labels = labels.join(broadcast_within(ends), "node_id", "left_semi")
+    labels = labels.join(broadcast_within(ends), "node_id", "left_semi")
     for end in ("source", "target"):
         side = labels.select(F.col("node_id").alias(end), F.col("label").alias(f"{end}_label"))
         edges = edges.join(side, end, "left")

@@ -20,6 +20,7 @@ from ..operators.fusion import reciprocal_rank_fusion
 from ..operators.graph_build import SpecGraph
 from ..operators.graph_export import export_subgraph
 from ..operators.vector import vector_search
+from ..session import materialize
 from ..sources.chunks import duplicate_ids, parse_lines
 from . import adapters
 
@@ -254,13 +255,13 @@ def _path_rows(paths: DataFrame) -> DataFrame:
 
 @query
 def paths_undirected(spark, sf):
-    _, edges = adapters.trade_graph(spark, sf)
+    edges = materialize(adapters.trade_graph(spark, sf)[1])  # derived, and read once per hop
     return _path_rows(graph_query.find_paths(edges, *PATH_ENDS, max_hops=3, limit=5))
 
 
 @query
 def paths_directed(spark, sf):
-    _, edges = adapters.trade_graph(spark, sf)
+    edges = materialize(adapters.trade_graph(spark, sf)[1])
     return _path_rows(
         graph_query.find_paths(edges, "customer:10", "region:1", max_hops=5, limit=5, directed=True)
     )

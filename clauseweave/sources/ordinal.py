@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_within
+from ..session import broadcast_within, materialize
 
 
 def with_ordinal(raw: DataFrame, name: str, columns: list[str], per_file: bool = False) -> DataFrame:
@@ -28,6 +28,7 @@ def with_ordinal(raw: DataFrame, name: str, columns: list[str], per_file: bool =
         Window.unboundedPreceding, -1
     )
     offsets = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    joined = placed.join(broadcast_within(offsets.drop("_rows")), ["_file", "_start"])
+    offsets = materialize(offsets.drop("_rows"))  # one row per split, read twice below
+    joined = placed.join(broadcast_within(offsets), ["_file", "_start"])
     ordinal = F.col("_before") + F.col("_row") - F.col("_first") + 1
     return joined.select(*columns, ordinal.cast("long").alias(name), F.col("_file").alias("_path"))
