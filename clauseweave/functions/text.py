@@ -160,9 +160,12 @@ def cited_chunk_ids(answer: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(CITATION_PATTERN), F.lit(1)))
 
 
-def token_overlap(left: Column, right: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct tokens; 0 if either is empty."""
-    shared = F.size(F.array_intersect(left, right))
-    union = F.size(left) + F.size(right) - shared
+def token_overlap(shared: Column, left: Column, right: Column) -> Column:
+    """Jaccard similarity from the sizes of two token sets and their intersection.
+
+    Takes sizes, not arrays, so that the intersection is computed once, in a
+    column of its own.
+    """
+    union = left + right - shared
     ratio = shared.cast("double") / F.nullif(union, F.lit(0))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(ratio)
+    return F.when((left == 0) | (right == 0), F.lit(0.0)).otherwise(ratio)

@@ -112,13 +112,17 @@ def prepare_questions(questions: DataFrame) -> DataFrame:
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Score rows carrying both prepared sides; keeps (qid, chunk_id, scores)."""
-    signals = pairs.select(
+    compared = pairs.select(
         "qid",
         "chunk_id",
         ((F.col("norm_label") != "") & F.contains("norm_text", F.col("norm_label"))).alias("name_match"),
         F.array_contains("sections", F.col("chunk_section")).alias("section_match"),
-        token_overlap(F.col("item_tokens"), F.col("chunk_tokens")).alias("overlap"),
+        F.size(F.array_intersect("chunk_tokens", "item_tokens")).alias("shared"),
+        F.size("item_tokens").alias("n_item"),
+        F.size("chunk_tokens").alias("n_chunk"),
     )
+    overlap = token_overlap(F.col("shared"), F.col("n_item"), F.col("n_chunk"))
+    signals = compared.withColumn("overlap", overlap).drop("shared", "n_item", "n_chunk")
     part = lambda flag, weight: F.when(F.col(flag), F.lit(weight)).otherwise(F.lit(0.0))
     return signals.select(
         "qid",

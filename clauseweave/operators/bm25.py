@@ -88,8 +88,19 @@ def _explode_counts(counted: DataFrame) -> DataFrame:
     The outer form matters: a plain explode makes the optimizer infer a
     "not empty" filter, push it to the scan and tokenize every text twice.
     """
-    exploded = counted.select(*_DOCUMENT, F.explode_outer("counts").alias("p"))
-    return exploded.select(*_DOCUMENT, "p.term", "p.tf").filter(F.col("term").isNotNull())
+    rest = [c for c in counted.columns if c not in {"counts", "terms"}]
+    exploded = counted.select(*rest, F.explode_outer("counts").alias("p"))
+    return exploded.select(*rest, "p.term", "p.tf").filter(F.col("term").isNotNull())
+
+
+def _number_rows(documents: DataFrame) -> DataFrame:
+    """Add ``row_no``, increasing with (section, chunk_id), and fix it by checkpoint.
+
+    Ranking ties are broken by that pair, so from here on one long stands for
+    both the chunk and its place among equals.
+    """
+    ordered = documents.orderBy("section", "chunk_id")
+    return materialize(ordered.withColumn("row_no", F.monotonically_increasing_id()))
 
 
 def corpus_stats(documents: DataFrame) -> DataFrame:
@@ -305,38 +316,51 @@ class Bm25Index:
         """Rank every query of ``queries(query_id, query)`` in one job.
 
         Chunks are cut down to the query vocabulary before anything moves, then
-        hash-partitioned by chunk once; the per-(query, chunk) fold reuses that
-        partitioning.  Each task keeps at most ``top_k`` hits per query before
-        the final ranking.
+        numbered and hash-partitioned once; the per-(query, chunk) sum works on
+        two longs and reuses that partitioning.  Each task keeps at most
+        ``top_k`` hits per query before the final ranking.
         """
         if top_k < 1:
             raise ValueError("top_k must be at least 1")
         # Queries with the same terms are one search; its hits are joined back.
         worded = queries.select(
             "query_id", F.array_distinct(tokenize(F.col("query"))).alias("terms")
-        ).withColumn("wording", F.array_join("terms", " "))
+        )
         worded = materialize(worded.filter(F.size("terms") > 0))
-        distinct = worded.select("wording", "terms").distinct()
-        terms = distinct.select("wording", F.posexplode("terms").alias("pos", "term"))
+        searches = materialize(
+            worded.select("terms").distinct().withColumn("search_no", F.monotonically_increasing_id())
+        )
+        terms = searches.select("search_no", F.posexplode("terms").alias("pos", "term"))
         vocabulary = terms.select("term").distinct()
         words = [r[0] for r in vocabulary.limit(LITERAL_VOCABULARY + 1).collect()]
-        if self._stored is None and len(words) <= LITERAL_VOCABULARY:
-            counts = self._vocabulary_counts(words)
-            stats = corpus_stats(counts).first()
-            hits = _explode_counts(counts.repartition("chunk_id"))
+        keep = _candidate_filter(section_prefix, content_types)
+        if self._stored:
+            documents = _number_rows(self._stored["documents"])
+            hits = self._stored["postings"].select("chunk_id", "term", "tf")
+            hits = hits.join(broadcast_within(vocabulary), "term", "left_semi")
+            frequencies = document_frequencies(hits)
+            hits = hits.join(documents.filter(keep), "chunk_id")
+        elif len(words) <= LITERAL_VOCABULARY:
+            documents = _number_rows(self._vocabulary_counts(words))
             frequencies = document_frequencies(
-                counts.select(F.explode("counts.term").alias("term"))
+                documents.select(F.explode("counts.term").alias("term"))
             )
+            kept = documents.filter(keep).select("row_no", "doc_len", "counts")
+            # A named count: each byte here expands to many scores, so the
+            # partitions must not be coalesced by their size.
+            spread_to = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            hits = _explode_counts(kept.repartition(spread_to, "row_no"))
         else:
-            postings = self.postings() if self._stored else materialize(self.postings())
-            stats = self.stats().first()
-            hits = postings.join(broadcast_within(vocabulary), "term", "left_semi")
+            documents = _number_rows(self.documents())
+            hits = explode_postings(documents).join(broadcast_within(vocabulary), "term", "left_semi")
             frequencies = document_frequencies(hits)
+            hits = hits.filter(keep)
+        stats = corpus_stats(documents).first()
 
         n, avg_len = float(stats["n"]), float(stats["avg_len"] or 1.0)
         weighted = terms.join(
             frequencies.withColumn("idf", idf_column(F.lit(n), F.col("df"))), "term"
-        ).select("wording", "pos", "term", "idf")
+        ).select("search_no", "pos", "term", "idf")
         weighted = materialize(weighted)
         partial = _partial_score(
             F.col("idf"), F.col("tf"), F.col("doc_len"), F.lit(avg_len), self.params
@@ -345,9 +369,9 @@ class Bm25Index:
         masks = [f"mask{i}" for i in range(last // MASK_BITS + 1)]
         bit = F.expr(f"shiftleft(1L, pos % {MASK_BITS})")
         scored = (
-            hits.filter(_candidate_filter(section_prefix, content_types))
+            hits.select("row_no", "doc_len", "term", "tf")
             .join(broadcast_within(weighted), "term")
-            .groupBy("chunk_id", "section", "wording")
+            .groupBy("row_no", "search_no")
             .agg(
                 F.sum(F.floor(partial * F.lit(SCORE_UNIT))).alias("units"),
                 *[
@@ -358,8 +382,8 @@ class Bm25Index:
                 ],
             )
         )
-        order = [F.col("units").desc(), F.col("section"), F.col("chunk_id")]
-        ranked = top_k_per_group(scored, ["wording"], order, top_k)
+        order = [F.col("units").desc(), F.col("row_no")]
+        ranked = top_k_per_group(scored, ["search_no"], order, top_k)
         used = F.filter(
             "terms",
             lambda term, pos: F.bit_get(
@@ -367,13 +391,18 @@ class Bm25Index:
             )
             == 1,
         )
-        return ranked.join(worded, "wording").select(
+        found = (
+            ranked.join(searches, "search_no")
+            .withColumn("matched_terms", used)
+            .join(documents.select("row_no", "chunk_id", "section"), "row_no")
+        )
+        return worded.join(found, "terms").select(
             "query_id",
             "rank",
             "chunk_id",
             "section",
             (F.col("units") / F.lit(SCORE_UNIT)).alias("score"),
-            used.alias("matched_terms"),
+            "matched_terms",
         )
 
     def _vocabulary_counts(self, words: Sequence[str]) -> DataFrame:
@@ -381,7 +410,7 @@ class Bm25Index:
         documents = self.documents()
         known = F.filter("terms", lambda t: t.isin(list(words))) if words else F.array().cast("array<string>")
         kept = documents.select(*_DOCUMENT, known.alias("terms"))
-        return materialize(_with_term_counts(kept, "terms", "counts").drop("terms"))
+        return _with_term_counts(kept, "terms", "counts").drop("terms")
 
 
 def _number(hits: DataFrame) -> DataFrame:
