@@ -271,9 +271,13 @@ def find_paths(
             grown = materialize(grown)
             done = grown.filter(F.col("here") == target)
             results = results.unionByName(done.select(F.lit(hop).alias("hops"), "key", "path"))
-            count += done.limit(limit).count()
             frontier = grown.filter(F.col("here") != target)
-            if count >= limit or hop == max_hops or frontier.isEmpty():
+            tally = grown.agg(
+                F.count_if(F.col("here") == target).alias("done"),
+                F.count_if(F.col("here") != target).alias("open"),
+            ).first()
+            count += tally["done"]
+            if count >= limit or tally["open"] == 0:
                 break
     best = results.orderBy("hops", "key").limit(max(limit, 0))
     rank = F.row_number().over(Window.orderBy("hops", "key"))
