@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, shards, topk
+from . import bpe, langid, mixing, quality, secrets, shards, topk
 from .common import table
 
 
@@ -22,6 +22,60 @@ def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = bpe.read_tokenizer(tokenizer_path())
+    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encoded(spark, content).alias("ids"))
+    both = ids.withColumn("text", bpe.decoded(spark, content))
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings: 0 for toxic, 1 for poor, 2 for good."""
+    grade = F.when(F.col("toxic") == 1, F.lit(0)).otherwise(F.col("quality") + 1)
+    return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, ratings(spark, sf_dir))
+    out = docs.select("doc_id", quality.graded(docs, model).alias("g"))
+    return out.select(
+        "doc_id", F.col("g.expected").alias("expected_grade"), F.col("g.tail").alias("tail"), quality.selected(F.col("g")).alias("kept")
+    )
+
+
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    number = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op9_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    names, logs = langid.train(docs.filter(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"), langid.predicted(docs, names, logs).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
     return topk.top_inner_products(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
@@ -30,6 +84,10 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op4_golden_mix": op4_golden_mix,
+    "op6_streaming_bpe": op6_streaming_bpe,
+    "op7_ordinal_quality": op7_ordinal_quality,
+    "op8_markov_secrets": op8_markov_secrets,
+    "op9_mixture_language": op9_mixture_language,
     "op10_voronoi_topk": op10_voronoi_topk,
 }
 
