@@ -31,6 +31,7 @@ from .text_hash import SHINGLE_WORDS, chain, slices, word_hashes
 SAMPLE_ROWS = 20_000
 WORD_BUCKETS = 1 << 17
 LEAST_TEXTS = 4
+WORD_SCORE = 4.0
 ROUNDS = 400
 
 # classes of bytes: each ASCII sign on its own, letters and digits pooled
@@ -88,12 +89,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, ridge: float = 2e-4) -> Ordinal:
     """Maximum penalised likelihood by full-batch gradient steps (Adam), thresholds kept in order.
 
-    Words in fewer than ``LEAST_TEXTS`` texts of the sample are left out.
+    Words in fewer than ``LEAST_TEXTS`` texts of the sample are left out, and so are words
+    whose texts' mean grade is within ``WORD_SCORE`` standard errors of the mean of all.
     """
     lengths = np.array([len(a) for a, _ in rows])
     at, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
     line = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-    common = (np.bincount(at, minlength=FEATURES) >= LEAST_TEXTS)[at]
+    texts = np.bincount(at, minlength=FEATURES)
+    mean, spread = grades.mean(), max(grades.std(), 1e-9)
+    summed = np.bincount(at, grades[line].astype(np.float64), minlength=FEATURES)
+    telling = np.abs(summed - texts * mean) >= WORD_SCORE * spread * np.sqrt(np.maximum(texts, 1))
+    telling[WORD_BUCKETS:] = True
+    common = (telling & (texts >= LEAST_TEXTS))[at]
     at, value, line = at[common], value[common].astype(np.float64), line[common]
     used, at = np.unique(at, return_inverse=True)
     w, first = np.zeros(len(used)), np.zeros(len(used))
