@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, near_dedup, quality, secrets, shards, topk
+from . import ann, bpe, langid, mixing, near_dedup, quality, secrets, shards, topk, vectors
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.usable(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary that the queries encode with."""
     import public_tokenizers
@@ -81,14 +86,15 @@ def op9_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
-    return topk.top_inner_products(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+    rows = topk.quantized(table(spark, sf_dir, "embeddings"))
+    return topk.top_inner_products(rows, rows.filter("vec_id % 20 = 0"), k=20)
 
 
 REGISTRY = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op3_bottom_k_near_dedup": op3_bottom_k_near_dedup,
     "op4_golden_mix": op4_golden_mix,
+    "op5_projection_forest": op5_projection_forest,
     "op6_streaming_bpe": op6_streaming_bpe,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op8_markov_secrets": op8_markov_secrets,
