@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import reliable, word_count
+from .common import reliable, row_of, word_count
 
 # The weights that sources take in turn.
 WEIGHTS = (3, 1, 2)
@@ -120,6 +120,21 @@ def schedule(target: DataFrame, slots: int) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, source, size, row): each row with a key of its own, the same in every run.
+
+    The key is the id, a hash of the whole row and a number among equal rows.
+    """
+    content = F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    sized = docs.select(
+        "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+        content.alias("content"), row_of(docs).alias("row"),
+    )
+    twin = F.row_number().over(Window.partitionBy("doc_id", "content").orderBy("size"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("content").cast("string"), F.col("twin").cast("string"))
+    return sized.withColumn("twin", twin).select(key.alias("key"), "doc_id", "source", "size", "row")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -131,24 +146,13 @@ def mix(
     """Mix ``docs`` (doc_id, text, source, ...) to target weights.
 
     Returns the documents with their row key, the targets, and the pieces of the mix:
-    (key, slot, piece_start, piece_words) - the words of a document that a slot takes,
+    (key, slot, round, piece_start, piece_words) - the words of a document that a slot takes,
     counted from the document's first word; going round again repeats them.  The
     mix has about ``slots`` slots (fewer only where a block would have under ``LEAST_BLOCK``
     words), whatever the size of the corpus, so a source's words in the mix differ from its
-    target by a few blocks, a few millionths of the mix.  Rows are told apart by a hash of the whole row and a number
-    among equal rows, so reruns agree.
+    target by a few blocks, a few millionths of the mix.
     """
-    content = F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
-    sized = docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), content.alias("content")
-    )
-    twin = Window.partitionBy("doc_id", "content").orderBy("size")
-    keyed = reliable(
-        sized.withColumn("twin", F.row_number().over(twin)).select(
-            F.concat_ws(":", F.col("doc_id").cast("string"), F.col("content").cast("string"), F.col("twin").cast("string")).alias("key"),
-            "doc_id", "source", "size",
-        )
-    )
+    keyed = reliable(_keyed(docs).select("key", "doc_id", "source", "size"))
     target = reliable(targets(keyed, weights, share, most))
     words = keyed.agg(F.sum("size")).first()[0] or 0
     wanted = words * min(share, most)
@@ -159,7 +163,7 @@ def mix(
     )
     rounds = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))).alias("round")
     laid = streamed.select("key", "at", "size", "source_size", "start", rounds).select(
-        "key", "at", "size",
+        "key", "at", "size", "round",
         (F.col("start") + F.col("round") * F.col("source_size")).alias("low"),
         (F.col("start") + F.col("round") * F.col("source_size") + F.col("size")).alias("high"),
     )
@@ -167,7 +171,7 @@ def mix(
         "rank", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block)))
     )
     taken = slots.join(pieces, ["at", "rank"]).select(
-        "key", "slot",
+        "key", "slot", "round",
         (F.greatest("low", F.col("rank") * block) - F.col("low")).alias("piece_start"),
         (F.least("high", (F.col("rank") + 1) * block) - F.greatest("low", F.col("rank") * block)).alias("piece_words"),
     )
@@ -182,3 +186,25 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
         target.select(F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))
     )
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix: each document once for every round that takes it, with the text it takes.
+
+    A document at the edge of what a source gives is cut after its last taken word; all
+    others are whole.  The columns are those of ``docs``; rows in no round, and rows without
+    a word, are not in the mix.
+    """
+    _, _, taken = mix(docs, **options)
+    rounds = taken.groupBy("key", "round").agg(F.sum("piece_words").alias("words"))
+    both = _keyed(docs).select("key", "size", "row").join(rounds, "key")
+    text = F.col("row")["text"]
+    blank = r"[\x20\x09-\x0D]+"
+    leading = F.regexp_like(text, F.lit(f"^{blank}")).cast("int")
+    rest = F.element_at(F.split(text, blank, (F.col("words") + 1 + leading).cast("int")), -1)
+    cut = F.when(F.col("words") >= F.col("size"), text).otherwise(
+        F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(rest)), f"{blank}$", "")
+    )
+    return both.select(
+        *[cut.alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    )
