@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, near_dedup, quality, secrets, shards, topk, vectors
+from . import ann, bpe, langid, mixing, near_dedup, passages, quality, secrets, shards, topk, vectors
 from .common import table
 
 
+def op1_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shuffled(table(spark, sf_dir, "documents"), shards=8)
     text = F.coalesce("text", F.lit(""))
@@ -91,6 +95,7 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_compact_window_passages": op1_compact_window_passages,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op3_bottom_k_near_dedup": op3_bottom_k_near_dedup,
     "op4_golden_mix": op4_golden_mix,
