@@ -27,9 +27,14 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from .common import row_of, unpacked
 
 # How byte-level BPE cuts texts into pre-tokens.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,7 +44,14 @@ _MARGIN = 4
 
 STRETCH = 1 << 16
 CACHED_CHARS = 48
-CACHE_SIZE = 1 << 18
+CACHE_SIZE = 1 << 17
+# tokenized at a time and handed on: characters of a batch
+BATCH_CHARS = 1 << 21
+
+_ID_BITS = 24
+_ID_MASK = (1 << _ID_BITS) - 1
+_NONE = 1 << 62
+_SHORT = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -61,9 +73,9 @@ class Bpe:
         letters = byte_alphabet()
         raw = {token: bytes(letters[c] for c in token) for token in model["vocab"] if all(c in letters for c in token)}
         ids = {raw[token]: i for token, i in model["vocab"].items() if token in raw}
-        self.bytes_of = {i: piece for piece, i in ids.items()}
+        self.bytes_of = _Pieces({i: piece for piece, i in ids.items()})
         self.first = [ids.get(bytes([b])) for b in range(256)]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: dict[tuple[int, int], int] = {}  # rank << _ID_BITS | token made
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         made = {i for i in self.first if i is not None}
         reach: dict[bytes, int] = {}
@@ -72,7 +84,7 @@ class Bpe:
             a, b = raw[left], raw[right]
             if ids[a] not in made or ids[b] not in made:
                 raise ValueError("a merge uses a token before it is made")
-            self.pairs.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.pairs.setdefault((ids[a], ids[b]), rank << _ID_BITS | ids[a + b])
             made.add(ids[a + b])
             far = len(a) + max((reach.get(b[:n], 0) for n in range(1, len(b) + 1)), default=0)
             reach[a] = max(reach.get(a, 0), far)
@@ -87,41 +99,64 @@ class Bpe:
         self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         self.hold = max([0, *(len(m) - 1 for m in marks)])
         self.window = max(256, 4 * self.lookahead)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = _Cache(self)
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens of a byte string: the lowest-ranked pair first, the leftmost of equals."""
-        tokens = [self.first[b] for b in piece]
+        tokens, get = [self.first[b] for b in piece], self.pairs.get
+        if len(tokens) > _SHORT:
+            return self._merged_long(tokens)
+        ranks = [get(pair, _NONE) for pair in zip(tokens, tokens[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) != _NONE:
+            i = ranks.index(best)
+            tokens[i : i + 2] = (best & _ID_MASK,)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((tokens[i - 1], tokens[i]), _NONE)
+            if i < len(ranks):
+                ranks[i] = get((tokens[i], tokens[i + 1]), _NONE)
+        return tokens
+
+    def _merged_long(self, tokens: list[int]) -> list[int]:
+        get = self.pairs.get
         after, before = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
-        waiting = [
-            (*found, i, pair) for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)) if (found := self.pairs.get(pair))
-        ]
-        waiting = [(rank, i, made, pair) for rank, made, i, pair in waiting]
+        waiting = [(found, i, pair) for i, pair in enumerate(zip(tokens, tokens[1:])) if (found := get(pair))]  # noqa: B905
         heapq.heapify(waiting)
         while waiting:
-            _, i, made, pair = heapq.heappop(waiting)
+            found, i, pair = heapq.heappop(waiting)
             j = after[i]
             if j >= len(tokens) or (tokens[i], tokens[j]) != pair:
                 continue
-            tokens[i], tokens[j] = made, -1
+            tokens[i], tokens[j] = found & _ID_MASK, -1
             after[i] = after[j]
             if after[i] < len(tokens):
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < len(tokens) and (found := self.pairs.get(pair := (tokens[k], tokens[after[k]]))):
-                    heapq.heappush(waiting, (found[0], k, found[1], pair))
+                if k >= 0 and after[k] < len(tokens) and (found := get(pair := (tokens[k], tokens[after[k]]))):
+                    heapq.heappush(waiting, (found, k, pair))
         return [t for t in tokens if t >= 0]
 
-    def pretoken(self, piece: str) -> tuple[int, ...]:
-        known = self.cache.get(piece)
-        if known is None:
-            stream = PretokenStream(self)
-            known = (*stream.feed(piece.encode()), *stream.finish())
-            if len(piece) <= CACHED_CHARS:
-                if len(self.cache) >= CACHE_SIZE:
-                    self.cache.clear()
-                self.cache[piece] = known
-        return known
+    def tokens_of(self, pieces: list[str]):
+        """Tokens of pre-tokens, one after the other."""
+        return chain.from_iterable(map(self.cache.__getitem__, pieces))
+
+
+class _Cache(dict):
+    """Tokens of short pre-tokens, in two generations: when the new one is full, the old one goes."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe, self.old = bpe, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHE_SIZE:
+                self.old = dict(self)
+                self.clear()
+            tokens = self[piece] = self.old.get(piece) or tuple(self.bpe.merged(piece.encode()))
+            return tokens
+        stream = PretokenStream(self.bpe)
+        return (*stream.feed(piece.encode()), *stream.finish())
 
 
 class PretokenStream:
@@ -188,17 +223,13 @@ class TextStream:
             if self.run:
                 self.held = self.held[start:]
                 return out
-        if final:
-            pieces, start = self.bpe.cut.findall(self.held, start), len(self.held)
-        else:
-            pieces = []
-            for m in self.bpe.cut.finditer(self.held, start):
-                if m.end() > usable - _MARGIN:
-                    break
-                pieces.append(m[0])
-                start = m.end()
-        get, make = self.bpe.cache.get, self.bpe.pretoken
-        out += chain.from_iterable(get(p) or make(p) for p in pieces)
+        # pre-tokens follow each other without gaps
+        pieces, end = self.bpe.cut.findall(self.held, start), len(self.held)
+        if not final:
+            while pieces and end > usable - _MARGIN:
+                end -= len(pieces.pop())
+        start = max(start, end)
+        out += self.bpe.tokens_of(pieces)
         self.held = self.held[start:]
         if not final and usable - start > 2 * STRETCH + 4 * _MARGIN:
             out += self._begin()
@@ -231,17 +262,24 @@ class TextStream:
         return end, found
 
 
-def encode(bpe: Bpe, text: str | None) -> np.ndarray:
-    stream, out = TextStream(bpe), []
-    for start in range(0, len(text or ""), STRETCH):
+def encode(bpe: Bpe, text: str | None) -> list[int]:
+    stream, out, text = TextStream(bpe), [], text or ""
+    last = max(0, len(text) - 1) // STRETCH * STRETCH
+    for start in range(0, last, STRETCH):
         out += stream.feed(text[start : start + STRETCH])
-    return np.array(out + stream.finish(), dtype=np.int32)
+    stream.held += text[last:]
+    return out + stream.finish()
+
 
+class _Pieces(dict):
+    def __missing__(self, token: int) -> bytes:
+        return b""
 
-def decode(bpe: Bpe, ids) -> str:
+
+def decode(bpe: Bpe, ids: list[int]) -> str:
     """Bytes of the tokens through a UTF-8 state machine, a stretch of tokens at a time."""
-    machine, get = codecs.getincrementaldecoder("utf-8")(errors="replace"), bpe.bytes_of.get
-    out = [machine.decode(b"".join([get(i, b"") for i in ids[start : start + STRETCH]])) for start in range(0, len(ids), STRETCH)]
+    machine, piece = codecs.getincrementaldecoder("utf-8")(errors="replace"), bpe.bytes_of.__getitem__
+    out = [machine.decode(b"".join(map(piece, ids[start : start + STRETCH]))) for start in range(0, len(ids), STRETCH)]
     return "".join([*out, machine.decode(b"", True)])
 
 
@@ -264,21 +302,48 @@ def read_tokenizer(path: str) -> bytes:
     return content
 
 
-def encoded(spark: SparkSession, content: bytes, text: str = "text") -> Column:
-    """The token ids of a text (array<int>)."""
-    shared = spark.sparkContext.broadcast(content)
+def _portions(column: pa.Array):
+    """Stretches (first, length) of a text column of about ``BATCH_CHARS`` bytes, whole texts each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        before = sizes[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(sizes, before + BATCH_CHARS, "right")))
+        yield first, end - first
+        first = end
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        bpe = _load(shared.value)
-        return pd.Series([encode(bpe, t) for t in texts], dtype=object)
 
-    return ids(F.col(text).cast("string"))
+def encoded(docs: DataFrame, content: bytes, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``docs`` with the token ids of its texts, ``ids`` array<int>.
 
+    With ``decoded``, also what the ids decode to, as the column ``decoded``.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(content)
+    packed = docs.select(row_of(docs).alias("row"), F.col(text).cast("string").alias("text"))
 
-def decoded(spark: SparkSession, content: bytes, ids: str = "ids") -> Column:
+    def tokenized(batches):
+        bpe = _load(shared.value)
+        for batch in batches:
+            for first, length in _portions(batch.column(1)):
+                part = batch.slice(first, length)
+                found = [encode(bpe, t) for t in part.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                if decoded:
+                    columns.append(pa.array([decode(bpe, x) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "decoded"][: len(columns)])
+
+    own = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())][: 1 + decoded]
+    out = packed.mapInArrow(tokenized, StructType([packed.schema["row"], *own]))
+    names = [f.name for f in own]
+    return out.select(*unpacked(docs, "row", names), *names)
+
+
+def decoded(docs: DataFrame, content: bytes, ids: str = "ids") -> Column:
     """The text of token ids; null ids give an empty text."""
-    shared = spark.sparkContext.broadcast(content)
+    shared = docs.sparkSession.sparkContext.broadcast(content)
 
     @F.pandas_udf("string")
     def texts(column: pd.Series) -> pd.Series:

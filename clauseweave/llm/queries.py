@@ -43,13 +43,12 @@ def tokenizer_path() -> str:
 
 
 def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = bpe.read_tokenizer(tokenizer_path())
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encoded(spark, content).alias("ids"))
-    both = ids.withColumn("text", bpe.decoded(spark, content))
-    return both.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encoded(docs, bpe.read_tokenizer(tokenizer_path()), decoded=True)
+    return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

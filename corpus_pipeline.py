@@ -43,8 +43,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text of the mix, and whether they decode to it."""
     content = bpe.read_tokenizer(tokenizer_path())
-    out = docs.select("doc_id", "source", "lang", "text", bpe.encoded(spark, content).alias("ids"))
-    same = bpe.decoded(spark, content) == F.coalesce("text", F.lit(""))
+    out = bpe.encoded(docs, content, decoded=True)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
