@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-ROUNDS = 25
+ROUNDS = 30
 # A model is BUCKETS doubles; the driver holds one for each language.
 MOST_LANGUAGES = 500
 UNKNOWN = "und"
@@ -85,6 +85,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     return names, np.array(columns).T if columns else np.zeros((BUCKETS, 0))
 
 
+def _maximised(weights: np.ndarray, density: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expectation-maximisation of the proportions; returns them and the log-likelihood."""
+    total = weights.sum()
+    for _ in range(ROUNDS):
+        share = share * ((weights / (density @ share)) @ density) / total
+    return share, float(weights @ np.log(density @ share))
+
+
 def mixture(weights: np.ndarray, logs: np.ndarray) -> np.ndarray:
     """Proportions of the languages [language] for trigrams with ``weights`` and log-likelihoods [trigram, language].
 
@@ -104,14 +112,17 @@ def mixture(weights: np.ndarray, logs: np.ndarray) -> np.ndarray:
         added = int(slope.argmax())
         if slope[added] <= penalty:
             break
-        trial = scaled[:, [*chosen, added]]
-        part = np.append(share * 0.8, 0.2)
-        for _ in range(ROUNDS):
-            part = part * ((weights / (trial @ part)) @ trial) / total
-        likelihood = float(weights @ np.log(trial @ part))
+        part, likelihood = _maximised(weights, scaled[:, [*chosen, added]], np.append(share * 0.8, 0.2))
         if likelihood - best <= penalty:
             break
         chosen, share, best = [*chosen, added], part, likelihood
+    while len(chosen) > 2:  # a language taken on early may not be needed beside the later ones
+        least = int(share.argmin())
+        others = [c for i, c in enumerate(chosen) if i != least]
+        part, likelihood = _maximised(weights, scaled[:, others], np.delete(share, least) / (1 - share[least]))
+        if best - likelihood > penalty:
+            break
+        chosen, share, best = others, part, likelihood
     out = np.zeros(logs.shape[1])
     out[chosen] = share
     return out
