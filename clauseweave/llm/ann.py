@@ -48,8 +48,7 @@ class Forest:
         unit = sample / np.sqrt((sample * sample).sum(1))[:, None]
         for _ in range(trees):
             self.root.append(self._grow(unit, np.arange(len(unit)), leaf, draw))
-        width = sample.shape[1] if len(sample) else 0
-        self.direction = np.array(self.direction).reshape(-1, width)
+        self.direction = np.array(self.direction).reshape(-1, sample.shape[1])
         self.cut, self.child = np.array(self.cut), np.array(self.child, dtype=np.int64).reshape(-1, 2)
         self.root = np.array(self.root, dtype=np.int64)
 
@@ -99,7 +98,7 @@ class Forest:
 def fit(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 3) -> Forest:
     """A forest fitted on the ``sample`` rows of (vec_id, v) with the smallest hashes of their ids."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    return Forest(np.array([r.v for r in rows]), trees, leaf, seed)
+    return Forest(np.array([r.v for r in rows]) if rows else np.zeros((0, 1)), trees, leaf, seed)
 
 
 def indexed(vectors: DataFrame, forest: Forest) -> DataFrame:
