@@ -8,11 +8,12 @@ representative goes on, the copies join it by their fingerprint).  Then:
   of full sketches (all but once in 10**9), so each sketch is looked up only by as many of its
   rarest values as make one hit certain; a value that very many documents share is never
   looked up unless it fills most of a document;
-* a list links each member to a leader (one pair per row of the list, not all pairs); the best
-  leaders of a document by overlaps go on; the union sketch estimates the similarity and
-  drops what is far from the threshold; full sets verify the rest;
-* what the lists still hold in different components after that is compared member with
-  member across components, so that no link between different texts is lost.
+* rounds of leaders: a list links each member to one leader (one row per member, never all
+  pairs), first the smallest id, then another one each round, and only across the components
+  found so far; a document's most promising leaders are estimated by their union sketch, and
+  full sets verify the best.  A group of near copies is connected after a few rounds;
+* when a round finds nothing new, the components that still share a list are compared member
+  with member, each pair once, so that no link between different texts is lost.
 
 Components are exact for the verified links.
 
@@ -37,8 +38,13 @@ SKETCH = 128
 # a sample of 128 from a union with similarity 0.75 holds 96 shared values, give or take 4.9; six of those less
 SHARED = 66
 PERCENT = 75
-# the estimate from 128 values has a deviation of 0.038 at 0.75; six of those less
-LEAST_ESTIMATE = 0.52
+# the estimate may miss the threshold by so many standard deviations
+DEVIATIONS = 6.0
+# leaders of a document that a round estimates, and that it verifies
+ESTIMATED, VERIFIED = 4, 2
+MOST_ROUNDS = 12
+# ids that may be broadcast (8 MB)
+BROADCAST_IDS = 1_000_000
 
 _TOP = np.uint64(1 << 63)
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -68,14 +74,16 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _lists(sets: DataFrame) -> DataFrame:
     """Rows (value, doc, n) of the inverted lists that have more than one member, rarest values of each sketch only."""
-    rows = sets.select("doc", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
-    often = rows.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = rows.join(often, "value")
+    rows = sets.select("doc", F.explode("sketch").alias("value"))
+    often = F.count("*").over(Window.partitionBy("value"))
+    shared = rows.withColumn("df", often).filter("df > 1")
+    sizes = sets.select("doc", "n", F.size("sketch").alias("kept"))
     # below 0.75 * SKETCH shingles every possible partner has a whole sketch, too, and the bound is exact
     needed = F.when(F.col("n") * 100 < PERCENT * SKETCH, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
-    rarest = Window.partitionBy("doc").orderBy("df", "value")
-    ranked = shared.withColumn("at", F.row_number().over(rarest) + F.col("kept") - F.count("*").over(Window.partitionBy("doc")))
+    own = Window.partitionBy("doc")
     # values of its own come first in a document's order: they are its rarest
+    at = F.row_number().over(own.orderBy("df", "value")) + F.col("kept") - F.count("*").over(own)
+    ranked = shared.join(sizes, "doc").withColumn("at", at)
     return ranked.filter(F.col("at") <= F.col("kept") - needed + 1).select("value", "doc", "n")
 
 
@@ -84,13 +92,22 @@ def _near_sizes(a: str, b: str):
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union sketch leaves the threshold possible."""
-    left = sets.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
-    both = F.array_sort(F.array_union("sa", "sb"))
-    top = F.slice(both, 1, SKETCH)
-    estimate = F.size(F.array_intersect(top, F.array_intersect("sa", "sb"))) / F.size(top)
-    return pairs.join(left, "a").join(right, "b").filter(estimate >= LEAST_ESTIMATE).select("a", "b")
+    """``pairs`` (a, b, ...) with ``estimate``, and ``possible``: whether it leaves the threshold possible.
+
+    The smallest values of the union are a sample of it without replacement; at the
+    threshold the union has (n_a + n_b) / 1.75 values.
+    """
+    left = sets.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    right = sets.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    top = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
+    size = F.size(top)
+    estimate = F.size(F.array_intersect(top, F.array_intersect("sa", "sb"))) / size
+    share = PERCENT / 100
+    rest = F.greatest(F.lit(0.0), 1 - size * (1 + share) / (F.col("na") + F.col("nb")))
+    least = F.lit(share) - F.lit(DEVIATIONS) * F.sqrt(F.lit(share * (1 - share)) / size * rest) - F.lit(1e-9)
+    kept = pairs.columns
+    both = pairs.join(left, "a").join(right, "b").withColumn("estimate", estimate)
+    return both.withColumn("possible", F.col("estimate") >= least).select(*kept, "estimate", "possible")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -114,46 +131,85 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return bool(shared) and 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
 
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the component of their document, itself where nothing is found."""
+    return rows.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn(
+        "component", F.coalesce("component", "doc")
+    )
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Rows of the lists that hold more than one component."""
+    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return placed.join(mixed.select("value"), "value")
+
+
+def _led(lists: DataFrame, found: DataFrame, number: int) -> DataFrame:
+    """(doc, a, b, hits): documents with the leaders of their lists, across components only.
+
+    The leader of the first round is the smallest id, later ones go by a hash.
+    """
+    rows = lists.withColumn("component", F.col("doc")) if not number else _open(_placed(lists, found))
+    turn = F.lit(0) if not number else F.xxhash64("value", "doc", F.lit(number))
+    leaders = rows.groupBy("value").agg(
+        F.min(F.struct(turn.alias("turn"), F.col("doc").alias("lead"), F.col("n").alias("m"), F.col("component").alias("other"))).alias("l")
+    )
+    led = rows.join(leaders, "value").filter(F.col("component") != F.col("l.other")).filter(_near_sizes("n", "l.m"))
+    pairs = led.groupBy("doc", "l.lead").agg(F.count("*").alias("hits"))
+    return pairs.select("doc", F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"), "hits")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: n_shingles, component_id (smallest linked doc_id) and kept (it is that one)."""
     every = reliable(features(docs, text))
     classes = every.filter("n_shingles > 0").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("doc"))
     classes = reliable(classes)
-    sets = reliable(
-        every.join(classes.select("doc", "n_shingles", "low", "high"), ["n_shingles", "low", "high"])
-        .filter("doc_id = doc").dropDuplicates(["doc", "low", "high"]).select("doc", F.col("n_shingles").alias("n"), "sketch")
+    whole = every.join(classes, ["n_shingles", "low", "high"]).filter("doc_id = doc").dropDuplicates(["doc", "low", "high"])
+    whole = whole.select("doc", F.col("n_shingles").alias("n"), "sketch")
+    lists = reliable(_lists(whole))
+    involved = reliable(lists.select("doc").distinct())
+    if involved.count() <= BROADCAST_IDS:
+        involved = F.broadcast(involved)
+    sets = reliable(whole.join(involved, "doc", "left_semi"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    texts = reliable(rows.join(involved, "doc", "left_semi"))
+
+    spark = docs.sparkSession
+    links = tried = spark.createDataFrame([], "a long, b long")
+    found = spark.createDataFrame([], "node long, component long")
+    for number in range(MOST_ROUNDS):
+        pairs = _led(lists, found, number).join(tried, ["a", "b"], "left_anti")
+        by_hits = Window.partitionBy("doc").orderBy(F.desc("hits"), "a", "b")
+        pairs = pairs.withColumn("rank", F.row_number().over(by_hits)).filter(F.col("rank") <= ESTIMATED).drop("rank")
+        judged = _estimated(pairs, sets)
+        by_estimate = Window.partitionBy("doc", "possible").orderBy(F.desc("estimate"), "a", "b")
+        judged = judged.withColumn("rank", F.row_number().over(by_estimate)).filter(~F.col("possible") | (F.col("rank") <= VERIFIED))
+        judged = reliable(judged.groupBy("a", "b").agg(F.bool_or("possible").alias("possible")))
+        new = reliable(_verified(judged.filter("possible").select("a", "b"), texts))
+        if number and not new.take(1):
+            tried = tried.union(judged.select("a", "b"))
+            break
+        tried = reliable(tried.union(judged.select("a", "b")))
+        links = reliable(links.union(new))
+        found = reliable(connected(links))
+
+    # what the lists still hold in different components: members of those with members of these, each pair once
+    open_ = _open(_placed(lists, found)).groupBy("value", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    open_ = reliable(open_)
+    apart = (
+        open_.alias("x").join(open_.alias("y"), F.expr("x.value = y.value AND x.component < y.component"))
+        .filter(F.expr(f"x.most * 100 >= y.least * {PERCENT} AND y.most * 100 >= x.least * {PERCENT}"))
+        .select(F.col("x.component").alias("one"), F.col("y.component").alias("two")).distinct()
     )
-    lists = reliable(_lists(sets))
-    involved = lists.select("doc").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text")).join(involved, "doc", "left_semi")
-
-    # first pass: every member of a list against a leader of it
-    leaders = lists.groupBy("value").agg(
-        F.min(F.struct("doc", "n")).alias("first"), F.min(F.struct(F.xxhash64("value", "doc"), "doc", "n")).alias("other")
-    )
-    led = lists.join(leaders, "value").select(
-        F.col("doc"), "n", F.explode(F.array(
-            F.struct(F.col("first.doc").alias("lead"), F.col("first.n").alias("m"), F.lit(0).alias("way")),
-            F.struct(F.col("other.doc").alias("lead"), F.col("other.n").alias("m"), F.lit(1).alias("way")),
-        )).alias("l")
-    ).select("doc", "n", "l.*").filter((F.col("doc") != F.col("lead")) & _near_sizes("n", "m"))
-    counted = led.groupBy("doc", "lead", "way").agg(F.count("*").alias("hits"))
-    best = counted.groupBy("doc", "way").agg(F.max(F.struct(F.col("hits"), (-F.col("lead")).alias("lead"))).alias("best"))
-    tried = reliable(best.select(F.least("doc", -F.col("best.lead")).alias("a"), F.greatest("doc", -F.col("best.lead")).alias("b")).distinct())
-    links = reliable(_verified(_estimated(tried, sets), texts))
-
-    # second pass: what the lists still hold in different components, member with member
-    found = connected(links)
-    placed = lists.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn(
-        "component", F.coalesce("component", "doc")
+    members = _placed(sets.select("doc", "n"), found)
+    rest = (
+        apart.join(members.select(F.col("component").alias("one"), F.col("doc").alias("x"), F.col("n").alias("nx")), "one")
+        .join(members.select(F.col("component").alias("two"), F.col("doc").alias("y"), F.col("n").alias("ny")), "two")
+        .filter(_near_sizes("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tried, ["a", "b"], "left_anti")
     )
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("value")
-    open_ = reliable(placed.join(mixed, "value"))
-    one, two = open_.alias("x"), open_.alias("y")
-    across = one.join(two, F.expr("x.value = y.value AND x.doc < y.doc AND x.component <> y.component")).filter(_near_sizes("x.n", "y.n"))
-    rest = across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = reliable(_verified(_estimated(rest, sets), texts))
-    found = reliable(connected(links.union(more)))
+    more = reliable(_verified(_estimated(rest, sets).filter("possible").select("a", "b"), texts))
+    if more.take(1):
+        found = reliable(connected(links.union(more)))
 
     of_class = classes.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select(
         "n_shingles", "low", "high", F.coalesce("component", "doc").alias("component")
