@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 
@@ -20,11 +21,13 @@ def reliable(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the folder that all executors share.
 
     The folder is the one the session names in ``spark.checkpoint.dir``; only a
-    session without one (a unit test) gets its own.
+    session on one machine without one (a unit test) gets its own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="llm-checkpoint-"))
     return df.checkpoint(eager=True)
 
