@@ -132,7 +132,6 @@ def export(spark, args):
         node_order="node_seq",
         edge_order="edge_seq",
         edge_default=graph.edge_default,
-        single_file=True,
     )
     return {
         "source_path": _absolute(args.graph),
@@ -148,7 +147,7 @@ def build_graph(spark, args):
     graph = SpecGraph(read_chunks(spark, args.chunks))
     nodes, edges = graph.as_property_graph()
     graphml.write_graphml(
-        nodes, edges, args.output, graph_id="ts-24501-document-built-graph", single_file=True
+        nodes, edges, args.output, graph_id="ts-24501-document-built-graph"
     )
     return {"output_path": _absolute(args.output), **_one(graph.counters())}
 

@@ -18,14 +18,13 @@ from ..session import broadcast_within, materialize, top_k_per_group
 from .bm25 import Bm25Index
 from .graph_query import attribute, edge_relations, node_label
 
-# Component weights, thresholds and the fallback query length.
+# Component weights and thresholds.
 SECTION_WEIGHT = 0.45
 NAME_WEIGHT = 0.4
 OVERLAP_WEIGHT = 0.15
 OVERLAP_SATURATION = 0.3
 VERIFIED_SCORE = 0.88
 HIGH_SCORE = 0.68
-FALLBACK_DESCRIPTION_CHARS = 600
 
 
 def graph_items(nodes: DataFrame, edges: DataFrame, source_token: str = DEFAULT_SOURCE_TOKEN) -> DataFrame:
@@ -68,12 +67,17 @@ def _qid() -> Column:
 
 
 def fallback_candidates(
-    questions: DataFrame, index: Bm25Index, max_per_item: int
+    questions: DataFrame, index: Bm25Index, max_per_item: int, description_chars: int | None = None
 ) -> DataFrame:
-    """(qid, chunk_id) of the best lexical hits for ``questions``."""
-    text = F.trim(
-        F.concat_ws(" ", "label", F.substring("description", 1, FALLBACK_DESCRIPTION_CHARS))
-    )
+    """(qid, chunk_id) of the best lexical hits for ``questions``.
+
+    The query is the label and the whole description, or its first
+    ``description_chars`` characters where a caller asks for that.
+    """
+    described = F.col("description")
+    if description_chars is not None:
+        described = F.substring(described, 1, description_chars)
+    text = F.trim(F.concat_ws(" ", "label", described))
     queries = questions.select(F.col("qid").alias("query_id"), text.alias("query"))
     hits = index.search_many(queries, top_k=2 * max_per_item)
     return hits.select(F.col("query_id").alias("qid"), "chunk_id")

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import sections as S
 from .graph_query import attribute, edge_relations
 
-_POSITION_BITS = 16
 
-
-def _seen(seq: str, position: Column) -> Column:
-    """Packed (element, position) order of a first occurrence."""
-    return F.shiftleft(F.col(seq), _POSITION_BITS) + position.cast("long")
+def _seen(kind: int, seq: str, position: Column) -> Column:
+    """Order of a first occurrence: nodes before edges, then the element, then the place in it."""
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        F.col(seq).cast("decimal(38,0)").alias("seq"),
+        position.cast("long").alias("at"),
+    )
 
 
 def _entry(metric: str, key: Column) -> Column:
@@ -43,13 +45,13 @@ def _spec_entries(kind: str, spec_token: str, source_token: str) -> Column:
     )
 
 
-def _count(elements: DataFrame, seq: str, entries: list[Column]) -> DataFrame:
+def _count(elements: DataFrame, kind: int, seq: str, entries: list[Column]) -> DataFrame:
     # posexplode_outer: the plain form would evaluate the entries twice.
     flat = elements.select(seq, F.posexplode_outer(F.concat(*entries)).alias("at", "e"))
     return (
         flat.filter(F.col("at").isNotNull())
         .groupBy("e.metric", "e.key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(_seen(seq, F.col("at"))).alias("first_seen"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(_seen(kind, seq, F.col("at"))).alias("first_seen"))
     )
 
 
@@ -69,6 +71,7 @@ def audit_counts(
     entity_type = F.coalesce(F.nullif(attribute("entity_type"), F.lit("")), F.lit("UNKNOWN"))
     by_node = _count(
         nodes,
+        0,
         "node_seq",
         [
             F.array(_entry("nodes", F.lit("")), _entry("entity_type", entity_type)),
@@ -79,6 +82,7 @@ def audit_counts(
     loop = F.when(F.col("source") == F.col("target"), F.lit("self_loops")).otherwise(F.lit(None))
     by_edge = _count(
         edges,
+        1,
         "edge_seq",
         [
             F.array(_entry("edges", F.lit(""))),
@@ -91,7 +95,6 @@ def audit_counts(
             _spec_entries("edges", spec_token, source_token),
         ],
     )
-    # Node sightings come before edge sightings of the same key.
     both = by_node.unionByName(by_edge)
     return both.groupBy("metric", "key").agg(
         F.sum("n").alias("n"), F.min("first_seen").alias("first_seen")

@@ -238,10 +238,12 @@ def find_paths(
     if not 1 <= max_hops <= 6:
         raise ValueError("max_hops must be between 1 and 6")
     spark = edges.sparkSession
-    found_schema = (
-        "hops int, key array<struct<dir:int,seq:bigint>>, "
-        "path array<struct<edge_id:string,source:string,target:string,edge_seq:bigint>>"
+    seq = edges.schema["edge_seq"].dataType.simpleString()
+    trail_schema = (
+        f"key array<struct<dir:int,seq:{seq}>>, "
+        f"path array<struct<edge_id:string,source:string,target:string,edge_seq:{seq}>>"
     )
+    found_schema = f"hops int, {trail_schema}"
     adjacency = _adjacency(edges, directed)
     results = spark.createDataFrame([], found_schema)
     if source != target and limit > 0:
@@ -249,8 +251,7 @@ def find_paths(
         near = _distances(adjacency, target, max_hops - 1)
         frontier = spark.createDataFrame(
             [(source, [source], [], [])],
-            "here string, visited array<string>, key array<struct<dir:int,seq:bigint>>, "
-            "path array<struct<edge_id:string,source:string,target:string,edge_seq:bigint>>",
+            f"here string, visited array<string>, {trail_schema}",
         )
         count = 0
         for hop in range(1, max_hops + 1):

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from ..session import spread
 
 # License names that play external references in the documents.
 LICENSE_PATTERN = r"\b(?:Apache License|MIT License|GNU General Public License|CC BY-NC)\b"
@@ -37,7 +36,7 @@ def _chunk_columns() -> list[Column]:
         F.lit("Rel-1").alias("release"),
         F.lit("1.0.0").alias("version"),
         section.alias("section"),
-        F.substring(first_line, 1, 80).alias("section_title"),
+        first_line.alias("section_title"),
         F.array(section).alias("heading_path"),
         F.lit(None).cast("int").alias("page_start"),
         F.lit(None).cast("int").alias("page_end"),
@@ -49,7 +48,7 @@ def _chunk_columns() -> list[Column]:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one chunk: a section by id, its first line as the title."""
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    documents = table(spark, sf_dir, "documents")
     return documents.filter(~is_blank(F.col("text"))).select(*_chunk_columns())
 
 
@@ -82,7 +81,7 @@ def block_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every fourth line is a numbered heading of level 1 to 3, every line before
     a heading is a table; a contents line per top section precedes the body.
     """
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    documents = table(spark, sf_dir, "documents")
     lines = F.split("text", "\n")
     top = (F.col("doc_id") % 9 + 1).cast("string")
 
@@ -131,7 +130,7 @@ def topic_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
     Every tenth topic and every edge of such a document carries no provenance.
     """
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    documents = table(spark, sf_dir, "documents")
     words = F.split(F.get(F.split("text", "\n"), F.lit(0)), " ")
     section = section_of(F.col("doc_id"), F.col("source"))
     own = F.concat(F.lit(PROVENANCE), section)
@@ -141,9 +140,8 @@ def topic_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         .when(F.col("doc_id") % 10 == 2, F.lit(OTHER_PROVENANCE))
         .otherwise(own)
     )
-    description = F.when(
-        F.col("doc_id") % 3 == 0, F.get(F.split("text", "\n"), F.lit(1))
-    ).otherwise(F.lit(""))
+    first = F.get(F.split("text", "\n"), F.lit(0))
+    description = F.substring(F.col("text"), F.length(first) + 2, F.length("text"))
     nodes = documents.select(
         F.concat(F.lit("topic:"), F.col("doc_id").cast("string")).alias("node_id"),
         (F.col("doc_id") + 1).alias("node_seq"),
@@ -193,12 +191,15 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
             _attributes(entity_id=name, entity_type=F.lit(kind)).alias("attributes"),
         )
 
-    def edges_of(rank: int, relation: str, df: DataFrame, source: tuple, target: tuple, seq: Column) -> DataFrame:
+    def edges_of(rank: int, relation: str, df: DataFrame, source: tuple, target: tuple, *keys: str) -> DataFrame:
+        # Every pair of 18-digit keys has a number and an id of its own.
+        wide = [F.col(k).cast("decimal(18,0)") for k in keys] + [F.lit(0).cast("decimal(18,0)")] * (2 - len(keys))
+        digits = [F.lpad(w.cast("string"), 18, "0") for w in wide]
         return df.select(
-            F.concat(F.lit(f"{relation}:"), seq.cast("string")).alias("edge_id"),
+            F.concat(F.lit(f"{relation}:"), F.concat_ws("-", *[F.col(k).cast("string") for k in keys])).alias("edge_id"),
             ident(*source).alias("source"),
             ident(*target).alias("target"),
-            (F.lit(rank * 10**15) + seq).cast("long").alias("edge_seq"),
+            F.concat(F.lit(str(rank)), *digits).cast("decimal(38,0)").alias("edge_seq"),
             _attributes(keywords=F.lit(relation)).alias("attributes"),
         )
 
@@ -212,14 +213,13 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     )
     contains = t["lineitem"].select("l_orderkey", "l_partkey").distinct()
     supplied = t["lineitem"].select("l_partkey", "l_suppkey").distinct()
-    pair = F.lit(10**7)
     edges = (
-        edges_of(1, "IN_REGION", t["nation"], ("nation", "n_nationkey"), ("region", "n_regionkey"), F.col("n_nationkey"))
-        .unionByName(edges_of(2, "IN_NATION", t["customer"], ("customer", "c_custkey"), ("nation", "c_nationkey"), F.col("c_custkey")))
-        .unionByName(edges_of(3, "BASED_IN", t["supplier"], ("supplier", "s_suppkey"), ("nation", "s_nationkey"), F.col("s_suppkey")))
-        .unionByName(edges_of(4, "PLACED", t["orders"], ("customer", "o_custkey"), ("order", "o_orderkey"), F.col("o_orderkey")))
-        .unionByName(edges_of(5, "CONTAINS", contains, ("order", "l_orderkey"), ("part", "l_partkey"), F.col("l_orderkey") * pair + F.col("l_partkey")))
-        .unionByName(edges_of(6, "SUPPLIED_BY", supplied, ("part", "l_partkey"), ("supplier", "l_suppkey"), F.col("l_partkey") * pair + F.col("l_suppkey")))
+        edges_of(1, "IN_REGION", t["nation"], ("nation", "n_nationkey"), ("region", "n_regionkey"), "n_nationkey")
+        .unionByName(edges_of(2, "IN_NATION", t["customer"], ("customer", "c_custkey"), ("nation", "c_nationkey"), "c_custkey"))
+        .unionByName(edges_of(3, "BASED_IN", t["supplier"], ("supplier", "s_suppkey"), ("nation", "s_nationkey"), "s_suppkey"))
+        .unionByName(edges_of(4, "PLACED", t["orders"], ("customer", "o_custkey"), ("order", "o_orderkey"), "o_orderkey"))
+        .unionByName(edges_of(5, "CONTAINS", contains, ("order", "l_orderkey"), ("part", "l_partkey"), "l_orderkey", "l_partkey"))
+        .unionByName(edges_of(6, "SUPPLIED_BY", supplied, ("part", "l_partkey"), ("supplier", "l_suppkey"), "l_partkey", "l_suppkey"))
     )
     return nodes, edges
 

@@ -45,7 +45,7 @@ CHUNKS = """
 chunks AS (
   SELECT doc_id AS chunk_seq, 'doc-' || doc_id AS chunk_id,
          (doc_id % 9 + 1) || '.' || substr(source, 4) AS section,
-         substr(split_part(text, chr(10), 1), 1, 80) AS section_title,
+         split_part(text, chr(10), 1) AS section_title,
          lang AS content_type, text, source AS source_file
   FROM documents WHERE regexp_matches(text, '\\S')
 )"""
@@ -228,14 +228,17 @@ tnodes AS (
 ),
 named AS (SELECT node_id, node_seq, coalesce(nullif(name, ''), node_id) AS label FROM tnodes),
 raw_edges AS (
-  SELECT 1 AS kind, 'IN_REGION' AS relation, 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, n_nationkey::BIGINT AS seq FROM nation
-  UNION ALL SELECT 2, 'IN_NATION', 'customer:' || c_custkey, 'nation:' || c_nationkey, c_custkey FROM customer
-  UNION ALL SELECT 3, 'BASED_IN', 'supplier:' || s_suppkey, 'nation:' || s_nationkey, s_suppkey FROM supplier
-  UNION ALL SELECT 4, 'PLACED', 'customer:' || o_custkey, 'order:' || o_orderkey, o_orderkey FROM orders
-  UNION ALL SELECT DISTINCT 5, 'CONTAINS', 'order:' || l_orderkey, 'part:' || l_partkey, l_orderkey * 10000000 + l_partkey FROM lineitem
-  UNION ALL SELECT DISTINCT 6, 'SUPPLIED_BY', 'part:' || l_partkey, 'supplier:' || l_suppkey, l_partkey * 10000000 + l_suppkey FROM lineitem
-),
-tedges AS (SELECT relation || ':' || seq AS edge_id, source, target, relation AS relations, kind * 1000000000000000 + seq AS edge_seq FROM raw_edges)"""
+  SELECT 1 AS kind, 'IN_REGION' AS relation, 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, n_nationkey::BIGINT AS k1, NULL::BIGINT AS k2 FROM nation
+  UNION ALL SELECT 2, 'IN_NATION', 'customer:' || c_custkey, 'nation:' || c_nationkey, c_custkey, NULL FROM customer
+  UNION ALL SELECT 3, 'BASED_IN', 'supplier:' || s_suppkey, 'nation:' || s_nationkey, s_suppkey, NULL FROM supplier
+  UNION ALL SELECT 4, 'PLACED', 'customer:' || o_custkey, 'order:' || o_orderkey, o_orderkey, NULL FROM orders
+  UNION ALL SELECT DISTINCT 5, 'CONTAINS', 'order:' || l_orderkey, 'part:' || l_partkey, l_orderkey, l_partkey FROM lineitem
+  UNION ALL SELECT DISTINCT 6, 'SUPPLIED_BY', 'part:' || l_partkey, 'supplier:' || l_suppkey, l_partkey, l_suppkey FROM lineitem
+),
+tedges AS (
+  SELECT relation || ':' || k1 || coalesce('-' || k2, '') AS edge_id, source, target, relation AS relations,
+         (kind::HUGEINT * 1000000000000000000 + k1) * 1000000000000000000 + coalesce(k2, 0) AS edge_seq FROM raw_edges
+)"""
 
 
 def _neighbors(where: str, columns: str) -> str:
@@ -247,12 +250,12 @@ WHERE {where} ORDER BY lower(source), lower(target), edge_id LIMIT 50"""
 
 def _paths(source: str, target: str, hops: int, directed: bool) -> str:
     back = "" if directed else (
-        "UNION ALL SELECT target, source, 1000000000000000000 + edge_seq, edge_id FROM tedges"
+        "UNION ALL SELECT target, source, 100000000000000000000000000000000000000::HUGEINT + edge_seq, edge_id FROM tedges"
     )
     return f"""WITH RECURSIVE {TRADE},
 adj AS (SELECT source AS here, target AS there, edge_seq AS step, edge_id FROM tedges {back}),
 walk AS (
-  SELECT '{source}' AS here, ['{source}'] AS visited, CAST([] AS BIGINT[]) AS key, CAST([] AS VARCHAR[]) AS path
+  SELECT '{source}' AS here, ['{source}'] AS visited, CAST([] AS HUGEINT[]) AS key, CAST([] AS VARCHAR[]) AS path
   UNION ALL
   SELECT a.there, list_append(visited, a.there), list_append(key, a.step), list_append(path, a.edge_id)
   FROM walk w JOIN adj a ON a.here = w.here
@@ -269,7 +272,7 @@ TOPICS = f"""
 topics AS (
   SELECT doc_id, lang, (doc_id % 9 + 1) || '.' || substr(source, 4) AS section,
          split_part(text, chr(10), 1) AS line0,
-         CASE WHEN doc_id % 3 = 0 THEN split_part(text, chr(10), 2) ELSE '' END AS description FROM documents
+         substr(text, length(split_part(text, chr(10), 1)) + 2) AS description FROM documents
 ),
 paths AS (
   SELECT *, CASE WHEN doc_id % 10 = 0 THEN ''
@@ -339,7 +342,7 @@ items AS (
             lambda s: trim(s, '.')), lambda s: s <> ''))) AS sections FROM marked
 )"""
 
-_ALIGN_BASE = _search("SELECT graph_item_id AS query_id, trim(label || ' ' || substr(description, 1, 600)) AS query FROM lonely")
+_ALIGN_BASE = _search("SELECT graph_item_id AS query_id, trim(label || ' ' || description) AS query FROM lonely")
 
 ALIGN = f"""{_ITEMS},
 {_ALIGN_BASE.replace('queries AS (', '''direct AS (
@@ -512,6 +515,19 @@ FROM tested WHERE method IS NOT NULL ORDER BY score DESC, length(label), lower(l
         f"CAST(coalesce(sum(n) FILTER (WHERE metric = '{m}'), 0) AS BIGINT) AS {m}"
         for m in ('nodes', 'edges', 'self_loops', 'matching_spec_nodes', 'matching_spec_edges'))} FROM counts""",
     "audit_trade_relations": f"WITH {TRADE} SELECT relations AS key, count(*) AS n FROM tedges GROUP BY 1",
+    "audit_histogram": f"""WITH {TOPICS},
+raw AS (
+  SELECT 0 AS side, doc_id, unnest(string_split(file_path, '<SEP>')) AS part, generate_subscripts(string_split(file_path, '<SEP>'), 1) AS place
+  FROM nmatch WHERE matched
+  UNION ALL
+  SELECT 1, doc_id, unnest(string_split(file_path, '<SEP>')), generate_subscripts(string_split(file_path, '<SEP>'), 1) FROM ematch WHERE matched
+),
+marked AS (
+  SELECT side, doc_id, trim(split_part(part, '24501-j20.md', 2)) AS key, place FROM raw WHERE contains(part, '24501-j20.md')
+),
+once AS (SELECT side, doc_id, key, min(place) AS place FROM marked WHERE key <> '' GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, min((side, doc_id, place))) AS INTEGER) AS rank, key, count(*) AS n
+FROM once GROUP BY key""",
     "audit_section_sort": f"""WITH {AUDIT} SELECT CAST(row_number() OVER (ORDER BY CAST(split_part(key, '.', 1) AS INTEGER),
         CAST(split_part(key, '.', 2) AS INTEGER)) - 1 AS INTEGER) AS pos, key AS section FROM counts WHERE metric = 'section'""",
     "export_nodes": f"WITH {EXPORT} SELECT node_id FROM gnodes WHERE node_id IN (FROM retained)",

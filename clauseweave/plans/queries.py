@@ -20,7 +20,7 @@ from ..operators.fusion import reciprocal_rank_fusion
 from ..operators.graph_build import SpecGraph
 from ..operators.graph_export import export_subgraph
 from ..operators.vector import vector_search
-from ..session import materialize
+from ..session import materialize, number_ordered
 from ..sources.chunks import duplicate_ids, parse_lines
 from . import adapters
 
@@ -29,7 +29,6 @@ REGISTRY: dict[str, Query] = {}
 
 SEARCH_TEXT = "Licensed under the Apache License with the and of schen"
 ENTITY_TEXT = "red widget"
-FUZZY_TEXT = "blu gadgets"
 PATH_ENDS = ("customer:10", "supplier:5")
 HUB = "nation:3"
 PACK_CHARS = 500
@@ -274,13 +273,6 @@ def resolve_exact_token_substring(spark, sf):
     return hits.select("node_id", "label", _six("score").alias("score"), "method")
 
 
-@query
-def resolve_fuzzy(spark, sf):
-    nodes, _ = adapters.trade_graph(spark, sf)
-    hits = graph_query.resolve_entities(nodes, FUZZY_TEXT, limit=50)
-    return hits.select("node_id", "label", _six("score").alias("score"), "method")
-
-
 # -- graph profiling and export -----------------------------------------------
 
 
@@ -300,17 +292,19 @@ def audit_trade_relations(spark, sf):
     return graph_audit.histogram(counts, "relation")
 
 
+@query
+def audit_histogram(spark, sf):
+    """Sections by how often they occur; most tie, and ties are first seen first."""
+    counts = graph_audit.audit_counts(*adapters.topic_graph(spark, sf))
+    ranked = number_ordered(graph_audit.histogram(counts, "section"), "rank")
+    return ranked.select(F.col("rank").cast("int").alias("rank"), "key", "n")
+
+
 @query
 def audit_section_sort(spark, sf):
     counts = graph_audit.audit_counts(*adapters.topic_graph(spark, sf))
-    sections = counts.filter(F.col("metric") == "section").select(F.col("key").alias("section"))
-    # A few hundred distinct sections: numbering them in one task is bounded.
-    ordered = sections.agg(
-        F.array_sort(
-            F.collect_list(F.struct(S.numeric_sort_key(F.col("section")).alias("k"), "section"))
-        ).alias("all")
-    )
-    return ordered.select(F.posexplode("all").alias("pos", "s")).select("pos", "s.section")
+    ordered = number_ordered(graph_audit.covered_sections(counts), "pos")
+    return ordered.select((F.col("pos") - 1).cast("int").alias("pos"), "section")
 
 
 @query

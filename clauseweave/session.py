@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Row bound under which a side may be broadcast.  At ~200 bytes a row this is
-# far below the 8 GB broadcast limit and small against executor memory.
+# Bounds under which a side may be broadcast: rows, and bytes of their JSON form.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 # Spark inserts a map-side WindowGroupLimit only for ranks below this default.
 _GROUP_LIMIT_THRESHOLD = 1000
@@ -37,39 +38,45 @@ def build_session(app_name: str = "clauseweave", master: str | None = None, **co
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is taken from ``spark.checkpoint.dir``.  Only a session that
-    names none (unit tests, a laptop) gets a temporary one.
+    The folder is taken from ``spark.checkpoint.dir``.  A session on one machine
+    (unit tests, a laptop) that names none gets a temporary one; a cluster must
+    name it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="clauseweave-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Measure (never guess) whether a relation has at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Measure (never guess) whether a relation is within both bounds, rows and bytes."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))
+    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return rows <= max_rows and (total or 0) <= BROADCAST_BYTES
 
 
-def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a relation proven small; otherwise leave the shuffle join to AQE."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+def number_ordered(ordered: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a sorted relation from 1, without gathering them.
 
+    The sorted partitions are counted, and each row adds its place in its own
+    to the rows of those before it.
+    """
+    placed = materialize(ordered.withColumn("_row", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    numbered = placed.join(broadcast_within(offsets), part == F.col("_part"))
+    return numbered.select(*ordered.columns, (F.col("_before") + place + 1).alias(name))
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input too small to be split for them.
 
-    Files far below one split per core (or of a single row group) would leave
-    text work on one task.  A large input already has enough splits and is
-    returned as it is, so no big table is ever shuffled here.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df
+def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a relation proven small; otherwise leave the shuffle join to AQE."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def top_k_per_group(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import shutil
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +50,15 @@ def _attributes(key_names: dict[str, str]) -> Column:
     return F.map_from_entries(last)
 
 
+def _edge_default(spark: SparkSession, path: str) -> str:
+    """The graph's edge default, from its opening tag; the element's content is not read."""
+    tags = spark.read.option("lineSep", ">").text(path).filter(F.regexp_like("value", F.lit(r"<graph(\s|/|$)"))).limit(1)
+    head = tags.select(F.regexp_extract("value", r"""<graph[^<]*\sedgedefault\s*=\s*["']([^"']*)["']""", 1)).first()
+    if head is None:
+        raise ValueError(f"no graph element found in {path}")
+    return head[0] or "directed"
+
+
 def read_graphml(spark: SparkSession, path: str) -> GraphFile:
     """Nodes and edges of a GraphML file, numbered from 1 in file order.
 
@@ -63,9 +69,7 @@ def read_graphml(spark: SparkSession, path: str) -> GraphFile:
         row[0] or "": row[1] if row[1] is not None else row[0] or ""
         for row in keys.select("`_id`", "`_attr.name`").collect()  # a few dozen declarations
     }
-    head = _elements(spark, path, "graph", "`_edgedefault` string, `_id` string").first()
-    if head is None:
-        raise ValueError(f"no graph element found in {path}")
+    default = _edge_default(spark, path)
     nodes = with_ordinal(
         _elements(spark, path, "node", f"`_id` string, {_DATA}"), "node_seq", ["_id", "data"]
     ).select(F.col("_id").alias("node_id"), "node_seq", _attributes(names).alias("attributes"))
@@ -84,7 +88,6 @@ def read_graphml(spark: SparkSession, path: str) -> GraphFile:
         _attributes(names).alias("attributes"),
     )
     size = spark.read.format("binaryFile").load(path).select(F.sum("length")).first()[0]
-    default = head["_edgedefault"] or "directed"
     return GraphFile(nodes, edges, default == "directed", size, default)
 
 
@@ -130,12 +133,11 @@ def write_graphml(
     node_order: str = "node_id",
     edge_order: str = "edge_id",
     edge_default: str = "directed",
-    single_file: bool = False,
 ) -> None:
     """Write a directory of ordered text parts that together are one document.
 
-    Executors render and range-sort the elements.  With ``single_file`` (local
-    paths) the parts are then streamed, buffer by buffer, into one file.
+    Executors render and range-sort the elements; joined in the order of their
+    names the parts are one file.
     """
     names = [("node", n) for n in node_keys] + [("edge", n) for n in edge_keys]
     ids = {name: f"d{i}" for i, name in enumerate(names)}
@@ -155,7 +157,7 @@ def write_graphml(
     def padded(name: str) -> Column:
         """Numbers are zero-padded so that text order is numeric order."""
         is_number = name.endswith("_seq")
-        return F.lpad(F.col(name).cast("string"), 20, "0") if is_number else F.col(name)
+        return F.lpad(F.col(name).cast("string"), 40, "0") if is_number else F.col(name)
 
     node_text = F.concat(
         F.lit('<node id="'),
@@ -184,12 +186,4 @@ def write_graphml(
         .orderBy("part", "place")
         .select("value")
     )
-    if not single_file:
-        document.write.text(path)
-        return
-    parts_dir = f"{path}.parts"
-    document.write.text(parts_dir)
-    with open(path, "wb") as out:
-        for part in sorted(glob.glob(os.path.join(parts_dir, "part-*"))):
-            with open(part, "rb") as source:
-                shutil.copyfileobj(source, out)
+    document.write.text(path)

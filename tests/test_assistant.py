@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from helpers import GRAPHML, chunk, frame, graph
+from helpers import FILE_TOKEN, PART_TOKEN, chunk, frame, graph, plant_graphml
 
 from clauseweave import cli
 from clauseweave.assistant.loop import ToolLoop, chunk_ids_in
@@ -15,12 +15,12 @@ from clauseweave.schema import ALIGNMENT
 def tools(spark):
     nodes, edges = graph(
         spark,
-        {"UE": {"entity_type": "Concept"}, "AMF": {}, "SMF": {}},
-        [("e1", "UE", "AMF", {"keywords": "Reference", "file_path": "24501-j20.md5"}), ("e2", "AMF", "SMF")],
+        {"boiler": {"entity_type": "Machine"}, "valve": {}, "tank": {}},
+        [("f1", "boiler", "valve", {"keywords": "Feeds", "file_path": "24501-j20.md3"}), ("f2", "valve", "tank")],
     )
-    chunks = frame(spark, [chunk("c1", "5.5.1.2", "Registration", "UE registers with AMF. " * 100)])
+    chunks = frame(spark, [chunk("c1", "3.4.1", "Pipes", "Warm water reaches the valve. " * 100)])
     aligned = [
-        {"graph_item_id": "UE", "graph_item_type": "node", "chunk_id": c, "confidence": s, "confidence_label": label,
+        {"graph_item_id": "boiler", "graph_item_type": "node", "chunk_id": c, "confidence": s, "confidence_label": label,
          "match_methods": [], "component_scores": {}, "review_status": "auto"}
         for c, s, label in (("c1", 0.9, "verified"), ("gone", 0.95, "high"), ("c1", 0.5, "candidate"))
     ]
@@ -28,22 +28,22 @@ def tools(spark):
 
 
 def test_tools(tools):
-    hit = tools.call("search_spec", {"query": "registers", "top_k": 99, "section_prefix": None})
+    hit = tools.call("search_spec", {"query": "reaches", "top_k": 99, "section_prefix": None})
     evidence = hit["result"]["hits"][0]
     assert evidence["chunk_id"] == "c1" and len(evidence["excerpt"]) == 1600
-    assert evidence["section"] == "5.5.1.2" and evidence["retrieval_score"] > 0
-    found = tools.call("resolve_entities", {"query": "ue", "limit": 3})["result"]["matches"]
-    assert (found[0]["node_id"], found[0]["entity_type"], found[0]["score"]) == ("UE", "Concept", 1.0)
-    seen = tools.call("inspect_entity", {"node_id": "UE"})["result"]
+    assert evidence["section"] == "3.4.1" and evidence["retrieval_score"] > 0
+    found = tools.call("resolve_entities", {"query": "BOILER", "limit": 3})["result"]["matches"]
+    assert (found[0]["node_id"], found[0]["entity_type"], found[0]["score"]) == ("boiler", "Machine", 1.0)
+    seen = tools.call("inspect_entity", {"node_id": "boiler"})["result"]
     assert [e["alignment_label"] for e in seen["aligned_evidence"]] == ["verified"]
     assert seen["entity"]["outgoing_count"] == 1
-    edges = tools.call("expand_graph", {"node_id": "UE", "direction": "both", "relation": None, "limit": 5})
+    edges = tools.call("expand_graph", {"node_id": "boiler", "direction": "both", "relation": None, "limit": 5})
     assert edges["result"]["edges"][0]["is_ts24501_provenance"] is True
-    paths = tools.call("find_paths", {"source_node_id": "UE", "target_node_id": "SMF", "max_hops": 9, "limit": 9})
-    assert [e["target_label"] for e in paths["result"]["paths"][0]] == ["AMF", "SMF"]
+    paths = tools.call("find_paths", {"source_node_id": "boiler", "target_node_id": "tank", "max_hops": 9, "limit": 9})
+    assert [e["target_label"] for e in paths["result"]["paths"][0]] == ["valve", "tank"]
     assert tools.call("nope", {}) == {"ok": False, "error": "Unknown tool: nope"}
     assert tools.call("inspect_entity", {"node_id": "x"})["ok"] is False
-    bad = {"node_id": "UE", "direction": "up", "relation": None, "limit": 1}
+    bad = {"node_id": "boiler", "direction": "up", "relation": None, "limit": 1}
     assert tools.call("expand_graph", bad)["ok"] is False
     assert {s["name"] for s in tools.schemas} == set(
         ["resolve_entities", "search_spec", "inspect_entity", "expand_graph", "find_paths"]
@@ -78,7 +78,7 @@ def final(text):
     return {"id": "done", "output": [], "output_text": text}
 
 
-SEARCH = ("search_spec", {"query": "registers", "top_k": 1, "section_prefix": None})
+SEARCH = ("search_spec", {"query": "reaches", "top_k": 1, "section_prefix": None})
 
 
 def test_loop_continues_and_accepts_observed_citations(tools):
@@ -144,34 +144,35 @@ def run(spark, capsys, *argv):
 def test_command_line(spark, tmp_path, capsys):
     corpus, built, kept = tmp_path / "c.jsonl", tmp_path / "g.graphml", tmp_path / "s.graphml"
     rows = [
-        chunk("c1", "4.4.3.2", "Replay protection", "Replay protection is used. " * 40),
-        chunk("c2", "5.5.1", "Registration", "See 3GPP TS 33.501."),
+        chunk("c1", "6.2.1", "Key refresh security", "Key refresh security is on. " * 40),
+        chunk("c2", "7.5", "Drains", "See 3GPP TS 11.222."),
     ]
     corpus.write_text("".join(json.dumps({k: v for k, v in r.items() if k != "chunk_seq"}) + "\n" for r in rows))
     made = run(spark, capsys, "build-graph", "--chunks", corpus, "--output", built)
-    assert made["chunks"] == 2 and made["nodes"] == 7 and built.is_file()
+    assert made["chunks"] == 2 and made["nodes"] == 7 and built.is_dir()
     audit = run(spark, capsys, "audit-graph", "--graph", built, "--output", tmp_path / "a.json")
     assert audit["nodes"] == 7 and audit["relation_keywords"]["SUBCLAUSE_OF"] == 2
     assert json.loads((tmp_path / "a.json").read_text()) == audit
-    hits = run(spark, capsys, "search-spec", "replay", "--chunks", corpus, "--section", "4")
+    hits = run(spark, capsys, "search-spec", "refresh", "--chunks", corpus, "--section", "6")
     assert hits[0]["chunk_id"] == "c1" and hits[0]["text"].endswith("...")
-    best = run(spark, capsys, "resolve", "replay protection", "--graph", built)
+    best = run(spark, capsys, "resolve", "key refresh security", "--graph", built)
     assert best[0]["method"] == "exact"
-    seen = run(spark, capsys, "inspect", "registration", "--graph", built)
+    seen = run(spark, capsys, "inspect", "drains", "--graph", built)
     assert seen["outgoing_count"] == 2 and seen["resolution"]["method"] == "exact"
-    near = run(spark, capsys, "neighbors", "registration", "--graph", built, "--relation", "references")
-    assert near["edges"][0]["target_label"] == "3GPP TS 33.501"
-    path = run(spark, capsys, "path", "registration", "5.5", "--graph", built)
+    near = run(spark, capsys, "neighbors", "drains", "--graph", built, "--relation", "references")
+    assert near["edges"][0]["target_label"] == "3GPP TS 11.222"
+    path = run(spark, capsys, "path", "drains", "7", "--graph", built)
     assert len(path["paths"]) >= 1
     aligned = run(spark, capsys, "align", "--graph", built, "--chunks", corpus, "--output", tmp_path / "al")
     assert aligned["alignments"] == aligned["candidate"] > 0 and aligned["graph_nodes"] == 7
     questions = tmp_path / "q.json"
-    questions.write_text(json.dumps([{"id": "q", "question": "replay", "required_sections": ["4.4"]}]))
+    questions.write_text(json.dumps([{"id": "q", "question": "refresh", "required_sections": ["6.2"]}]))
     score = run(spark, capsys, "eval-retrieval", "--chunks", corpus, "--questions", questions)
     assert score["recall_at_k"] == 1.0 and score["results"][0]["passed"] is True
     source = tmp_path / "u.graphml"
-    source.write_text(GRAPHML)
-    exported = run(spark, capsys, "export-subgraph", "--graph", source, "--output", kept)
+    source.write_text(plant_graphml())
+    exported = run(spark, capsys, "export-subgraph", "--graph", source, "--output", kept, "--spec-token", PART_TOKEN)
     assert exported["nodes"] == 2 and exported["contextual_edges"] == 0
-    again = run(spark, capsys, "audit-graph", "--graph", kept)
-    assert again["matching_spec_sections"] == ["5.5.1.2"] and again["nodes"] == 2
+    tokens = ("--spec-token", PART_TOKEN, "--source-token", FILE_TOKEN)
+    again = run(spark, capsys, "audit-graph", "--graph", kept, *tokens)
+    assert again["matching_spec_sections"] == ["3.2", "3.4"] and again["nodes"] == 2

@@ -43,13 +43,13 @@ def test_docx_to_chunks(spark, tmp_path):
     wide = f'<w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{p("both")}</w:tc>'
     path = docx(
         tmp_path / "spec.docx",
-        p("1\tScope\t7", "T1"),
-        p("1.1\tDetails\t9", "T1"),
+        p("1\tHeating\t7", "T1"),
+        p("1.1\tPipe runs\t9", "T1"),
         p("cover text"),
-        p("1\tScope", "H1"),
+        p("1\tHeating", "H1"),
         p("First   paragraph."),
         tbl(["a", "b"], ["", ""], [wide]),
-        p("1.1\tDetails", "H2"),
+        p("1.1\tPipe runs", "H2"),
         p("Second paragraph."),
         p("Annex without number", "H1"),
     )
