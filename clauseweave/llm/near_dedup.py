@@ -4,16 +4,18 @@ A document's set is its distinct five-word shingles, hashed once to 64 bits.  It
 the ``SKETCH`` smallest hashes.  Documents with equal sets are one class from the start (one
 representative goes on, the copies join it by their fingerprint).  Then:
 
-* inverted lists: two sets with a Jaccard similarity of 0.75 share at least ``SHARED`` values
-  of full sketches (all but once in 10**9), so each sketch is looked up only by as many of its
-  rarest values as make one hit certain; a value that very many documents share is never
+* inverted lists: two sets with a Jaccard similarity of 0.75 share a number of sketch values
+  that falls short of its mean by ``DEVIATIONS`` deviations but once in 10**9, so each sketch
+  is looked up only by as many of its rarest values as make one hit certain, and a hit counts
+  only if enough values follow it in both; a value that very many documents share is never
   looked up unless it fills most of a document;
 * rounds of leaders: a list links each member to one leader (one row per member, never all
   pairs), first the smallest id, then another one each round, and only across the components
   found so far; a document's most promising leaders are estimated by their union sketch, and
   full sets verify the best.  A group of near copies is connected after a few rounds;
-* when a round finds nothing new, the components that still share a list are compared member
-  with member, each pair once, so that no link between different texts is lost.
+* what still shares a list in different components after that is compared member with member:
+  large components in blocks of full sets, which put out links only, small ones pair by pair.
+  So no link between different texts is lost.
 
 Components are exact for the verified links.
 
@@ -26,8 +28,9 @@ ties go to the smaller doc_id; rows without a doc_id are left out; other columns
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import reliable
@@ -35,14 +38,14 @@ from .components import connected
 from .text_hash import mix, text_shingles
 
 SKETCH = 128
-# a sample of 128 from a union with similarity 0.75 holds 96 shared values, give or take 4.9; six of those less
-SHARED = 66
 PERCENT = 75
 # the estimate may miss the threshold by so many standard deviations
 DEVIATIONS = 6.0
 # leaders of a document that a round estimates, and that it verifies
 ESTIMATED, VERIFIED = 4, 2
-MOST_ROUNDS = 12
+MOST_ROUNDS = 4
+# a component of so many documents is compared in blocks
+LARGE, BLOCK, QUERIES = 16, 512, 2048
 # ids that may be broadcast (8 MB)
 BROADCAST_IDS = 1_000_000
 
@@ -72,19 +75,36 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.filter("doc_id IS NOT NULL").mapInArrow(sketched, _FEATURES)
 
 
+def _needed(total) -> Column:
+    """Sketch values that two sets with ``total`` values together share if they are linked.
+
+    At the threshold their union has total / 1.75 values, of which the sketches show the
+    smallest ``SKETCH`` as a sample without replacement; whole sketches give the exact number.
+    """
+    share = PERCENT / 100
+    union = total / F.lit(1 + share)
+    shown = F.least(union, F.lit(float(SKETCH)))
+    spread = F.sqrt(shown * F.lit(share * (1 - share)) * F.greatest(F.lit(0.0), 1 - shown / union))
+    return F.greatest(F.lit(1), F.ceil(shown * F.lit(share) - F.lit(DEVIATIONS) * spread - F.lit(1e-6)))
+
+
 def _lists(sets: DataFrame) -> DataFrame:
-    """Rows (value, doc, n) of the inverted lists that have more than one member, rarest values of each sketch only."""
+    """Rows (value, doc, n, rest) of the inverted lists that have more than one member.
+
+    Only the rarest values of each sketch are listed; ``rest`` is how many of its values,
+    from this one on, are left in the order from rare to frequent.
+    """
     rows = sets.select("doc", F.explode("sketch").alias("value"))
     often = F.count("*").over(Window.partitionBy("value"))
     shared = rows.withColumn("df", often).filter("df > 1")
     sizes = sets.select("doc", "n", F.size("sketch").alias("kept"))
-    # below 0.75 * SKETCH shingles every possible partner has a whole sketch, too, and the bound is exact
-    needed = F.when(F.col("n") * 100 < PERCENT * SKETCH, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
+    # partners have 0.75 to 1 / 0.75 of its values; what is needed is least at one of the ends
+    needed = F.least(_needed(F.col("n") * F.lit(1 + PERCENT / 100)), _needed(F.col("n") * F.lit(1 + 100 / PERCENT)))
     own = Window.partitionBy("doc")
     # values of its own come first in a document's order: they are its rarest
     at = F.row_number().over(own.orderBy("df", "value")) + F.col("kept") - F.count("*").over(own)
-    ranked = shared.join(sizes, "doc").withColumn("at", at)
-    return ranked.filter(F.col("at") <= F.col("kept") - needed + 1).select("value", "doc", "n")
+    ranked = shared.join(sizes, "doc").withColumn("rest", (F.col("kept") - at + 1).cast("int"))
+    return ranked.filter(F.col("rest") >= needed).select("value", "doc", "n", "rest")
 
 
 def _near_sizes(a: str, b: str):
@@ -152,13 +172,87 @@ def _led(lists: DataFrame, found: DataFrame, number: int) -> DataFrame:
     rows = lists.withColumn("component", F.col("doc")) if not number else _open(_placed(lists, found))
     turn = F.lit(0) if not number else F.xxhash64("value", "doc", F.lit(number))
     leaders = rows.groupBy("value").agg(
-        F.min(F.struct(turn.alias("turn"), F.col("doc").alias("lead"), F.col("n").alias("m"), F.col("component").alias("other"))).alias("l")
+        F.min(F.struct(turn.alias("turn"), F.col("doc").alias("lead"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("component").alias("other"))).alias("l")
     )
     led = rows.join(leaders, "value").filter(F.col("component") != F.col("l.other")).filter(_near_sizes("n", "l.m"))
+    led = led.filter(F.least("rest", "l.left") >= _needed(F.col("n") + F.col("l.m")))
     pairs = led.groupBy("doc", "l.lead").agg(F.count("*").alias("hits"))
     return pairs.select("doc", F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"), "hits")
 
 
+def _across(lists: DataFrame, found: DataFrame, tried: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the components that still share a list, at least one for each two that have any."""
+    open_ = reliable(
+        _open(_placed(lists, found)).groupBy("value", "component").agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")
+        )
+    )
+    x, y = open_.alias("x"), open_.alias("y")
+    enough = F.least("x.rest", "y.rest") >= F.least(
+        _needed(F.col("x.least") + F.col("y.least")), _needed(F.col("x.most") + F.col("y.most"))
+    )
+    sizes = F.expr(f"x.most * 100 >= y.least * {PERCENT} AND y.most * 100 >= x.least * {PERCENT}")
+    apart = x.join(y, F.expr("x.value = y.value AND x.component < y.component") & sizes & enough).select(
+        F.col("x.component").alias("one"), F.col("y.component").alias("two")
+    ).distinct()
+    members = reliable(_placed(sets.select("doc", "n"), found))
+    counts = reliable(members.groupBy("component").agg(F.count("*").alias("size")))
+    apart = apart.join(counts.select(F.col("component").alias("one"), F.col("size").alias("size_one")), "one").join(
+        counts.select(F.col("component").alias("two"), F.col("size").alias("size_two")), "two"
+    )
+    apart = reliable(apart)
+    small = apart.filter((F.col("size_one") < LARGE) & (F.col("size_two") < LARGE))
+    pairs = (
+        small.join(members.select(F.col("component").alias("one"), F.col("doc").alias("x"), F.col("n").alias("nx")), "one")
+        .join(members.select(F.col("component").alias("two"), F.col("doc").alias("y"), F.col("n").alias("ny")), "two")
+        .filter(_near_sizes("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tried, ["a", "b"], "left_anti")
+    )
+    by_pair = _verified(_estimated(pairs, sets).filter("possible").select("a", "b"), texts)
+
+    first = F.col("size_one") >= F.col("size_two")
+    large = apart.filter((F.col("size_one") >= LARGE) | (F.col("size_two") >= LARGE)).select(
+        F.when(first, F.col("one")).otherwise(F.col("two")).alias("large"),
+        F.when(first, F.col("two")).otherwise(F.col("one")).alias("component"),
+        (F.floor((F.greatest("size_one", "size_two") - 1) / BLOCK) + 1).alias("blocks"),
+    )
+    asking = large.join(members.select("component", "doc"), "component").select("large", "blocks", "doc")
+    parts = reliable(asking.groupBy("large", "blocks").agg((F.floor((F.count("*") - 1) / QUERIES) + 1).alias("parts")))
+    left = asking.join(parts.select("large", "parts"), "large").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).select(
+        "large", "part", "doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    )
+    right = parts.join(members.select(F.col("component").alias("large"), "doc"), "large").withColumn(
+        "block", F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    ).select("large", "block", "doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    keys = ["large", "block", "part"]
+    asked = left.join(texts, "doc").select(*[F.col(c).alias(f"asked_{c}") for c in (*keys, "doc", "text")])
+    held = right.join(texts, "doc").select(*[F.col(c).alias(f"held_{c}") for c in (*keys, "doc", "text")])
+    solved = asked.groupBy(*[f"asked_{k}" for k in keys]).cogroup(held.groupBy(*[f"held_{k}" for k in keys])).applyInPandas(
+        _block_links, "a long, b long"
+    )
+    return by_pair.union(solved)
+
+
+def _block_links(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """A link of each asking document with a document of the block, where there is one, on full sets."""
+    out = []
+    if len(asking) and len(held):
+        sets = [np.unique(x) for x in text_shingles(pa.array(held.held_text, pa.large_string()))]
+        sizes = np.array([len(x) for x in sets])
+        owner, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owner, docs = every[order], owner[order], held.held_doc.to_numpy()
+        for doc, hashes in zip(asking.asked_doc, text_shingles(pa.array(asking.asked_text, pa.large_string())), strict=True):
+            own = np.unique(hashes)
+            low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            length = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            linked = np.flatnonzero((shared > 0) & (100 * shared >= PERCENT * (sizes + len(own) - shared)) & (docs != doc))
+            if len(linked):
+                out.append((min(doc, docs[linked].min()), max(doc, docs[linked].min())))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: n_shingles, component_id (smallest linked doc_id) and kept (it is that one)."""
     every = reliable(features(docs, text))
@@ -193,21 +287,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         links = reliable(links.union(new))
         found = reliable(connected(links))
 
-    # what the lists still hold in different components: members of those with members of these, each pair once
-    open_ = _open(_placed(lists, found)).groupBy("value", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    open_ = reliable(open_)
-    apart = (
-        open_.alias("x").join(open_.alias("y"), F.expr("x.value = y.value AND x.component < y.component"))
-        .filter(F.expr(f"x.most * 100 >= y.least * {PERCENT} AND y.most * 100 >= x.least * {PERCENT}"))
-        .select(F.col("x.component").alias("one"), F.col("y.component").alias("two")).distinct()
-    )
-    members = _placed(sets.select("doc", "n"), found)
-    rest = (
-        apart.join(members.select(F.col("component").alias("one"), F.col("doc").alias("x"), F.col("n").alias("nx")), "one")
-        .join(members.select(F.col("component").alias("two"), F.col("doc").alias("y"), F.col("n").alias("ny")), "two")
-        .filter(_near_sizes("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tried, ["a", "b"], "left_anti")
-    )
-    more = reliable(_verified(_estimated(rest, sets).filter("possible").select("a", "b"), texts))
+    more = reliable(_across(lists, found, tried, sets, texts))
     if more.take(1):
         found = reliable(connected(links.union(more)))
 
