@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,21 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 32) -> Iterator[None]:
+    """While rows that repeat long texts go to Python, an Arrow batch holds few of them.
+
+    Only for work that is done inside, such as a checkpoint; the session gets its setting back.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def row_of(df: DataFrame) -> Column:
     """The whole input row as one struct, so that no helper column can clash with its names."""
     return F.struct(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import reliable, small_batches
 from .components import connected
 from .text_hash import mix, text_shingles
 
@@ -45,7 +45,7 @@ DEVIATIONS = 6.0
 ESTIMATED, VERIFIED = 4, 2
 MOST_ROUNDS = 4
 # a component of so many documents is compared in blocks
-LARGE, BLOCK, QUERIES = 16, 512, 2048
+LARGE, BLOCK, QUERIES = 16, 256, 256
 # ids that may be broadcast (8 MB)
 BROADCAST_IDS = 1_000_000
 
@@ -279,7 +279,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         by_estimate = Window.partitionBy("doc", "possible").orderBy(F.desc("estimate"), "a", "b")
         judged = judged.withColumn("rank", F.row_number().over(by_estimate)).filter(~F.col("possible") | (F.col("rank") <= VERIFIED))
         judged = reliable(judged.groupBy("a", "b").agg(F.bool_or("possible").alias("possible")))
-        new = reliable(_verified(judged.filter("possible").select("a", "b"), texts))
+        with small_batches(spark):
+            new = reliable(_verified(judged.filter("possible").select("a", "b"), texts))
         if number and not new.take(1):
             tried = tried.union(judged.select("a", "b"))
             break
@@ -287,7 +288,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         links = reliable(links.union(new))
         found = reliable(connected(links))
 
-    more = reliable(_across(lists, found, tried, sets, texts))
+    with small_batches(spark):
+        more = reliable(_across(lists, found, tried, sets, texts))
     if more.take(1):
         found = reliable(connected(links.union(more)))
 

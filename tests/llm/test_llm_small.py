@@ -178,8 +178,12 @@ def test_near_duplicates_match_brute_force(spark):
     }
 
 
-def test_near_duplicates_of_chains_of_edits(spark):
-    """Members far from any leader are linked through each other."""
+@pytest.mark.parametrize("rounds, large", [(4, 16), (1, 2), (1, 99)])
+def test_near_duplicates_of_chains_of_edits(spark, monkeypatch, rounds, large):
+    """Members far from any leader are linked through each other, in rounds, in blocks or pair by pair."""
+    monkeypatch.setattr(near_dedup, "MOST_ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
     draw = random.Random(8)
     words = sentence(draw, 300).split()
     texts = []
