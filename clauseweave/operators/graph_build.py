@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sections as S
 from ..functions.text import REFERENCE_PATTERN, casefold, find_spans, reference_label, slug, span_at, strip
+from ..session import materialize
 
 # The (source type, relation, target type) triples an edge may have.
 ALLOWED_TRIPLES = (
@@ -333,15 +334,18 @@ class SpecGraph:
 
     def counters(self) -> DataFrame:
         """One row: chunks, nodes, edges, provenance_edges, skipped_illegal_triples."""
-        proposals = self.edge_proposals()
+        # Three parts read the facts: they are kept once, so the texts are read once.
+        stored = SpecGraph.__new__(SpecGraph)
+        stored.chunks, stored.facts = self.chunks, materialize(self.facts)
+        proposals = stored.edge_proposals()
         edges = first_wins(
             proposals.filter("legal").select("seq", "source", "keywords", "target", "chunk_id"),
             ["source", "keywords", "target"],
         )
         count = F.count(F.lit(1))
         parts = [
-            self.chunks.agg(count.alias("chunks")),
-            self.node_proposals().select("node_id").distinct().agg(count.alias("nodes")),
+            stored.facts.agg(count.alias("chunks")),
+            stored.node_proposals().select("node_id").distinct().agg(count.alias("nodes")),
             edges.agg(
                 count.alias("edges"),
                 F.count_if(F.col("chunk_id") != "").alias("provenance_edges"),

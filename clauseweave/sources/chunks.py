@@ -37,6 +37,8 @@ def read_chunks(spark: SparkSession, path: str, *, validate: bool = True) -> Dat
 
     Malformed rows fail the read with ``path:line``.  Ids repeated after a
     non-blank row fail it too; that check is one aggregation over the ids.
+    Without ``validate`` malformed rows are returned, too: what is wrong is in
+    their column ``problem``, which is null for all others.
     """
     raw = spark.read.text(path)
     lines = with_ordinal(raw, "chunk_seq", ["value"]).filter(~is_blank(F.col("value")))
@@ -46,10 +48,9 @@ def read_chunks(spark: SparkSession, path: str, *, validate: bool = True) -> Dat
         clash = duplicate_ids(parsed).first()
         if clash is not None:
             raise ValueError(f"duplicate chunk_id at {clash['at']}: {clash['chunk_id']}")
-    else:
-        parsed = parsed.filter(F.col("problem").isNull())
-    kept = parsed.filter(~is_blank(F.col("text")))
-    return kept.select("chunk_seq", *CHUNK.fieldNames())
+        return parsed.filter(~is_blank(F.col("text"))).select("chunk_seq", *CHUNK.fieldNames())
+    sound = ~is_blank(F.coalesce("text", F.lit("")))
+    return parsed.filter(F.col("problem").isNotNull() | sound).select("chunk_seq", *CHUNK.fieldNames(), "problem")
 
 
 def _fail_if_problem() -> Column:

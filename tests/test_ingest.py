@@ -188,6 +188,8 @@ def test_corpus_validation(spark, tmp_path):
     for broken in ("{not json", json.dumps(no_key), "[1]", json.dumps({**row, "text": None})):
         with pytest.raises(Exception, match=r"bad\S*.jsonl:2"):
             read_chunks(spark, write(f"bad{abs(hash(broken))}.jsonl", lines[0], broken)).collect()
+    rows = read_chunks(spark, write("mixed.jsonl", lines[0], "{not json", lines[2]), validate=False)
+    assert [bool(r["problem"]) for r in rows.orderBy("chunk_seq").collect()] == [False, True, False]
     optional = {k: v for k, v in row.items() if not k.startswith("page")}
     assert read_chunks(spark, write("opt.jsonl", json.dumps(optional))).first()["page_start"] is None
 
