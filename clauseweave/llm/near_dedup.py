@@ -13,9 +13,9 @@ representative goes on, the copies join it by their fingerprint).  Then:
   pairs), first the smallest id, then another one each round, and only across the components
   found so far; a document's most promising leaders are estimated by their union sketch, and
   full sets verify the best.  A group of near copies is connected after a few rounds;
-* what still shares a list in different components after that is compared member with member:
-  large components in blocks of full sets, which put out links only, small ones pair by pair.
-  So no link between different texts is lost.
+* documents that still share a list in different components meet under the list's smallest
+  component and are compared there on full sets, in blocks that put out links only.  So no
+  link between different texts is lost.
 
 Components are exact for the verified links.
 
@@ -44,8 +44,8 @@ DEVIATIONS = 6.0
 # leaders of a document that a round estimates, and that it verifies
 ESTIMATED, VERIFIED = 4, 2
 MOST_ROUNDS = 4
-# a component of so many documents is compared in blocks
-LARGE, BLOCK, QUERIES = 16, 256, 256
+# documents that a block holds, and that ask of it; heads of so few documents share a block
+BLOCK, QUERIES, SMALL = 256, 256, 64
 # ids that may be broadcast (8 MB)
 BROADCAST_IDS = 1_000_000
 
@@ -180,77 +180,79 @@ def _led(lists: DataFrame, found: DataFrame, number: int) -> DataFrame:
     return pairs.select("doc", F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"), "hits")
 
 
-def _across(lists: DataFrame, found: DataFrame, tried: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between the components that still share a list, at least one for each two that have any."""
-    open_ = reliable(
-        _open(_placed(lists, found)).groupBy("value", "component").agg(
-            F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")
-        )
-    )
-    x, y = open_.alias("x"), open_.alias("y")
-    enough = F.least("x.rest", "y.rest") >= F.least(
-        _needed(F.col("x.least") + F.col("y.least")), _needed(F.col("x.most") + F.col("y.most"))
-    )
-    sizes = F.expr(f"x.most * 100 >= y.least * {PERCENT} AND y.most * 100 >= x.least * {PERCENT}")
-    apart = x.join(y, F.expr("x.value = y.value AND x.component < y.component") & sizes & enough).select(
-        F.col("x.component").alias("one"), F.col("y.component").alias("two")
-    ).distinct()
-    members = reliable(_placed(sets.select("doc", "n"), found))
-    counts = reliable(members.groupBy("component").agg(F.count("*").alias("size")))
-    apart = apart.join(counts.select(F.col("component").alias("one"), F.col("size").alias("size_one")), "one").join(
-        counts.select(F.col("component").alias("two"), F.col("size").alias("size_two")), "two"
-    )
-    apart = reliable(apart)
-    small = apart.filter((F.col("size_one") < LARGE) & (F.col("size_two") < LARGE))
-    pairs = (
-        small.join(members.select(F.col("component").alias("one"), F.col("doc").alias("x"), F.col("n").alias("nx")), "one")
-        .join(members.select(F.col("component").alias("two"), F.col("doc").alias("y"), F.col("n").alias("ny")), "two")
-        .filter(_near_sizes("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tried, ["a", "b"], "left_anti")
-    )
-    by_pair = _verified(_estimated(pairs, sets).filter("possible").select("a", "b"), texts)
+def _across(lists: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the components which still share a list and hold linked documents.
 
-    first = F.col("size_one") >= F.col("size_two")
-    large = apart.filter((F.col("size_one") >= LARGE) | (F.col("size_two") >= LARGE)).select(
-        F.when(first, F.col("one")).otherwise(F.col("two")).alias("large"),
-        F.when(first, F.col("two")).otherwise(F.col("one")).alias("component"),
-        (F.floor((F.greatest("size_one", "size_two") - 1) / BLOCK) + 1).alias("blocks"),
-    )
-    asking = large.join(members.select("component", "doc"), "component").select("large", "blocks", "doc")
-    parts = reliable(asking.groupBy("large", "blocks").agg((F.floor((F.count("*") - 1) / QUERIES) + 1).alias("parts")))
-    left = asking.join(parts.select("large", "parts"), "large").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).select(
-        "large", "part", "doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    )
-    right = parts.join(members.select(F.col("component").alias("large"), "doc"), "large").withColumn(
-        "block", F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    ).select("large", "block", "doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    keys = ["large", "block", "part"]
-    asked = left.join(texts, "doc").select(*[F.col(c).alias(f"asked_{c}") for c in (*keys, "doc", "text")])
-    held = right.join(texts, "doc").select(*[F.col(c).alias(f"held_{c}") for c in (*keys, "doc", "text")])
-    solved = asked.groupBy(*[f"asked_{k}" for k in keys]).cogroup(held.groupBy(*[f"held_{k}" for k in keys])).applyInPandas(
-        _block_links, "a long, b long"
+    The documents of a list meet under its smallest component: one row for each document and
+    such head, however many lists they share.  Under a head every document that is not of the
+    head itself is compared with all, on full sets and in blocks; only links that connect
+    something are put out.
+    """
+    placed = _placed(lists, found)
+    heads = placed.groupBy("value").agg(F.min("component").alias("head"), F.max("component").alias("high")).filter("head < high")
+    rows = reliable(placed.join(heads.select("value", "head"), "value").select("head", "doc", "component").distinct())
+    sizes = reliable(rows.groupBy("head").agg(F.count("*").alias("size"), F.count_if(F.col("component") != F.col("head")).alias("asking")))
+    small = F.col("size") <= SMALL
+    groups = -(-(sizes.filter(small).agg(F.sum("size")).first()[0] or 0) // BLOCK)
+    # small heads share a group, a large one has groups of its own
+    name = F.when(small, F.pmod(F.xxhash64("head"), F.lit(max(1, groups))).cast("string")).otherwise(
+        F.concat(F.lit("head "), F.col("head").cast("string"))
     )
-    return by_pair.union(solved)
+    cut = lambda n, most: F.when(small, F.lit(1)).otherwise(F.floor((F.col(n) - 1) / most) + 1).cast("long")
+    sizes = sizes.select("head", name.alias("name"), cut("size", BLOCK).alias("blocks"), cut("asking", QUERIES).alias("parts"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    whole = rows.join(sizes, "head")
+    asked = whole.filter("component <> head").withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).withColumn("block", numbers("blocks"))
+    held = whole.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(1)), "blocks")).withColumn("part", numbers("parts"))
+    keys = ("name", "block", "part")
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        columns = (*keys, "head", "component", "doc", "text")
+        named = df.join(texts, "doc").select(*[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+        return named.groupBy(*[f"{prefix}_{k}" for k in keys])
+
+    return side(asked, "asked").cogroup(side(held, "held")).applyInPandas(_block_links, "a long, b long")
+
+
+def _block_links(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Links that connect asked documents with held ones under the same head."""
+    out: list[tuple[int, int]] = []
+    for head, part in asked.groupby("asked_head"):
+        block = held[held.held_head == head]
+        if len(block):
+            out += _spanning(part, block)
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
 
+def _spanning(asked: pd.DataFrame, block: pd.DataFrame) -> list[tuple[int, int]]:
+    root: dict[int, int] = {}
 
-def _block_links(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """A link of each asking document with a document of the block, where there is one, on full sets."""
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    sets = [np.unique(x) for x in text_shingles(pa.array(block.held_text, pa.large_string()))]
+    sizes = np.array([len(x) for x in sets])
+    owner, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    docs, components = block.held_doc.to_numpy(), block.held_component.to_numpy()
     out = []
-    if len(asking) and len(held):
-        sets = [np.unique(x) for x in text_shingles(pa.array(held.held_text, pa.large_string()))]
-        sizes = np.array([len(x) for x in sets])
-        owner, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-        order = np.argsort(every, kind="stable")
-        every, owner, docs = every[order], owner[order], held.held_doc.to_numpy()
-        for doc, hashes in zip(asking.asked_doc, text_shingles(pa.array(asking.asked_text, pa.large_string())), strict=True):
-            own = np.unique(hashes)
-            low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
-            length = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-            shared = np.bincount(owner[at], minlength=len(sets))
-            linked = np.flatnonzero((shared > 0) & (100 * shared >= PERCENT * (sizes + len(own) - shared)) & (docs != doc))
-            if len(linked):
-                out.append((min(doc, docs[linked].min()), max(doc, docs[linked].min())))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    asking = zip(asked.asked_doc, asked.asked_component, text_shingles(pa.array(asked.asked_text, pa.large_string())), strict=True)
+    for doc, component, hashes in asking:
+        own = np.unique(hashes)
+        low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        length = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        linked = (shared > 0) & (100 * shared >= PERCENT * (sizes + len(own) - shared)) & (components != component)
+        for other in np.flatnonzero(linked):
+            x, y = find(int(component)), find(int(components[other]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(doc, int(docs[other])), max(doc, int(docs[other]))))
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -289,7 +291,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         found = reliable(connected(links))
 
     with small_batches(spark):
-        more = reliable(_across(lists, found, tried, sets, texts))
+        more = reliable(_across(lists, found, texts))
     if more.take(1):
         found = reliable(connected(links.union(more)))
 

@@ -178,12 +178,13 @@ def test_near_duplicates_match_brute_force(spark):
     }
 
 
-@pytest.mark.parametrize("rounds, large", [(4, 16), (1, 2), (1, 99)])
-def test_near_duplicates_of_chains_of_edits(spark, monkeypatch, rounds, large):
-    """Members far from any leader are linked through each other, in rounds, in blocks or pair by pair."""
+@pytest.mark.parametrize("rounds, small", [(4, 64), (1, 64), (1, 2)])
+def test_near_duplicates_of_chains_of_edits(spark, monkeypatch, rounds, small):
+    """Members far from any leader are linked through each other, in rounds or in blocks."""
     monkeypatch.setattr(near_dedup, "MOST_ROUNDS", rounds)
-    monkeypatch.setattr(near_dedup, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "QUERIES", 3)
     draw = random.Random(8)
     words = sentence(draw, 300).split()
     texts = []
