@@ -258,6 +258,24 @@ def test_repeated_passages_are_found_and_others_left_alone(spark):
     assert passages.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_passages_with_an_insertion_or_a_line_that_came_before():
+    draw = np.random.default_rng(5)
+    fresh = lambda n: draw.integers(1, 2**62, n).astype(np.uint64)
+    for n in (70, 80, 99):  # words; 12 more in the middle of one copy
+        x = fresh(n - 4)
+        half = len(x) // 2
+        y = np.concatenate([x[:half], fresh(16), x[half + 4 :]])
+        assert passages.common_passages(x, y) == [(0, len(x) - 1, 0, len(y) - 1)]
+        around = np.concatenate([fresh(30), y, fresh(40)])
+        assert passages.common_passages(x, around) == [(0, len(x) - 1, 30, 29 + len(y))]
+    x = fresh(56)
+    for at in (0, 20, 45):  # a line of the passage stands before it, too
+        y = np.concatenate([fresh(9), x[at : at + 11], fresh(25), x, fresh(9)])
+        assert passages.common_passages(x, y) == [(0, 55, 45, 100)]
+        assert passages.common_passages(y, x) == [(45, 100, 0, 55)]
+    assert passages.common_passages(fresh(80), fresh(80)) == []
+
+
 # --- vectors
 
 
