@@ -276,6 +276,25 @@ def test_passages_with_an_insertion_or_a_line_that_came_before():
     assert passages.common_passages(fresh(80), fresh(80)) == []
 
 
+def test_every_occurrence_of_a_passage_is_found(spark):
+    draw = random.Random(6)
+    lines = [sentence(draw, 15, 10**6) for _ in range(4)]
+    passage = sentence(draw, 60, 10**6)
+    framed = " ".join(lines)
+    noise = lambda n: sentence(draw, n, 10**6)
+    texts = [
+        " ".join([noise(1000), passage, noise(4000), passage, noise(20)]),
+        " ".join([noise(50), passage, noise(50)]),
+        # every line of the passage stands alone earlier on
+        " ".join([noise(30), framed, noise(30)]),
+        " ".join([x for line in lines for x in (noise(300), line)] + [noise(5000), framed, noise(40)]),
+    ]
+    for order in ((0, 1, 2, 3), (1, 0, 3, 2)):
+        rows = passages.repeated_passages(documents(spark, [texts[i] for i in order])).collect()
+        got = {(order[r.doc_id], r.start_word, r.end_word) for r in rows}
+        assert got == {(0, 1000, 1060), (0, 5060, 5120), (1, 50, 110), (2, 30, 90), (3, 6260, 6320)}
+
+
 # --- vectors
 
 
