@@ -295,6 +295,28 @@ def test_every_occurrence_of_a_passage_is_found(spark):
         assert got == {(0, 1000, 1060), (0, 5060, 5120), (1, 50, 110), (2, 30, 90), (3, 6260, 6320)}
 
 
+def test_passages_of_frequent_lines_in_shuffled_orders(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    monkeypatch.setattr(passages, "SMALL", 4)
+    draw = random.Random(8)
+    lines = [sentence(draw, 15, 10**6) for _ in range(12)]
+    # each pair has four lines in an order of its own; earlier documents have lines only, each between words of its own
+    texts = [" ".join(x for line in draw.sample(lines, 8) for x in (line, sentence(draw, 20, 10**6))) for _ in range(60)]
+    orders = [draw.sample(range(12), 4) for _ in range(15)]
+    texts += [f"{sentence(draw, 40, 10**6)} {' '.join(lines[n] for n in order)} {sentence(draw, 40, 10**6)}" for order in orders * 2]
+    brute, sets = {}, [t.split() for t in texts]
+    for d, words in enumerate(sets):
+        for at in range(len(words) - 49):
+            brute.setdefault(tuple(words[at : at + 50]), set()).add(d)
+    expected = {d for held in brute.values() if len(held) > 1 for d in held}
+    assert expected == set(range(60, 90))
+    got = passages.repeated_passages(documents(spark, texts)).collect()
+    assert {r.doc_id for r in got} == expected
+    assert {(r.doc_id, r.start_word, r.end_word) for r in got} >= {(d, 40, 100) for d in expected}
+    of = {r.doc_id: (r.class_id, r.class_word) for r in got}
+    assert all(of[d] == of[d + 15] for d in range(60, 75))
+
+
 # --- vectors
 
 
