@@ -63,6 +63,17 @@ def test_search_matches_brute_force(spark, query):
     assert [r["score"] for r in many] == pytest.approx([-w[0] for w in want], abs=1e-9)
 
 
+def test_large_vocabulary_takes_the_join_path(spark, monkeypatch):
+    import clauseweave.operators.bm25 as module
+
+    index = Bm25Index(frame(spark, ROWS))
+    queries = spark.createDataFrame([(1, "the pump timer")], "query_id int, query string")
+    small = index.search_many(queries).collect()
+    assert small
+    monkeypatch.setattr(module, "LITERAL_VOCABULARY", 1)
+    assert index.search_many(queries).collect() == small
+
+
 def test_long_queries_report_every_matched_term(spark):
     words = [f"w{i}" for i in range(150)]
     index = Bm25Index(frame(spark, [chunk("a", "1", "t", " ".join(words)), chunk("b", "2", "t", "w3 w149")]))
