@@ -3,8 +3,9 @@
 The rules find assigned passwords and tokens, access keys and long hexadecimal strings.
 What they find is the labelled sample of random strings; everything else written in the
 same characters is the sample of ordinary identifiers.  First-order transition counts of
-both, over all texts, give two models; a run of at least ``MIN_RUN`` such characters that
-no rule covers is a secret if its log-likelihood ratio reaches ``MIN_RATIO`` nats.
+both, over all texts, give two models.  Of a run of at least ``MIN_RUN`` such characters each
+stretch that no rule covers is a secret if its log-likelihood ratio reaches ``MIN_RATIO``
+nats; else its best part is if that does, with the rest of the words that it begins and ends in.
 
 Defined cases: null and empty texts have no spans; whole texts are scanned whatever their
 length; equal rows get equal spans; without any rule match the random model is uniform;
@@ -39,6 +40,7 @@ MIN_RATIO = 24.0
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
+_JOINS = "/_.=-"
 _OTHER = len(ALPHABET)
 _CLASS = np.full(256, _OTHER, dtype=np.int32)
 _CLASS[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -108,14 +110,40 @@ def ratios(counts: np.ndarray) -> np.ndarray:
     return np.log((seen + 1 / _OTHER) / 2) - np.log(ordinary)
 
 
+def _likely(run: str, score: np.ndarray) -> list[tuple[int, int]]:
+    """Where a stretch is random: all of it, or its best parts up to the ends of their words."""
+    if score.sum() >= MIN_RATIO:
+        return [(0, len(run))]
+    out, waiting = [], [(0, len(run))]
+    while waiting:
+        low, high = waiting.pop()
+        sums = np.concatenate([[0.0], np.cumsum(score[low:high])])
+        b = int(np.argmax(sums - np.minimum.accumulate(sums)))
+        a = int(np.argmin(sums[: b + 1]))
+        if sums[b] - sums[a] < MIN_RATIO:
+            continue
+        a, b = a + low, b + low
+        while a > low and run[a - 1] not in _JOINS:
+            a -= 1
+        while b < high and run[b] not in _JOINS:
+            b += 1
+        out.append((a, b))
+        waiting += [(low, a), (b, high)]
+    return out
+
+
 def _all_spans(text: str, ratio: np.ndarray) -> list[dict]:
     rules = rule_spans(text)
     spans = [(start, kind, end) for start, kind, end, _ in rules]
     for m in _RUN.finditer(text):
-        if not any(start < m.end() and m.start() < end for start, _, end, _ in rules):
-            kinds = _CLASS[np.frombuffer(m[0].encode(), np.uint8)]
-            if ratio[np.concatenate([[_OTHER], kinds[:-1]]), kinds].sum() >= MIN_RATIO:
-                spans.append((m.start(), 3, m.end()))
+        kinds = _CLASS[np.frombuffer(m[0].encode(), np.uint8)]
+        score = ratio[np.concatenate([[_OTHER], kinds[:-1]]), kinds]
+        at = m.start()
+        for low, high in [(start, end) for start, _, end, _ in rules if start < m.end() and m.start() < end] + [(m.end(), m.end())]:
+            if at < low:
+                parts = _likely(m[0][at - m.start() : low - m.start()], score[at - m.start() : low - m.start()])
+                spans += [(at + a, 3, at + b) for a, b in parts]
+            at = max(at, high)
     return [{"kind": KINDS[kind], "start": start, "end": end} for start, kind, end in sorted(spans)]
 
 
