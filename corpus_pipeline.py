@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clauseweave.llm import bpe, mixing, near_dedup, quality, secrets
 from clauseweave.llm.queries import ratings, tokenizer_path
+from clauseweave.session import number_ordered
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +25,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    dropped = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    """One row of each group of near duplicates: the one with the smallest id, rows without an id last.
+
+    Each row is compared and dropped under a number of its own, so a repeated id or none is no matter.
+    """
+    keyed = mixing._keyed(docs).select("key", "doc_id", "row")
+    numbers = number_ordered(keyed.select("key", "doc_id").orderBy(F.col("doc_id").asc_nulls_last(), "key"), "number").select("key", "number")
+    rows = keyed.join(numbers, "key").select(F.col("number").alias("doc_id"), F.col("row")["text"].alias("text"))
+    dropped = near_dedup.near_duplicates(rows).filter(~F.col("kept")).select(F.col("doc_id").alias("number"))
+    dropped = numbers.join(dropped, "number").select("key")
+    return keyed.join(dropped, "key", "left_anti").select("row.*")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,13 @@ def test_stages_and_run(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, folder).select("doc_id", F.col("ids")).collect()
     assert sorted((r.doc_id, r.ids) for r in whole) == wanted
+
+
+def test_near_dedup_stage_drops_rows_not_ids(spark):
+    draw = random.Random(3)
+    a, b, c, d = (sentence(draw, 60) for _ in range(4))
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, c), (None, d), (None, d), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    out = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or 9), r.text) for r in out.collect()) == sorted([(1, a), (2, b), (3, c), (9, d)])
