@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, near_dedup, passages, quality, secrets, shards, topk, vectors
-from .common import table
+from . import ann, bpe, langid, mixing, near_dedup, passages, quality, runs, secrets, shards, topk, vectors
+from .common import WORD, table
 
 
 def op1_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,36 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(rows, rows.filter("vec_id % 20 = 0"), k=20)
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents in which one of ten ids repeats a part of its words up to the end, at least three times.
+
+    With h the crc32 of the id and g = floor(h / 10), words from a = g % n on take the period
+    1 + floor((n - a) / (3 + g % 8)).  Texts without words and rows without an id stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    planted = docs.withColumn("_h", h).withColumn("_words", F.when((h % 10 == 0) & (F.length("text") > 0), words))
+    n = F.size("_words")
+    g = F.floor(F.col("_h") / 10)
+    planted = planted.withColumn("_n", n).withColumn("_a", F.when(n > 0, g % n))
+    planted = planted.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)))
+    taken = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    repeated = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.get("_words", taken(i).cast("int")))
+    text = F.when(F.col("_n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))
+    return planted.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    best = F.col("strongest")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(best["length"] * 1000 / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 REGISTRY = {
     "op1_compact_window_passages": op1_compact_window_passages,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
@@ -104,6 +134,7 @@ REGISTRY = {
     "op8_markov_secrets": op8_markov_secrets,
     "op9_mixture_language": op9_mixture_language,
     "op10_voronoi_topk": op10_voronoi_topk,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL = {

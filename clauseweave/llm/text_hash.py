@@ -81,14 +81,17 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(inside & ~after) + 1
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (A-Z lower-cased) and, for each text, the number of its first word."""
+def word_hashes(
+    raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None, fold: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z lower-cased if ``fold``) and, for each text, the number of its first word."""
     starts, ends = runs(~_SPACE[raw] if inside is None else inside, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     power, inverse = _power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[raw] + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+    letters = _LOWER[raw] if fold else raw.astype(np.uint64)
+    np.cumsum((letters + np.uint64(1)) * power[: len(raw)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(h + (ends - starts).astype(np.uint64) * _STEP), np.searchsorted(starts, offsets)
 
