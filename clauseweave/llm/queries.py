@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, near_dedup, passages, quality, runs, secrets, shards, topk, vectors
+from . import ann, bpe, langid, mixing, near_dedup, negatives, passages, quality, runs, secrets, shards, topk, vectors
 from .common import WORD, table
 
 
@@ -93,6 +93,12 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(rows, rows.filter("vec_id % 20 = 0"), k=20)
 
 
+def op12_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.whole_numbers(table(spark, sf_dir, "embeddings"), label)
+    return negatives.hard_negatives(rows, anchors_every=100, positives=5, negatives=5)
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """Documents in which one of ten ids repeats a part of its words up to the end, at least three times.
 
@@ -134,6 +140,7 @@ REGISTRY = {
     "op8_markov_secrets": op8_markov_secrets,
     "op9_mixture_language": op9_mixture_language,
     "op10_voronoi_topk": op10_voronoi_topk,
+    "op12_hilbert_negatives": op12_hilbert_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -211,4 +218,22 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_hilbert_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, list_dot_product(a.v, d.v)::BIGINT AS score
+  FROM v a JOIN v d ON a.vec_id % 100 = 0 AND a.vec_id <> d.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+  (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5""",
 }
