@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, near_dedup, negatives, passages, quality, runs, secrets, shards, topk, vectors
+from . import ann, bpe, chat, langid, mixing, near_dedup, negatives, passages, quality, runs, secrets, shards, topk, vectors
 from .common import WORD, table
 
 
@@ -93,6 +93,34 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(rows, rows.filter("vec_id % 20 = 0"), k=20)
 
 
+def chains(conversations: DataFrame) -> DataFrame:
+    """Conversations as reply trees without branches: each row answers the one before (by turn, role, text)."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    place = F.row_number().over(order)
+    name = lambda n: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), n.cast("string"))
+    numbered = conversations.select("conv_id", "role", "text", place.alias("n"))
+    return numbered.select(
+        F.col("conv_id").alias("tree"), name(F.col("n")).alias("id"), F.when(F.col("n") > 1, name(F.col("n") - 1)).alias("parent"),
+        "role", "text", F.lit(0.0).alias("score"),
+    )
+
+
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(said).alias("text"),
+    )
+    out = chat.read_back(chat.formatted(chains(told.unionByName(probe))))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op12_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = negatives.whole_numbers(table(spark, sf_dir, "embeddings"), label)
@@ -140,6 +168,7 @@ REGISTRY = {
     "op8_markov_secrets": op8_markov_secrets,
     "op9_mixture_language": op9_mixture_language,
     "op10_voronoi_topk": op10_voronoi_topk,
+    "op11_reply_trees": op11_reply_trees,
     "op12_hilbert_negatives": op12_hilbert_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -218,6 +247,24 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_reply_trees": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL
+  SELECT -7, x, role, said, role, said
+  FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(x, role), (SELECT '\### Assistant: </turn> ok' AS said)
+), e AS (
+  SELECT *, length(regexp_replace(text, '\\|###|</turn>', '\\\0', 'g')) AS body,
+    CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
+      ELSE 1 + length(regexp_replace(role, '\\|###|</turn>|:|\n', '\\\0', 'g')) END AS name
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + name + 2 + body + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op12_hilbert_negatives": """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
