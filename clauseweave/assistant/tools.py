@@ -127,13 +127,14 @@ class SpecTools:
         chunks: DataFrame,
         *,
         alignments: DataFrame | None = None,
-        index: Bm25Index | None = None,
+        index: Bm25Index | str | None = None,
         specification: str = "3GPP TS 24.501",
         version: str = "19.2.0",
         max_excerpt_chars: int = EXCERPT_CHARS,
     ) -> None:
         self.nodes, self.edges, self.chunks = nodes, edges, chunks
-        self.index = index or Bm25Index(chunks)
+        # a path names a stored index, so that a search reads its own terms only
+        self.index = Bm25Index.stored(chunks, index) if isinstance(index, str) else index or Bm25Index(chunks)
         self.specification, self.version = specification, version
         self.max_excerpt_chars = max_excerpt_chars
         self.alignments = None

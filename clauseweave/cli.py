@@ -50,6 +50,7 @@ def command(name: str, *options: tuple[tuple[str, ...], dict]) -> Callable[[Comm
 
 _GRAPH = option("--graph", required=True)
 _CHUNKS = option("--chunks", required=True)
+_INDEX = option("--index", help="folder of a stored index; written on first use")
 _OUTPUT = option("--output", required=True)
 _REPORT = option("--output")
 _SHOWN = option("--max-text-chars", type=int, default=700)
@@ -180,13 +181,18 @@ def ingest_spec(spark, args):
     }
 
 
+def _index(args, chunks) -> Bm25Index:
+    """The index of the chunks: a stored one where a folder is named, which a later search then reads."""
+    return Bm25Index.stored(chunks, args.index) if args.index else Bm25Index(chunks)
+
+
 @command(
-    "search-spec", option("query"), _CHUNKS, option("--top-k", type=int, default=5), option("--section"), _SHOWN
+    "search-spec", option("query"), _CHUNKS, _INDEX, option("--top-k", type=int, default=5), option("--section"), _SHOWN
 )
 def search_spec(spark, args):
     """Rank chunks with BM25."""
     chunks = read_chunks(spark, args.chunks)
-    hits = Bm25Index(chunks).search(args.query, top_k=args.top_k, section_prefix=args.section)
+    hits = _index(args, chunks).search(args.query, top_k=args.top_k, section_prefix=args.section)
     rows = attach_chunks(hits, chunks).select(
         "rank",
         "chunk_id",
@@ -309,13 +315,14 @@ def align(spark, args):
 @command(
     "eval-retrieval",
     _CHUNKS,
+    _INDEX,
     option("--questions", required=True),
     option("--top-k", type=int, default=5),
     _REPORT,
 )
 def eval_retrieval(spark, args):
     """Measure recall and MRR on section-labelled questions."""
-    index = Bm25Index(read_chunks(spark, args.chunks))
+    index = _index(args, read_chunks(spark, args.chunks))
     summary, results = evaluate_bm25(index, read_questions(spark, args.questions), top_k=args.top_k)
     rows = [r.asDict(recursive=True) for r in results.collect()]
     return _report({**_one(summary), "results": rows}, args.output)
@@ -347,6 +354,7 @@ def build_vector(spark, args):
     "search-hybrid",
     option("query"),
     _CHUNKS,
+    _INDEX,
     option("--vectors", required=True),
     option("--model", default=DEFAULT_EMBEDDER),
     option("--top-k", type=int, default=5),
@@ -357,7 +365,7 @@ def search_hybrid(spark, args):
     """Fuse lexical and dense rankings."""
     chunks = read_chunks(spark, args.chunks)
     vector = _sentence_embedder(args.model)()([args.query])[0]
-    lexical = Bm25Index(chunks).search(args.query, top_k=args.candidate_k)
+    lexical = _index(args, chunks).search(args.query, top_k=args.candidate_k)
     dense = vector_search(spark.read.parquet(args.vectors), list(vector), top_k=args.candidate_k)
     fused = reciprocal_rank_fusion(lexical, dense, top_k=args.top_k)
     rows = chunks.join(F.broadcast(fused), "chunk_id").select(

@@ -12,20 +12,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sections import under_prefix
 from ..functions.text import tokenize, tokenize_literal
-from ..session import broadcast_within, materialize, top_k_per_group
+from ..session import broadcast_within, materialize, number_ordered, top_k_per_group
+from . import block_max
 
-# A vocabulary up to this size is shipped inside the plan as a hash set.
-LITERAL_VOCABULARY = 20_000
-TERM_BUCKETS = 256
-# Many-query scores are summed as integers of this resolution: the sum is then
-# the same in any order, on any partitioning and after any task retry.
-SCORE_UNIT = float(2**40)
-MASK_BITS = 62
+# A stored index has one bucket of terms for so many postings.
+BUCKET_POSTINGS = 4_000_000
+# One of so many blocks of chunks is scored first, for a score that later blocks must reach.
+SEED_BLOCKS = 16
 
 _DOCUMENT = ("chunk_id", "section", "content_type", "doc_len")
 
@@ -37,44 +35,35 @@ class Bm25Params:
     title_boost: int = 4
 
 
-def document_terms(chunks: DataFrame, title_boost: int = 4) -> DataFrame:
-    """One row per chunk with its sorted indexed tokens and its length."""
+def document_tokens(chunks: DataFrame, title_boost: int = 4) -> DataFrame:
+    """One row per chunk with its indexed tokens and their number."""
     tokens = F.concat(
         tokenize(F.col("text")),
         F.flatten(F.array_repeat(tokenize(F.col("section_title")), title_boost)),
         F.array(F.lower(F.col("section"))),
     )
-    return chunks.select(
-        "chunk_id", "section", "content_type", F.sort_array(tokens).alias("terms")
-    ).withColumn("doc_len", F.size("terms"))
-
+    return chunks.select("chunk_id", "section", "content_type", tokens.alias("terms")).withColumn("doc_len", F.size("terms"))
 
-def _term_counts(terms: str) -> Column:
-    """Run lengths of a sorted array column, as array<struct<term,tf>>.
 
-    Reads the column named ``terms`` and its run starts in ``_starts``.
-    """
-    return F.transform(
-        F.col("_starts"),
-        lambda start, i: F.struct(
-            F.get(F.col(terms), start).alias("term"),
-            (F.coalesce(F.get(F.col("_starts"), i + 1), F.size(terms)) - start).alias("tf"),
-        ),
-    )
+def document_terms(chunks: DataFrame, title_boost: int = 4) -> DataFrame:
+    """The same with the tokens sorted."""
+    return document_tokens(chunks, title_boost).withColumn("terms", F.sort_array("terms"))
 
 
 def _with_term_counts(documents: DataFrame, terms: str, out: str) -> DataFrame:
-    starts = F.filter(
-        F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1)).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda i: (i == 0) | (F.get(F.col(terms), i) != F.get(F.col(terms), i - 1)),
-    )
-    return (
-        documents.withColumn("_starts", starts)
-        .withColumn(out, _term_counts(terms))
-        .drop("_starts")
+    """Adds the counts of a sorted array of tokens, as array<struct<term,tf>>.
+
+    The tokens are joined with a mark that none of them holds, and one pass of a regular
+    expression finds the runs of equal ones.
+    """
+    joined = F.concat(F.array_join(terms, "\n"), F.lit("\n"))
+    runs = F.when(F.size(terms) > 0, F.regexp_extract_all(joined, F.lit(r"([^\n]*+\n)\1*+"), F.lit(0)))
+    counts = F.zip_with(
+        F.array_distinct(terms),
+        F.coalesce("_runs", F.array().cast("array<string>")),
+        lambda term, run: F.struct(term.alias("term"), (F.octet_length(run) / (F.octet_length(term) + 1)).cast("int").alias("tf")),
     )
+    return documents.withColumn("_runs", runs).withColumn(out, counts).drop("_runs")
 
 
 def explode_postings(documents: DataFrame) -> DataFrame:
@@ -93,16 +82,6 @@ def _explode_counts(counted: DataFrame) -> DataFrame:
     return exploded.select(*rest, "p.term", "p.tf").filter(F.col("term").isNotNull())
 
 
-def _number_rows(documents: DataFrame) -> DataFrame:
-    """Add ``row_no``, increasing with (section, chunk_id), and fix it by checkpoint.
-
-    Ranking ties are broken by that pair, so from here on one long stands for
-    both the chunk and its place among equals.
-    """
-    ordered = documents.orderBy("section", "chunk_id")
-    return materialize(ordered.withColumn("row_no", F.monotonically_increasing_id()))
-
-
 def corpus_stats(documents: DataFrame) -> DataFrame:
     """One row: number of chunks and average length over the whole corpus."""
     return documents.agg(
@@ -176,50 +155,87 @@ class Bm25Index:
         return explode_postings(self.documents())
 
     def stats(self) -> DataFrame:
+        """One row (n, avg_len); of a stored index by adding what each part of it counted."""
+        if self._stored:
+            parts = self._stored["stats"].agg(F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"))
+            return parts.select("n", (F.col("total") / F.col("n")).alias("avg_len"))
         return corpus_stats(self.doc_lengths())
 
+    def frequencies(self) -> DataFrame:
+        """(term, df) for the whole vocabulary."""
+        if self._stored:
+            return self._stored["terms"].groupBy("term").agg(F.sum("df").alias("df"))
+        return document_frequencies(self.postings())
+
     def idf(self) -> DataFrame:
         """(term, df, idf) for the whole vocabulary."""
-        if self._stored:
-            return self._stored["terms"]
-        n = self.chunks.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-        df = document_frequencies(self.postings())
-        return df.withColumn("idf", idf_column(n, F.col("df")))
+        n = self.stats().select(F.col("n").cast("double")) if self._stored else self.chunks.agg(F.count(F.lit(1)).cast("double").alias("n"))
+        return self.frequencies().withColumn("idf", idf_column(n.scalar(), F.col("df")))
 
     def save(self, path: str) -> None:
-        """Write documents, term statistics and term-bucketed postings as Parquet.
+        """Write the index as Parquet, or add the chunks to one that is there.
 
-        Postings are clustered by term bucket and sorted by term, so a search
-        reads only the row groups of its own terms.  A term in a third of all
-        chunks is spread over salted partitions instead of one task.
+        Postings lie in buckets of terms, sorted by term inside, so a search opens the buckets
+        of its terms and, in them, the row groups whose range of terms holds one.  A term in a
+        third of all chunks is spread over salted partitions instead of one task.  Statistics
+        are kept as counts (chunks, total length, chunks of a term), which add up over parts,
+        so an index grows by appending; the number of buckets is set by the first part.
         """
+        spark = self.chunks.sparkSession
         documents = materialize(self.documents())
         postings = explode_postings(documents)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+        there = _written(spark, f"{path}/stats")
+        if there:
+            buckets = spark.read.parquet(f"{path}/stats").agg(F.max("buckets")).first()[0]
+        else:
+            buckets = max(1, -(-postings.count() // BUCKET_POSTINGS))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(16))
         (
             postings.withColumn("term_bucket", bucket)
             .repartition("term_bucket", salt)
             .sortWithinPartitions("term_bucket", "term")
-            .write.mode("errorifexists")
+            .write.mode("append")
             .partitionBy("term_bucket")
             .parquet(f"{path}/postings")
         )
-        documents.select(*_DOCUMENT).write.parquet(f"{path}/documents")
-        n = documents.count()
-        terms = document_frequencies(postings)
-        terms.withColumn("idf", idf_column(F.lit(float(n)), F.col("df"))).write.parquet(f"{path}/terms")
+        documents.select(*_DOCUMENT).write.mode("append").parquet(f"{path}/documents")
+        frequencies = document_frequencies(postings).withColumn("term_bucket", bucket)
+        (
+            frequencies.repartition("term_bucket").sortWithinPartitions("term").write.mode("append")
+            .partitionBy("term_bucket").parquet(f"{path}/terms")
+        )
+        p = self.params
+        counted = documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("doc_len").cast("long")), F.lit(0)).alias("total"))
+        settings = {"buckets": F.lit(buckets).cast("long"), "k1": F.lit(float(p.k1)), "b": F.lit(float(p.b)), "title_boost": F.lit(p.title_boost)}
+        # last, so that a part without its counts is one that failed
+        counted.select("*", *[v.alias(c) for c, v in settings.items()]).write.mode("append").parquet(f"{path}/stats")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, *, k1: float = 1.5, b: float = 0.75) -> "Bm25Index":
+    def load(cls, spark: SparkSession, path: str) -> "Bm25Index":
         index = cls.__new__(cls)
         index.chunks = None
-        index.params = Bm25Params(k1, b)
-        index._stored = {
-            name: spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "terms")
-        }
+        index._stored = {name: spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "terms", "stats")}
+        first = index._stored["stats"].first()
+        index.params = Bm25Params(first["k1"], first["b"], first["title_boost"])
+        index._buckets = first["buckets"]
         return index
 
+    @classmethod
+    def stored(cls, chunks: DataFrame, path: str) -> "Bm25Index":
+        """The index at ``path``, written from ``chunks`` if there is none."""
+        spark = chunks.sparkSession
+        if not _written(spark, f"{path}/stats"):
+            cls(chunks).save(path)
+        return cls.load(spark, path)
+
+    def _bucket_of(self, terms: Sequence[str]) -> Column:
+        """Whether a stored row is in a bucket of ``terms``: a filter on the partition column, known to the planner."""
+        spark = self._stored["stats"].sparkSession
+        named = spark.createDataFrame([(t,) for t in terms], "term string")
+        ids = named.select(F.pmod(F.xxhash64("term"), F.lit(self._buckets)).cast("int")).distinct().collect()  # at most len(terms)
+        return F.col("term_bucket").isin([r[0] for r in ids]) & F.col("term").isin(list(terms))
+
     # -- single query -----------------------------------------------------
 
     def search(
@@ -234,27 +250,15 @@ class Bm25Index:
         if top_k < 1:
             raise ValueError("top_k must be at least 1")
         terms = tokenize_literal(query)
-        counts = self._literal_counts(terms)
-        if not terms:
-            counts = counts.filter(F.lit(False))
-        measured = counts.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.col("doc_len").cast("long")).alias("total"),
-            *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))],
-        )
-        n = F.col("n").cast("double")
-        row = measured.select(
-            (F.col("total").cast("double") / F.col("n")).alias("avg_len"),
-            F.array(
-                *[idf_column(n, F.col(f"df{i}")) for i in range(len(terms))], F.lit(0.0)
-            ).alias("idf"),
-        ).first()
-        avg_len = row["avg_len"] or 1.0
+        if self._stored:
+            counts, idf, avg_len = self._stored_counts(terms)
+        else:
+            counts, idf, avg_len = self._scanned_counts(terms)
 
         score = F.lit(0.0)
         for i in range(len(terms)):
             tf = F.get("tf", F.lit(i))
-            part = _partial_score(F.lit(row["idf"][i]), tf, F.col("doc_len"), F.lit(avg_len), self.params)
+            part = _partial_score(F.lit(idf[i]), tf, F.col("doc_len"), F.lit(avg_len), self.params)
             score = score + F.when(tf > 0, part).otherwise(F.lit(0.0))
         matched = F.array_compact(
             F.array(
@@ -271,37 +275,42 @@ class Bm25Index:
         )
         return _number(hits)
 
-    def _literal_counts(self, terms: Sequence[str]) -> DataFrame:
-        """Per chunk its length and, aligned with ``terms``, the term counts."""
-        wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-        if self._stored:
-            buckets = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
-            spark = self._stored["postings"].sparkSession
-            named = spark.createDataFrame([(t,) for t in terms], "term string")
-            ids = [r[0] for r in named.select(buckets).distinct().collect()]  # at most len(terms)
-            hits = self._stored["postings"].filter(
-                F.col("term_bucket").isin(ids) & F.col("term").isin(list(terms))
-            )
-            counted = hits.groupBy("chunk_id").agg(
-                F.array(
-                    *[
-                        F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0))
-                        for t in terms
-                    ]
-                )
-                .cast("array<int>")
-                .alias("tf")
-            )
-            return self._stored["documents"].join(counted, "chunk_id", "left")
-        documents = self.documents()
+    def _stored_counts(self, terms: Sequence[str]) -> tuple[DataFrame, list[float], float]:
+        """Per chunk that has one of ``terms`` their counts; the idf of each term, the mean length."""
         if not terms:
-            return documents.select(*_DOCUMENT, F.array().cast("array<int>").alias("tf"))
-        hits = F.filter("terms", lambda t: t.isin(list(terms)))
-        counted = documents.select(*_DOCUMENT, hits.alias("hits")).select(
-            *_DOCUMENT,
-            F.transform(wanted, lambda w: F.size(F.filter("hits", lambda h: h == w))).alias("tf"),
+            empty = self._stored["documents"].limit(0)
+            return empty.withColumn("tf", F.array().cast("array<int>")), [], 1.0
+        stats = self.stats().first()
+        mine = self._bucket_of(terms)
+        found = self._stored["terms"].filter(mine).groupBy("term").agg(F.sum("df").alias("df"))
+        idf = dict(found.select("term", idf_column(F.lit(float(stats["n"])), F.col("df"))).collect())  # at most len(terms)
+        hits = self._stored["postings"].filter(mine)
+        counted = hits.groupBy(*_DOCUMENT).agg(
+            F.array(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)) for t in terms]).cast("array<int>").alias("tf")
+        )
+        return counted, [idf.get(t, 0.0) for t in terms], stats["avg_len"] or 1.0
+
+    def _scanned_counts(self, terms: Sequence[str]) -> tuple[DataFrame, list[float], float]:
+        """The same from a corpus that is not indexed: one pass over its texts."""
+        documents = document_tokens(self.chunks, self.params.title_boost)
+        if not terms:
+            return documents.select(*_DOCUMENT, F.array().cast("array<int>").alias("tf")).limit(0), [], 1.0
+        hits = documents.select(*_DOCUMENT, F.filter("terms", lambda t: t.isin(list(terms))).alias("hits"))
+        # one expression a term: as the body of one lambda the filter would be evaluated once for each
+        occurring = lambda term: F.size(F.filter("hits", lambda hit: hit == term))
+        tf = F.array(*[occurring(t) for t in terms])
+        counts = materialize(hits.select(*_DOCUMENT, tf.alias("tf")))
+        measured = counts.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.col("doc_len").cast("long")).alias("total"),
+            *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))],
         )
-        return materialize(counted)
+        n = F.col("n").cast("double")
+        row = measured.select(
+            (F.col("total").cast("double") / F.col("n")).alias("avg_len"),
+            F.array(*[idf_column(n, F.col(f"df{i}")) for i in range(len(terms))]).alias("idf"),
+        ).first()
+        return counts, row["idf"], row["avg_len"] or 1.0
 
     # -- many queries -----------------------------------------------------
 
@@ -313,12 +322,11 @@ class Bm25Index:
         section_prefix: str | None = None,
         content_types: Iterable[str] | None = None,
     ) -> DataFrame:
-        """Rank every query of ``queries(query_id, query)`` in one job.
+        """Rank every query of ``queries(query_id, query)`` together, with the scores of :meth:`search`.
 
-        Chunks are cut down to the query vocabulary before anything moves, then
-        numbered and hash-partitioned once; the per-(query, chunk) sum works on
-        two longs and reuses that partitioning.  Each task keeps at most
-        ``top_k`` hits per query before the final ranking.
+        Chunks are cut down to the query vocabulary before anything moves.  Of all
+        (query, chunk) pairs that share a term only those are scored that can be
+        among the first ``top_k`` (see :mod:`block_max`).
         """
         if top_k < 1:
             raise ValueError("top_k must be at least 1")
@@ -328,95 +336,96 @@ class Bm25Index:
         )
         worded = materialize(worded.filter(F.size("terms") > 0))
         searches = materialize(
-            worded.select("terms").distinct().withColumn("search_no", F.monotonically_increasing_id())
+            number_ordered(worded.select("terms").distinct().orderBy("terms"), "search_no")
         )
         terms = searches.select("search_no", F.posexplode("terms").alias("pos", "term"))
-        vocabulary = terms.select("term").distinct()
-        words = [r[0] for r in vocabulary.limit(LITERAL_VOCABULARY + 1).collect()]
-        keep = _candidate_filter(section_prefix, content_types)
-        if self._stored:
-            documents = _number_rows(self._stored["documents"])
-            hits = self._stored["postings"].select("chunk_id", "term", "tf")
-            hits = hits.join(broadcast_within(vocabulary), "term", "left_semi")
-            frequencies = document_frequencies(hits)
-            hits = hits.join(documents.filter(keep), "chunk_id")
-        elif len(words) <= LITERAL_VOCABULARY:
-            documents = _number_rows(self._vocabulary_counts(words))
-            frequencies = document_frequencies(
-                documents.select(F.explode("counts.term").alias("term"))
-            )
-            kept = documents.filter(keep).select("row_no", "doc_len", "counts")
-            # A named count: each byte here expands to many scores, so the
-            # partitions must not be coalesced by their size.
-            spread_to = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            hits = _explode_counts(kept.repartition(spread_to, "row_no"))
-        else:
-            documents = _number_rows(self.documents())
-            hits = explode_postings(documents).join(broadcast_within(vocabulary), "term", "left_semi")
-            frequencies = document_frequencies(hits)
-            hits = hits.filter(keep)
-        stats = corpus_stats(documents).first()
-
-        n, avg_len = float(stats["n"]), float(stats["avg_len"] or 1.0)
-        weighted = terms.join(
-            frequencies.withColumn("idf", idf_column(F.lit(n), F.col("df"))), "term"
-        ).select("search_no", "pos", "term", "idf")
-        weighted = materialize(weighted)
-        partial = _partial_score(
-            F.col("idf"), F.col("tf"), F.col("doc_len"), F.lit(avg_len), self.params
-        )
-        last = terms.agg(F.max("pos")).first()[0] or 0
-        masks = [f"mask{i}" for i in range(last // MASK_BITS + 1)]
-        bit = F.expr(f"shiftleft(1L, pos % {MASK_BITS})")
-        scored = (
-            hits.select("row_no", "doc_len", "term", "tf")
-            .join(broadcast_within(weighted), "term")
-            .groupBy("row_no", "search_no")
-            .agg(
-                F.sum(F.floor(partial * F.lit(SCORE_UNIT))).alias("units"),
-                *[
-                    F.bit_or(
-                        F.when(F.floor(F.col("pos") / MASK_BITS) == i, bit).otherwise(F.lit(0))
-                    ).alias(mask)
-                    for i, mask in enumerate(masks)
-                ],
-            )
+        documents, stats, frequencies = self._vocabulary_documents(
+            terms.select("term").distinct(), _candidate_filter(section_prefix, content_types)
         )
-        order = [F.col("units").desc(), F.col("row_no")]
-        ranked = top_k_per_group(scored, ["search_no"], order, top_k)
-        used = F.filter(
-            "terms",
-            lambda term, pos: F.bit_get(
-                F.get(F.array(*masks), (pos / MASK_BITS).cast("int")), pos % MASK_BITS
-            )
-            == 1,
+        n, avg_len = float(stats["n"] or 0), float(stats["avg_len"] or 1.0)
+        idf = frequencies.select("term", idf_column(F.lit(n), F.col("df")).alias("idf"))
+        weights = materialize(terms.join(idf, "term").select("search_no", "pos", "term", "idf"))
+        near = self._near(documents.filter("keep"), weights, avg_len, top_k)
+        scored = self._scores(documents, near, weights, avg_len)
+        ranked = top_k_per_group(scored, ["search_no"], [*_ranking(), F.col("row_no")], top_k)
+        return worded.join(ranked.join(searches, "search_no"), "terms").select(
+            "query_id", "rank", "chunk_id", "section", "score", "matched_terms"
         )
-        found = (
-            ranked.join(searches, "search_no")
-            .withColumn("matched_terms", used)
-            .join(documents.select("row_no", "chunk_id", "section"), "row_no")
-        )
-        return worded.join(found, "terms").select(
-            "query_id",
-            "rank",
+
+    def _vocabulary_documents(self, vocabulary: DataFrame, keep: Column) -> tuple[DataFrame, Row, DataFrame]:
+        """Chunks with the counts of their terms (row_no, keep, terms, tfs), corpus statistics, and (term, df)."""
+        bare = ("row_no", "chunk_id", "section", "doc_len", "keep")
+        if self._stored:
+            bucket = F.pmod(F.xxhash64("term"), F.lit(self._buckets)).cast("int")
+            wanted = broadcast_within(vocabulary.withColumn("term_bucket", bucket))
+            read = self._stored["postings"].join(wanted, ["term_bucket", "term"], "left_semi")
+            counted = read.groupBy(*_DOCUMENT).agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+            numbered = counted.withColumn("row_no", F.monotonically_increasing_id()).withColumn("keep", keep)
+            known = self._stored["terms"].join(wanted, ["term_bucket", "term"], "left_semi")
+            return materialize(numbered.select(*bare, "terms", "tfs")), self.stats().first(), known.groupBy("term").agg(F.sum("df").alias("df"))
+        counted = _with_term_counts(self.documents(), "terms", "counts")
+        numbered = counted.withColumn("row_no", F.monotonically_increasing_id()).withColumn("keep", keep)
+        documents = materialize(numbered.select(*bare, F.col("counts.term").alias("terms"), F.col("counts.tf").alias("tfs")))
+        postings = documents.select(F.explode_outer("terms").alias("term")).join(broadcast_within(vocabulary), "term", "left_semi")
+        return documents, corpus_stats(documents).first(), document_frequencies(postings)
+
+    def _near(self, documents: DataFrame, weights: DataFrame, avg_len: float, top_k: int) -> DataFrame:
+        """(search_no, row_no): all chunks that can be among the first ``top_k`` of a search, and few others."""
+        p = self.params
+
+        def factor(tf, length):
+            return tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length / avg_len))
+
+        weighted = weights.select("search_no", "term", F.col("idf").alias("weight"))
+        blocks = block_max.packed(documents)
+
+        last = weights.agg(F.max("search_no")).first()[0] or 0
+        every = F.explode(F.sequence(F.lit(0), F.lit(last // block_max.SEARCHES)))
+
+        def best(blocks: DataFrame, least: DataFrame | None) -> DataFrame:
+            batches = broadcast_within(block_max.batched(weighted, least), 64)
+            return materialize(block_max.found(blocks.withColumn("batch", every), batches, factor, top_k))
+
+        seeds = best(blocks.filter(F.pmod(F.xxhash64(F.get("rows", F.lit(0))), F.lit(SEED_BLOCKS)) == 0), None)
+        near = best(blocks, _kth(seeds, top_k))
+        least = _kth(near, top_k)
+        return near.join(broadcast_within(least), "search_no", "left").filter(
+            F.col("about") * (1 + block_max.SLACK) >= F.coalesce("least", F.lit(0.0))
+        ).select("search_no", "row_no")
+
+    def _scores(self, documents: DataFrame, pairs: DataFrame, weights: DataFrame, avg_len: float) -> DataFrame:
+        """Scores of (search_no, row_no) pairs, parts added in the order of the query's terms, as :meth:`search` adds them."""
+        rows = documents.join(broadcast_within(pairs), "row_no")
+        hits = rows.select("search_no", "row_no", "chunk_id", "section", "doc_len", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+        hits = hits.select("*", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")).drop("p")
+        parts = hits.join(broadcast_within(weights), ["search_no", "term"])
+        part = _partial_score(F.col("idf"), F.col("tf"), F.col("doc_len"), F.lit(avg_len), self.params)
+        ordered = F.array_sort(F.collect_list(F.struct("pos", part.alias("part"), "term"))).alias("parts")
+        return parts.groupBy("search_no", "row_no", "chunk_id", "section").agg(ordered).select(
+            "search_no",
+            "row_no",
             "chunk_id",
             "section",
-            (F.col("units") / F.lit(SCORE_UNIT)).alias("score"),
-            "matched_terms",
+            F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["part"]).alias("score"),
+            F.transform("parts", lambda p: p["term"]).alias("matched_terms"),
         )
 
-    def _vocabulary_counts(self, words: Sequence[str]) -> DataFrame:
-        """Per chunk its length and the counts of the words that occur."""
-        documents = self.documents()
-        known = F.filter("terms", lambda t: t.isin(list(words))) if words else F.array().cast("array<string>")
-        kept = documents.select(*_DOCUMENT, known.alias("terms"))
-        return _with_term_counts(kept, "terms", "counts").drop("terms")
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """(search_no, least): what the k-th best score of a search reaches, for those with k found."""
+    ranked = top_k_per_group(found, ["search_no"], [F.desc("about"), F.col("row_no")], k)
+    kth = ranked.filter(F.col("rank") == k)
+    return kth.select("search_no", (F.col("about") * (1 - block_max.SLACK)).alias("least"))
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, in whatever store Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def _number(hits: DataFrame) -> DataFrame:
     """Number an already ranked and limited result from 1."""
-    from pyspark.sql import Window
-
     window = Window.orderBy(*_ranking())
     return hits.withColumn("rank", F.row_number().over(window))
 

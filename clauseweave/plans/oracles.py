@@ -448,6 +448,7 @@ SQL: dict[str, str] = {
     "bm25_stats": f"WITH {INDEX} SELECT n, round(avg_len, 6) AS avg_len FROM stats",
     "bm25_idf": f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": _single("true", _HIT),
+    "bm25_stored_topk": _single("true", _HIT),
     "bm25_section_filter": _single("section = '4' OR starts_with(section, '4.')", _HIT),
     "bm25_type_filter": _single("content_type IN ('de', 'fr')", _HIT),
     "bm25_matched_terms": _single("true", "rank, chunk_id, matched_terms"),

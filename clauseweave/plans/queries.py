@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..operators.fusion import reciprocal_rank_fusion
 from ..operators.graph_build import SpecGraph
 from ..operators.graph_export import export_subgraph
 from ..operators.vector import vector_search
-from ..session import materialize, number_ordered
+from ..session import materialize, number_ordered, shared_folder
 from ..sources.chunks import duplicate_ids, parse_lines
 from . import adapters
 
@@ -81,6 +82,17 @@ def bm25_topk(spark, sf):
     return _hits(Bm25Index(adapters.chunks(spark, sf)).search(SEARCH_TEXT, top_k=20))
 
 
+@query
+def bm25_stored_topk(spark, sf):
+    """The same search over an index written to the shared folder in two parts and read by term."""
+    path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+    chunks = adapters.chunks(spark, sf)
+    odd = F.col("chunk_seq") % 2 == 1
+    for part in (chunks.filter(odd), chunks.filter(~odd)):
+        Bm25Index(part).save(path)
+    return _hits(Bm25Index.load(spark, path).search(SEARCH_TEXT, top_k=20))
+
+
 @query
 def bm25_section_filter(spark, sf):
     index = Bm25Index(adapters.chunks(spark, sf))

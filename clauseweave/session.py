@@ -35,20 +35,24 @@ def build_session(app_name: str = "clauseweave", master: str | None = None, **co
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    The folder is taken from ``spark.checkpoint.dir``.  A session on one machine
-    (unit tests, a laptop) that names none gets a temporary one; a cluster must
-    name it.
+    A session on one machine (unit tests, a laptop) that names none gets a
+    temporary one; a cluster must name it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="clauseweave-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -63,15 +63,68 @@ def test_search_matches_brute_force(spark, query):
     assert [r["score"] for r in many] == pytest.approx([-w[0] for w in want], abs=1e-9)
 
 
-def test_large_vocabulary_takes_the_join_path(spark, monkeypatch):
-    import clauseweave.operators.bm25 as module
-
-    index = Bm25Index(frame(spark, ROWS))
-    queries = spark.createDataFrame([(1, "the pump timer")], "query_id int, query string")
-    small = index.search_many(queries).collect()
-    assert small
-    monkeypatch.setattr(module, "LITERAL_VOCABULARY", 1)
-    assert index.search_many(queries).collect() == small
+def random_corpus(seed, n):
+    import random
+
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    heavy = [1 / (i + 1) for i in range(300)]  # a few words are everywhere
+    texts = [" ".join(draw.choices(words, heavy, k=draw.randrange(1, 80))) for _ in range(n)]
+    texts[n // 2 :: 7] = [texts[0]] * len(texts[n // 2 :: 7])  # ties
+    rows = [chunk(f"c{i:04d}", str(i % 5), "t" if i % 3 else texts[i - 1][:20], t) for i, t in enumerate(texts)]
+    queries = [" ".join(draw.choices(words, heavy, k=draw.randrange(1, 25))) for _ in range(40)]
+    return rows, queries + queries[:2] + ["zzz", "", "w0", "w299"]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_batch_search_equals_brute_force_and_scores_few_pairs(spark, tmp_path, monkeypatch, stored):
+    import clauseweave.operators.block_max as block_max
+
+    monkeypatch.setattr(block_max, "BLOCK_CHUNKS", 64)
+    monkeypatch.setattr(block_max, "PART_CHUNKS", 16)
+    monkeypatch.setattr(block_max, "SEARCHES", 16)
+    pairs = spark.sparkContext.accumulator(0)
+    rows, texts = random_corpus(3, 400)
+    index = Bm25Index(frame(spark, rows))
+    if stored:
+        index = Bm25Index.stored(frame(spark, rows), str(tmp_path / "index"))
+    scores = Bm25Index._scores
+
+    def counted(self, documents, near, *rest):
+        pairs.add(near.count())
+        return scores(self, documents, near, *rest)
+
+    monkeypatch.setattr(Bm25Index, "_scores", counted)
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    got = {}
+    for r in index.search_many(queries, top_k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["matched_terms"]))
+    every = 0
+    for number, text in enumerate(texts):
+        want = brute_force(rows, text, 10**6)
+        every += len(want)
+        assert sorted(got.get(number, [])) == [(k + 1, w[2], w[3]) for k, w in enumerate(want[:5])]
+    assert pairs.value < 0.1 * every, (pairs.value, every)
+    one = index.search(texts[0], top_k=5).orderBy("rank").collect()
+    many = [r for r in index.search_many(queries.filter("query_id = 0"), top_k=5).orderBy("rank").collect()]
+    assert [(r["chunk_id"], r["score"]) for r in one] == [(r["chunk_id"], r["score"]) for r in many]
+
+
+def test_parts_of_a_search_are_skipped_by_their_bounds():
+    """Chunks whose terms cannot reach the known k-th score are not multiplied out."""
+    import pyarrow as pa
+
+    import clauseweave.operators.block_max as block_max
+
+    searches = [{"search_no": 0, "least": 5.0, "parts": [{"term": "rare", "weight": 6.0}, {"term": "often", "weight": 1.0}]}]
+    batch = block_max._Searches(searches, 1)
+    often = np.array([batch.vocabulary.to_pylist().index("often")])
+    assert list(block_max._part_hits(batch, np.ones((4, 1)), often, np.arange(4))) == []
+    rare = np.array([batch.vocabulary.to_pylist().index("rare")])
+    (numbers, rows, scores), = block_max._part_hits(batch, np.array([[1.0], [0.0], [0.5]]), rare, np.arange(3))
+    assert (numbers.tolist(), rows.tolist(), scores.tolist()) == ([0], [0], [6.0])
+    empty = {c: pa.array([], t) for c, t in (("rows", pa.int64()), ("lengths", pa.int32()), ("sizes", pa.int32()), ("terms", pa.string()), ("tfs", pa.int32()))}
+    assert list(block_max._block_hits(batch, empty, lambda tf, n: tf)) == []
 
 
 def test_long_queries_report_every_matched_term(spark):
@@ -115,6 +168,26 @@ def test_saved_index_gives_the_same_hits(spark, tmp_path):
     assert stored.search_many(queries).collect() == index.search_many(queries).collect()
 
 
+def test_an_index_grows_by_parts(spark, tmp_path, monkeypatch):
+    import clauseweave.operators.bm25 as module
+
+    monkeypatch.setattr(module, "BUCKET_POSTINGS", 5)
+    path = str(tmp_path / "index")
+    for part in (ROWS[:2], ROWS[2:4], ROWS[4:]):
+        Bm25Index(frame(spark, part)).save(path)
+    stored, whole = Bm25Index.load(spark, path), Bm25Index(frame(spark, ROWS))
+    assert stored._buckets > 1
+    assert stored.stats().collect() == whole.stats().collect()
+    assert sorted(stored.idf().collect()) == sorted(whole.idf().collect())
+    for query in ("frost timer", "the spares drawing", "zzz", "?!"):
+        assert stored.search(query).collect() == whole.search(query).collect()
+    assert stored.search("the pump spares", section_prefix="2").collect() == whole.search("the pump spares", section_prefix="2").collect()
+    queries = spark.createDataFrame([(1, "frost timer"), (2, "order")], "query_id int, query string")
+    assert stored.search_many(queries).collect() == whole.search_many(queries).collect()
+    plan = stored.postings()._jdf.queryExecution().toString()
+    assert "term_bucket" in plan
+
+
 def make_embedder():
     """A local function, so that it is pickled by value."""
 
