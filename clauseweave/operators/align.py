@@ -2,8 +2,9 @@
 
 Items that ask the same question (equal label, description and provenance
 sections) are scored once and joined back, so a relation repeated on a third of
-all edges costs one scoring.  Provenance sections are matched by an equi-join;
-items without any go through one batched BM25 search.
+all edges costs one scoring.  Provenance sections are matched in blocks of a
+section's items and chunks (:mod:`section_match`), which hand on ids and counts
+of the best pairs only; items without any go through one batched BM25 search.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from ..functions.numeric import py_round
 from ..functions.sections import DEFAULT_SOURCE_TOKEN, provenance_sections
 from ..functions.text import normalize_entity, token_overlap, tokenize
 from ..session import broadcast_within, materialize, top_k_per_group
+from . import section_match
 from .bm25 import Bm25Index
 from .graph_query import attribute, edge_relations, node_label
 
@@ -56,11 +58,6 @@ def graph_items(nodes: DataFrame, edges: DataFrame, source_token: str = DEFAULT_
 _QUESTION = ("label", "description", "sections")
 
 
-def distinct_questions(items: DataFrame) -> DataFrame:
-    """One row per distinct (label, description, sections), keyed by its hash."""
-    return items.select(*_QUESTION).distinct().withColumn("qid", _qid())
-
-
 def _qid() -> Column:
     """Collision-safe key of a question (SHA-256 of its JSON rendering)."""
     return F.sha2(F.to_json(F.struct(*_QUESTION)), 256)
@@ -97,38 +94,39 @@ def overlap_component(overlap: Column) -> Column:
     )
 
 
-def prepare_chunks(chunks: DataFrame) -> DataFrame:
-    """What scoring needs of a chunk, computed once per chunk."""
-    return chunks.select(
-        "chunk_id",
-        F.col("section").alias("chunk_section"),
-        normalize_entity(F.col("text")).alias("norm_text"),
-        F.array_distinct(tokenize(F.col("text"))).alias("chunk_tokens"),
-    )
-
-
-def prepare_questions(questions: DataFrame) -> DataFrame:
+def item_tokens() -> Column:
+    """Distinct tokens of an item's description, or of its label where it has none."""
     described = F.coalesce(F.nullif("description", F.lit("")), F.col("label"))
-    return questions.withColumn("norm_label", normalize_entity(F.col("label"))).withColumn(
-        "item_tokens", F.array_distinct(tokenize(described))
-    )
+    return F.array_distinct(tokenize(described))
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Score rows carrying both prepared sides; keeps (qid, chunk_id, scores)."""
-    compared = pairs.select(
+def compared(pairs: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, chunk_id, name_match, section_match, shared, n_item, n_chunk) of pairs of ids.
+
+    Each text is folded and cut into tokens once, whatever the number of its pairs.
+    """
+    asked = questions.join(broadcast_within(pairs.select("qid").distinct()), "qid", "left_semi").select(
+        "qid", "sections", normalize_entity(F.col("label")).alias("norm_label"), item_tokens().alias("item_tokens")
+    )
+    held = chunks.join(broadcast_within(pairs.select("chunk_id").distinct()), "chunk_id", "left_semi").select(
+        "chunk_id", "section", normalize_entity(F.col("text")).alias("norm_text"), F.array_distinct(tokenize(F.col("text"))).alias("chunk_tokens")
+    )
+    return pairs.join(asked, "qid").join(held, "chunk_id").select(
         "qid",
         "chunk_id",
         ((F.col("norm_label") != "") & F.contains("norm_text", F.col("norm_label"))).alias("name_match"),
-        F.array_contains("sections", F.col("chunk_section")).alias("section_match"),
+        F.array_contains("sections", F.col("section")).alias("section_match"),
         F.size(F.array_intersect("chunk_tokens", "item_tokens")).alias("shared"),
         F.size("item_tokens").alias("n_item"),
         F.size("chunk_tokens").alias("n_chunk"),
     )
+
+
+def score_pairs(signals: DataFrame) -> DataFrame:
+    """Component scores and confidence of compared pairs."""
     overlap = token_overlap(F.col("shared"), F.col("n_item"), F.col("n_chunk"))
-    signals = compared.withColumn("overlap", overlap).drop("shared", "n_item", "n_chunk")
     part = lambda flag, weight: F.when(F.col(flag), F.lit(weight)).otherwise(F.lit(0.0))
-    return signals.select(
+    return signals.withColumn("overlap", overlap).select(
         "qid",
         "chunk_id",
         "name_match",
@@ -142,6 +140,20 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def section_pairs(questions: DataFrame, chunks: DataFrame, max_per_item: int) -> DataFrame:
+    """The best chunks of each question's sections as compared pairs: ``max_per_item`` from each block at most."""
+    asked = questions.select(
+        F.explode("sections").alias("section"), "qid", normalize_entity(F.col("label")).alias("label"), item_tokens().alias("tokens"),
+        (F.octet_length("label") + F.octet_length("description")).alias("size"),
+    )
+    held = chunks.select(
+        "section", "chunk_id", normalize_entity(F.col("text")).alias("text"), F.array_distinct(tokenize(F.col("text"))).alias("tokens"),
+        (2 * F.octet_length("text")).alias("size"),
+    )
+    weights = section_match.Weights(NAME_WEIGHT, OVERLAP_WEIGHT, OVERLAP_SATURATION)
+    return section_match.best_pairs(asked, held, weights, max_per_item).withColumn("section_match", F.lit(True))
+
+
 def _best(scored: DataFrame, max_per_item: int) -> DataFrame:
     order = [F.col("confidence").desc(), F.col("chunk_id")]
     return top_k_per_group(scored, ["qid"], order, max_per_item)
@@ -185,23 +197,14 @@ def align(
     source_token: str = DEFAULT_SOURCE_TOKEN,
 ) -> DataFrame:
     """Alignment rows with their item and rank order (item_seq, rank)."""
-    items = graph_items(nodes, edges, source_token).withColumn("qid", _qid())
-    questions = materialize(distinct_questions(items))
-    prepared = prepare_questions(questions)
-    facts = prepare_chunks(chunks)
-
-    # Scores of a section join: the small side is broadcast only when measured
-    # small, otherwise both sides meet in an AQE skew-split join on the section.
-    wanted = prepared.select("*", F.explode("sections").alias("chunk_section"))
-    direct = materialize(
-        _best(score_pairs(facts.join(broadcast_within(wanted), "chunk_section")), max_per_item)
-    )
-    unmatched = prepared.join(direct.select("qid").distinct(), "qid", "left_anti")
+    items = materialize(graph_items(nodes, edges, source_token).withColumn("qid", _qid()))
+    questions = items.select(*_QUESTION, "qid").dropDuplicates(["qid"])
+    direct = materialize(_best(score_pairs(section_pairs(questions, chunks, max_per_item)), max_per_item))
+    unmatched = materialize(questions.join(direct.select("qid").distinct(), "qid", "left_anti"))
     if not unmatched.isEmpty():
-        found = fallback_candidates(unmatched, Bm25Index(chunks), max_per_item)
-        # At most 2 * max_per_item rows per question, searched once.
-        picked = materialize(found).join(prepared, "qid")
-        fallback = _best(score_pairs(facts.join(broadcast_within(picked), "chunk_id")), max_per_item)
+        # At most 2 * max_per_item ids per question; only their texts are compared.
+        picked = materialize(fallback_candidates(unmatched, Bm25Index(chunks), max_per_item))
+        fallback = _best(score_pairs(compared(picked, unmatched, chunks)), max_per_item)
         direct = direct.unionByName(fallback)
     described = _describe(direct)
     return items.select("item_seq", "graph_item_id", "graph_item_type", "qid").join(

@@ -45,33 +45,39 @@ def packed(documents: DataFrame) -> DataFrame:
     return documents.select("row_no", "doc_len", "terms", "tfs").mapInArrow(pack, _BLOCK)
 
 
-def batched(weights: DataFrame, least: DataFrame | None = None) -> DataFrame:
-    """Batches of searches (batch, searches, least, search_at, terms, weights) from (search_no, term, weight).
-
-    ``least`` is (search_no, least): a score that the k-th best of a search is known to reach.
-    """
+def batched(weights: DataFrame) -> DataFrame:
+    """Batches of searches (batch, searches) from (search_no, term, weight)."""
     one = weights.groupBy("search_no").agg(F.collect_list(F.struct("term", "weight")).alias("parts"))
-    one = one.join(least, "search_no", "left") if least is not None else one.withColumn("least", F.lit(0.0))
-    batch = F.floor(F.col("_number") / SEARCHES).cast("int").alias("batch")
-    searches = F.array_sort(F.collect_list(F.struct("search_no", F.coalesce("least", F.lit(0.0)).alias("least"), "parts")))
-    return one.withColumn("_number", F.col("search_no")).groupBy(batch).agg(searches.alias("searches"))
+    batch = F.floor(F.col("search_no") / SEARCHES).cast("int").alias("batch")
+    return one.groupBy(batch).agg(F.collect_list(F.struct("search_no", "parts")).alias("searches"))
+
+
+def known(least: DataFrame) -> DataFrame:
+    """(batch, known): scores that the k-th best of some searches reach, from (search_no, least)."""
+    batch = F.floor(F.col("search_no") / SEARCHES).cast("int").alias("batch")
+    return least.groupBy(batch).agg(F.collect_list(F.struct("search_no", "least")).alias("known"))
 
 
 class _Searches:
     """A batch of searches as a sparse matrix by term, with the best scores each has met."""
 
-    def __init__(self, searches: list[dict], k: int) -> None:
-        self.numbers = np.array([s["search_no"] for s in searches], dtype=np.int64)
-        self.least = np.array([s["least"] for s in searches])
+    def __init__(self, searches: pa.StructArray, known: pa.StructArray | None, k: int) -> None:
+        parts = searches.field("parts")
+        flat = pc.list_flatten(parts)
+        self.numbers = searches.field("search_no").to_numpy()
+        self.least = np.zeros(len(searches))
+        if known is not None and len(known):
+            order = np.argsort(self.numbers)
+            at = order[np.searchsorted(self.numbers[order], known.field("search_no").to_numpy())]
+            self.least[at] = known.field("least").to_numpy()
         self.best = np.zeros((len(searches), k))
-        terms = [p["term"] for s in searches for p in s["parts"]]
-        at = np.repeat(np.arange(len(searches)), [len(s["parts"]) for s in searches])
-        coded = pa.array(terms, pa.string()).dictionary_encode()
+        at = np.repeat(np.arange(len(searches)), pc.list_value_length(parts).to_numpy())
+        coded = flat.field("term").dictionary_encode()
         code = coded.indices.to_numpy()
         order = np.argsort(code, kind="stable")
         self.vocabulary = coded.dictionary
         self.search = at[order]
-        self.weight = np.array([p["weight"] for s in searches for p in s["parts"]])[order]
+        self.weight = flat.field("weight").to_numpy()[order]
         self.first = np.searchsorted(code[order], np.arange(len(self.vocabulary) + 1))
 
     def entries(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +111,7 @@ def _part_hits(batch: _Searches, factors: np.ndarray, terms: np.ndarray, rows: n
 def found(blocks: DataFrame, batches: DataFrame, factor, k: int) -> DataFrame:
     """(search_no, row_no, about): all chunks that may be among the first ``k`` of a search, and few others.
 
+    ``blocks`` are (batch, ...) of :func:`packed`, ``batches`` (batch, searches, known).
     ``factor(tf, length)`` is a term's part of the score at weight 1.  Each block meets each
     batch (a stated set of searches against all chunks, in blocks).
     """
@@ -117,7 +124,7 @@ def found(blocks: DataFrame, batches: DataFrame, factor, k: int) -> DataFrame:
                 if number not in kept:
                     if len(kept) == _KEPT_BATCHES:
                         kept.clear()
-                    kept[number] = _Searches(frame.column("searches")[i].as_py(), k)
+                    kept[number] = _Searches(frame.column("searches")[i].values, frame.column("known")[i].values, k)
                 values = {c: frame.column(c)[i].values for c in ("rows", "lengths", "sizes", "terms", "tfs")}
                 for hits in _block_hits(kept[number], values, factor):
                     yield pa.RecordBatch.from_arrays([pa.array(h) for h in hits], names=["search_no", "row_no", "about"])

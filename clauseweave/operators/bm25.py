@@ -24,6 +24,8 @@ from . import block_max
 BUCKET_POSTINGS = 4_000_000
 # One of so many blocks of chunks is scored first, for a score that later blocks must reach.
 SEED_BLOCKS = 16
+# Searches of up to so many terms in all are sent to every task; more are joined by shuffle.
+BROADCAST_TERMS = 1_000_000
 
 _DOCUMENT = ("chunk_id", "section", "content_type", "doc_len")
 
@@ -382,9 +384,15 @@ class Bm25Index:
         last = weights.agg(F.max("search_no")).first()[0] or 0
         every = F.explode(F.sequence(F.lit(0), F.lit(last // block_max.SEARCHES)))
 
+        batches = materialize(block_max.batched(weighted))
+        few = weights.count() <= BROADCAST_TERMS
+
         def best(blocks: DataFrame, least: DataFrame | None) -> DataFrame:
-            batches = broadcast_within(block_max.batched(weighted, least), 64)
-            return materialize(block_max.found(blocks.withColumn("batch", every), batches, factor, top_k))
+            nothing = F.lit(None).cast("array<struct<search_no:long,least:double>>")
+            known = batches.withColumn("known", nothing) if least is None else batches.join(block_max.known(least), "batch", "left")
+            known = known.withColumn("known", F.coalesce("known", F.array().cast("array<struct<search_no:long,least:double>>")))
+            meeting = blocks.withColumn("batch", every)
+            return materialize(block_max.found(meeting, F.broadcast(known) if few else known, factor, top_k))
 
         seeds = best(blocks.filter(F.pmod(F.xxhash64(F.get("rows", F.lit(0))), F.lit(SEED_BLOCKS)) == 0), None)
         near = best(blocks, _kth(seeds, top_k))

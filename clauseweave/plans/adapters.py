@@ -126,7 +126,7 @@ def _attributes(**values: Column) -> Column:
 
 
 def topic_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One topic per document, described by its closing line; an edge to the next document.
+    """One topic per document, described by all its lines after the first; an edge to the next document.
 
     Every tenth topic and every edge of such a document carries no provenance.
     """
@@ -140,7 +140,7 @@ def topic_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         .when(F.col("doc_id") % 10 == 2, F.lit(OTHER_PROVENANCE))
         .otherwise(own)
     )
-    description = F.element_at(F.split("text", "\n"), -1)
+    description = F.regexp_extract("text", r"^[^\n]*\n((?s:.*))$", 1)
     nodes = documents.select(
         F.concat(F.lit("topic:"), F.col("doc_id").cast("string")).alias("node_id"),
         (F.col("doc_id") + 1).alias("node_seq"),

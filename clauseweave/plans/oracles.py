@@ -272,7 +272,7 @@ TOPICS = f"""
 topics AS (
   SELECT doc_id, lang, (doc_id % 9 + 1) || '.' || substr(source, 4) AS section,
          split_part(text, chr(10), 1) AS line0,
-         string_split(text, chr(10))[-1] AS description FROM documents
+         array_to_string(string_split(text, chr(10))[2:], chr(10)) AS description FROM documents
 ),
 paths AS (
   SELECT *, CASE WHEN doc_id % 10 = 0 THEN ''

@@ -116,8 +116,8 @@ def test_parts_of_a_search_are_skipped_by_their_bounds():
 
     import clauseweave.operators.block_max as block_max
 
-    searches = [{"search_no": 0, "least": 5.0, "parts": [{"term": "rare", "weight": 6.0}, {"term": "often", "weight": 1.0}]}]
-    batch = block_max._Searches(searches, 1)
+    searches = [{"search_no": 0, "parts": [{"term": "rare", "weight": 6.0}, {"term": "often", "weight": 1.0}]}]
+    batch = block_max._Searches(pa.array(searches), pa.array([{"search_no": 0, "least": 5.0}]), 1)
     often = np.array([batch.vocabulary.to_pylist().index("often")])
     assert list(block_max._part_hits(batch, np.ones((4, 1)), often, np.arange(4))) == []
     rare = np.array([batch.vocabulary.to_pylist().index("rare")])
