@@ -1,18 +1,21 @@
 """Structured documents to section-aware chunks.
 
 A document is one row holding its ordered blocks, as a reader produces it from
-one file.  Everything that depends on block order (heading stack, carry-forward
-of the section, greedy packing) is a fold inside that row, so ingestion is a
-narrow job: no shuffle, no window, and no group larger than one document.
+one file; ``doc`` names it.  Blocks are dealt by document once, and what depends
+on their order is windows over that one sort: the section is carried forward,
+the heading stack is the last heading of each level that no higher one has
+closed since, and paragraphs are packed inside each run of paragraphs between
+headings and tables.  Work grows with the blocks of a document, not their square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sections import SECTION_TOKEN
 from ..functions.text import collapse_space, strip
+from ..session import materialize
 
 DEFAULT_MAX_CHARS = 2400
 MIN_MAX_CHARS = 500
@@ -74,88 +77,83 @@ def parse_toc_line(text: Column) -> Column:
     return F.when(valid, F.struct(head.alias("section"), tail.cast("int").alias("page")))
 
 
-def page_of(entries: Column, section: Column) -> Column:
-    """Page of a section; a later duplicate contents line overrides."""
-    hits = F.filter(entries, lambda e: e["section"] == section)
-    return F.when(F.size(hits) > 0, F.try_element_at(hits, F.lit(-1))["page"])
+def section_pages(documents: DataFrame) -> DataFrame:
+    """(doc, section, page) of the contents lines; a later line for a section overrides."""
+    lines = documents.select("doc", F.posexplode_outer(toc_page_entries(F.col("blocks"))).alias("_line", "e"))
+    known = lines.filter(F.col("e").isNotNull())
+    return known.groupBy("doc", F.col("e.section").alias("section")).agg(F.max_by("e.page", "_line").alias("page"))
 
 
-_FOLD = (
-    "struct<stack:array<struct<level:int,section:string>>,title:string,section:string,"
-    "path:array<string>,room:int,kind:string,index:int,"
-    "groups:array<struct<start:int,section:string,title:string,path:array<string>,kind:string,index:int>>>"
-)
+def block_rows(documents: DataFrame) -> DataFrame:
+    """(doc, source_file, at, kind, text, heading), one row for each non-blank block."""
+    rows = mark_blocks(documents).select("doc", "source_file", F.explode_outer("marked").alias("b"))
+    return rows.filter(F.col("b").isNotNull()).select("doc", "source_file", "b.*")
 
 
-def _fold_blocks(marked: Column, max_chars: int) -> Column:
-    """Group starts of a document, each with its section context.
+def heading_paths(rows: DataFrame) -> DataFrame:
+    """(doc, head, path): for each heading, at its place, the sections from the top down to it.
 
-    One step per block: a heading replaces the context (dropping stack entries
-    of the same or a deeper level); a table or an overflowing paragraph opens a
-    group; any other paragraph joins the open one.  Each paragraph costs its
-    length plus two, the first included.
+    A level's last heading is on the path if it stands after the last of every level above.
     """
-
-    def step(acc: Column, b: Column) -> Column:
-        head, cost = b["heading"], F.char_length(b["text"]) + 2
-        is_head = head.isNotNull()
-        stack = F.when(
-            is_head,
-            F.array_append(
-                F.filter(acc["stack"], lambda s: s["level"] < head["level"]),
-                F.struct(head["level"].alias("level"), head["section"].alias("section")),
-            ),
-        ).otherwise(acc["stack"])
-        section = F.when(is_head, head["section"]).otherwise(acc["section"])
-        title = F.when(is_head, head["title"]).otherwise(acc["title"])
-        path = F.when(is_head, F.transform(stack, lambda s: s["section"])).otherwise(acc["path"])
-        table = b["kind"] == "table"
-        in_body = ~is_head & acc["section"].isNotNull()
-        opens = in_body & (
-            table
-            | acc["kind"].isNull()
-            | (acc["kind"] == "table")
-            | (acc["room"] + cost > max_chars)
-        )
-        index = F.when(is_head, F.lit(0)).when(opens, acc["index"] + 1).otherwise(acc["index"])
-        group = F.struct(
-            b["at"].alias("start"),
-            acc["section"].alias("section"),
-            acc["title"].alias("title"),
-            acc["path"].alias("path"),
-            b["kind"].alias("kind"),
-            index.alias("index"),
-        )
+    heads = rows.filter(F.col("heading").isNotNull()).select("doc", F.col("at").alias("head"), "heading")
+    levels = [r[0] for r in heads.select(F.col("heading.level").alias("level")).distinct().orderBy("level").collect()]
+    so_far = Window.partitionBy("doc").orderBy("head").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda level: F.last(
+        F.when(F.col("heading.level") == level, F.struct("head", F.col("heading.section").alias("section"))), ignorenulls=True
+    ).over(so_far)
+    seen = heads.select("doc", "head", *[last(level).alias(f"l{i}") for i, level in enumerate(levels)])
+    above = F.lit(-1)
+    path = []
+    for i in range(len(levels)):
+        path.append(F.when(F.col(f"l{i}.head") > above, F.col(f"l{i}.section")))
+        above = F.greatest(above, F.coalesce(F.col(f"l{i}.head"), F.lit(-1)))
+    return seen.select("doc", "head", F.array_compact(F.array(*path).cast("array<string>")).alias("path"))
+
+
+def packed_starts(costs: Column, max_chars: int) -> Column:
+    """Places at which groups begin when costs are taken in order until the next would exceed ``max_chars``."""
+    start = F.struct(F.lit(max_chars + 1).cast("long").alias("room"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc: Column, cost: Column) -> Column:
+        opens = acc["room"] + cost > max_chars
         return F.struct(
-            stack.alias("stack"),
-            title.alias("title"),
-            section.alias("section"),
-            path.alias("path"),
-            F.when(opens, cost).otherwise(acc["room"] + cost).alias("room"),
-            F.when(is_head, F.lit(None).cast("string"))
-            .when(in_body, b["kind"])
-            .otherwise(acc["kind"])
-            .alias("kind"),
-            index.alias("index"),
-            F.when(opens, F.array_append(acc["groups"], group)).otherwise(acc["groups"]).alias("groups"),
-        ).cast(_FOLD)
-
-    start = F.struct(
-        F.array().cast("array<struct<level:int,section:string>>").alias("stack"),
-        F.lit(None).cast("string").alias("title"),
-        F.lit(None).cast("string").alias("section"),
-        F.array().cast("array<string>").alias("path"),
-        F.lit(0).alias("room"),
-        F.lit(None).cast("string").alias("kind"),
-        F.lit(0).alias("index"),
-        F.array()
-        .cast(
-            "array<struct<start:int,section:string,title:string,path:array<string>,"
-            "kind:string,index:int>>"
+            F.when(opens, cost.cast("long")).otherwise(acc["room"] + cost).alias("room"),
+            (acc["at"] + 1).alias("at"),
+            F.when(opens, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"),
         )
-        .alias("groups"),
-    ).cast(_FOLD)
-    return F.aggregate(marked, start, step, lambda acc: acc["groups"])
+
+    return F.aggregate(costs, start, step, lambda acc: acc["starts"])
+
+
+def packed_groups(rows: DataFrame, max_chars: int) -> DataFrame:
+    """(doc, source_file, head, heading, start, kind, text): blocks below a heading, packed.
+
+    A table is a group of its own; the paragraphs between two headings or tables are packed in
+    order.  Each paragraph costs its length plus two, the first included.
+    """
+    so_far = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_head, table = F.col("heading").isNotNull(), F.col("kind") == "table"
+    carried = rows.select(
+        "*",
+        F.last(F.when(is_head, F.struct("at", "heading")), ignorenulls=True).over(so_far).alias("under"),
+        F.count(F.when(is_head | table, F.lit(1))).over(so_far).alias("run"),
+    ).filter(F.col("heading").isNull() & F.col("under").isNotNull())
+    runs = carried.groupBy("doc", "run", table.alias("table")).agg(
+        F.first("source_file").alias("source_file"),
+        F.first("under").alias("under"),
+        F.array_sort(F.collect_list(F.struct("at", "kind", "text"))).alias("blocks"),
+    )
+    starts = packed_starts(F.transform("blocks", lambda b: F.char_length(b["text"]) + 2), max_chars)
+    placed = runs.withColumn("starts", starts)
+
+    def group(start: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get("starts", i + 1), F.size("blocks"))
+        texts = F.transform(F.slice("blocks", start + 1, stop - start), lambda b: b["text"])
+        first = F.get("blocks", start)
+        return F.struct(first["at"].alias("start"), first["kind"].alias("kind"), strip(F.array_join(texts, "\n\n")).alias("text"))
+
+    groups = placed.select("doc", "source_file", "under", F.explode_outer(F.transform("starts", group)).alias("g"))
+    return groups.select("doc", "source_file", F.col("under.at").alias("head"), F.col("under.heading").alias("heading"), "g.*")
 
 
 def mark_blocks(documents: DataFrame) -> DataFrame:
@@ -214,47 +212,20 @@ def chunk_documents(
     literal = lambda v: F.lit(v) if isinstance(v, str) else v
     spec_id, release, version = literal(spec_id), literal(release), literal(version)
 
-    folded = (
-        mark_blocks(documents)
-        .withColumn("toc", toc_page_entries(F.col("blocks")))
-        .withColumn("groups", _fold_blocks(F.col("marked"), max_chars))
-        .select("doc", "source_file", "toc", "marked", "groups", F.size("marked").alias("_size"))
-    )
-    # Outer explode: the plain form would fold every document twice.
-    grouped = folded.select(
-        "doc",
-        "source_file",
-        "toc",
-        "marked",
-        F.posexplode_outer(
-            F.transform(
-                "groups",
-                lambda g, i: F.struct(
-                    g.alias("g"),
-                    F.coalesce(F.get("groups", i + 1)["start"], F.col("_size")).alias("stop"),
-                ),
-            )
-        ).alias("chunk_no", "span"),
-    ).filter(F.col("chunk_no").isNotNull())
-    group = F.col("span.g")
-    body = F.filter(
-        F.slice("marked", group["start"] + 1, F.col("span.stop") - group["start"]),
-        lambda b: b["heading"].isNull(),
+    rows = materialize(block_rows(documents))
+    groups = packed_groups(rows, max_chars)
+    in_document = Window.partitionBy("doc").orderBy("start")
+    in_section = Window.partitionBy("doc", "head").orderBy("start")
+    placed = groups.select(
+        "*",
+        (F.row_number().over(in_document) - 1).alias("chunk_no"),
+        F.row_number().over(in_section).alias("_index"),
+        F.col("heading.section").alias("section"),
+        F.col("heading.title").alias("section_title"),
     )
-    page = page_of(F.col("toc"), group["section"])
-    return grouped.select(
-        "doc",
-        "chunk_no",
-        group["section"].alias("section"),
-        group["title"].alias("section_title"),
-        group["path"].alias("heading_path"),
-        page.alias("page_start"),
-        page.alias("page_end"),
-        group["kind"].alias("content_type"),
-        strip(F.array_join(F.transform(body, lambda b: b["text"]), "\n\n")).alias("text"),
-        "source_file",
-        group["index"].alias("_index"),
-    ).select(
+    page = F.col("page")
+    named = placed.join(heading_paths(rows), ["doc", "head"]).join(section_pages(documents), ["doc", "section"], "left")
+    return named.select(
         "doc",
         "chunk_no",
         stable_chunk_id(spec_id, version, F.col("section"), F.col("_index"), F.col("text")).alias("chunk_id"),
@@ -263,10 +234,10 @@ def chunk_documents(
         version.alias("version"),
         "section",
         "section_title",
-        "heading_path",
-        "page_start",
-        "page_end",
-        "content_type",
+        F.col("path").alias("heading_path"),
+        page.alias("page_start"),
+        page.alias("page_end"),
+        F.col("kind").alias("content_type"),
         "text",
         "source_file",
     )

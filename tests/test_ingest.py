@@ -207,3 +207,32 @@ def test_record_sources(spark, tmp_path):
     np.save(tmp_path / "v.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
     rows = read_npy(spark, str(tmp_path / "v.npy")).orderBy("chunk_seq").collect()
     assert [r["embedding"] for r in rows] == [[0, 1], [2, 3], [4, 5]]
+
+
+def test_long_documents_and_several_at_once(spark):
+    """Windows stay inside a document, and thousands of blocks give what a plain loop gives."""
+    rng = random.Random(12)
+
+    def long(n):
+        out = []
+        for i in range(n):
+            roll = rng.random()
+            if roll < 0.1:
+                out.append(("paragraph", f"{i}.2 Title {i}", f"Heading {rng.choice([1, 2, 3, 4, 12])}"))
+            elif roll < 0.15:
+                out.append(("table", f"table {i}", "Table"))
+            else:
+                out.append(("paragraph", "w" * rng.randint(1, 300), "Normal"))
+        return out
+
+    sets = {f"d{k}": long(n) for k, n in enumerate((4000, 1, 0, 700))}
+    one = None
+    for name, blocks in sets.items():
+        rows = documents(spark, *blocks).withColumn("doc", F.lit(name))
+        one = rows if one is None else one.unionByName(rows)
+    got = {}
+    for r in I.chunk_documents(one, max_chars=600).orderBy("doc", "chunk_no").collect():
+        got.setdefault(r["doc"], []).append((r["chunk_no"], r["section"], r["content_type"], r["text"], r["heading_path"]))
+    for name, blocks in sets.items():
+        want = pack_by_hand(blocks, 600)
+        assert [g[1:] for g in got.get(name, [])] == want and [g[0] for g in got.get(name, [])] == list(range(len(want)))
