@@ -196,22 +196,32 @@ def _adjacency(edges: DataFrame, directed: bool) -> DataFrame:
     return out.unionByName(back)
 
 
-def _distances(adjacency: DataFrame, target: str, hops: int) -> DataFrame:
-    """Nodes within ``hops`` steps of the target, with their distance to it."""
-    spark = adjacency.sparkSession
-    reached = spark.createDataFrame([(target, 0)], "node string, distance int")
-    for hop in range(1, hops + 1):
-        frontier = reached.filter(F.col("distance") == hop - 1).select(F.col("node").alias("there"))
-        nearer = (
-            adjacency.join(broadcast_within(frontier), "there", "left_semi")
-            .select(F.col("here").alias("node"))
-            .distinct()
-            .withColumn("distance", F.lit(hop))
-        )
-        reached = materialize(
-            reached.unionByName(nearer).groupBy("node").agg(F.min("distance").alias("distance"))
+def _next_layer(adjacency: DataFrame, layer: DataFrame, source: str, target: str, backwards: bool) -> DataFrame:
+    """Nodes one step on from a layer (``node``), ends left out: a path passes neither in between."""
+    start, stop = ("there", "here") if backwards else ("here", "there")
+    near = adjacency.join(broadcast_within(layer.withColumnRenamed("node", start)), start, "left_semi")
+    found = near.select(F.col(stop).alias("node")).filter(~F.col("node").isin(source, target))
+    return materialize(found.distinct())
+
+
+def _grown(adjacency: DataFrame, paths: DataFrame, allowed: DataFrame, backwards: bool) -> DataFrame:
+    """Partial paths one edge longer, through nodes that ``allowed`` holds and that they do not hold yet."""
+    here, there = ("there", "here") if backwards else ("here", "there")
+    steps = adjacency.select(F.col(here).alias("here"), F.col(there).alias("there"), "step", "edge")
+    longer = (
+        steps.join(broadcast_within(allowed.withColumnRenamed("node", "there")), "there", "left_semi")
+        .join(broadcast_within(paths), "here")
+        .filter(~F.array_contains("visited", F.col("there")))
+    )
+    added = lambda column, value: F.array_prepend(column, value) if backwards else F.array_append(column, value)
+    return materialize(
+        longer.select(
+            F.col("there").alias("here"),
+            F.array_append("visited", F.col("there")).alias("visited"),
+            added("key", F.col("step")).alias("key"),
+            added("path", F.col("edge")).alias("path"),
         )
-    return reached
+    )
 
 
 def find_paths(
@@ -227,9 +237,10 @@ def find_paths(
     """(rank, hops, path array<struct<edge_id,source,target,edge_seq>>), shortest first.
 
     Paths repeat no node; parallel edges give distinct paths; ties follow edge
-    order, outgoing before incoming, hop by hop.  A breadth of nodes around the
-    target is found first, and paths are only grown through nodes that can
-    still reach it in the hops left.  Growth stops once ``limit`` paths exist.
+    order, outgoing before incoming, hop by hop.  Lengths are searched one after
+    the other, and no longer one once ``limit`` paths exist.  For a length, half
+    paths grow from both ends, each through nodes only from which a walk of
+    exactly the rest leads to the other end, and meet in the middle.
     """
     if nodes is not None:
         known = nodes.filter(F.col("node_id").isin(source, target)).select("node_id").distinct()
@@ -247,38 +258,35 @@ def find_paths(
     adjacency = _adjacency(edges, directed)
     results = spark.createDataFrame([], found_schema)
     if source != target and limit > 0:
-        # Paths are grown from the source, so distances run against the edges.
-        near = _distances(adjacency, target, max_hops - 1)
-        frontier = spark.createDataFrame(
-            [(source, [source], [], [])],
-            f"here string, visited array<string>, {trail_schema}",
+        end = lambda node: spark.createDataFrame([(node,)], "node string")
+        seed = lambda node: spark.createDataFrame(
+            [(node, [node], [], [])], f"here string, visited array<string>, {trail_schema}"
         )
+        # layer k: nodes from which a walk of k edges leads to that end
+        ahead, behind = [end(source)], [end(target)]
         count = 0
-        for hop in range(1, max_hops + 1):
-            reachable = near.filter(F.col("distance") <= max_hops - hop).select(
-                F.col("node").alias("there")
-            )
-            grown = (
-                adjacency.join(broadcast_within(frontier), "here")
-                .filter(~F.array_contains("visited", F.col("there")))
-                .join(broadcast_within(reachable), "there", "left_semi")
-                .select(
-                    F.col("there").alias("here"),
-                    F.array_append("visited", F.col("there")).alias("visited"),
-                    F.array_append("key", F.col("step")).alias("key"),
-                    F.array_append("path", F.col("edge")).alias("path"),
-                )
+        for hops in range(1, max_hops + 1):
+            if hops > 1:
+                ahead.append(_next_layer(adjacency, ahead[-1], source, target, False))
+                behind.append(_next_layer(adjacency, behind[-1], source, target, True))
+                if ahead[-1].isEmpty() or behind[-1].isEmpty():
+                    break  # no walk of this length, so none that is longer
+            first = (hops + 1) // 2
+            left, right = seed(source), seed(target)
+            for k in range(1, first + 1):
+                left = _grown(adjacency, left, behind[hops - k], False)
+            for k in range(1, hops - first + 1):
+                right = _grown(adjacency, right, ahead[hops - k], True)
+            back = right.select("here", F.col("visited").alias("_visited"), F.col("key").alias("_key"), F.col("path").alias("_path"))
+            # both halves hold the node where they meet, and may share no other
+            apart = F.size(F.array_intersect("visited", "_visited")) == 1
+            met = left.join(back, "here").filter(apart).select(
+                F.lit(hops).alias("hops"), F.concat("key", "_key").alias("key"), F.concat("path", "_path").alias("path")
             )
-            grown = materialize(grown)
-            done = grown.filter(F.col("here") == target)
-            results = results.unionByName(done.select(F.lit(hop).alias("hops"), "key", "path"))
-            frontier = grown.filter(F.col("here") != target)
-            tally = grown.agg(
-                F.count_if(F.col("here") == target).alias("done"),
-                F.count_if(F.col("here") != target).alias("open"),
-            ).first()
-            count += tally["done"]
-            if count >= limit or tally["open"] == 0:
+            met = materialize(met.orderBy("key").limit(limit))
+            results = results.unionByName(met)
+            count += met.count()
+            if count >= limit:
                 break
     best = results.orderBy("hops", "key").limit(max(limit, 0))
     rank = F.row_number().over(Window.orderBy("hops", "key"))

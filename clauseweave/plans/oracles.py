@@ -266,6 +266,23 @@ SELECT CAST(row_number() OVER (ORDER BY len(path), key) AS INTEGER) AS rank, CAS
 FROM walk WHERE here = '{target}' AND len(path) > 0 QUALIFY rank <= 5"""
 
 
+_SIX_HOPS = f"""WITH {TRADE},
+adj AS (
+  SELECT source AS here, target AS there, edge_seq AS step, edge_id FROM tedges WHERE relations NOT IN ('PLACED', 'CONTAINS', 'IN_NATION')
+  UNION ALL
+  SELECT target, source, 100000000000000000000000000000000000000::HUGEINT + edge_seq, edge_id FROM tedges
+  WHERE relations NOT IN ('PLACED', 'CONTAINS', 'IN_NATION')
+),
+near AS (SELECT a.step AS s1, a.edge_id AS e1, b.there AS mid, b.step AS s2, b.edge_id AS e2, c.there AS part, c.step AS s3, c.edge_id AS e3
+  FROM adj a JOIN adj b ON a.here = '{Q.REGION_ENDS[0]}' AND b.here = a.there AND b.there <> a.here
+  JOIN adj c ON c.here = b.there AND c.there <> a.there),
+far AS (SELECT d.here AS part, d.there AS mid, d.step AS s4, d.edge_id AS e4, e.step AS s5, e.edge_id AS e5, f.step AS s6, f.edge_id AS e6
+  FROM adj f JOIN adj e ON f.there = '{Q.REGION_ENDS[1]}' AND e.there = f.here AND e.here <> f.there
+  JOIN adj d ON d.there = e.here AND d.here <> f.here),
+met AS (SELECT [s1, s2, s3, s4, s5, s6] AS key, [e1, e2, e3, e4, e5, e6] AS path FROM near n JOIN far USING (part) WHERE n.mid <> far.mid)
+SELECT CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS rank, 6 AS hops, array_to_string(path, '|') AS path
+FROM met QUALIFY rank <= 8"""
+
 # -- topic graph --------------------------------------------------------------
 
 TOPICS = f"""
@@ -502,6 +519,7 @@ SELECT CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS ran
         (SELECT count(*) FROM tedges WHERE source = node_id) AS outgoing_count FROM named WHERE node_id = '{Q.HUB}'""",
     "paths_undirected": _paths(*Q.PATH_ENDS, 3, False),
     "paths_directed": _paths("customer:10", "region:1", 5, True),
+    "paths_six_hops": _SIX_HOPS,
     "resolve_exact_token_substring": f"""WITH {TRADE},
 normal AS (SELECT *, {_normalize('label')} AS l, '{Q.ENTITY_TEXT}' AS q FROM named),
 tested AS (

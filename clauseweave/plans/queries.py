@@ -31,6 +31,7 @@ REGISTRY: dict[str, Query] = {}
 SEARCH_TEXT = "Licensed under the Apache License with the and of schen"
 ENTITY_TEXT = "red widget"
 PATH_ENDS = ("customer:10", "supplier:5")
+REGION_ENDS = ("region:0", "region:1")
 HUB = "nation:3"
 PACK_CHARS = 500
 
@@ -278,6 +279,13 @@ def paths_directed(spark, sf):
     )
 
 
+@query
+def paths_six_hops(spark, sf):
+    """Between two regions no path is shorter than six hops: nation, supplier, part, supplier, nation."""
+    edges = materialize(adapters.trade_graph(spark, sf)[1])
+    return _path_rows(graph_query.find_paths(edges, *REGION_ENDS, max_hops=6, limit=8))
+
+
 @query
 def resolve_exact_token_substring(spark, sf):
     nodes, _ = adapters.trade_graph(spark, sf)
