@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import length_bound, matching_ratio
 from ..functions.text import casefold, normalize_entity, normalize_entity_literal, split_values
-from ..session import broadcast_within, materialize
+from ..session import broadcast_within, materialize, top_k_per_group
 
 FUZZY_CUTOFF = 0.45
 CONFIDENT_MATCH = 0.5
@@ -82,6 +82,78 @@ def resolve_entities(nodes: DataFrame, query: str, *, limit: int = 10, fuzzy: bo
     )
 
 
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of ``GRAM`` characters, and of fewer, of a folded text."""
+    size = F.char_length(text)
+    runs = lambda width: F.transform(
+        F.when(size >= width, F.sequence(F.lit(1), size - width + 1)).otherwise(F.array().cast("array<int>")),
+        lambda at: F.substr(text, at, F.lit(width)),
+    )
+    return F.array_distinct(F.concat(*[runs(width) for width in range(1, GRAM + 1)]))
+
+
+def _whole_grams(text: Column) -> Column:
+    """The runs of a text's longest width: another text can hold it only if it has all of them."""
+    return F.filter(_grams(text), lambda gram: F.char_length(gram) == F.least(F.char_length(text), F.lit(GRAM)))
+
+
+def _held_in(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): distinct non-empty texts and those they occur in.
+
+    A text is looked up by the rarest of its runs in an inverted index of the outer texts' runs.
+    """
+    own = inner.select("inner", F.explode(_whole_grams(F.col("inner"))).alias("gram"))
+    index = outer.select("outer", F.explode(_grams(F.col("outer"))).alias("gram"))
+    index = materialize(index.join(broadcast_within(own.select("gram").distinct()), "gram", "left_semi"))
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(counts, "gram", "left").groupBy("inner").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")
+    )
+    found = index.join(rarest.select("inner", F.col("least.gram").alias("gram")), "gram")
+    return found.filter(F.contains("outer", F.col("inner"))).select("inner", "outer")
+
+
+def resolve_many(nodes: DataFrame, terms: DataFrame, *, limit: int = 10) -> DataFrame:
+    """(term_id, rank, node_id, label, score, method) for every row of ``terms`` (term_id, term).
+
+    The rules of :func:`resolve_entities` without the fuzzy one, as joins of distinct folded
+    texts: equal ones, one word of a label, and texts held in one another by an index of runs of
+    characters.  Nodes are fetched for the labels found.  Terms that fold to nothing have no row.
+    """
+    named = nodes.select("node_id", "node_seq", node_label().alias("label"), normalize_entity(node_label()).alias("normalized"))
+    wanted = materialize(terms.select("term_id", normalize_entity(F.col("term")).alias("wanted")).filter(F.col("wanted") != ""))
+    labels = materialize(named.select("normalized").distinct())
+    texts = wanted.select("wanted").distinct()
+    some = labels.filter(F.col("normalized") != "")
+    exact = texts.join(some, F.col("wanted") == F.col("normalized")).select("wanted", "normalized", F.lit(0).alias("order"))
+    words = some.select("normalized", F.explode(F.array_distinct(F.split("normalized", " "))).alias("wanted"))
+    token = words.join(texts, "wanted").select("wanted", "normalized", F.lit(1).alias("order"))
+    as_text = lambda df, column, name: df.select(F.col(column).alias(name))
+    inside = _held_in(as_text(texts, "wanted", "inner"), as_text(some, "normalized", "outer"))
+    around = _held_in(as_text(some, "normalized", "inner"), as_text(texts, "wanted", "outer"))
+    held = inside.select(F.col("inner").alias("wanted"), F.col("outer").alias("normalized")).unionByName(
+        around.select(F.col("outer").alias("wanted"), F.col("inner").alias("normalized"))
+    )
+    pairs = exact.unionByName(token).unionByName(held.withColumn("order", F.lit(2)))
+    best = pairs.groupBy("wanted", "normalized").agg(F.min("order").alias("order"))
+    size = lambda column: F.char_length(column)
+    coverage = F.least(size("wanted"), size("normalized")) / F.greatest(size("wanted"), size("normalized"))
+    score = F.when(F.col("order") == 0, F.lit(1.0)).when(F.col("order") == 1, F.lit(0.98)).otherwise(F.lit(0.85) + F.lit(0.14) * coverage)
+    found = best.withColumn("score", score).join(named, "normalized")
+    order = [F.col("score").desc(), F.char_length("label"), casefold(F.col("label")), F.col("node_seq")]
+    columns = ["wanted", "node_id", "node_seq", "label", "score", "order"]
+    # a label that folds to nothing is held in every term, with the least score: the first few serve for all
+    blank = named.filter(F.col("normalized") == "").withColumn("score", F.lit(0.85)).orderBy(*order).limit(limit)
+    few = F.broadcast(blank.select(F.lit(1).alias("_one"), "node_id", "node_seq", "label", "score"))  # at most ``limit`` rows
+    blanks = texts.withColumn("_one", F.lit(1)).join(few, "_one").withColumn("order", F.lit(2))
+    ranked = top_k_per_group(found.select(*columns).unionByName(blanks.select(*columns)), ["wanted"], order, limit)
+    method = F.when(F.col("order") == 0, "exact").when(F.col("order") == 1, "token").otherwise("substring")
+    return wanted.join(ranked, "wanted").select("term_id", "rank", "node_id", "label", "score", method.alias("method"))
+
+
 def best_entity(nodes: DataFrame, query: str) -> dict:
     """The single confident match of a term."""
     row = resolve_entities(nodes, query, limit=1).first()

@@ -223,6 +223,18 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return nodes, edges
 
 
+def entity_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms to resolve: distinct part names, supplier names in capitals, nations with their regions."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    parts = table(spark, sf_dir, "part").select("p_name").distinct()
+    places = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    return (
+        parts.select(F.concat(F.lit("part "), "p_name").alias("term_id"), F.col("p_name").alias("term"))
+        .unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("term_id"), F.upper("s_name").alias("term")))
+        .unionByName(places.select(F.concat(F.lit("place "), F.col("n_nationkey").cast("string")).alias("term_id"), F.concat("n_name", F.lit(", "), "r_name").alias("term")))
+    )
+
+
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as JSON lines, some deliberately damaged by a rule on the id."""
     rows = chunks(spark, sf_dir).drop("page_start", "page_end")

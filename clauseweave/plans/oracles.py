@@ -529,6 +529,24 @@ tested AS (
 SELECT node_id, label, method, round(CASE method WHEN 'exact' THEN 1.0::DOUBLE WHEN 'token' THEN 0.98::DOUBLE
        ELSE 0.85::DOUBLE + 0.14::DOUBLE * (least(length(q), length(l))::DOUBLE / greatest(length(q), length(l))) END, 6) AS score
 FROM tested WHERE method IS NOT NULL ORDER BY score DESC, length(label), lower(label), node_seq LIMIT 100""",
+    "resolve_terms": f"""WITH {TRADE},
+terms AS (
+  SELECT DISTINCT 'part ' || p_name AS term_id, p_name AS term FROM part
+  UNION ALL SELECT 'supplier ' || s_suppkey, upper(s_name) FROM supplier
+  UNION ALL SELECT 'place ' || n_nationkey, n_name || ', ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+),
+asked AS (SELECT term_id, {_normalize('term')} AS q FROM terms),
+normal AS (SELECT *, {_normalize('label')} AS l FROM named),
+tested AS (
+  SELECT *, CASE WHEN l = q THEN 'exact' WHEN list_contains(string_split(l, ' '), q) THEN 'token' ELSE 'substring' END AS method
+  FROM asked JOIN normal ON contains(l, q) OR contains(q, l) WHERE q <> ''
+),
+scored AS (
+  SELECT *, CASE method WHEN 'exact' THEN 1.0::DOUBLE WHEN 'token' THEN 0.98::DOUBLE
+    ELSE 0.85::DOUBLE + 0.14::DOUBLE * (least(length(q), length(l))::DOUBLE / greatest(length(q), length(l))) END AS score FROM tested
+)
+SELECT term_id, CAST(row_number() OVER (PARTITION BY term_id ORDER BY score DESC, length(label), lower(label), node_seq) AS INTEGER) AS rank,
+  node_id, label, round(score, 6) AS score, method FROM scored QUALIFY rank <= 6""",
     "audit_counts": f"WITH {AUDIT} SELECT metric, key, n FROM counts",
     "audit_summary": f"""WITH {AUDIT} SELECT {', '.join(
         f"CAST(coalesce(sum(n) FILTER (WHERE metric = '{m}'), 0) AS BIGINT) AS {m}"

@@ -293,6 +293,14 @@ def resolve_exact_token_substring(spark, sf):
     return hits.select("node_id", "label", _six("score").alias("score"), "method")
 
 
+@query
+def resolve_terms(spark, sf):
+    """Part names without their number, suppliers and pairs of places, each against all nodes."""
+    nodes, _ = adapters.trade_graph(spark, sf)
+    hits = graph_query.resolve_many(nodes, adapters.entity_terms(spark, sf), limit=6)
+    return hits.select("term_id", "rank", "node_id", "label", _six("score").alias("score"), "method")
+
+
 # -- graph profiling and export -----------------------------------------------
 
 
