@@ -597,6 +597,8 @@ FROM once GROUP BY key""",
         WHEN 8 THEN 'missing key: section_title' ELSE 'ok' END AS problem, count(*) AS rows FROM chunks GROUP BY 1""",
     "corpus_duplicates": f"""WITH {CHUNKS} SELECT md5(text) AS chunk_id, 'corpus:' || max(chunk_seq) AS at FROM chunks
         GROUP BY 1 HAVING count(*) > 1""",
-    "citation_antijoin": """SELECT conv_id || '-' || turn AS answer_id, 0 AS position, 'doc-' || (conv_id * 31 + turn) AS chunk_id
-        FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 1""",
+    "citation_antijoin": f"""WITH {CHUNKS}
+        SELECT conv_id || '-' || turn AS answer_id, 0 AS position, 'doc-' || (conv_id * 31 + turn) AS chunk_id
+        FROM conversations WHERE role = 'assistant'
+          AND NOT (conv_id % 4 = 0 AND 'doc-' || (conv_id * 31 + turn) IN (SELECT chunk_id FROM chunks))""",
 }

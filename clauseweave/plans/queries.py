@@ -453,6 +453,7 @@ def corpus_duplicates(spark, sf):
 
 @query
 def citation_antijoin(spark, sf):
+    """Cited chunks that no stored tool result of the same answer holds."""
     answers = adapters.answers(spark, sf)
-    observed = answers.filter(F.col("conv_id") % 2 == 0).select("answer_id", F.col("cited").alias("chunk_id"))
+    observed = C.harvested_ids(adapters.tool_results(spark, sf))
     return C.unsupported_citations(answers, observed).select("answer_id", "position", "chunk_id")
