@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import excerpt
 from ..operators import graph_query as G
+from ..operators.align import best_evidence
 from ..operators.bm25 import Bm25Index, attach_chunks
 from ..session import broadcast_within
 from ..sources.records import TRUSTED_LABELS
@@ -139,6 +140,10 @@ class SpecTools:
         self.max_excerpt_chars = max_excerpt_chars
         self.alignments = None
         if alignments is not None:
+            # ``ordinal`` is a place in the stored file; without it, equal evidence goes by rank and id
+            if "ordinal" not in alignments.columns:
+                place = [F.col(c) for c in ("rank", "chunk_id") if c in alignments.columns]
+                alignments = alignments.withColumn("ordinal", F.struct(*place))
             self.alignments = alignments.filter(F.col("confidence_label").isin(*TRUSTED_LABELS))
 
     @property
@@ -198,21 +203,15 @@ class SpecTools:
     def _evidence_for(self, node_id: str) -> list[dict[str, Any]]:
         if self.alignments is None:
             return []
-        # The cut comes before the lookup, so a missing chunk is not replaced.
-        order = [F.col("alignment_confidence").desc()]
-        order += [F.col(c) for c in ("rank",) if c in self.alignments.columns]
-        best = (
-            self.alignments.filter(F.col("graph_item_id") == node_id)
-            .withColumn("alignment_confidence", F.col("confidence"))
-            .orderBy(*order, F.col("chunk_id"))
-            .limit(MAX_EVIDENCE)
-            .select("chunk_id", "alignment_confidence", F.col("confidence_label").alias("alignment_label"))
+        mine = self.alignments.filter(F.col("graph_item_id") == node_id)
+        best = best_evidence(mine, MAX_EVIDENCE).select(
+            "evidence_rank", "chunk_id", F.col("confidence").alias("alignment_confidence"), F.col("confidence_label").alias("alignment_label")
         )
         rows = self.chunks.join(F.broadcast(best), "chunk_id").select(
-            *_evidence_columns(self.max_excerpt_chars), "alignment_confidence", "alignment_label"
+            "evidence_rank", *_evidence_columns(self.max_excerpt_chars), "alignment_confidence", "alignment_label"
         )
-        found = [r.asDict() for r in rows.collect()]
-        return sorted(found, key=lambda r: (-r["alignment_confidence"], r["chunk_id"]))
+        found = sorted((r.asDict() for r in rows.collect()), key=lambda r: r["evidence_rank"])
+        return [{name: value for name, value in r.items() if name != "evidence_rank"} for r in found]
 
     def expand_graph(
         self, node_id: str, direction: str, relation: str | None, limit: int

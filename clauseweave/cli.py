@@ -399,7 +399,7 @@ def ask(spark, args):
         graph.nodes,
         graph.edges,
         read_chunks(spark, args.chunks),
-        alignments=read_alignments(spark, args.alignments) if known else None,
+        alignments=read_alignments(spark, args.alignments, ordinal="ordinal") if known else None,
     )
     loop = ToolLoop(
         create_client(settings), settings.model, tools, max_tool_calls=settings.max_tool_calls

@@ -235,3 +235,13 @@ def alignment_summary(alignments: DataFrame) -> DataFrame:
             for label in ("verified", "high", "candidate")
         ],
     )
+
+
+def best_evidence(alignments: DataFrame, k: int) -> DataFrame:
+    """Of each item the ``k`` alignments with most confidence, in the order of ``ordinal`` where equal.
+
+    Cut before any chunk is looked up, so a missing chunk is not replaced by the next one.
+    """
+    named = alignments.filter(F.col("graph_item_id").isNotNull())
+    order = [F.col("confidence").desc(), F.col("ordinal")]
+    return top_k_per_group(named, ["graph_item_id"], order, k, rank="evidence_rank")

@@ -575,6 +575,12 @@ FROM once GROUP BY key""",
         (SELECT count(*) FROM kept) AS edges, (SELECT count(*) FROM kept WHERE provenance) AS provenance_edges,
         (SELECT count(*) FROM kept WHERE NOT provenance) AS contextual_edges""",
     "align_items": f"WITH {ALIGN} SELECT * FROM aligned",
+    "align_evidence": f"""WITH {ALIGN}, trusted AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY graph_item_id ORDER BY confidence DESC, rank) AS INTEGER) AS evidence_rank
+  FROM aligned WHERE confidence_label IN ('verified', 'high')
+)
+SELECT graph_item_id, evidence_rank, chunk_id, c.section, t.confidence, confidence_label
+FROM trusted t JOIN chunks c USING (chunk_id) WHERE evidence_rank <= 2""",
     "align_counts": f"""WITH {ALIGN} SELECT count(*) AS alignments,
         count(DISTINCT CASE WHEN graph_item_type = 'node' THEN graph_item_id END) AS aligned_nodes,
         count(DISTINCT CASE WHEN graph_item_type = 'edge' THEN graph_item_id END) AS aligned_edges,

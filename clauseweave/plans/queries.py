@@ -23,6 +23,7 @@ from ..operators.graph_export import export_subgraph
 from ..operators.vector import vector_search
 from ..session import materialize, number_ordered, shared_folder
 from ..sources.chunks import duplicate_ids, parse_lines
+from ..sources.records import read_alignments, write_alignments
 from . import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,6 +389,18 @@ def align_provenance_sections(spark, sf):
     return items.select("graph_item_id", "label", _joined("sections").alias("sections"))
 
 
+@query
+def align_evidence(spark, sf):
+    """Trusted alignments written as JSON lines, read in file order, the best two of each item with their chunk."""
+    path = f"{shared_folder(spark)}/alignments-{uuid.uuid4().hex}"
+    write_alignments(_aligned(spark, sf), path)
+    best = A.best_evidence(read_alignments(spark, path, trusted_only=True, ordinal="ordinal"), 2)
+    held = adapters.chunks(spark, sf).select("chunk_id", "section")
+    return best.join(held, "chunk_id").select(
+        "graph_item_id", "evidence_rank", "chunk_id", "section", _six("confidence").alias("confidence"), "confidence_label"
+    )
+
+
 # -- ingestion ----------------------------------------------------------------
 
 

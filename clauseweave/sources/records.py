@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ALIGNMENT, ARTIFACT, QUESTION
+from .ordinal import with_ordinal
 
 TRUSTED_LABELS = ("verified", "high")
 
@@ -24,8 +25,14 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return questions
 
 
-def read_alignments(spark: SparkSession, path: str, trusted_only: bool = False) -> DataFrame:
+def read_alignments(spark: SparkSession, path: str, trusted_only: bool = False, ordinal: str | None = None) -> DataFrame:
+    """Stored alignments; with ``ordinal``, also each one's place in the file order, from 1.
+
+    A line that is no JSON object keeps its place and has nulls in all columns.
+    """
     rows = spark.read.schema(ALIGNMENT).json(path)
+    if ordinal:
+        rows = with_ordinal(rows, ordinal, ALIGNMENT.fieldNames()).drop("_path")
     return rows.filter(F.col("confidence_label").isin(*TRUSTED_LABELS)) if trusted_only else rows
 
 
