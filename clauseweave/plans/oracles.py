@@ -496,6 +496,11 @@ SELECT CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS ran
        lexical_rank, vector_rank FROM fused QUALIFY rank <= 10""",
     "graph_nodes": f"WITH {DOC_GRAPH} SELECT * FROM nodes",
     "graph_edges": f"WITH {DOC_GRAPH} SELECT * FROM edges",
+    "graph_round_trip": f"""WITH {DOC_GRAPH} SELECT 'node' AS kind, row_number() OVER (ORDER BY node_id) AS seq, node_id AS id,
+        CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target, trim(entity_id) AS entity_id,
+        CAST(NULL AS VARCHAR) AS keywords, section, CAST(char_start AS VARCHAR) AS char_start FROM nodes
+        UNION ALL SELECT 'edge', row_number() OVER (ORDER BY edge_id), edge_id, source, target, NULL, keywords, section,
+        CAST(char_start AS VARCHAR) FROM edges""",
     "graph_whitelist": f"""WITH {DOC_GRAPH} SELECT split_part(source, ':', 1) AS source_kind, keywords AS relation, legal,
         count(*) AS proposals FROM legal_rows GROUP BY ALL""",
     "graph_build_counts": f"""WITH {DOC_GRAPH} SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM nodes) AS nodes,

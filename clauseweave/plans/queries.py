@@ -22,6 +22,7 @@ from ..operators.graph_build import SpecGraph
 from ..operators.graph_export import export_subgraph
 from ..operators.vector import vector_search
 from ..session import materialize, number_ordered, shared_folder
+from ..sources import graphml
 from ..sources.chunks import duplicate_ids, parse_lines
 from ..sources.records import read_alignments, write_alignments
 from . import adapters
@@ -207,6 +208,25 @@ def graph_edges(spark, sf):
     return _graph(spark, sf).edges().drop("seq", "relation")
 
 
+@query
+def graph_round_trip(spark, sf):
+    """The spec graph written as GraphML and read again: elements in file order with their attributes."""
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    graphml.write_graphml(*_graph(spark, sf).as_property_graph(), path, graph_id="documents")
+    back = graphml.read_graphml(spark, path)
+    value = lambda name: F.try_element_at("attributes", F.lit(name)).alias(name)
+    none = F.lit(None).cast("string")
+    nodes = back.nodes.select(
+        F.lit("node").alias("kind"), F.col("node_seq").alias("seq"), F.col("node_id").alias("id"),
+        none.alias("source"), none.alias("target"), value("entity_id"), none.alias("keywords"), value("section"), value("char_start"),
+    )
+    edges = back.edges.select(
+        F.lit("edge").alias("kind"), F.col("edge_seq").alias("seq"), F.col("edge_id").alias("id"),
+        "source", "target", none.alias("entity_id"), value("keywords"), value("section"), value("char_start"),
+    )
+    return nodes.unionByName(edges)
+
+
 @query
 def graph_whitelist(spark, sf):
     proposals = _graph(spark, sf).edge_proposals()

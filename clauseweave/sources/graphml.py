@@ -1,15 +1,15 @@
-"""GraphML reader on Spark's XML source, and a distributed GraphML writer."""
+"""GraphML reader that splits the text in one scan, and a distributed GraphML writer."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.graph_build import EDGE_COLUMNS, NODE_COLUMNS
-from .ordinal import with_ordinal
+from ..session import broadcast_within, materialize
 
 NAMESPACE = "http://graphml.graphdrawing.org/xmlns"
 _DATA = "data array<struct<_key:string,_VALUE:string>>"
@@ -24,9 +24,89 @@ class GraphFile:
     edge_default: str
 
 
-def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true")
-    return reader.schema(schema).load(path)
+# elements that are read, each from its opening tag up to the next such tag
+_KINDS = ("node", "edge", "key", "graph")
+_OPENING = rf"<({'|'.join(_KINDS)})(?=[\s/]|$)"
+_ELEMENT = (
+    "`_id` string, `_attr.name` string, `_source` string, `_target` string, `_edgedefault` string, " + _DATA
+)
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The text between one ">" and the next, in the file's splits, with running counts of the opening tags before it.
+
+    A tag counts only outside comments and CDATA sections.  Which of those a split starts in is known
+    only once all splits are read, so tags before a split's first mark are counted on their own.
+    """
+    value = F.col("value")
+    marker = (
+        F.when(F.regexp_like(value, F.lit(r"(--|\]\])$")), F.lit(""))
+        .when(F.contains(value, F.lit("<!--")), F.lit("comment"))
+        .when(F.contains(value, F.lit("<![CDATA[")), F.lit("cdata"))
+    )
+    bare = F.regexp_replace(value, r"(?s)(<!--|<!\[CDATA\[).*$", "")
+    split = Window.partitionBy("file", "start").orderBy("row")
+    read = spark.read.option("lineSep", ">").text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+        marker.alias("marker"),
+        F.regexp_extract(bare, _OPENING, 1).alias("opens"),
+    )
+    placed = read.withColumn("inside", F.last("marker", True).over(split.rowsBetween(Window.unboundedPreceding, -1)))
+    counts = []
+    for kind in _KINDS:
+        is_kind = F.col("opens") == kind
+        counts += [
+            F.count_if(F.col("inside").isNull() & is_kind).over(split).alias(f"early_{kind}"),
+            F.count_if((F.col("inside") == "") & is_kind).over(split).alias(f"late_{kind}"),
+        ]
+    return materialize(placed.select("*", *counts))
+
+
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of the file (kind, number in its kind from 1, parsed ``e``), from one scan.
+
+    Comments do not count, CDATA sections do; only where one of them quotes the other's marks
+    is the end of it misread.
+    """
+    pieces = _pieces(spark, path)
+    ends = pieces.groupBy("file", "start").agg(
+        F.max_by("marker", F.when(F.col("marker").isNotNull(), F.col("row"))).alias("left_in"),
+        *[F.max(f"{when}_{kind}").alias(f"{when}_{kind}") for kind in _KINDS for when in ("early", "late")],
+    )
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    ends = ends.withColumn("starts_in", F.coalesce(F.last("left_in", True).over(before), F.lit("")))
+    early = (F.col("starts_in") == "").cast("long")
+    offsets = ends.select(
+        "file", "start", "starts_in",
+        *[F.coalesce(F.sum(F.col(f"late_{k}") + early * F.col(f"early_{k}")).over(before), F.lit(0)).alias(f"past_{k}") for k in _KINDS],
+    )
+    joined = pieces.join(broadcast_within(materialize(offsets)), ["file", "start"])
+    inside = F.coalesce("inside", "starts_in")
+    number = {k: F.col(f"past_{k}") + F.col(f"late_{k}") + early * F.col(f"early_{k}") for k in _KINDS}
+    opens = F.when(inside == "", F.col("opens")).otherwise("")
+    from_tag = F.regexp_extract("value", rf"(?s)<(?:{'|'.join(_KINDS)})(?:[\s/].*)?$", 0)
+    text = F.when(opens != "", from_tag).otherwise(F.col("value"))
+    has_comment = (inside == "") & F.contains("value", F.lit("<!--"))
+    text = F.when(has_comment, F.regexp_replace(text, r"(?s)<!--.*$", "")).otherwise(F.concat(text, F.lit(">")))
+    kept = joined.filter(inside != "comment").select(
+        sum(number.values()).alias("element"), opens.alias("opens"), *[n.alias(k) for k, n in number.items()],
+        F.struct("file", "start", "row", text.alias("text")).alias("piece"),
+    )
+    whole = kept.filter("element > 0").groupBy("element").agg(
+        F.max("opens").alias("kind"),
+        *[F.max(k).alias(k) for k in _KINDS],
+        F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["text"]), "").alias("text"),
+    )
+    # without what follows the element; an opening tag without content or of the graph is closed here
+    closed = F.regexp_extract("text", r"(?s)^.*</(?:node|edge|key)\s*>", 0)
+    alone = F.concat(F.regexp_extract("text", r"""^(<(?:[^"'>/]+|/(?!>)|"[^"]*"|'[^']*')*)/?>""", 1), F.lit("/>"))
+    one = F.when((F.col("kind") != "graph") & (closed != ""), closed).otherwise(alone)
+    parsed = F.from_xml(one, _ELEMENT, {"ignoreNamespace": "true"})
+    place = F.coalesce(*[F.when(F.col("kind") == k, F.col(k)) for k in _KINDS])
+    return materialize(whole.select("kind", place.cast("long").alias("number"), parsed.alias("e")))
 
 
 def _attributes(key_names: dict[str, str]) -> Column:
@@ -50,44 +130,33 @@ def _attributes(key_names: dict[str, str]) -> Column:
     return F.map_from_entries(last)
 
 
-def _edge_default(spark: SparkSession, path: str) -> str:
-    """The graph's edge default, from its opening tag; the element's content is not read."""
-    tags = spark.read.option("lineSep", ">").text(path).filter(F.regexp_like("value", F.lit(r"<graph(\s|/|$)"))).limit(1)
-    head = tags.select(F.regexp_extract("value", r"""<graph[^<]*\sedgedefault\s*=\s*["']([^"']*)["']""", 1)).first()
-    if head is None:
-        raise ValueError(f"no graph element found in {path}")
-    return head[0] or "directed"
-
-
 def read_graphml(spark: SparkSession, path: str) -> GraphFile:
     """Nodes and edges of a GraphML file, numbered from 1 in file order.
 
     A node id given twice keeps its first place and its last attributes.
     """
-    keys = _elements(spark, path, "key", "`_id` string, `_attr.name` string")
-    names = {
-        row[0] or "": row[1] if row[1] is not None else row[0] or ""
-        for row in keys.select("`_id`", "`_attr.name`").collect()  # a few dozen declarations
-    }
-    default = _edge_default(spark, path)
-    nodes = with_ordinal(
-        _elements(spark, path, "node", f"`_id` string, {_DATA}"), "node_seq", ["_id", "data"]
-    ).select(F.col("_id").alias("node_id"), "node_seq", _attributes(names).alias("attributes"))
+    elements = _elements(spark, path)
+    keys = elements.filter("kind = 'key'").select("e._id", "e.`_attr.name`")
+    names = {row[0] or "": row[1] if row[1] is not None else row[0] or "" for row in keys.collect()}  # a few dozen declarations
+    head = elements.filter("kind = 'graph' AND number = 1").select("e._edgedefault").first()
+    if head is None:
+        raise ValueError(f"no graph element found in {path}")
+    default = head[0] or "directed"
+    attributes = _attributes(names)
+    nodes = elements.filter("kind = 'node'").select("number", "e._id", "e.data").select(
+        F.col("_id").alias("node_id"), F.col("number").alias("node_seq"), attributes.alias("attributes")
+    )
     nodes = nodes.groupBy("node_id").agg(
         F.max_by("attributes", "node_seq").alias("attributes"), F.min("node_seq").alias("node_seq")
     ).select("node_id", "node_seq", "attributes")
-    edges = with_ordinal(
-        _elements(spark, path, "edge", f"`_id` string, `_source` string, `_target` string, {_DATA}"),
-        "edge_seq",
-        ["_id", "_source", "_target", "data"],
-    ).select(
-        F.coalesce("_id", F.concat(F.lit("edge-"), F.col("edge_seq").cast("string"))).alias("edge_id"),
+    edges = elements.filter("kind = 'edge'").select("number", "e._id", "e._source", "e._target", "e.data").select(
+        F.coalesce("_id", F.concat(F.lit("edge-"), F.col("number").cast("string"))).alias("edge_id"),
         F.col("_source").alias("source"),
         F.col("_target").alias("target"),
-        "edge_seq",
-        _attributes(names).alias("attributes"),
+        F.col("number").alias("edge_seq"),
+        attributes.alias("attributes"),
     )
-    size = spark.read.format("binaryFile").load(path).select(F.sum("length")).first()[0]
+    size = spark.read.format("binaryFile").load(path).select(F.sum("length")).first()[0]  # the listing; no content is read
     return GraphFile(nodes, edges, default == "directed", size, default)
 
 
