@@ -22,7 +22,9 @@ Components are exact for the verified links.
 Defined cases: null and empty texts and texts without words have an empty set and are linked
 with nothing; with one to four words the whole sequence is the one shingle; repeated rows and
 equal texts are copies; a repeated doc_id counts as one document, the union of its rows' links;
-ties go to the smaller doc_id; rows without a doc_id are left out; other columns are not read.
+ties go to the smaller doc_id; a row without a doc_id has the component of the documents with its very set and is not
+kept, or no component if there are none and is kept; texts of any length are read whole, and one above ``BLOCK``
+shingles makes its block as much larger; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ DEVIATIONS = 6.0
 # leaders of a document that a round estimates, and that it verifies
 ESTIMATED, VERIFIED = 4, 2
 MOST_ROUNDS = 4
-# documents that a block holds, and that ask of it; heads of so few documents share a block
-BLOCK, QUERIES, SMALL = 256, 256, 64
+# shingles of the documents that a block holds (some 6 MB of text); groups of so few share a block
+BLOCK, SMALL = 1 << 20, 1 << 16
 # ids that may be broadcast (8 MB)
 BROADCAST_IDS = 1_000_000
 
@@ -72,7 +74,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.filter("doc_id IS NOT NULL").mapInArrow(sketched, _FEATURES)
+    return rows.mapInArrow(sketched, _FEATURES)
 
 
 def _needed(total) -> Column:
@@ -131,19 +133,40 @@ def _estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
+    """Links (a, b) among ``pairs`` (lead, doc, n): the full shingle sets reach the threshold.
 
-    def confirmed(batches):
-        for batch in batches:
-            keep = [
-                _linked(np.unique(x), np.unique(y))
-                for x, y in zip(text_shingles(batch.column(2)), text_shingles(batch.column(3)), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(confirmed, "a long, b long")
+    The documents of a leader meet in blocks of about ``BLOCK`` shingles, to each of which the
+    leader's text is sent once; leaders with few shingles to compare share a block.
+    """
+    sizes = reliable(pairs.groupBy("lead").agg(F.sum("n").alias("weight")))
+    name, parts = _names(sizes, "lead"), F.floor(F.col("weight") / BLOCK) + 1
+    sizes = reliable(sizes.select("lead", name.alias("name"), F.when(F.col("weight") <= SMALL, F.lit(1)).otherwise(parts).alias("parts")))
+    members = pairs.join(sizes, "lead").select("name", F.pmod(F.xxhash64("doc"), "parts").alias("part"), "lead", "doc").join(texts, "doc")
+    leaders = sizes.select("name", "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    leaders = leaders.join(texts.select(F.col("doc").alias("lead"), F.col("text").alias("lead_text")), "lead")
+    leaders = leaders.select(F.col("name").alias("of"), F.col("part").alias("at"), F.col("lead").alias("led"), "lead_text")
+    members = members.select("name", "part", "lead", "doc", "text")
+
+    def confirmed(led: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        of_leader = dict(iter(members.groupby("lead")))
+        for lead, text in zip(led.led, led.lead_text, strict=True):
+            if (asked := of_leader.get(lead)) is not None:
+                (own,) = map(np.unique, text_shingles(pa.array([text], pa.large_string())))
+                for doc, hashes in zip(asked.doc, text_shingles(pa.array(asked.text, pa.large_string())), strict=True):
+                    if _linked(own, np.unique(hashes)):
+                        out.append((min(lead, doc), max(lead, doc)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return leaders.groupBy("of", "at").cogroup(members.groupBy("name", "part")).applyInPandas(confirmed, "a long, b long")
+
+
+def _names(sizes: DataFrame, key: str) -> Column:
+    """Names of groups for rows (key, weight): those of small weight share some of about ``BLOCK`` shingles together."""
+    small = F.col("weight") <= SMALL
+    groups = (sizes.filter(small).agg(F.sum("weight")).first()[0] or 0) // BLOCK + 1
+    shared = F.pmod(F.xxhash64(key), F.lit(groups)).cast("string")
+    return F.when(small, shared).otherwise(F.concat(F.lit("of "), F.col(key).cast("string")))
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -165,7 +188,7 @@ def _open(placed: DataFrame) -> DataFrame:
 
 
 def _led(lists: DataFrame, found: DataFrame, number: int) -> DataFrame:
-    """(doc, a, b, hits): documents with the leaders of their lists, across components only.
+    """(doc, lead, a, b, hits): documents with the leaders of their lists, across components only.
 
     The leader of the first round is the smallest id, later ones go by a hash.
     """
@@ -177,7 +200,7 @@ def _led(lists: DataFrame, found: DataFrame, number: int) -> DataFrame:
     led = rows.join(leaders, "value").filter(F.col("component") != F.col("l.other")).filter(_near_sizes("n", "l.m"))
     led = led.filter(F.least("rest", "l.left") >= _needed(F.col("n") + F.col("l.m")))
     pairs = led.groupBy("doc", "l.lead").agg(F.count("*").alias("hits"))
-    return pairs.select("doc", F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"), "hits")
+    return pairs.select("doc", "lead", F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"), "hits")
 
 
 def _across(lists: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -190,16 +213,12 @@ def _across(lists: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """
     placed = _placed(lists, found)
     heads = placed.groupBy("value").agg(F.min("component").alias("head"), F.max("component").alias("high")).filter("head < high")
-    rows = reliable(placed.join(heads.select("value", "head"), "value").select("head", "doc", "component").distinct())
-    sizes = reliable(rows.groupBy("head").agg(F.count("*").alias("size"), F.count_if(F.col("component") != F.col("head")).alias("asking")))
-    small = F.col("size") <= SMALL
-    groups = -(-(sizes.filter(small).agg(F.sum("size")).first()[0] or 0) // BLOCK)
+    rows = reliable(placed.join(heads.select("value", "head"), "value").select("head", "doc", "component", "n").distinct())
+    asks = F.when(F.col("component") != F.col("head"), F.col("n"))
+    sizes = reliable(rows.groupBy("head").agg(F.sum("n").alias("weight"), F.coalesce(F.sum(asks), F.lit(0)).alias("asking")))
     # small heads share a group, a large one has groups of its own
-    name = F.when(small, F.pmod(F.xxhash64("head"), F.lit(max(1, groups))).cast("string")).otherwise(
-        F.concat(F.lit("head "), F.col("head").cast("string"))
-    )
-    cut = lambda n, most: F.when(small, F.lit(1)).otherwise(F.floor((F.col(n) - 1) / most) + 1).cast("long")
-    sizes = sizes.select("head", name.alias("name"), cut("size", BLOCK).alias("blocks"), cut("asking", QUERIES).alias("parts"))
+    cut = lambda n: F.when(F.col("weight") <= SMALL, F.lit(1)).otherwise(F.floor(F.col(n) / BLOCK) + 1).cast("long")
+    sizes = sizes.select("head", _names(sizes, "head").alias("name"), cut("weight").alias("blocks"), cut("asking").alias("parts"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     whole = rows.join(sizes, "head")
     asked = whole.filter("component <> head").withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).withColumn("block", numbers("blocks"))
@@ -280,9 +299,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         judged = _estimated(pairs, sets)
         by_estimate = Window.partitionBy("doc", "possible").orderBy(F.desc("estimate"), "a", "b")
         judged = judged.withColumn("rank", F.row_number().over(by_estimate)).filter(~F.col("possible") | (F.col("rank") <= VERIFIED))
-        judged = reliable(judged.groupBy("a", "b").agg(F.bool_or("possible").alias("possible")))
+        judged = reliable(judged.groupBy("a", "b").agg(F.bool_or("possible").alias("possible"), F.min("lead").alias("lead")))
+        asked = judged.filter("possible").select("lead", (F.col("a") + F.col("b") - F.col("lead")).alias("doc"))
         with small_batches(spark):
-            new = reliable(_verified(judged.filter("possible").select("a", "b"), texts))
+            new = reliable(_verified(asked.join(whole.select("doc", "n"), "doc"), texts))
         if number and not new.take(1):
             tried = tried.union(judged.select("a", "b"))
             break
@@ -300,4 +320,4 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = every.select("doc_id", "n_shingles", "low", "high").join(of_class, ["n_shingles", "low", "high"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))

@@ -178,13 +178,12 @@ def test_near_duplicates_match_brute_force(spark):
     }
 
 
-@pytest.mark.parametrize("rounds, small", [(4, 64), (1, 64), (1, 2)])
+@pytest.mark.parametrize("rounds, small", [(4, 1 << 16), (1, 1 << 16), (1, 500), (4, 500)])
 def test_near_duplicates_of_chains_of_edits(spark, monkeypatch, rounds, small):
     """Members far from any leader are linked through each other, in rounds or in blocks."""
     monkeypatch.setattr(near_dedup, "MOST_ROUNDS", rounds)
     monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "QUERIES", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 1200)
     draw = random.Random(8)
     words = sentence(draw, 300).split()
     texts = []
@@ -201,6 +200,13 @@ def test_near_duplicates_of_an_empty_table_and_repeated_rows(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
     twice = documents(spark, ["a b c d e f"] * 2).withColumn("doc_id", F.lit(3).cast("long"))
     assert {(r.component_id, r.kept) for r in near_dedup.near_duplicates(twice).collect()} == {(3, True)}
+    nameless = documents(spark, ["a b c d e f", "a b c d e f", "other words here", ""]).withColumn(
+        "doc_id", F.when(F.col("doc_id") == 0, F.col("doc_id"))
+    )
+    rows = near_dedup.near_duplicates(nameless).collect()
+    assert sorted((r.doc_id is None, r.n_shingles, r.component_id is None, r.kept) for r in rows) == [
+        (False, 2, False, True), (True, 0, True, True), (True, 1, True, True), (True, 2, False, False)
+    ]
 
 
 def test_components_of_paths_stars_and_pairs(spark):
