@@ -297,7 +297,7 @@ def _load(content: bytes) -> Bpe:
 def read_tokenizer(path: str) -> bytes:
     """The tokenizer file, a few megabytes: checked here, broadcast to the tasks by the columns below."""
     with open(path, "rb") as f:
-        content = f.read(64 << 20)
+        content = f.read()
     _load(content)
     return content
 
@@ -313,10 +313,11 @@ def _portions(column: pa.Array):
         first = end
 
 
-def encoded(docs: DataFrame, content: bytes, text: str = "text", decoded: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, content: bytes, text: str = "text", decoded: bool = False, keep: bool = True) -> DataFrame:
     """``docs`` with the token ids of its texts, ``ids`` array<int>.
 
-    With ``decoded``, also what the ids decode to, as the column ``decoded``.
+    With ``decoded``, also what the ids decode to, as the column ``decoded``.  Without ``keep``, a
+    Python worker drops the tokenizer and its cache (some 85 MB) after each task.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(content)
@@ -334,6 +335,8 @@ def encoded(docs: DataFrame, content: bytes, text: str = "text", decoded: bool =
                 if decoded:
                     columns.append(pa.array([decode(bpe, x) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "decoded"][: len(columns)])
+        if not keep:
+            _loaded.clear()
 
     own = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())][: 1 + decoded]
     out = packed.mapInArrow(tokenized, StructType([packed.schema["row"], *own]))

@@ -14,21 +14,20 @@ output column are replaced.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 ROUNDS = 30
-# A model is BUCKETS doubles; the driver holds one for each language.
-MOST_LANGUAGES = 500
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _STRETCH = 1 << 22
 
 
@@ -43,10 +42,22 @@ def _trigrams(text: str) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
+def _stretches(text: str) -> Iterator[np.ndarray]:
+    """Trigrams of a text, a stretch at a time; a stretch ends after a space, so that no trigram is cut or added."""
+    start = 0
+    while start < len(text):
+        end = start + _STRETCH
+        if end < len(text):
+            gap = text.find(" ", end)
+            end = gap + 1 if gap >= 0 else len(text)
+        yield _trigrams(text[start:end])
+        start = end
+
+
 def _counts(text: str) -> np.ndarray:
     total = np.zeros(BUCKETS, dtype=np.int64)
-    for start in range(0, len(text), _STRETCH):
-        total += np.bincount(_trigrams(text[start : start + _STRETCH]), minlength=BUCKETS)
+    for part in _stretches(text):
+        total += np.bincount(part, minlength=BUCKETS)
     return total
 
 
@@ -59,8 +70,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name not in totals:
                     totals[name] = np.zeros(BUCKETS, dtype=np.int64)
-                at = [_trigrams(value[i : i + _STRETCH]) for i in range(0, len(value), _STRETCH)]
-                for part in at:
+                for part in _stretches(value):
                     if len(part) < BUCKETS // 8:
                         np.add.at(totals[name], part, 1)
                     else:
@@ -76,12 +86,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     lines = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("cells"))  # BUCKETS cells at most
     names, columns = [], []
     for r in lines.orderBy("lang").toLocalIterator():
-        if len(names) == MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
         total = np.full(BUCKETS, 0.05)
         total[[c.at for c in r.cells]] += [c.n for c in r.cells]
         names.append(r.lang)
-        columns.append(np.log(total / total.sum()))
+        columns.append(np.log(total / total.sum()))  # BUCKETS doubles a language
     return names, np.array(columns).T if columns else np.zeros((BUCKETS, 0))
 
 

@@ -82,7 +82,7 @@ def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     names, logs = langid.train(docs.filter(~held_out))
     out = docs.select("doc_id", held_out.alias("held_out"), langid.predicted(docs, names, logs).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
