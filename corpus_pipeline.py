@@ -7,15 +7,15 @@ repeated rows pass every stage as the operators define it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseweave.llm import bpe, mixing, near_dedup, quality, secrets
+from clauseweave.llm.common import small_batches
 from clauseweave.llm.queries import ratings, tokenizer_path
-from clauseweave.session import number_ordered
+from clauseweave.session import number_ordered, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text of the mix, and whether they decode to it."""
     content = bpe.read_tokenizer(tokenizer_path())
-    out = bpe.encoded(docs, content, decoded=True)
+    out = bpe.encoded(docs, content, decoded=True, keep=False)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
@@ -70,10 +70,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}")
+        with small_batches(spark, 256):  # texts go to Python a few hundred at a time
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}")
         docs = spark.read.parquet(f"{base}/{number}")
     return STAGES[-1][1](spark, docs, sf_dir)
