@@ -11,13 +11,18 @@ def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
 
     Left out are vectors that are null or hold a null or non-finite component, zero vectors,
     rows without an id and vectors of another than the most common length (the longer on a
-    tie); of rows with the same id the smallest vector stays.
+    tie); of rows with the same id the smallest vector stays.  Vectors whose largest component is far from 1
+    are multiplied by a power of two, which leaves cosines as they are, so that squares stay finite.
     """
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = df.filter(F.col(vector).isNotNull() & F.col(vec_id).isNotNull() & finite & F.exists(x, lambda c: c != 0)).select(
         F.col(vec_id).cast("long").alias("vec_id"), x.alias("v")
     )
+    most = F.array_max(F.transform("v", F.abs))
+    power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(most))))
+    scaled = F.transform("v", lambda c: c * F.pow(F.lit(2.0), power))
+    rows = rows.withColumn("v", F.when(most.between(1e-100, 1e100), F.col("v")).otherwise(scaled))
     one = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     common = one.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1)
     return one.join(F.broadcast(common), F.size("v") == F.col("dim")).select("vec_id", "v")

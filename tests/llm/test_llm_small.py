@@ -523,3 +523,18 @@ def test_quality_grades(spark):
 def test_digest_of_no_spans_is_that_of_an_empty_string(spark):
     empty = spark.createDataFrame([("",)], "x string").select(F.sha2("x", 256).alias("h")).first().h
     assert empty == hashlib.sha256(b"").hexdigest()
+
+
+def test_cosines_of_very_small_and_very_large_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e-200, 1e-200]), (2, [1e300, 0.0]), (3, [5e-324, 0.0]), (4, [0.0, 0.0])]
+    held = vectors.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.nearest(held, held.filter("vec_id = 0"), k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 3, 1]
+    assert np.allclose([r.score for r in got], [1.0, 1.0, 0.5**0.5])
+
+
+def test_digits_of_other_scripts_are_no_letters(spark):
+    docs = documents(spark, ["\u00bd \u00b2 \u00b3", "\u2167", "plain words here"]).withColumn("lang", F.lit("en"))
+    names, logs = langid.train(docs)
+    got = {r.doc_id: r.lang for r in docs.select("doc_id", langid.predicted(docs, names, logs)["lang"].alias("lang")).collect()}
+    assert got == {0: "und", 1: "und", 2: "en"}
