@@ -5,7 +5,10 @@ cut into blocks of equal words.  Slot ``i`` of the mix maps the golden-ratio poi
 ``frac((i + 1) * phi)`` through the cumulative weights to a source; the r-th slot of
 a source takes block ``r`` of its stream, going round once more where a target is
 above the size.  Because the points have low discrepancy, every stretch of the mix
-holds the sources in their target shares within a few blocks.
+holds the sources in their target shares within a few blocks.  Sources whose target is under
+``LEAST_SLOTS`` blocks have a schedule of their own with blocks ``LEAST_SLOTS`` times smaller, and so
+on down to blocks of one word: every source, however small, comes within a few thousandths of its target
+(a few words, if it has few).
 
 Defined cases: a null or blank text has size 0 and is taken zero times; a null source
 is a source of its own, ordered last; an empty table gives an empty mix; repeated rows
@@ -16,6 +19,7 @@ named like an output column are replaced.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +31,7 @@ WEIGHTS = (3, 1, 2)
 GOLDEN = 0.6180339887498949
 SLOTS = 1 << 20
 LEAST_BLOCK = 16
+LEAST_SLOTS = 1024
 _SLOT_CHUNK = 4096
 _POINT_BINS = 1024
 
@@ -91,32 +96,56 @@ def _stream(sized: DataFrame, seed: int, per_bucket: int = 50_000) -> DataFrame:
     ).select("key", "source", "size", (F.col("local") + F.col("offset")).alias("start"))
 
 
-def schedule(target: DataFrame, slots: int) -> DataFrame:
-    """The mix as ``slots`` slots (slot, source number ``at``, rank of the slot in its source)."""
+def block_sizes(wanted: float, slots: int = SLOTS) -> list[int]:
+    """Block sizes from the largest, for sources with the largest targets, down to one word."""
+    sizes = [max(LEAST_BLOCK, math.ceil(wanted / slots))]
+    while sizes[-1] > 1:
+        sizes.append(math.ceil(sizes[-1] / LEAST_SLOTS))
+    return sizes
+
+
+def with_blocks(target: DataFrame, sizes: list[int]) -> DataFrame:
+    """``target`` with the ``block`` of each source: the largest that its target holds ``LEAST_SLOTS`` times, else 1."""
+    fitting = [F.when(F.col("target") >= LEAST_SLOTS * size, F.lit(size)) for size in sizes]
+    return target.withColumn("block", F.coalesce(*fitting, F.lit(1)).cast("long"))
+
+
+def schedule(target: DataFrame) -> DataFrame:
+    """The mix as slots (block, slot, source number ``at``, rank of the slot in its source).
+
+    ``target`` is (at, target, block); sources of one block size share a schedule, whose slots are
+    numbered from 0.  Slot i of n stands at the fraction i / n of the mix.
+    """
     spark = target.sparkSession
-    everything = Window.partitionBy()
-    running = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = target.filter("target > 0").select(
-        "at", ((F.sum("target").over(running) - F.col("target")) / F.sum("target").over(everything)).alias("low"),
-        (F.sum("target").over(running) / F.sum("target").over(everything)).alias("high"),
-        F.lead("at").over(Window.orderBy("at")).isNull().alias("last"),
+    open_ = target.filter("target > 0")
+    # a handful of rows: each block size is ``LEAST_SLOTS`` times smaller than the one before
+    totals = open_.groupBy("block").agg(F.sum("target").alias("words")).collect()
+    # as many slots as fill the targets, rounded up
+    numbers = {r.block: math.ceil(round(r.words, 3) / r.block) for r in totals} or {1: 0}
+    points = reduce(DataFrame.union, [
+        spark.range(n).select(F.lit(block).cast("long").alias("block"), F.col("id").alias("slot")) for block, n in numbers.items()
+    ])
+    point = (F.col("slot") + 1) * F.lit(GOLDEN) - F.floor((F.col("slot") + 1) * F.lit(GOLDEN))
+    points = points.withColumn("point", point).withColumn("bin", F.floor(F.col("point") * _POINT_BINS))
+    together, running = Window.partitionBy("block"), Window.partitionBy("block").orderBy("at")
+    upto = F.sum("target").over(running.rowsBetween(Window.unboundedPreceding, 0))
+    ranges = open_.select(
+        "block", "at", ((upto - F.col("target")) / F.sum("target").over(together)).alias("low"),
+        (upto / F.sum("target").over(together)).alias("high"), F.lead("at").over(running).isNull().alias("last"),
     )
-    slots = spark.range(slots).select(
-        F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) - F.floor((F.col("id") + 1) * F.lit(GOLDEN))).alias("point")
-    ).withColumn("bin", F.floor(F.col("point") * _POINT_BINS))
     binned = ranges.withColumn(
         "bin", F.explode(F.sequence(F.floor(F.col("low") * _POINT_BINS), F.least(F.floor(F.col("high") * _POINT_BINS), F.lit(_POINT_BINS - 1))))
     )
-    mapped = slots.join(binned, "bin").filter(
+    mapped = points.join(binned, ["block", "bin"]).filter(
         (F.col("point") >= F.col("low")) & ((F.col("point") < F.col("high")) | F.col("last"))
-    ).select("slot", "at", F.floor(F.col("slot") / _SLOT_CHUNK).alias("chunk"))
+    ).select("block", "slot", "at", F.floor(F.col("slot") / _SLOT_CHUNK).alias("chunk"))
     # ranks inside chunks of slots, chunks added up: no source's slots meet in one task
     counts = mapped.groupBy("at", "chunk").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("at").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("at", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("at", "chunk").orderBy("slot")
     return mapped.withColumn("local", F.row_number().over(inside) - 1).join(offsets, ["at", "chunk"]).select(
-        "slot", "at", (F.col("local") + F.col("offset")).alias("rank")
+        "block", "slot", "at", (F.col("local") + F.col("offset")).alias("rank")
     )
 
 
@@ -146,34 +175,33 @@ def mix(
     """Mix ``docs`` (doc_id, text, source, ...) to target weights.
 
     Returns the documents with their row key, the targets, and the pieces of the mix:
-    (key, slot, round, piece_start, piece_words) - the words of a document that a slot takes,
+    (key, block, slot, round, piece_start, piece_words) - the words of a document that a slot takes,
     counted from the document's first word; going round again repeats them.  The
-    mix has about ``slots`` slots (fewer only where a block would have under ``LEAST_BLOCK``
-    words), whatever the size of the corpus, so a source's words in the mix differ from its
-    target by a few blocks, a few millionths of the mix.
+    large sources share about ``slots`` slots (fewer only where a block would have under ``LEAST_BLOCK``
+    words), whatever the size of the corpus; small ones have blocks of their own size (:func:`schedule`).
     """
     keyed = reliable(_keyed(docs).select("key", "doc_id", "source", "size"))
-    target = reliable(targets(keyed, weights, share, most))
     words = keyed.agg(F.sum("size")).first()[0] or 0
-    wanted = words * min(share, most)
-    block = max(LEAST_BLOCK, math.ceil(wanted / slots))
-    slots = schedule(target, int(wanted // block))
+    sizes = block_sizes(words * min(share, most), slots)
+    target = reliable(with_blocks(targets(keyed, weights, share, most), sizes))
+    dealt = reliable(schedule(target.select("at", "target", "block")))
+    given = dealt.groupBy("at").agg(F.count("*").alias("given"))
     streamed = _stream(keyed.filter("size > 0"), seed).join(
-        target.select(F.col("source").alias("of"), "at", "source_size"), F.col("source").eqNullSafe(F.col("of"))
+        target.join(given, "at").select(F.col("source").alias("of"), "at", "source_size", "block", "given"),
+        F.col("source").eqNullSafe(F.col("of")),
     )
     rounds = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))).alias("round")
-    laid = streamed.select("key", "at", "size", "source_size", "start", rounds).select(
-        "key", "at", "size", "round",
-        (F.col("start") + F.col("round") * F.col("source_size")).alias("low"),
-        (F.col("start") + F.col("round") * F.col("source_size") + F.col("size")).alias("high"),
-    )
-    pieces = laid.withColumn(
-        "rank", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block)))
+    begin = F.col("start") + F.col("round") * F.col("source_size")
+    # what lies behind the source's last slot is in no block
+    laid = streamed.select("*", rounds).withColumn("low", begin).withColumn("high", begin + F.col("size")).filter(
+        F.col("low") < F.col("given") * F.col("block")
     )
-    taken = slots.join(pieces, ["at", "rank"]).select(
-        "key", "slot", "round",
-        (F.greatest("low", F.col("rank") * block) - F.col("low")).alias("piece_start"),
-        (F.least("high", (F.col("rank") + 1) * block) - F.greatest("low", F.col("rank") * block)).alias("piece_words"),
+    last = F.least(F.floor((F.col("high") - 1) / F.col("block")), F.col("given") - 1)
+    pieces = laid.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / F.col("block")), last))).drop("block")
+    taken = dealt.join(pieces, ["at", "rank"]).select(
+        "key", "block", "slot", "round",
+        (F.greatest("low", F.col("rank") * F.col("block")) - F.col("low")).alias("piece_start"),
+        (F.least("high", (F.col("rank") + 1) * F.col("block")) - F.greatest("low", F.col("rank") * F.col("block"))).alias("piece_words"),
     )
     return keyed, target, taken
 

@@ -216,22 +216,26 @@ t AS (
   SELECT s4.source, s4.nr, s4.source_size,
     CASE WHEN f.nr IS NULL OR (s4.ratio, s4.nr) < (f.ratio, f.nr) THEN s4.cap ELSE f.level * s4.weight END AS target
   FROM s4 LEFT JOIN f ON true
-), r AS (
-  SELECT nr, (sum(target) OVER upto - target) / sum(target) OVER () AS low, sum(target) OVER upto / sum(target) OVER () AS high,
-    nr = max(nr) OVER () AS last
-  FROM t WHERE target > 0 WINDOW upto AS (ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), b AS (
-  SELECT wanted, greatest(16, ceil(wanted / 1048576))::BIGINT AS block
-  FROM (SELECT coalesce(sum(size), 0)::DOUBLE * 1.5::DOUBLE AS wanted FROM d)
+  SELECT greatest(16, ceil(coalesce(sum(size), 0)::DOUBLE * 1.5::DOUBLE / 1048576))::BIGINT AS top FROM d
+), u AS (
+  SELECT t.*, CASE WHEN target >= 1024 * top THEN top WHEN target >= 1024 * ceil(top / 1024) THEN ceil(top / 1024)
+    WHEN target >= 1024 * ceil(top / 1048576) THEN ceil(top / 1048576) ELSE 1 END::BIGINT AS block
+  FROM t CROSS JOIN b
+), r AS (
+  SELECT nr, block, (sum(target) OVER upto - target) / sum(target) OVER same AS low, sum(target) OVER upto / sum(target) OVER same AS high,
+    nr = max(nr) OVER same AS last
+  FROM u WHERE target > 0
+  WINDOW same AS (PARTITION BY block), upto AS (PARTITION BY block ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), p AS (
-  SELECT (i + 1) * 0.6180339887498949::DOUBLE - floor((i + 1) * 0.6180339887498949::DOUBLE) AS point
-  FROM b, range(floor(wanted / block)::BIGINT) AS x(i)
+  SELECT block, (i + 1) * 0.6180339887498949::DOUBLE - floor((i + 1) * 0.6180339887498949::DOUBLE) AS point
+  FROM (SELECT block, unnest(range(ceil(round(sum(target), 3) / block)::BIGINT)) AS i FROM u WHERE target > 0 GROUP BY block)
 ), n AS (
-  SELECT r.nr, count(*) AS slots FROM p JOIN r ON point >= low AND (point < high OR last) GROUP BY r.nr
+  SELECT r.nr, count(*) AS slots FROM p JOIN r ON p.block = r.block AND point >= low AND (point < high OR last) GROUP BY r.nr
 ), l AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(n.slots, 0) * b.block AS upto,
-    coalesce(sum(d.size) OVER (PARTITION BY t.nr ORDER BY md5('7:' || d.doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON n.nr = t.nr CROSS JOIN b
+  SELECT d.doc_id, d.size, u.source_size, u.target, coalesce(n.slots, 0) * u.block AS upto,
+    coalesce(sum(d.size) OVER (PARTITION BY u.nr ORDER BY md5('7:' || d.doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN n ON n.nr = u.nr
 )
 SELECT doc_id, size, source_size, target::DOUBLE AS target,
   (greatest(0, least(size, upto - start)) + greatest(0, least(size, upto - start - source_size)))::BIGINT AS taken

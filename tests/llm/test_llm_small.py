@@ -122,6 +122,22 @@ def test_mix_meets_its_targets(spark):
     assert words == {i: out[i].taken for i in words}
 
 
+def test_mix_gives_small_sources_their_target(spark):
+    draw = random.Random(8)
+    # with 2**7 slots the first block size is above all that the small sources hold
+    texts = [sentence(draw, 400) for _ in range(80)] + [sentence(draw, 5) for _ in range(8)] + ["one"]
+    source = lambda i: "z" if i == 88 else "big" if i < 40 else "hot" if i < 80 else f"small{i % 2}"
+    docs = documents(spark, texts, source=source)
+    got, target = {}, {}
+    for i, r in enumerate(mixing.mix_counts(docs, slots=1 << 7).orderBy("doc_id").collect()):
+        assert 0 <= r.taken <= 2 * r.size
+        got[source(i)] = got.get(source(i), 0) + r.taken
+        target[source(i)] = r.target
+    assert mixing.block_sizes(32_000 * 1.5, 1 << 7) == [375, 1]
+    assert target["small0"] > 20 and target["z"] > 1
+    assert all(abs(got[s] - target[s]) <= max(3, 0.01 * target[s]) for s in got), (got, target)
+
+
 def test_mix_keeps_repeated_rows_apart_and_takes_empty_tables(spark):
     docs = documents(spark, ["a b c d e"] * 3).withColumn("doc_id", F.lit(1).cast("long"))
     rows = mixing.mix_counts(docs).collect()
