@@ -10,10 +10,11 @@ rows and share of all.  The rows of the opened leaves are ranked by their exact
 Leaves are searched as (tree, leaf, piece) groups of bounded size: a leaf that holds very many
 rows (equal vectors) is cut into pieces, and its queries meet each piece.
 
-Defined cases: vectors that are null, zero, of another than the most common length, or that
-hold a null or non-finite component take no part, nor do rows without an id; of rows with the
-same id the smallest vector takes part; a query's own id is no candidate; with fewer than k
-candidates all are returned; ties go to the smaller id; an empty table gives an empty result.
+Defined cases: vectors that are null, empty, zero, or that hold a null or non-finite component
+take no part, nor do rows without an id; rows with one id are rows of their own, as queries
+and as candidates; vectors are compared with those of their own length; a query's own row is no
+candidate; with fewer than k candidates all are returned; ties go to the smaller id; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import reliable
+from .vectors import of_each_length
 
 TREES = 8
 LEAF = 128
@@ -97,12 +99,12 @@ class Forest:
 
 def fit(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 3) -> Forest:
     """A forest fitted on the ``sample`` rows of (vec_id, v) with the smallest hashes of their ids."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
     return Forest(np.array([r.v for r in rows]) if rows else np.zeros((0, 1)), trees, leaf, seed)
 
 
 def indexed(vectors: DataFrame, forest: Forest) -> DataFrame:
-    """Every row under its leaf in every tree (leaf, vec_id, v); leaf numbers are unique over the trees."""
+    """Every row (row, vec_id, v) under its leaf in every tree; leaf numbers are unique over the trees."""
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
     def dropped(frames):
@@ -112,9 +114,9 @@ def indexed(vectors: DataFrame, forest: Forest) -> DataFrame:
                 v = np.array(pdf.v.tolist())
                 unit = v / np.sqrt((v * v).sum(1))[:, None]
                 for tree in range(len(trees.root)):
-                    yield pdf.assign(leaf=trees.leaf_of(unit, tree).astype(np.int32))[["leaf", "vec_id", "v"]]
+                    yield pdf.assign(leaf=trees.leaf_of(unit, tree).astype(np.int32))[["leaf", "row", "vec_id", "v"]]
 
-    return vectors.mapInPandas(dropped, "leaf int, vec_id long, v array<double>")
+    return vectors.mapInPandas(dropped, "leaf int, row long, vec_id long, v array<double>")
 
 
 def _cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -123,11 +125,11 @@ def _cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _leading(query: np.ndarray, ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, k: int):
-    """The k best of a block by exact score, ties to the smaller id; ``rough`` picks who can be among them."""
+    """Places and scores of the k best of a block, ties to the smaller id; ``rough`` picks who can be among them."""
     at = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[-k] - 1e-9)
     score = _cosines(query, rows[at])
     best = np.lexsort((ids[at], -score))[:k]
-    return ids[at][best], score[best]
+    return at[best], score[best]
 
 
 def nearest(
@@ -137,15 +139,22 @@ def nearest(
     """The k nearest found of every query (query_id, rank, vec_id, score).
 
     ``vectors`` and ``queries`` are (vec_id, v) as :func:`vectors.usable` returns them;
-    queries are rows of ``vectors``.
+    queries are the rows of ``vectors`` with one of their ids.
     """
+    rows = reliable(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
+    asked = reliable(rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select("row"))
+    return of_each_length(rows, lambda same: _nearest(same, asked, k, forest, candidates, share))
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | None, candidates: int, share: float) -> DataFrame:
     spark = vectors.sparkSession
     context = spark.sparkContext
-    vectors = reliable(vectors)
     forest = forest or fit(vectors)
     listed = reliable(indexed(vectors, forest))
     counts = {r.leaf: r["count"] for r in listed.groupBy("leaf").count().collect()}  # one small row per leaf
-    if not counts:
+    asked = vectors.join(queries, "row", "left_semi")
+    parts = -(-asked.count() // QUERY_PIECE)
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     held = np.array([counts.get(i, 0) for i in range(forest.leaves)])
     wanted = max(candidates, int(share * held.sum() / len(forest.root)))
@@ -155,39 +164,39 @@ def nearest(
         trees, rows, want = shared.value
         for pdf in frames:
             out = []
-            for own, v in zip(pdf.vec_id, pdf.v, strict=True):
+            for own, v in zip(pdf.row, pdf.v, strict=True):
                 leaves = trees.opened(v / np.sqrt((v * v).sum()), rows, want)
-                out.append(pd.DataFrame({"leaf": np.array(leaves, dtype=np.int32), "vec_id": own}))
+                out.append(pd.DataFrame({"leaf": np.array(leaves, dtype=np.int32), "row": own}))
             if out:
                 yield pd.concat(out)
 
-    asked = vectors.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    opened = asked.mapInPandas(searched, "leaf int, vec_id long").join(asked, "vec_id")
-    parts = -(-asked.count() // QUERY_PIECE)
+    opened = asked.mapInPandas(searched, "leaf int, row long").join(asked, "row")
     pieces = F.floor((F.col("held") - 1) / PIECE) + 1
     sizes = spark.createDataFrame([(int(i), int(n)) for i, n in counts.items()], "leaf int, held long")
-    left = opened.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).select(
-        "leaf", "part", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece")
+    left = opened.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).select(
+        "leaf", "part", "row", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece")
     )
-    right = listed.join(F.broadcast(sizes), "leaf").withColumn("piece", F.pmod(F.xxhash64("vec_id"), pieces)).select(
-        "leaf", "piece", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+    right = listed.join(F.broadcast(sizes), "leaf").withColumn("piece", F.pmod(F.xxhash64("row"), pieces)).select(
+        "leaf", "piece", "row", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
     )
 
     def ranked(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(d):
-            ids, rows = d.vec_id.to_numpy(), np.array(d.v.tolist())
+            ids, marks, rows = d.vec_id.to_numpy(), d.row.to_numpy(), np.array(d.v.tolist())
             unit = rows / np.sqrt((rows * rows).sum(1))[:, None]
             asked = np.array(q.v.tolist())
             rough = asked @ unit.T / np.sqrt((asked * asked).sum(1))[:, None]
-            for own, query, line in zip(q.vec_id.to_numpy(), asked, rough, strict=True):
-                other = ids != own
+            for own, query_id, query, line in zip(q.row.to_numpy(), q.vec_id.to_numpy(), asked, rough, strict=True):
+                other = np.flatnonzero(marks != own)
                 near, score = _leading(query, ids[other], rows[other], line[other], k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": near, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                near = other[near]
+                out.append(pd.DataFrame({"asking": own, "query_id": query_id, "row": marks[near], "vec_id": ids[near], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("asking", "query_id", "row", "vec_id", "score")})
 
     keys = ["leaf", "part", "piece"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(ranked, "query_id long, vec_id long, score double")
-    once = local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    shape = "asking long, query_id long, row long, vec_id long, score double"
+    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(ranked, shape)
+    once = local.groupBy("asking", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id")).cast("int")
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,11 +8,12 @@ upper bound reaches that score, and every group is solved locally in blocks.
 For a query q = p + e with |e| <= r and a row x:  p.x - r|x| <= q.x <= p.x + r|x|,
 so the bounds hold for the inner product itself and results are exact.
 
-Defined cases: a null vector, one with a null or non-finite component, one with a null
-id, and one whose length is not the most common one take no part; of rows with the same
-id the smallest vector takes part; with fewer than k candidates all are returned; ties
-go to the smaller id; an empty table gives an empty result.  Components must stay below
-2**24 after scaling, so that scores are exact in double precision and in long.
+Defined cases: a null or empty vector, one with a null or non-finite component and one with a null
+id take no part; rows with one id are rows of their own, as queries and as candidates; vectors are compared
+with those of their own length; a query's own row is no candidate; with fewer than k candidates all are returned;
+ties go to the smaller id; an empty table gives an empty result; other columns are not read.  Scores are exact:
+doubles, longs or unbounded integers are used as the components of a block need.  A scaled component of 2**62 or
+more, or a score beyond a long, is an error.
 """
 
 from __future__ import annotations
@@ -23,27 +24,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import reliable
+from .vectors import of_each_length
 
 QUERY_BLOCK = 2048
 DATA_BLOCK = 16384
 PIVOTS = 16
 PIVOT_SAMPLE = 4096
-_EXACT = float(1 << 24)
+_LARGEST = float(1 << 62)
+_QUERIES_AT_ONCE = 64
 
 
 def quantized(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(vec_id, v): the vectors that take part, each component floor(scale * x) as a double."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
-    usable = F.col(vector).isNotNull() & F.col(vec_id).isNotNull() & F.forall(
+    usable = (F.size(vector) > 0) & F.col(vec_id).isNotNull() & F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     )
-    rows = df.filter(usable).select(
+    return df.filter(usable).select(
         F.col(vec_id).cast("long").alias("vec_id"),
         F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("double")).alias("v"),
     )
-    one = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    common = one.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1)
-    return one.join(F.broadcast(common), F.size("v") == F.col("dim")).select("vec_id", "v")
 
 
 def _nearest(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +62,36 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
+def _scores(asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers, as longs."""
+    most = float(np.abs(asked).max()) * float(np.abs(rows).max()) * asked.shape[1]
+    if most < 2.0**53:
+        return (asked @ rows.T).astype(np.int64)
+    if most < 2.0**62:
+        return asked.astype(np.int64) @ rows.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return (whole(asked) @ whole(rows).T).astype(np.int64)  # OverflowError beyond a long
+
+
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
     """The k largest inner products of every query (query_id, rank, vec_id, score long).
 
-    ``vectors`` and ``queries`` are (vec_id, v) as :func:`quantized` returns them; a query's
-    own id is no candidate.  Pivots are picked from at most ``PIVOT_SAMPLE`` rows, which
+    ``vectors`` and ``queries`` are (vec_id, v) as :func:`quantized` returns them; queries are the rows
+    of ``vectors`` with one of their ids.  Pivots are picked from at most ``PIVOT_SAMPLE`` rows, which
     bears on the work only, never on the result.
     """
+    rows = reliable(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
+    asked = reliable(rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select("row"))
+    return of_each_length(rows, lambda same: _top_of_length(same, asked, k, pivots))
+
+
+def _top_of_length(vectors: DataFrame, queries: DataFrame, k: int, pivots: int) -> DataFrame:
     spark = vectors.sparkSession
     context = spark.sparkContext
-    vectors = reliable(vectors)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
-    if not sample or not queries.take(1):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOT_SAMPLE).collect()
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if not sample:
+        return none
     chosen = _far_apart(np.array([r.v for r in sample]), pivots)
     shared = context.broadcast(chosen)
 
@@ -82,24 +99,32 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20, pivo
         for pdf in frames:
             if len(pdf):
                 v = np.array(pdf.v.tolist())
-                if np.abs(v).max() >= _EXACT:
-                    raise ValueError("a scaled component is not below 2**24")
+                if np.abs(v).max() >= _LARGEST:
+                    raise ValueError("a scaled component is not below 2**62")
                 at, far = _nearest(v, shared.value)
                 yield pdf.assign(cell=at.astype(np.int32), far=far, norm=np.sqrt((v * v).sum(1)))
 
-    shape = "vec_id long, v array<double>, cell int, far double, norm double"
+    shape = "row long, vec_id long, v array<double>, cell int, far double, norm double"
     data = vectors.mapInPandas(grouped, shape)
-    asked = reliable(vectors.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").mapInPandas(grouped, shape))
+    asked = reliable(vectors.join(queries, "row", "left_semi").select("row", "vec_id", "v").mapInPandas(grouped, shape))
 
     # summaries: a few numbers per cell, at most pivots * k distances
     spans = {r.cell: (r.far, r.n) for r in asked.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
+    if not spans:
+        return none
     near = _k_smallest(data.select("cell", "far", "norm"), k + 1)
     reach = np.zeros(len(chosen))
     floor = np.full(len(chosen), -np.inf)
+    slack = (chosen.shape[1] + 4) * 2.0**-50  # rounding of an inner product, relative to the lengths of its vectors
     for cell, (far, _) in spans.items():
         reach[cell] = far
         # each known row is at least this good for any query of the cell; one of them may be the query itself
-        lows = [chosen[cell] @ chosen[c] - (np.linalg.norm(chosen[cell]) + far) * d - far * np.linalg.norm(chosen[c]) for c, d in near]
+        long = np.linalg.norm(chosen[cell]) + far
+        norms = [np.linalg.norm(chosen[c]) for c, _ in near]
+        lows = [
+            chosen[cell] @ chosen[c] - long * d - far * norm - slack * long * (norm + d)
+            for (c, d), norm in zip(near, norms, strict=True)
+        ]
         if len(lows) > k:
             floor[cell] = sorted(lows, reverse=True)[k] - 1e-6 * (1 + abs(sorted(lows, reverse=True)[k]))
     cells = np.array(sorted(spans), dtype=np.int32)
@@ -111,38 +136,39 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20, pivo
             if not len(pdf) or not len(present):
                 continue
             v = np.array(pdf.v.tolist())
-            upper = v @ points[present].T + pdf.norm.to_numpy()[:, None] * radius[present][None] * (1 + 1e-9)
+            lengths = np.linalg.norm(points[present], axis=1)
+            upper = v @ points[present].T + pdf.norm.to_numpy()[:, None] * (radius[present] * (1 + 1e-9) + slack * lengths)[None]
             row, cell = np.nonzero(upper >= least[present][None])
-            yield pd.DataFrame({"cell": present[cell], "vec_id": pdf.vec_id.to_numpy()[row], "v": pdf.v.to_numpy()[row]})
+            yield pd.DataFrame({"cell": present[cell], "row": pdf.row.to_numpy()[row], "vec_id": pdf.vec_id.to_numpy()[row], "v": pdf.v.to_numpy()[row]})
 
-    needed = data.mapInPandas(replicated, "cell int, vec_id long, v array<double>")
+    needed = data.mapInPandas(replicated, "cell int, row long, vec_id long, v array<double>")
     # blocks of bounded size: a cell's queries in parts, its data in pieces, each part meets each piece
     pieces = -(-vectors.count() // DATA_BLOCK)
     count = F.create_map(*[F.lit(x) for c in cells for x in (int(c), -(-spans[c][1] // QUERY_BLOCK))])[F.col("cell")]
-    left = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), count).cast("int")).select(
-        "cell", "vec_id", "v", "part", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece")
+    left = asked.withColumn("part", F.pmod(F.xxhash64("row"), count).cast("int")).select(
+        "cell", "row", "vec_id", "v", "part", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece")
     )
-    right = needed.withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.lit(pieces)).cast("int")).select(
-        "cell", "vec_id", "v", "piece", F.explode(F.sequence(F.lit(0), count - 1)).alias("part")
+    right = needed.withColumn("piece", F.pmod(F.xxhash64("row"), F.lit(pieces)).cast("int")).select(
+        "cell", "row", "vec_id", "v", "piece", F.explode(F.sequence(F.lit(0), count - 1)).alias("part")
     )
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(d):
-            ids, x = d.vec_id.to_numpy(), np.array(d.v.tolist())
-            for start in range(0, len(q), 256):
-                part = q.iloc[start : start + 256]
-                scores = np.array(part.v.tolist()) @ x.T
-                for own, line in zip(part.vec_id.to_numpy(), scores, strict=True):
-                    line[ids == own] = -np.inf
-                    best = _best(ids, line, k)
-                    best = best[np.isfinite(line[best])]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "score": line[best].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+            ids, marks, x = d.vec_id.to_numpy(), d.row.to_numpy(), np.array(d.v.tolist())
+            for start in range(0, len(q), _QUERIES_AT_ONCE):
+                part = q.iloc[start : start + _QUERIES_AT_ONCE]
+                scores = _scores(np.array(part.v.tolist()), x)
+                for own, query_id, line in zip(part.row.to_numpy(), part.vec_id.to_numpy(), scores, strict=True):
+                    other = np.flatnonzero(marks != own)
+                    best = other[_best(ids[other], line[other], k)]
+                    out.append(pd.DataFrame({"asking": own, "query_id": query_id, "vec_id": ids[best], "score": line[best]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("asking", "query_id", "vec_id", "score")}, dtype=np.int64)
 
     keys = ["cell", "part", "piece"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    shape = "asking long, query_id long, vec_id long, score long"
+    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(solve, shape)
+    rank = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id")).cast("int")
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -355,39 +356,63 @@ def test_top_inner_products_match_brute_force(spark):
     table = vector_table(spark)
     rows = topk.quantized(table)
     got = topk.top_inner_products(rows, rows.filter("vec_id % 20 = 0"), k=20, pivots=5).collect()
-    data = {r.vec_id: np.array(r.v).astype(np.int64) for r in rows.collect()}
-    assert 2004 in data and not {2000, 2001, 2002, 2003, 2005} & set(data)
-    expected = set()
-    for q in [i for i in data if i % 20 == 0]:
-        best = sorted(((-int(data[q] @ x), i) for i, x in data.items() if i != q))[:20]
-        expected |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == expected
+    data = [(r.vec_id, np.array(r.v).astype(np.int64)) for r in rows.collect()]
+    ids = [i for i, _ in data]
+    assert {2004, 2005} <= set(ids) and ids.count(5) == 2 and not {2000, 2001, 2002, 2003} & set(ids)
+    expected = []
+    for at, (q, v) in enumerate(data):
+        if q % 20 == 0:
+            best = sorted((-int(v @ x), i) for n, (i, x) in enumerate(data) if n != at and len(x) == len(v))[:20]
+            expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(expected)
     few = rows.filter("vec_id < 4")
     assert topk.top_inner_products(few, few.filter("vec_id = 0")).count() == 3
     none = rows.filter("vec_id < 0")
     assert topk.top_inner_products(none, none).count() == 0
 
 
+@pytest.mark.parametrize("size", [300_000.0, 2.0**22, 2.0**23])
+def test_top_inner_products_of_large_components_are_exact(spark, size):
+    draw = np.random.default_rng(4)
+    rows = [(int(i // 2), [float(x) for x in draw.normal(size=3) * size]) for i in range(120)]  # each id twice
+    rows += [(i, [rows[0][1][0]] * 2) for i in range(20, 24)] + [(24, [])]  # a rarer length
+    held = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_inner_products(held, held.filter("vec_id % 20 = 0"), k=4, pivots=3).collect()
+    data = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v]
+    expected = []
+    for at, (q, v) in enumerate(data):
+        if q % 20 == 0:
+            scores = ((-sum(x * y for x, y in zip(v, w, strict=True)), i) for n, (i, w) in enumerate(data) if n != at and len(w) == len(v))
+            expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:4], 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(expected)
+
+
 def test_forest_finds_most_neighbours(spark):
     rows = vectors.usable(vector_table(spark, n=1500))
-    data = {r.vec_id: np.array(r.v) for r in rows.collect()}
-    assert not {2000, 2001, 2002, 2003, 2004, 2005} & set(data)
+    every = [(r.vec_id, np.array(r.v)) for r in rows.collect()]
+    assert {i for i, v in every if len(v) == 1} == {2005} and not {2000, 2001, 2002, 2003, 2004} & {i for i, _ in every}
     got = ann.nearest(rows, rows.filter("vec_id % 50 = 0"), k=5, candidates=1500, share=0.3).collect()
-    ids = sorted(data)
-    unit = np.array([data[i] / np.sqrt((data[i] ** 2).sum()) for i in ids])
+    data = [(i, v) for i, v in every if len(v) > 1]
+    ids = np.array([i for i, _ in data])
+    assert (ids == 5).sum() == 2
+    unit = np.array([v / np.sqrt((v**2).sum()) for _, v in data])
     hits = total = 0
-    for q in [i for i in ids if i % 50 == 0]:
-        score = unit @ unit[ids.index(q)]
-        order = [i for _, i in sorted((-round(s, 12), i) for s, i in zip(score, ids, strict=True) if i != q)][:5]
-        mine = [r for r in got if r.query_id == q]
+    for at in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[at]
+        order = [i for _, i in sorted((-round(s, 12), i) for n, (s, i) in enumerate(zip(score, ids, strict=True)) if n != at)][:5]
+        mine = [r for r in got if r.query_id == ids[at]]
         assert [r.rank for r in sorted(mine, key=lambda r: (-r.score, r.vec_id))] == [1, 2, 3, 4, 5]
-        assert all(abs(r.score - score[ids.index(r.vec_id)]) < 1e-12 for r in mine)
+        assert all(np.abs(score[ids == r.vec_id] - r.score).min() < 1e-12 for r in mine)
         hits, total = hits + len({r.vec_id for r in mine} & set(order)), total + 5
     assert hits / total >= 0.9
     few = rows.filter("vec_id < 4")
     assert ann.nearest(few, few.filter("vec_id = 0")).count() == 3
     none = rows.filter("vec_id < 0")
     assert ann.nearest(none, none).count() == 0
+    # both rows of an id ask, and each is the other's nearest
+    twins = rows.filter("vec_id in (5, 6, 2005)")
+    got = ann.nearest(twins, twins.filter("vec_id = 5"), k=1).collect()
+    assert [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got] == [(5, 1, 5, 1.0)] * 2
 
 
 # --- BPE
