@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +34,39 @@ def reliable(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 32) -> Iterator[None]:
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 32) -> AbstractContextManager[None]:
     """While rows that repeat long texts go to Python, an Arrow batch holds few of them.
 
     Only for work that is done inside, such as a checkpoint; the session gets its setting back.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def freed_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Jobs run inside free their shuffle files when they are done, for steps that checkpoint what they hand on."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the checkpoints (of :func:`reliable`) that no later step reads."""
+    for df in frames:
+        spark = df.sparkSession
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_of(df: DataFrame) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import discard, reliable
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected(links: DataFrame) -> DataFrame:
         # every node now points to smaller ones only
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
-        edges = reliable(small.filter("u > v").distinct())
+        last, edges = edges, reliable(small.filter("u > v").distinct())
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import reliable, small_batches
+from .common import discard, freed_shuffles, reliable, small_batches
 from .components import connected
 from .text_hash import mix, text_shingles
 
@@ -276,6 +276,11 @@ def _spanning(asked: pd.DataFrame, block: pd.DataFrame) -> list[tuple[int, int]]
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: n_shingles, component_id (smallest linked doc_id) and kept (it is that one)."""
+    with freed_shuffles(docs.sparkSession):
+        return _components(docs, text)
+
+
+def _components(docs: DataFrame, text: str) -> DataFrame:
     every = reliable(features(docs, text))
     classes = every.filter("n_shingles > 0").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("doc"))
     classes = reliable(classes)
@@ -304,11 +309,13 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         with small_batches(spark):
             new = reliable(_verified(asked.join(whole.select("doc", "n"), "doc"), texts))
         if number and not new.take(1):
-            tried = tried.union(judged.select("a", "b"))
             break
+        # what a round leaves goes before the next
+        before, known, old = tried, links, found
         tried = reliable(tried.union(judged.select("a", "b")))
         links = reliable(links.union(new))
         found = reliable(connected(links))
+        discard(judged, new, *((before, known, old) if number else ()))
 
     with small_batches(spark):
         more = reliable(_across(lists, found, texts))
