@@ -3,8 +3,10 @@
 A block holds the terms of some thousand chunks.  Its chunks are cut by length into small
 parts; the largest factor of every term in a part, times the weights of a search, bounds the
 score of all its chunks.  A part is scored for the searches only whose bound reaches the k-th
-best score known to them, which rises as parts are scored.  Scores are sums in another order
-than the definition's, so ``SLACK`` is allowed for and what stays is scored anew.
+best score known to them, which rises as parts are scored.  Terms in many chunks of a part are
+multiplied out as a matrix in single precision, those in few are added up entry by entry.
+Scores are sums in another order than the definition's and less precise, so a slack is allowed
+for (``SLACK``, and more for long searches) and what stays is scored anew.
 """
 
 from __future__ import annotations
@@ -18,16 +20,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_CHUNKS = 2048
-PART_CHUNKS = 128
-SEARCHES = 256
-SLACK = 1e-9
+PART_CHUNKS = 512
+SEARCHES = 512
+SLACK = 1e-5
+# A term in at least one of so many chunks of a part is multiplied out.
+_DENSE = 32
 # Running scores are kept for so many batches of searches at once.
 _KEPT_BATCHES = 32
+# Searches that are not broadcast meet the blocks in groups of so many batches.
+GROUP_BATCHES = 8
 
 _BLOCK = "rows array<long>, lengths array<int>, sizes array<int>, terms array<string>, tfs array<int>"
+_BLOCK_COLUMNS = ("rows", "lengths", "sizes", "terms", "tfs")
 _FOUND = "search_no long, row_no long, about double"
 
 
+def slack(terms: int) -> float:
+    """How far a score of so many terms may be off: a sum of non-negative parts, by one rounding of a single a part."""
+    return max(SLACK, (terms + 8) * 2.0**-22)
+
+
 def packed(documents: DataFrame) -> DataFrame:
     """Blocks of at most ``BLOCK_CHUNKS`` rows of (row_no, doc_len, terms, tfs), one row each; no shuffle."""
 
@@ -40,7 +52,7 @@ def packed(documents: DataFrame) -> DataFrame:
                     part.column("row_no"), part.column("doc_len"), pc.list_value_length(part.column("terms")),
                     pc.list_flatten(part.column("terms")), pc.list_flatten(part.column("tfs")),
                 ]
-                yield pa.RecordBatch.from_arrays([one(c) for c in columns], names=["rows", "lengths", "sizes", "terms", "tfs"])
+                yield pa.RecordBatch.from_arrays([one(c) for c in columns], names=list(_BLOCK_COLUMNS))
 
     return documents.select("row_no", "doc_len", "terms", "tfs").mapInArrow(pack, _BLOCK)
 
@@ -70,7 +82,8 @@ class _Searches:
             order = np.argsort(self.numbers)
             at = order[np.searchsorted(self.numbers[order], known.field("search_no").to_numpy())]
             self.least[at] = known.field("least").to_numpy()
-        self.best = np.zeros((len(searches), k))
+        self.best = np.zeros((len(searches), k), np.float32)
+        self.slack = slack(pc.max(pc.list_value_length(parts)).as_py() or 0)
         at = np.repeat(np.arange(len(searches)), pc.list_value_length(parts).to_numpy())
         coded = flat.field("term").dictionary_encode()
         code = coded.indices.to_numpy()
@@ -88,32 +101,55 @@ class _Searches:
         return place, self.search[at], self.weight[at]
 
 
-def _part_hits(batch: _Searches, factors: np.ndarray, terms: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(search numbers, rows, scores) that may be among the best, of chunks with ``factors`` (chunks x terms)."""
+def _part_hits(
+    batch: _Searches, factors: np.ndarray, terms: np.ndarray, rows: np.ndarray, rare: tuple[np.ndarray, ...] | None = None
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """(search numbers, rows, scores) that may be among the best, of chunks with ``factors`` (chunks x terms).
+
+    ``rare`` are factors of other terms, one by one: (chunk, term, factor), ordered by term.
+    """
     place, search, weight = batch.entries(terms)
-    bound = np.bincount(search, weight * factors.max(0)[place], len(batch.numbers))
-    active = np.flatnonzero((bound > 0) & (bound * (1 + SLACK) >= batch.least))
+    bound = np.bincount(search, weight * factors.max(0)[place], len(batch.numbers)) if len(terms) else np.zeros(len(batch.numbers))
+    if rare is not None and len(rare[0]):
+        chunk, term, value = rare
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        rare_place, rare_search, rare_weight = batch.entries(term[first])
+        bound += np.bincount(rare_search, rare_weight * np.maximum.reduceat(value, first)[rare_place], len(batch.numbers))
+    active = np.flatnonzero((bound > 0) & (bound * (1 + batch.slack) >= batch.least))
     if not len(active):
         return
-    column = np.full(len(batch.numbers), -1)
-    column[active] = np.arange(len(active))
-    matrix = np.zeros((len(terms), len(active)))
-    wanted = column[search] >= 0
-    matrix[place[wanted], column[search[wanted]]] = weight[wanted]
-    scores = (factors @ matrix).T
+    line = np.full(len(batch.numbers), -1)
+    line[active] = np.arange(len(active))
+    matrix = np.zeros((len(active), len(terms)), np.float32)
+    wanted = line[search] >= 0
+    matrix[line[search[wanted]], place[wanted]] = weight[wanted]
+    scores = matrix @ factors.astype(np.float32, copy=False).T
+    if rare is not None and len(rare[0]):
+        # every chunk of a term meets every search of it
+        wanted = line[rare_search] >= 0
+        at, row, weight = rare_place[wanted], line[rare_search[wanted]], rare_weight[wanted]
+        counts = np.diff(first, append=len(term))[at]
+        entry = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[at], counts)
+        cell = np.repeat(row, counts) * len(rows) + chunk[entry]
+        scores += np.bincount(cell, np.repeat(weight, counts) * value[entry], scores.size).reshape(scores.shape).astype(np.float32)
     k = batch.best.shape[1]
-    batch.best[active] = np.partition(np.concatenate([batch.best[active], scores], axis=1), -k, axis=1)[:, -k:]
-    batch.least[active] = np.maximum(batch.least[active], batch.best[active].min(1) * (1 - SLACK))
-    at, row = np.nonzero((scores > 0) & (scores * (1 + SLACK) >= batch.least[active][:, None]))
-    yield batch.numbers[active[at]], rows[row], scores[at, row]
+    # only a chunk above the k-th best so far can raise it
+    better = np.flatnonzero(scores.max(1) > batch.best[active].min(1))
+    mine = active[better]
+    batch.best[mine] = np.partition(np.concatenate([batch.best[mine], scores[better]], axis=1), -k, axis=1)[:, -k:]
+    batch.least[mine] = np.maximum(batch.least[mine], batch.best[mine].min(1) * (1 - batch.slack))
+    floor = (batch.least[active] / (1 + batch.slack) * (1 - 2.0**-20)).astype(np.float32)
+    at, row = np.nonzero((scores > 0) & (scores >= floor[:, None]))
+    yield batch.numbers[active[at]], rows[row], scores[at, row].astype(np.float64)
 
 
 def found(blocks: DataFrame, batches: DataFrame, factor, k: int) -> DataFrame:
     """(search_no, row_no, about): all chunks that may be among the first ``k`` of a search, and few others.
 
-    ``blocks`` are (batch, ...) of :func:`packed`, ``batches`` (batch, searches, known).
+    ``blocks`` are those of :func:`packed`, ``batches`` (batch, searches, known), broadcast or checkpointed.
     ``factor(tf, length)`` is a term's part of the score at weight 1.  Each block meets each
-    batch (a stated set of searches against all chunks, in blocks).
+    batch (a stated set of searches against all chunks, in blocks), as a product of partitions:
+    neither side is shuffled, and a task holds one block and one partition of batches.
     """
 
     def scored(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +161,11 @@ def found(blocks: DataFrame, batches: DataFrame, factor, k: int) -> DataFrame:
                     if len(kept) == _KEPT_BATCHES:
                         kept.clear()
                     kept[number] = _Searches(frame.column("searches")[i].values, frame.column("known")[i].values, k)
-                values = {c: frame.column(c)[i].values for c in ("rows", "lengths", "sizes", "terms", "tfs")}
+                values = {c: frame.column(c)[i].values for c in _BLOCK_COLUMNS}
                 for hits in _block_hits(kept[number], values, factor):
                     yield pa.RecordBatch.from_arrays([pa.array(h) for h in hits], names=["search_no", "row_no", "about"])
 
-    return blocks.join(batches, "batch").mapInArrow(scored, _FOUND)
+    return blocks.join(batches).select("batch", *_BLOCK_COLUMNS, "searches", "known").mapInArrow(scored, _FOUND)
 
 
 def _block_hits(batch: _Searches, block: dict[str, pa.Array], factor) -> Iterator[tuple[np.ndarray, ...]]:
@@ -151,8 +187,14 @@ def _block_hits(batch: _Searches, block: dict[str, pa.Array], factor) -> Iterato
     for number, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if a == b:
             continue
-        terms, column = np.unique(code[a:b], return_inverse=True)
-        first = number * PART_CHUNKS
-        factors = np.zeros((min(PART_CHUNKS, len(rows) - first), len(terms)))
-        factors[at[a:b] - first, column] = value[a:b]
-        yield from _part_hits(batch, factors, terms, rows[by_length[first : first + PART_CHUNKS]])
+        first, size = number * PART_CHUNKS, min(PART_CHUNKS, len(rows) - number * PART_CHUNKS)
+        by_term = a + np.argsort(code[a:b], kind="stable")
+        term, chunk, part = code[by_term], at[by_term] - first, value[by_term]
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
+        often = np.diff(starts, append=len(term)) * _DENSE >= size
+        dense = np.repeat(often, np.diff(starts, append=len(term)))
+        terms = term[starts[often]]
+        factors = np.zeros((size, len(terms)), np.float32)
+        factors[chunk[dense], np.searchsorted(terms, term[dense])] = part[dense]
+        rare = (chunk[~dense], term[~dense], part[~dense])
+        yield from _part_hits(batch, factors, terms, rows[by_length[first : first + PART_CHUNKS]], rare)

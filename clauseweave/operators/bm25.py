@@ -378,27 +378,27 @@ class Bm25Index:
         def factor(tf, length):
             return tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length / avg_len))
 
-        weighted = weights.select("search_no", "term", F.col("idf").alias("weight"))
+        weighted = weights.select("search_no", "pos", "term", F.col("idf").alias("weight"))
         blocks = block_max.packed(documents)
 
-        last = weights.agg(F.max("search_no")).first()[0] or 0
-        every = F.explode(F.sequence(F.lit(0), F.lit(last // block_max.SEARCHES)))
-
         batches = materialize(block_max.batched(weighted))
-        few = weights.count() <= BROADCAST_TERMS
+        size = weighted.agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last")).first()
+        few = size["n"] <= BROADCAST_TERMS
+        slack = block_max.slack((size["last"] or 0) + 1)
+        groups = -(-batches.count() // block_max.GROUP_BATCHES) or 1
 
         def best(blocks: DataFrame, least: DataFrame | None) -> DataFrame:
             nothing = F.lit(None).cast("array<struct<search_no:long,least:double>>")
             known = batches.withColumn("known", nothing) if least is None else batches.join(block_max.known(least), "batch", "left")
             known = known.withColumn("known", F.coalesce("known", F.array().cast("array<struct<search_no:long,least:double>>")))
-            meeting = blocks.withColumn("batch", every)
-            return materialize(block_max.found(meeting, F.broadcast(known) if few else known, factor, top_k))
+            meeting = F.broadcast(known) if few else materialize(known.repartitionByRange(groups, "batch"))
+            return materialize(block_max.found(blocks, meeting, factor, top_k))
 
         seeds = best(blocks.filter(F.pmod(F.xxhash64(F.get("rows", F.lit(0))), F.lit(SEED_BLOCKS)) == 0), None)
-        near = best(blocks, _kth(seeds, top_k))
-        least = _kth(near, top_k)
+        near = best(blocks, _kth(seeds, top_k, slack))
+        least = _kth(near, top_k, slack)
         return near.join(broadcast_within(least), "search_no", "left").filter(
-            F.col("about") * (1 + block_max.SLACK) >= F.coalesce("least", F.lit(0.0))
+            F.col("about") * (1 + slack) >= F.coalesce("least", F.lit(0.0))
         ).select("search_no", "row_no")
 
     def _scores(self, documents: DataFrame, pairs: DataFrame, weights: DataFrame, avg_len: float) -> DataFrame:
@@ -419,11 +419,11 @@ class Bm25Index:
         )
 
 
-def _kth(found: DataFrame, k: int) -> DataFrame:
+def _kth(found: DataFrame, k: int, slack: float) -> DataFrame:
     """(search_no, least): what the k-th best score of a search reaches, for those with k found."""
     ranked = top_k_per_group(found, ["search_no"], [F.desc("about"), F.col("row_no")], k)
     kth = ranked.filter(F.col("rank") == k)
-    return kth.select("search_no", (F.col("about") * (1 - block_max.SLACK)).alias("least"))
+    return kth.select("search_no", (F.col("about") * (1 - slack)).alias("least"))
 
 
 def _written(spark: SparkSession, path: str) -> bool:

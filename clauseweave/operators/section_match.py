@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_within
 
 BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 4096
 PART_CHUNKS = 256
 # A confidence is rounded to six digits; nearer than this two may be equal.
 _MARGIN = 2e-6
@@ -66,8 +67,9 @@ def best_pairs(items: DataFrame, chunks: DataFrame, weights: Weights, k: int) ->
 
 
 def _blocks(rows: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
-    """(section, rows of the section as one array): about ``BLOCK_BYTES`` a block."""
-    blocks = rows.groupBy("section").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).alias("_blocks"))
+    """(section, rows of the section as one array): about ``BLOCK_BYTES`` or ``BLOCK_ROWS`` a block, which comes first."""
+    by_bytes, by_rows = F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)
+    blocks = rows.groupBy("section").agg(F.greatest(by_bytes, by_rows, F.lit(1)).alias("_blocks"))
     dealt = rows.join(broadcast_within(blocks), "section").withColumn("_block", F.pmod(F.xxhash64(key), "_blocks"))
     return dealt.groupBy("section", "_block").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("_block")
 

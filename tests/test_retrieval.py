@@ -110,6 +110,32 @@ def test_batch_search_equals_brute_force_and_scores_few_pairs(spark, tmp_path, m
     assert [(r["chunk_id"], r["score"]) for r in one] == [(r["chunk_id"], r["score"]) for r in many]
 
 
+def test_many_searches_meet_blocks_without_a_shuffle_of_them(spark, monkeypatch):
+    """Beyond the bound of a broadcast no block is copied for every batch of searches, nor all blocks held for one."""
+    from clauseweave.operators import block_max, bm25
+
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
+    for name, value in (("BLOCK_CHUNKS", 64), ("PART_CHUNKS", 32), ("SEARCHES", 8), ("GROUP_BATCHES", 2), ("_DENSE", 4)):
+        monkeypatch.setattr(block_max, name, value, raising=False)
+    plans, found = [], block_max.found
+
+    def seen(*given):
+        out = found(*given)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(block_max, "found", seen)
+    rows, texts = random_corpus(5, 300)
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    got = {}
+    for r in Bm25Index(frame(spark, rows)).search_many(queries, top_k=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["matched_terms"]))
+    for number, text in enumerate(texts):
+        want = brute_force(rows, text, 4)
+        assert sorted(got.get(number, [])) == [(k + 1, w[2], w[3]) for k, w in enumerate(want)]
+    assert plans and not [p for p in plans if "SortMergeJoin" in p or "ShuffledHashJoin" in p or "Exchange" in p]
+
+
 def test_parts_of_a_search_are_skipped_by_their_bounds():
     """Chunks whose terms cannot reach the known k-th score are not multiplied out."""
     import pyarrow as pa
