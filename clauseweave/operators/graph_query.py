@@ -249,6 +249,10 @@ def label_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 # -- bounded simple paths ---------------------------------------------------
 
+# Partial paths kept at first, and the most that are put in order; beyond it all are kept.
+KEPT_PATHS = 1024
+MOST_KEPT_PATHS = 1 << 20
+
 
 def _adjacency(edges: DataFrame, directed: bool) -> DataFrame:
     out = edges.select(
@@ -276,24 +280,50 @@ def _next_layer(adjacency: DataFrame, layer: DataFrame, source: str, target: str
     return materialize(found.distinct())
 
 
-def _grown(adjacency: DataFrame, paths: DataFrame, allowed: DataFrame, backwards: bool) -> DataFrame:
-    """Partial paths one edge longer, through nodes that ``allowed`` holds and that they do not hold yet."""
-    here, there = ("there", "here") if backwards else ("here", "there")
-    steps = adjacency.select(F.col(here).alias("here"), F.col(there).alias("there"), "step", "edge")
+def _leading_to(adjacency: DataFrame, layer: DataFrame, following: DataFrame) -> DataFrame:
+    """The nodes of a layer from which an edge leads to one of the nodes ``following``."""
+    steps = adjacency.select("here", "there").join(broadcast_within(layer.withColumnRenamed("node", "here")), "here", "left_semi")
+    leading = steps.join(broadcast_within(following.withColumnRenamed("node", "there")), "there", "left_semi")
+    return materialize(leading.select(F.col("here").alias("node")).distinct())
+
+
+def _grown(adjacency: DataFrame, paths: DataFrame, allowed: DataFrame, most: int | None) -> DataFrame:
+    """Partial paths one edge longer, through nodes that ``allowed`` holds and that they do not hold yet.
+
+    With ``most`` only so many, the first in the order of their keys.
+    """
     longer = (
-        steps.join(broadcast_within(allowed.withColumnRenamed("node", "there")), "there", "left_semi")
-        .join(broadcast_within(paths), "here")
+        adjacency.join(broadcast_within(paths), "here")
+        .join(broadcast_within(allowed.withColumnRenamed("node", "there")), "there", "left_semi")
         .filter(~F.array_contains("visited", F.col("there")))
     )
-    added = lambda column, value: F.array_prepend(column, value) if backwards else F.array_append(column, value)
-    return materialize(
-        longer.select(
-            F.col("there").alias("here"),
-            F.array_append("visited", F.col("there")).alias("visited"),
-            added("key", F.col("step")).alias("key"),
-            added("path", F.col("edge")).alias("path"),
-        )
+    longer = longer.select(
+        F.col("there").alias("here"),
+        F.array_append("visited", F.col("there")).alias("visited"),
+        F.array_append("key", F.col("step")).alias("key"),
+        F.array_append("path", F.col("edge")).alias("path"),
     )
+    return materialize(longer if most is None else longer.orderBy("key").limit(most))
+
+
+def _first_paths(adjacency: DataFrame, seed: DataFrame, steps: list[DataFrame], limit: int) -> DataFrame:
+    """The first ``limit`` paths, in the order of their keys, whose nodes after the seed are in ``steps`` one by one.
+
+    Partial paths are cut to the first few: what is left out comes after all that is kept.  If
+    too few of those reach the end, the search is made again with more, at last with all.
+    """
+    kept = max(KEPT_PATHS, limit)
+    while True:
+        most = kept if kept <= MOST_KEPT_PATHS else None
+        paths, cut = seed, False
+        for number, allowed in enumerate(steps, 1):
+            last = number == len(steps)
+            paths = _grown(adjacency, paths, allowed, limit if last else most)
+            if not last and most is not None:
+                cut = cut or paths.count() == most
+        if not cut or paths.count() == limit:
+            return paths
+        kept *= 64
 
 
 def find_paths(
@@ -310,9 +340,9 @@ def find_paths(
 
     Paths repeat no node; parallel edges give distinct paths; ties follow edge
     order, outgoing before incoming, hop by hop.  Lengths are searched one after
-    the other, and no longer one once ``limit`` paths exist.  For a length, half
-    paths grow from both ends, each through nodes only from which a walk of
-    exactly the rest leads to the other end, and meet in the middle.
+    the other, and no longer one once ``limit`` paths exist.  For a length, layers
+    of nodes from both ends, the smaller grown first, are narrowed to nodes on a
+    walk of exactly that length, and the first paths grow through those.
     """
     if nodes is not None:
         known = nodes.filter(F.col("node_id").isin(source, target)).select("node_id").distinct()
@@ -331,32 +361,29 @@ def find_paths(
     results = spark.createDataFrame([], found_schema)
     if source != target and limit > 0:
         end = lambda node: spark.createDataFrame([(node,)], "node string")
-        seed = lambda node: spark.createDataFrame(
-            [(node, [node], [], [])], f"here string, visited array<string>, {trail_schema}"
-        )
-        # layer k: nodes from which a walk of k edges leads to that end
+        seed = spark.createDataFrame([(source, [source], [], [])], f"here string, visited array<string>, {trail_schema}")
+        # layer k: nodes that a walk of k edges leads to from that end
         ahead, behind = [end(source)], [end(target)]
+        sizes = [1, 1]
         count = 0
         for hops in range(1, max_hops + 1):
+            # length 2 needs both first layers; after it, one layer more a length
+            for _ in range(2 if hops == 2 else int(hops > 2)):
+                backwards = len(behind) < len(ahead) if hops == 2 else sizes[1] < sizes[0]
+                side = behind if backwards else ahead
+                side.append(_next_layer(adjacency, side[-1], source, target, backwards))
+                sizes[backwards] = side[-1].count()
+            if 0 in sizes:
+                break  # no walk of this length, so none that is longer
+            steps = [behind[k] for k in range(len(behind) - 1, -1, -1)]
             if hops > 1:
-                ahead.append(_next_layer(adjacency, ahead[-1], source, target, False))
-                behind.append(_next_layer(adjacency, behind[-1], source, target, True))
-                if ahead[-1].isEmpty() or behind[-1].isEmpty():
-                    break  # no walk of this length, so none that is longer
-            first = (hops + 1) // 2
-            left, right = seed(source), seed(target)
-            for k in range(1, first + 1):
-                left = _grown(adjacency, left, behind[hops - k], False)
-            for k in range(1, hops - first + 1):
-                right = _grown(adjacency, right, ahead[hops - k], True)
-            back = right.select("here", F.col("visited").alias("_visited"), F.col("key").alias("_key"), F.col("path").alias("_path"))
-            # both halves hold the node where they meet, and may share no other
-            apart = F.size(F.array_intersect("visited", "_visited")) == 1
-            met = left.join(back, "here").filter(apart).select(
-                F.lit(hops).alias("hops"), F.concat("key", "_key").alias("key"), F.concat("path", "_path").alias("path")
-            )
-            met = materialize(met.orderBy("key").limit(limit))
-            results = results.unionByName(met)
+                steps[0] = materialize(ahead[-1].join(broadcast_within(behind[-1]), "node", "left_semi"))
+                if steps[0].isEmpty():
+                    continue
+                for layer in ahead[-2:0:-1]:
+                    steps.insert(0, _leading_to(adjacency, layer, steps[0]))
+            met = _first_paths(adjacency, seed, steps, limit - count)
+            results = results.unionByName(met.select(F.lit(hops).alias("hops"), "key", "path"))
             count += met.count()
             if count >= limit:
                 break

@@ -21,7 +21,7 @@ from ..operators.fusion import reciprocal_rank_fusion
 from ..operators.graph_build import SpecGraph
 from ..operators.graph_export import export_subgraph
 from ..operators.vector import vector_search
-from ..session import materialize, number_ordered, shared_folder
+from ..session import number_ordered, shared_folder, stored
 from ..sources import graphml
 from ..sources.chunks import duplicate_ids, parse_lines
 from ..sources.records import read_alignments, write_alignments
@@ -280,6 +280,12 @@ def node_inspect(spark, sf):
     return graph_query.node_view(nodes, edges, HUB).drop("attributes")
 
 
+def _trade_edges(spark, sf) -> DataFrame:
+    """The edges of the trade graph as paths need them: derived, and read once per hop."""
+    edges = adapters.trade_graph(spark, sf)[1]
+    return stored(edges.select("edge_id", "source", "target", "edge_seq"), name="edges")
+
+
 def _path_rows(paths: DataFrame) -> DataFrame:
     return paths.select(
         "rank", "hops", _joined(F.transform("path", lambda e: e["edge_id"])).alias("path")
@@ -288,13 +294,13 @@ def _path_rows(paths: DataFrame) -> DataFrame:
 
 @query
 def paths_undirected(spark, sf):
-    edges = materialize(adapters.trade_graph(spark, sf)[1])  # derived, and read once per hop
+    edges = _trade_edges(spark, sf)
     return _path_rows(graph_query.find_paths(edges, *PATH_ENDS, max_hops=3, limit=5))
 
 
 @query
 def paths_directed(spark, sf):
-    edges = materialize(adapters.trade_graph(spark, sf)[1])
+    edges = _trade_edges(spark, sf)
     return _path_rows(
         graph_query.find_paths(edges, "customer:10", "region:1", max_hops=5, limit=5, directed=True)
     )
@@ -303,7 +309,7 @@ def paths_directed(spark, sf):
 @query
 def paths_six_hops(spark, sf):
     """Between two regions no path is shorter than six hops: nation, supplier, part, supplier, nation."""
-    edges = materialize(adapters.trade_graph(spark, sf)[1])
+    edges = _trade_edges(spark, sf)
     return _path_rows(graph_query.find_paths(edges, *REGION_ENDS, max_hops=6, limit=8))
 
 
