@@ -172,11 +172,24 @@ def topic_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return nodes, edges
 
 
+# A task makes the pairs of so many rows distinct.
+PAIR_ROWS = 500_000
+
+
+def _distinct_pairs(rows: DataFrame, *pairs: tuple[str, str]) -> list[DataFrame]:
+    """The distinct pairs of columns of a large table.
+
+    Most are distinct already, so a table of a whole split's pairs would only fill memory: rows are
+    dealt by their pair into partitions whose number grows with the table's (counted in its footers).
+    """
+    parts = max(1, -(-rows.count() // PAIR_ROWS))
+    return [rows.select(*pair).repartition(parts, *pair).distinct() for pair in pairs]
+
+
 def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Regions, nations, customers, suppliers, parts and orders as a property graph.
 
-    Order-to-part and part-to-supplier edges are the distinct pairs of the line
-    items, reduced map-side.
+    Order-to-part and part-to-supplier edges are the distinct pairs of the line items.
     """
     t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
 
@@ -210,8 +223,7 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         .unionByName(nodes_of(5, "part", t["part"], "p_partkey", F.col("p_name")))
         .unionByName(nodes_of(6, "order", t["orders"], "o_orderkey", F.lit("")))
     )
-    contains = t["lineitem"].select("l_orderkey", "l_partkey").distinct()
-    supplied = t["lineitem"].select("l_partkey", "l_suppkey").distinct()
+    contains, supplied = _distinct_pairs(t["lineitem"], ("l_orderkey", "l_partkey"), ("l_partkey", "l_suppkey"))
     edges = (
         edges_of(1, "IN_REGION", t["nation"], ("nation", "n_nationkey"), ("region", "n_regionkey"), "n_nationkey")
         .unionByName(edges_of(2, "IN_NATION", t["customer"], ("customer", "c_custkey"), ("nation", "c_nationkey"), "c_custkey"))
