@@ -184,13 +184,15 @@ class Bm25Index:
         so an index grows by appending; the number of buckets is set by the first part.
         """
         spark = self.chunks.sparkSession
-        documents = materialize(self.documents())
-        postings = explode_postings(documents)
+        # counted once: the number of postings, the postings and their frequencies are all read from the counts
+        documents = materialize(_with_term_counts(self.documents(), "terms", "counts").select(*_DOCUMENT, "counts"))
+        postings = _explode_counts(documents)
         there = _written(spark, f"{path}/stats")
         if there:
             buckets = spark.read.parquet(f"{path}/stats").agg(F.max("buckets")).first()[0]
         else:
-            buckets = max(1, -(-postings.count() // BUCKET_POSTINGS))
+            held = documents.agg(F.sum(F.size("counts").cast("long"))).first()[0] or 0
+            buckets = max(1, -(-held // BUCKET_POSTINGS))
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(16))
         (

@@ -194,6 +194,23 @@ def test_saved_index_gives_the_same_hits(spark, tmp_path):
     assert stored.search_many(queries).collect() == index.search_many(queries).collect()
 
 
+def test_terms_are_counted_once_when_an_index_is_saved(spark, tmp_path, monkeypatch):
+    from clauseweave.operators import bm25
+
+    kept, materialize = [], bm25.materialize
+
+    def seen(df):
+        kept.append(materialize(df))
+        return kept[-1]
+
+    monkeypatch.setattr(bm25, "materialize", seen)
+    index = Bm25Index(frame(spark, random_corpus(7, 40)[0]))
+    index.save(str(tmp_path / "index"))
+    assert "counts" in kept[0].columns and "terms" not in kept[0].columns
+    saved = Bm25Index.load(spark, str(tmp_path / "index"))
+    assert sorted(saved.postings().collect()) == sorted(index.postings().collect())
+
+
 def test_an_index_grows_by_parts(spark, tmp_path, monkeypatch):
     import clauseweave.operators.bm25 as module
 
