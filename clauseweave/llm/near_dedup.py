@@ -12,7 +12,8 @@ representative goes on, the copies join it by their fingerprint).  Then:
 * rounds of leaders: a list links each member to one leader (one row per member, never all
   pairs), first the smallest id, then another one each round, and only across the components
   found so far; a document's most promising leaders are estimated by their union sketch, and
-  full sets verify the best.  A group of near copies is connected after a few rounds;
+  full sets verify the best.  One round connects most of a group of near copies; another one
+  is made only while the comparisons it leaves are many more than the documents;
 * documents that still share a list in different components meet under the list's smallest
   component and are compared there on full sets, in blocks that put out links only.  So no
   link between different texts is lost.
@@ -46,6 +47,8 @@ DEVIATIONS = 6.0
 # leaders of a document that a round estimates, and that it verifies
 ESTIMATED, VERIFIED = 4, 2
 MOST_ROUNDS = 4
+# comparisons for each document that the rounds may leave to the last step
+LEFT = 512
 # shingles of the documents that a block holds (some 6 MB of text); groups of so few share a block
 BLOCK, SMALL = 1 << 20, 1 << 16
 # ids that may be broadcast (8 MB)
@@ -140,7 +143,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     sizes = reliable(pairs.groupBy("lead").agg(F.sum("n").alias("weight")))
     name, parts = _names(sizes, "lead"), F.floor(F.col("weight") / BLOCK) + 1
-    sizes = reliable(sizes.select("lead", name.alias("name"), F.when(F.col("weight") <= SMALL, F.lit(1)).otherwise(parts).alias("parts")))
+    sizes = sizes.select("lead", name.alias("name"), F.when(F.col("weight") <= SMALL, F.lit(1)).otherwise(parts).alias("parts"))
     members = pairs.join(sizes, "lead").select("name", F.pmod(F.xxhash64("doc"), "parts").alias("part"), "lead", "doc").join(texts, "doc")
     leaders = sizes.select("name", "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
     leaders = leaders.join(texts.select(F.col("doc").alias("lead"), F.col("text").alias("lead_text")), "lead")
@@ -203,19 +206,30 @@ def _led(lists: DataFrame, found: DataFrame, number: int) -> DataFrame:
     return pairs.select("doc", "lead", F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"), "hits")
 
 
-def _across(lists: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the components which still share a list and hold linked documents.
+def _left(lists: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """What the components still share: (head, doc, component, n), (head, weight, asking), and whether it is much to compare.
 
     The documents of a list meet under its smallest component: one row for each document and
-    such head, however many lists they share.  Under a head every document that is not of the
-    head itself is compared with all, on full sets and in blocks; only links that connect
-    something are put out.
+    such head, however many lists they share.
     """
     placed = _placed(lists, found)
     heads = placed.groupBy("value").agg(F.min("component").alias("head"), F.max("component").alias("high")).filter("head < high")
     rows = reliable(placed.join(heads.select("value", "head"), "value").select("head", "doc", "component", "n").distinct())
-    asks = F.when(F.col("component") != F.col("head"), F.col("n"))
-    sizes = reliable(rows.groupBy("head").agg(F.sum("n").alias("weight"), F.coalesce(F.sum(asks), F.lit(0)).alias("asking")))
+    other = F.col("component") != F.col("head")
+    sizes = reliable(rows.groupBy("head").agg(
+        F.sum("n").alias("weight"), F.coalesce(F.sum(F.when(other, F.col("n"))), F.lit(0)).alias("asking"),
+        F.count("*").alias("docs"), F.count_if(other).alias("asked"),
+    ))
+    docs, pairs = sizes.agg(F.sum("docs"), F.sum(F.col("docs") * F.col("asked"))).first()
+    return rows, sizes.select("head", "weight", "asking"), (pairs or 0) > LEFT * (docs or 0)
+
+
+def _across(rows: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the components which still share a list and hold linked documents.
+
+    Under a head every document that is not of the head itself is compared with all, on full
+    sets and in blocks; only links that connect something are put out.
+    """
     # small heads share a group, a large one has groups of its own
     cut = lambda n: F.when(F.col("weight") <= SMALL, F.lit(1)).otherwise(F.floor(F.col(n) / BLOCK) + 1).cast("long")
     sizes = sizes.select("head", _names(sizes, "head").alias("name"), cut("weight").alias("blocks"), cut("asking").alias("parts"))
@@ -295,10 +309,11 @@ def _components(docs: DataFrame, text: str) -> DataFrame:
     texts = reliable(rows.join(involved, "doc", "left_semi"))
 
     spark = docs.sparkSession
-    links = tried = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "node long, component long")
     for number in range(MOST_ROUNDS):
-        pairs = _led(lists, found, number).join(tried, ["a", "b"], "left_anti")
+        pairs = _led(lists, found, number)
+        if number:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         by_hits = Window.partitionBy("doc").orderBy(F.desc("hits"), "a", "b")
         pairs = pairs.withColumn("rank", F.row_number().over(by_hits)).filter(F.col("rank") <= ESTIMATED).drop("rank")
         judged = _estimated(pairs, sets)
@@ -311,14 +326,19 @@ def _components(docs: DataFrame, text: str) -> DataFrame:
         if number and not new.take(1):
             break
         # what a round leaves goes before the next
-        before, known, old = tried, links, found
-        tried = reliable(tried.union(judged.select("a", "b")))
-        links = reliable(links.union(new))
-        found = reliable(connected(links))
-        discard(judged, new, *((before, known, old) if number else ()))
+        if number:
+            before, known, old, gone = tried, links, found, left
+            tried, links = reliable(tried.select("a", "b").union(judged.select("a", "b"))), reliable(links.union(new))
+            found = reliable(connected(links))
+            discard(judged, new, before, known, old, gone)
+        else:
+            tried, links, found = judged, new, reliable(connected(new))
+        left, sizes, much = _left(lists, found)
+        if not much:
+            break
 
     with small_batches(spark):
-        more = reliable(_across(lists, found, texts))
+        more = reliable(_across(left, sizes, texts))
     if more.take(1):
         found = reliable(connected(links.union(more)))
 

@@ -7,12 +7,13 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from clauseweave.llm import ann, bpe, langid, mixing, near_dedup, passages, quality, secrets, shards, topk, vectors
+from clauseweave.llm import ann, bpe, components, langid, mixing, near_dedup, passages, quality, secrets, shards, topk, vectors
 from clauseweave.llm.components import connected
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -232,9 +233,49 @@ def test_components_of_paths_stars_and_pairs(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 300: 200}
 
 
+def test_components_of_links_of_several_blocks_and_of_places(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 16)
+    links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)]
+    expected = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(4)
+    assert {r.node: r.component for r in connected(frame).collect()} == expected
+    monkeypatch.setattr(components, "BLOCK", 1 << 18)
+    places = frame.select(*[F.struct(F.col(c).alias("doc"), F.lit(1).alias("w")).alias(c) for c in "ab"])
+    assert {r.node[0]: r.component[0] for r in connected(places).collect()} == expected
+
+
+def test_near_duplicates_need_one_round_where_little_is_left(spark, monkeypatch):
+    draw = random.Random(4)
+    texts = []
+    for _ in range(6):  # each text shares half of its words with the next, which is no link, and has a near copy
+        texts += [t := sentence(draw, 60), t + " " + sentence(draw, 60), t + " " + sentence(draw, 63), t + " end"]
+    calls = []
+    monkeypatch.setattr(near_dedup, "connected", lambda links: calls.append(1) or connected(links))
+    rows = near_dedup.near_duplicates(documents(spark, texts)).collect()
+    assert [r.component_id for r in sorted(rows, key=lambda r: r.doc_id)] == brute_components(word_sets(texts))
+    assert len(calls) <= 2
+
+
 # --- passages
 
 
+def test_texts_without_a_passage_are_not_compared(monkeypatch):
+    draw = np.random.default_rng(5)
+    line, rows = draw.integers(1, 1 << 31, 36).astype(np.uint32), []
+    for doc in range(30):  # a line too short for a passage, a few repeats of one word, and for some a passage
+        tail = draw.integers(1, 1 << 31, 60).astype(np.uint32) if doc % 10 else np.arange(1, 61, dtype=np.uint32)
+        junk = np.where(draw.random(50) < 0.7, np.uint32(9), draw.integers(1, 1 << 31, 50).astype(np.uint32))
+        rows.append((7, 0, doc, 40 << 32, doc, 0, 0, np.concatenate([junk, line, tail] if doc % 2 else [line, tail, junk]).astype(np.uint32).tobytes()))
+    group = pd.DataFrame(rows, columns=["key", "fn", "doc", "at", "own_id", "own_word", "from", "hashes"]).assign(asks=True, holds=True)
+    compared, whole = [], passages.common_passages
+    monkeypatch.setattr(passages, "common_passages", lambda *x: compared.append(1) or whole(*x))
+    found = passages._connecting(group, 50)
+    few = len(compared)
+    monkeypatch.setattr(passages, "_possible", lambda common, *x: np.ones(len(common), dtype=bool))
+    assert passages._connecting(group, 50) == found and found
+    assert few * 2 < len(compared) - few
+
+
 def test_windows_match_the_definition():
     draw = np.random.default_rng(0)
     for trial in range(200):
