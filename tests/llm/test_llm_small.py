@@ -276,6 +276,31 @@ def test_texts_without_a_passage_are_not_compared(monkeypatch):
     assert few * 2 < len(compared) - few
 
 
+def test_repeating_texts_that_differ_are_not_compared(monkeypatch):
+    draw = np.random.default_rng(6)
+    line, rows = draw.integers(1, 1 << 31, 20).astype(np.uint32), []
+    for doc in range(12):  # 31 shingles over and over, 20 of them in all texts; two texts are alike
+        own = np.concatenate([line, np.random.default_rng(doc // 2 if doc < 2 else doc).integers(1, 1 << 31, 11).astype(np.uint32)])
+        rows.append((7, 0, doc, 60 << 32, doc, 0, 0, np.tile(own, 6)[:169].tobytes()))
+    group = pd.DataFrame(rows, columns=["key", "fn", "doc", "at", "own_id", "own_word", "from", "hashes"]).assign(asks=True, holds=True)
+    compared, whole = [], passages.common_passages
+    monkeypatch.setattr(passages, "common_passages", lambda *x: compared.append(1) or whole(*x))
+    assert [x[:2] for x in passages._connecting(group, 50)] == [(0, 1)]
+    assert len(compared) == 1
+
+
+def test_passages_leave_no_superseded_checkpoints(spark, monkeypatch):
+    draw = random.Random(8)
+    passage = sentence(draw, 60)
+    texts = [f"{sentence(draw, 70)} {passage} {sentence(draw, 70)}" for _ in range(6)] + [sentence(draw, 90)] * 2
+    made, gone, whole = [], [], passages.reliable
+    monkeypatch.setattr(passages, "reliable", lambda df: made.append(1) or whole(df))
+    monkeypatch.setattr(passages, "discard", lambda *dfs, free=passages.discard: gone.extend(dfs) or free(*dfs))
+    rows = passages.repeated_passages(documents(spark, texts)).collect()
+    assert {r.doc_id for r in rows} == set(range(8))
+    assert len(made) - len(gone) <= 3  # copies of texts, and the classes
+
+
 def test_windows_match_the_definition():
     draw = np.random.default_rng(0)
     for trial in range(200):
