@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import length_bound, matching_ratio
 from ..functions.text import casefold, normalize_entity, normalize_entity_literal, split_values
-from ..session import broadcast_within, materialize, top_k_per_group
+from ..session import broadcast_within, materialize, stored, top_k_per_group
 
 FUZZY_CUTOFF = 0.45
 CONFIDENT_MATCH = 0.5
@@ -82,34 +82,41 @@ def resolve_entities(nodes: DataFrame, query: str, *, limit: int = 10, fuzzy: bo
     )
 
 
-GRAM = 3
+def _width(text: Column) -> Column:
+    """The largest power of two that is no longer than a text."""
+    return F.pow(F.lit(2.0), F.length(F.bin(F.char_length(text))) - 1).cast("int")
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of ``GRAM`` characters, and of fewer, of a folded text."""
-    size = F.char_length(text)
-    runs = lambda width: F.transform(
-        F.when(size >= width, F.sequence(F.lit(1), size - width + 1)).otherwise(F.array().cast("array<int>")),
-        lambda at: F.substr(text, at, F.lit(width)),
-    )
-    return F.array_distinct(F.concat(*[runs(width) for width in range(1, GRAM + 1)]))
+def _runs(text: Column, width: Column) -> Column:
+    """All runs of ``width`` characters of a text that is as long at least."""
+    return F.transform(F.sequence(F.lit(1), F.char_length(text) - width + 1), lambda at: F.substr(text, at, width))
 
 
-def _whole_grams(text: Column) -> Column:
-    """The runs of a text's longest width: another text can hold it only if it has all of them."""
-    return F.filter(_grams(text), lambda gram: F.char_length(gram) == F.least(F.char_length(text), F.lit(GRAM)))
+def _grams(text: Column, widths: list[int]) -> Column:
+    """Distinct runs of the given widths."""
+    none = F.array().cast("array<string>")
+    runs = [F.when(F.char_length(text) >= width, _runs(text, F.lit(width))).otherwise(none) for width in widths]
+    return F.array_distinct(F.concat(none, *runs))
 
 
 def _held_in(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(inner, outer): distinct non-empty texts and those they occur in.
 
-    A text is looked up by the rarest of its runs in an inverted index of the outer texts' runs.
+    A text is looked up by the rarest of its runs of more than half its length in an inverted index
+    of the outer texts' runs of such widths; so few are looked up in vain, however many texts there
+    are.  The larger side is cut to runs that the smaller one has before anything is shuffled.
     """
-    own = inner.select("inner", F.explode(_whole_grams(F.col("inner"))).alias("gram"))
-    index = outer.select("outer", F.explode(_grams(F.col("outer"))).alias("gram"))
-    index = materialize(index.join(broadcast_within(own.select("gram").distinct()), "gram", "left_semi"))
+    widths = sorted(r[0] for r in inner.select(_width(F.col("inner"))).distinct().collect())  # powers of two
+    own = lambda texts: texts.select("inner", F.explode(F.array_distinct(_runs(F.col("inner"), _width(F.col("inner"))))).alias("gram"))
+    index = outer.select("outer", F.explode(_grams(F.col("outer"), widths)).alias("gram"))
+    if inner.count() <= outer.count():
+        index = materialize(index.join(broadcast_within(own(inner).select("gram").distinct()), "gram", "left_semi"))
+    else:
+        index = materialize(index)
+        first = inner.withColumn("gram", F.substr("inner", F.lit(1), _width(F.col("inner"))))
+        inner = materialize(first.join(broadcast_within(index.select("gram").distinct()), "gram", "left_semi").select("inner"))
     counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = own.join(counts, "gram", "left").groupBy("inner").agg(
+    rarest = own(inner).join(counts, "gram", "left").groupBy("inner").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")
     )
     found = index.join(rarest.select("inner", F.col("least.gram").alias("gram")), "gram")
@@ -124,13 +131,14 @@ def resolve_many(nodes: DataFrame, terms: DataFrame, *, limit: int = 10) -> Data
     characters.  Nodes are fetched for the labels found.  Terms that fold to nothing have no row.
     """
     named = nodes.select("node_id", "node_seq", node_label().alias("label"), normalize_entity(node_label()).alias("normalized"))
+    named = stored(named, name="named")  # folded once, read three times
     wanted = materialize(terms.select("term_id", normalize_entity(F.col("term")).alias("wanted")).filter(F.col("wanted") != ""))
-    labels = materialize(named.select("normalized").distinct())
-    texts = wanted.select("wanted").distinct()
-    some = labels.filter(F.col("normalized") != "")
-    exact = texts.join(some, F.col("wanted") == F.col("normalized")).select("wanted", "normalized", F.lit(0).alias("order"))
+    some = stored(named.filter(F.col("normalized") != "").select("normalized").distinct(), name="labels")
+    texts = materialize(wanted.select("wanted").distinct())
+    few_texts = broadcast_within(texts)
+    exact = some.join(few_texts, F.col("wanted") == F.col("normalized")).select("wanted", "normalized", F.lit(0).alias("order"))
     words = some.select("normalized", F.explode(F.array_distinct(F.split("normalized", " "))).alias("wanted"))
-    token = words.join(texts, "wanted").select("wanted", "normalized", F.lit(1).alias("order"))
+    token = words.join(few_texts, "wanted").select("wanted", "normalized", F.lit(1).alias("order"))
     as_text = lambda df, column, name: df.select(F.col(column).alias(name))
     inside = _held_in(as_text(texts, "wanted", "inner"), as_text(some, "normalized", "outer"))
     around = _held_in(as_text(some, "normalized", "inner"), as_text(texts, "wanted", "outer"))
@@ -138,11 +146,11 @@ def resolve_many(nodes: DataFrame, terms: DataFrame, *, limit: int = 10) -> Data
         around.select(F.col("outer").alias("wanted"), F.col("inner").alias("normalized"))
     )
     pairs = exact.unionByName(token).unionByName(held.withColumn("order", F.lit(2)))
-    best = pairs.groupBy("wanted", "normalized").agg(F.min("order").alias("order"))
+    best = materialize(pairs.groupBy("wanted", "normalized").agg(F.min("order").alias("order")))
     size = lambda column: F.char_length(column)
     coverage = F.least(size("wanted"), size("normalized")) / F.greatest(size("wanted"), size("normalized"))
     score = F.when(F.col("order") == 0, F.lit(1.0)).when(F.col("order") == 1, F.lit(0.98)).otherwise(F.lit(0.85) + F.lit(0.14) * coverage)
-    found = best.withColumn("score", score).join(named, "normalized")
+    found = named.join(broadcast_within(best.withColumn("score", score)), "normalized")
     order = [F.col("score").desc(), F.char_length("label"), casefold(F.col("label")), F.col("node_seq")]
     columns = ["wanted", "node_id", "node_seq", "label", "score", "order"]
     # a label that folds to nothing is held in every term, with the least score: the first few serve for all
