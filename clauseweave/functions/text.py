@@ -56,8 +56,9 @@ def casefold(text: Column) -> Column:
         "",
     )
     plain = F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
-    # Looking letters up in a hash table beats a character class of this size.
-    has_rare = F.translate(text, rare, "") != text
+    # Looking letters up in a hash table beats a character class of this size; most texts
+    # are Latin-1 throughout, which one range tells, and the micro sign is the only rare letter there.
+    has_rare = text.rlike(r"[^\x00-\xB4\xB6-\xFF]") & (F.translate(text, rare, "") != text)
     return F.when(has_rare, spelled).otherwise(F.lower(plain))
 
 
@@ -130,12 +131,14 @@ def find_spans(text: Column, pattern: str) -> Column:
         hit = F.struct(begin.alias("start"), end.alias("end"), step["match"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return F.aggregate(
+    found = F.aggregate(
         F.filter(steps, lambda step: step["match"].isNotNull()),
         start,
         advance,
         lambda acc: acc["out"],
     )
+    # one search tells the many texts without a match, which are not split
+    return F.when(text.isNull() | text.rlike(pattern), found).otherwise(F.array().cast(empty))
 
 
 def reference_label(text: Column) -> Column:

@@ -332,11 +332,15 @@ class SpecGraph:
         )
         return kept.withColumn("edge_id", edge_id)
 
+    def _kept(self) -> SpecGraph:
+        """The same graph with its facts kept, so that the texts are read once."""
+        kept = SpecGraph.__new__(SpecGraph)
+        kept.chunks, kept.facts = self.chunks, materialize(self.facts)
+        return kept
+
     def counters(self) -> DataFrame:
         """One row: chunks, nodes, edges, provenance_edges, skipped_illegal_triples."""
-        # Three parts read the facts: they are kept once, so the texts are read once.
-        stored = SpecGraph.__new__(SpecGraph)
-        stored.chunks, stored.facts = self.chunks, materialize(self.facts)
+        stored = self._kept()  # three parts read the facts
         proposals = stored.edge_proposals()
         edges = first_wins(
             proposals.filter("legal").select("seq", "source", "keywords", "target", "chunk_id"),
@@ -358,10 +362,11 @@ class SpecGraph:
 
     def as_property_graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) with attribute maps, in the order of the interchange file."""
-        nodes = self.nodes().select(
+        kept = self._kept()
+        nodes = kept.nodes().select(
             "node_id", "seq", _attribute_map(NODE_COLUMNS).alias("attributes")
         )
-        edges = self.edges().select(
+        edges = kept.edges().select(
             "edge_id", "source", "target", "seq", _attribute_map(EDGE_COLUMNS).alias("attributes")
         )
         return nodes, edges

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.graph_build import EDGE_COLUMNS, NODE_COLUMNS
-from ..session import broadcast_within, materialize
+from ..session import broadcast_within, materialize, stored
 
 NAMESPACE = "http://graphml.graphdrawing.org/xmlns"
 _DATA = "data array<struct<_key:string,_VALUE:string>>"
@@ -40,11 +40,12 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """
     value = F.col("value")
     marker = (
-        F.when(F.regexp_like(value, F.lit(r"(--|\]\])$")), F.lit(""))
+        F.when(F.endswith(value, F.lit("--")) | F.endswith(value, F.lit("]]")), F.lit(""))
         .when(F.contains(value, F.lit("<!--")), F.lit("comment"))
         .when(F.contains(value, F.lit("<![CDATA[")), F.lit("cdata"))
     )
-    bare = F.regexp_replace(value, r"(?s)(<!--|<!\[CDATA\[).*$", "")
+    cut = F.regexp_replace(value, r"(?s)(<!--|<!\[CDATA\[).*$", "")
+    bare = F.when(F.contains(value, F.lit("<!")), cut).otherwise(value)
     split = Window.partitionBy("file", "start").orderBy("row")
     read = spark.read.option("lineSep", ">").text(path).select(
         "value",
@@ -62,7 +63,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
             F.count_if(F.col("inside").isNull() & is_kind).over(split).alias(f"early_{kind}"),
             F.count_if((F.col("inside") == "") & is_kind).over(split).alias(f"late_{kind}"),
         ]
-    return materialize(placed.select("*", *counts))
+    return stored(placed.select("*", *counts), name="pieces")
 
 
 def _elements(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +81,7 @@ def _elements(spark: SparkSession, path: str) -> DataFrame:
     ends = ends.withColumn("starts_in", F.coalesce(F.last("left_in", True).over(before), F.lit("")))
     early = (F.col("starts_in") == "").cast("long")
     offsets = ends.select(
-        "file", "start", "starts_in",
+        "file", "start", "starts_in", F.row_number().over(Window.orderBy("file", "start")).alias("split"),
         *[F.coalesce(F.sum(F.col(f"late_{k}") + early * F.col(f"early_{k}")).over(before), F.lit(0)).alias(f"past_{k}") for k in _KINDS],
     )
     joined = pieces.join(broadcast_within(materialize(offsets)), ["file", "start"])
@@ -93,7 +94,7 @@ def _elements(spark: SparkSession, path: str) -> DataFrame:
     text = F.when(has_comment, F.regexp_replace(text, r"(?s)<!--.*$", "")).otherwise(F.concat(text, F.lit(">")))
     kept = joined.filter(inside != "comment").select(
         sum(number.values()).alias("element"), opens.alias("opens"), *[n.alias(k) for k, n in number.items()],
-        F.struct("file", "start", "row", text.alias("text")).alias("piece"),
+        F.struct("split", "row", text.alias("text")).alias("piece"),
     )
     whole = kept.filter("element > 0").groupBy("element").agg(
         F.max("opens").alias("kind"),
@@ -120,14 +121,17 @@ def _attributes(key_names: dict[str, str]) -> Column:
             strip(F.coalesce(d["_VALUE"], F.lit(""))).alias("value"),
         ),
     )
-    last = F.filter(
-        named,
-        lambda d, i: ~F.exists(
-            F.slice(named, i + 2, F.greatest(F.size(named) - i - 1, F.lit(0))),
-            lambda later: later["key"] == d["key"],
-        ),
-    )
-    return F.map_from_entries(last)
+    def last(all_: Column) -> Column:
+        return F.filter(
+            all_,
+            lambda d, i: ~F.exists(
+                F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0))),
+                lambda later: later["key"] == d["key"],
+            ),
+        )
+
+    # one element of an array, so that the values are stripped once and not for each of them
+    return F.map_from_entries(F.get(F.transform(F.array(named), last), F.lit(0)))
 
 
 def read_graphml(spark: SparkSession, path: str) -> GraphFile:
@@ -177,18 +181,21 @@ def _data_lines(key_ids: dict[str, str]) -> Column:
     pairs = [part for item in key_ids.items() for part in (F.lit(item[0]), F.lit(item[1]))]
     ids = F.create_map(*pairs)
     names = F.array(*[F.lit(n) for n in key_ids])
-    present = F.filter(names, lambda n: F.map_contains_key("attributes", n))
-    lines = F.transform(
-        present,
-        lambda n: F.concat(
-            F.lit('<data key="'),
-            F.try_element_at(ids, n),
-            F.lit('">'),
-            _escape(F.try_element_at("attributes", n)),
-            F.lit("</data>"),
-        ),
-    )
-    return F.array_join(lines, "")
+
+    def lines(attributes: Column) -> Column:
+        return F.transform(
+            F.filter(names, lambda n: F.map_contains_key(attributes, n)),
+            lambda n: F.concat(
+                F.lit('<data key="'),
+                F.try_element_at(ids, n),
+                F.lit('">'),
+                _escape(F.try_element_at(attributes, n)),
+                F.lit("</data>"),
+            ),
+        )
+
+    # one element of an array, so that the map is made once and not for each of its names
+    return F.array_join(F.get(F.transform(F.array("attributes"), lines), F.lit(0)), "")
 
 
 def write_graphml(
@@ -249,10 +256,8 @@ def write_graphml(
     frame = spark.createDataFrame(
         [(0, "", head), (3, "", "</graph></graphml>")], "part int, place string, value string"
     )
-    document = (
-        frame.unionByName(rows(1, padded(node_order), node_text, nodes))
-        .unionByName(rows(2, padded(edge_order), edge_text, edges))
-        .orderBy("part", "place")
-        .select("value")
+    document = frame.unionByName(rows(1, padded(node_order), node_text, nodes)).unionByName(
+        rows(2, padded(edge_order), edge_text, edges)
     )
-    document.write.text(path)
+    # the order is sampled first: rendered rows are kept, so that only their places are read for it
+    stored(document, name="elements").orderBy("part", "place").select("value").write.text(path)
