@@ -23,6 +23,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import weakref
 from itertools import chain
 
 import numpy as np
@@ -146,7 +147,8 @@ class _Cache(dict):
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe, self.old = bpe, {}
+        # a plain reference back would keep a dropped tokenizer until the collector of cycles comes by
+        self.bpe, self.old = weakref.proxy(bpe), {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(piece) <= CACHED_CHARS:
@@ -325,18 +327,20 @@ def encoded(docs: DataFrame, content: bytes, text: str = "text", decoded: bool =
 
     def tokenized(batches):
         bpe = _load(shared.value)
-        for batch in batches:
-            for first, length in _portions(batch.column(1)):
-                part = batch.slice(first, length)
-                found = [encode(bpe, t) for t in part.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
-                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                if decoded:
-                    columns.append(pa.array([decode(bpe, x) for x in found], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "decoded"][: len(columns)])
-        if not keep:
-            _loaded.clear()
+        try:
+            for batch in batches:
+                for first, length in _portions(batch.column(1)):
+                    part = batch.slice(first, length)
+                    found = [encode(bpe, t) for t in part.column(1).to_pylist()]
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                    flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
+                    columns = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                    if decoded:
+                        columns.append(pa.array([decode(bpe, x) for x in found], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "decoded"][: len(columns)])
+        finally:
+            if not keep:
+                _loaded.clear()
 
     own = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())][: 1 + decoded]
     out = packed.mapInArrow(tokenized, StructType([packed.schema["row"], *own]))

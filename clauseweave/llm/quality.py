@@ -21,7 +21,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,15 +182,16 @@ def graded(docs: DataFrame, model: Ordinal | None, text: str = "text") -> Column
     """Struct (score, expected, tail): the linear score, the expected grade and P(grade is the top one)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<score:double,expected:double,tail:double>")
-    def grade(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<score:double,expected:double,tail:double>")
+    def grade(texts: pa.Array) -> pa.Array:
         fitted = shared.value
         if fitted is None:
-            return pd.DataFrame({"score": 0.0, "expected": 1.0, "tail": 1.0}, index=range(len(texts)))
-        found = features(pa.array(texts, pa.large_string(), from_pandas=True))
-        score = np.array([float(fitted.weights[at].astype(np.float64) @ value) for at, value in found])
-        tails = fitted.tails(score) if len(score) else np.zeros((0, 1))
-        return pd.DataFrame({"score": score, "expected": tails.sum(1), "tail": tails[:, -1]})
+            columns = [np.full(len(texts), x) for x in (0.0, 1.0, 1.0)]
+        else:
+            score = np.array([float(fitted.weights[at].astype(np.float64) @ value) for at, value in features(texts)])
+            tails = fitted.tails(score) if len(score) else np.zeros((0, 1))
+            columns = [score, tails.sum(1), tails[:, -1]]
+        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in columns], names=["score", "expected", "tail"])
 
     return grade(F.col(text).cast("string"))
 

@@ -1,19 +1,23 @@
 """Edge cases and brute-force comparisons of the training-data operators on small tables."""
 
+import gc
 import hashlib
 import itertools
 import math
 import random
 import re
+import tracemalloc
+import weakref
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from clauseweave.llm import ann, bpe, components, langid, mixing, near_dedup, passages, quality, secrets, shards, topk, vectors
+from clauseweave.llm import ann, bpe, components, langid, mixing, near_dedup, passages, quality, secrets, shards, text_hash, topk, vectors
 from clauseweave.llm.components import connected
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -627,6 +631,32 @@ def test_quality_grades(spark):
     assert documents(spark, []).select(quality.graded(docs, model)).count() == 0
 
 
+def test_features_need_no_more_than_a_slice(monkeypatch):
+    monkeypatch.setattr(text_hash, "_powers", [])
+    texts = pa.array([sentence(random.Random(i), 2000) for i in range(200)], pa.large_string())
+    assert texts.nbytes > 2 << 20
+    tracemalloc.start()
+    try:
+        for _ in quality.features(texts):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_dropped_tokenizer_goes_at_once():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        loaded = bpe.Bpe(f.read())
+    assert bpe.encode(loaded, "some words " + "x" * 100)
+    seen = weakref.ref(loaded)
+    gc.disable()
+    try:
+        del loaded
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
 def test_digest_of_no_spans_is_that_of_an_empty_string(spark):
     empty = spark.createDataFrame([("",)], "x string").select(F.sha2("x", 256).alias("h")).first().h
     assert empty == hashlib.sha256(b"").hexdigest()
