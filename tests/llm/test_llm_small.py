@@ -293,6 +293,18 @@ def test_repeating_texts_that_differ_are_not_compared(monkeypatch):
     assert len(compared) == 1
 
 
+def test_equal_texts_of_several_lists_are_compared_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    shared, fresh = rng.integers(1, 1 << 32, 64, dtype=np.uint32), lambda: rng.integers(1, 1 << 32, 60, dtype=np.uint32)
+    texts = [np.concatenate([fresh(), shared, fresh()]) for _ in range(3)]
+    rows = [(key, 0, doc, 90 << 32, doc, -91, 0, text.tobytes()) for key in (5, 6, 7, 8) for doc, text in enumerate(texts)]
+    group = pd.DataFrame(rows, columns=["key", "fn", "doc", "at", "own_id", "own_word", "from", "hashes"]).assign(asks=True, holds=True)
+    compared, whole = [], passages.common_passages
+    monkeypatch.setattr(passages, "common_passages", lambda *x: compared.append(1) or whole(*x))
+    found = passages._connecting(group, 50)
+    assert len(found) == 8 and len(compared) == 2
+
+
 def test_passages_leave_no_superseded_checkpoints(spark, monkeypatch):
     draw = random.Random(8)
     passage = sentence(draw, 60)
