@@ -7,8 +7,10 @@ one priority queue over the nodes of all trees, ordered by how far on its side o
 it is, and opens the most promising leaves, of whichever tree, until they hold ``CANDIDATES``
 rows and share of all.  The rows of the opened leaves are ranked by their exact cosine.
 
-Leaves are searched as (tree, leaf, piece) groups of bounded size: a leaf that holds very many
-rows (equal vectors) is cut into pieces, and its queries meet each piece.
+Rows do not move: the queries, ``GROUP`` at a time with a bit for each leaf they open, are sent to
+the rows, which find their leaves again.  A task multiplies pieces of its rows with pieces of the
+queries, looks the leaves up for pairs that reach the query's k-th best so far only, and hands on
+the k best rows of each query.  So what is written grows with the queries, not with the leaves.
 
 Defined cases: vectors that are null, empty, zero, or that hold a null or non-finite component
 take no part, nor do rows without an id; rows with one id are rows of their own, as queries
@@ -20,13 +22,14 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import discard, freed_shuffles, reliable
 from .vectors import of_each_length
 
 TREES = 8
@@ -36,8 +39,15 @@ SAMPLE = 32_768
 # of vectors if that is more.  Vectors without structure need about as many for a recall above 0.9.
 CANDIDATES = 4_000
 CANDIDATE_SHARE = 1.0
-PIECE = 4096
+# A task compares so many rows with so many queries at once.
+PIECE = 1024
 QUERY_PIECE = 512
+# So many queries are sent to the rows at once.
+GROUP = 16_384
+# Ids that may be broadcast (about 40 MB).
+BROADCAST_IDS = 500_000
+# Exact cosines are taken of pairs with so many components in all.
+COMPONENTS = 1 << 22
 
 
 class Forest:
@@ -103,33 +113,90 @@ def fit(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int =
     return Forest(np.array([r.v for r in rows]) if rows else np.zeros((0, 1)), trees, leaf, seed)
 
 
-def indexed(vectors: DataFrame, forest: Forest) -> DataFrame:
-    """Every row (row, vec_id, v) under its leaf in every tree; leaf numbers are unique over the trees."""
+def _units(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column, one a line, and the same with length 1."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return rows, rows / np.sqrt((rows * rows).sum(1))[:, None]
+
+
+def leaf_sizes(vectors: DataFrame, forest: Forest) -> np.ndarray:
+    """How many rows of (vec_id, v) each leaf holds."""
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
-    def dropped(frames):
+    def counted(batches):
         trees = shared.value
-        for pdf in frames:
-            if len(pdf):
-                v = np.array(pdf.v.tolist())
-                unit = v / np.sqrt((v * v).sum(1))[:, None]
+        held = np.zeros(trees.leaves, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                unit = _units(batch.column(0))[1]
                 for tree in range(len(trees.root)):
-                    yield pdf.assign(leaf=trees.leaf_of(unit, tree).astype(np.int32))[["leaf", "row", "vec_id", "v"]]
-
-    return vectors.mapInPandas(dropped, "leaf int, row long, vec_id long, v array<double>")
-
-
-def _cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Row by row in the same order of operations, so that equal vectors get equal scores wherever they are."""
-    return (rows * query).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
-
-
-def _leading(query: np.ndarray, ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, k: int):
-    """Places and scores of the k best of a block, ties to the smaller id; ``rough`` picks who can be among them."""
-    at = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[-k] - 1e-9)
-    score = _cosines(query, rows[at])
-    best = np.lexsort((ids[at], -score))[:k]
-    return at[best], score[best]
+                    held += np.bincount(trees.leaf_of(unit, tree), minlength=trees.leaves)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["leaf", "held"])
+
+    sizes = vectors.select("v").mapInArrow(counted, "leaf long, held long").groupBy("leaf").agg(F.sum("held").alias("held"))
+    held = np.zeros(forest.leaves, dtype=np.int64)
+    for leaf, n in sizes.collect():  # one small row per leaf
+        held[leaf] = n
+    shared.destroy()
+    return held
+
+
+def _cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Pair by pair in the same order of operations, so that equal vectors get equal scores wherever they are."""
+    return (rows * queries).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((queries * queries).sum(1)))
+
+
+class _Best:
+    """The k best rows that each of some queries has met: best score first, ties to the smaller id."""
+
+    def __init__(self, marks: np.ndarray, vectors: np.ndarray, opened: np.ndarray, k: int):
+        self.marks, self.vectors, self.opened, self.k = marks, vectors, opened, k
+        self.unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+        self.score = np.full((len(marks), k), -np.inf)
+        self.ids, self.rows = (np.zeros((len(marks), k), dtype=np.int64) for _ in range(2))
+
+    def meet(self, ids: np.ndarray, marks: np.ndarray, rows: np.ndarray, unit: np.ndarray, leaves: list[np.ndarray]) -> None:
+        """Compare all queries with some rows; ``leaves`` are the rows' leaves, tree by tree."""
+        step = max(1, COMPONENTS // rows.shape[1])
+        for first in range(0, len(self.marks), QUERY_PIECE):
+            part = slice(first, first + QUERY_PIECE)
+            rough = self.unit[part] @ unit.T
+            query, row = np.nonzero(rough >= self.score[part, -1:] - _SLACK)
+            inside = np.zeros(len(query), dtype=bool)
+            for leaf in leaves:
+                inside |= (self.opened[first + query, leaf[row] >> 3] >> (leaf[row] & 7) & 1).astype(bool)
+            inside &= marks[row] != self.marks[first + query]
+            query, row = query[inside], row[inside]
+            # of very many only those that can be among the k best here
+            some = np.flatnonzero(np.bincount(query, minlength=1) > self.k)
+            if len(some):
+                line = np.full(len(rough), -1)
+                line[some] = np.arange(len(some))
+                left = np.full((len(some), len(ids)), -np.inf)
+                of = line[query] >= 0
+                left[line[query[of]], row[of]] = rough[query[of], row[of]]
+                least = np.full(len(rough), -np.inf)
+                least[some] = np.partition(left, -self.k, axis=1)[:, -self.k] - _SLACK
+                near = rough[query, row] >= least[query]
+                query, row = query[near], row[near]
+            for at in range(0, len(query), step):
+                q, r = first + query[at : at + step], row[at : at + step]
+                self._keep(q, _cosines(self.vectors[q], rows[r]), ids[r], marks[r])
+
+    def _keep(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        of = np.unique(query)
+        query = np.concatenate([np.repeat(of, self.k), query])
+        score, ids, rows = (np.concatenate([kept[of].ravel(), new]) for kept, new in ((self.score, score), (self.ids, ids), (self.rows, rows)))
+        order = np.lexsort((ids, -score, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, place = order[place < self.k], place[place < self.k]
+        at = query[order], place
+        self.score[at], self.ids[at], self.rows[at] = score[order], ids[order], rows[order]
+
+
+# Two ways to multiply the same two vectors differ by less.
+_SLACK = 1e-9
 
 
 def nearest(
@@ -141,62 +208,74 @@ def nearest(
     ``vectors`` and ``queries`` are (vec_id, v) as :func:`vectors.usable` returns them;
     queries are the rows of ``vectors`` with one of their ids.
     """
-    rows = reliable(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
-    asked = reliable(rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select("row"))
-    return of_each_length(rows, lambda same: _nearest(same, asked, k, forest, candidates, share))
+    with freed_shuffles(vectors.sparkSession):
+        rows = reliable(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
+        asked = reliable(rows.select("row", "vec_id").join(_sent(queries.select("vec_id").distinct()), "vec_id", "left_semi").select("row"))
+        found = of_each_length(rows, lambda same: _nearest(same, asked, k, forest, candidates, share))
+        discard(rows, asked)
+    return found
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """A table of ids, broadcast if it is proven small, so that the vectors stay where they are."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def _nearest(vectors: DataFrame, queries: DataFrame, k: int, forest: Forest | None, candidates: int, share: float) -> DataFrame:
     spark = vectors.sparkSession
     context = spark.sparkContext
-    forest = forest or fit(vectors)
-    listed = reliable(indexed(vectors, forest))
-    counts = {r.leaf: r["count"] for r in listed.groupBy("leaf").count().collect()}  # one small row per leaf
-    asked = vectors.join(queries, "row", "left_semi")
-    parts = -(-asked.count() // QUERY_PIECE)
-    if not parts:
+    asked = vectors.join(_sent(queries), "row", "left_semi")
+    groups = -(-asked.count() // GROUP)
+    if not groups:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    held = np.array([counts.get(i, 0) for i in range(forest.leaves)])
+    forest = forest or fit(vectors)
+    held = leaf_sizes(vectors, forest)
     wanted = max(candidates, int(share * held.sum() / len(forest.root)))
     shared = context.broadcast((forest, held, wanted))
 
     def searched(frames):
         trees, rows, want = shared.value
         for pdf in frames:
-            out = []
-            for own, v in zip(pdf.row, pdf.v, strict=True):
-                leaves = trees.opened(v / np.sqrt((v * v).sum()), rows, want)
-                out.append(pd.DataFrame({"leaf": np.array(leaves, dtype=np.int32), "row": own}))
-            if out:
-                yield pd.concat(out)
-
-    opened = asked.mapInPandas(searched, "leaf int, row long").join(asked, "row")
-    pieces = F.floor((F.col("held") - 1) / PIECE) + 1
-    sizes = spark.createDataFrame([(int(i), int(n)) for i, n in counts.items()], "leaf int, held long")
-    left = opened.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).select(
-        "leaf", "part", "row", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece")
-    )
-    right = listed.join(F.broadcast(sizes), "leaf").withColumn("piece", F.pmod(F.xxhash64("row"), pieces)).select(
-        "leaf", "piece", "row", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
-    )
-
-    def ranked(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(d):
-            ids, marks, rows = d.vec_id.to_numpy(), d.row.to_numpy(), np.array(d.v.tolist())
-            unit = rows / np.sqrt((rows * rows).sum(1))[:, None]
-            asked = np.array(q.v.tolist())
-            rough = asked @ unit.T / np.sqrt((asked * asked).sum(1))[:, None]
-            for own, query_id, query, line in zip(q.row.to_numpy(), q.vec_id.to_numpy(), asked, rough, strict=True):
-                other = np.flatnonzero(marks != own)
-                near, score = _leading(query, ids[other], rows[other], line[other], k)
-                near = other[near]
-                out.append(pd.DataFrame({"asking": own, "query_id": query_id, "row": marks[near], "vec_id": ids[near], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("asking", "query_id", "row", "vec_id", "score")})
-
-    keys = ["leaf", "part", "piece"]
-    shape = "asking long, query_id long, row long, vec_id long, score double"
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(ranked, shape)
-    once = local.groupBy("asking", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
+            bits = []
+            for v in pdf.v:
+                opened = np.zeros(-(-trees.leaves // 8) * 8, dtype=bool)
+                opened[trees.opened(v / np.sqrt((v * v).sum()), rows, want)] = True
+                bits.append(np.packbits(opened, bitorder="little").tobytes())
+            yield pdf[["row", "vec_id", "v"]].assign(opened=bits, group=pdf.group)
+
+    numbered = asked.select("row", "vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))
+    opening = reliable(numbered.mapInPandas(searched, "row long, vec_id long, v array<double>, opened binary, group long"))
+    out = [_of_group(vectors, opening.filter(F.col("group") == group), shared, k) for group in range(groups)]
+    discard(opening)
+    shared.destroy()
+    return reduce(DataFrame.union, out)
+
+
+def _of_group(vectors: DataFrame, opening: DataFrame, shared, k: int) -> DataFrame:
+    """The k nearest of some queries (row, vec_id, v, opened), about ``GROUP``, which are sent to all rows."""
+    spark = vectors.sparkSession
+    asking = opening.select("row", "vec_id", "v", "opened").orderBy("row").toPandas()
+    if not len(asking):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    bits = np.frombuffer(b"".join(asking.opened), dtype=np.uint8).reshape(len(asking), -1)
+    sent = spark.sparkContext.broadcast((asking.row.to_numpy(), asking.vec_id.to_numpy(), np.array(asking.v.tolist()), bits))
+
+    def compared(batches):
+        trees = shared.value[0]
+        marks, query_ids, queries, opened = sent.value
+        best = _Best(marks, queries, opened, k)
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(start, PIECE)
+                rows, unit = _units(piece.column(2))
+                leaves = [trees.leaf_of(unit, tree) for tree in range(len(trees.root))]
+                best.meet(piece.column(1).to_numpy(), piece.column(0).to_numpy(), rows, unit, leaves)
+        query, place = np.nonzero(best.score > -np.inf)
+        columns = [marks[query], query_ids[query], best.rows[query, place], best.ids[query, place], best.score[query, place]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["asking", "query_id", "row", "vec_id", "score"])
+
+    local = vectors.select("row", "vec_id", "v").mapInArrow(compared, "asking long, query_id long, row long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = reliable(local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    sent.destroy()
+    return found

@@ -8,6 +8,7 @@ import random
 import re
 import tracemalloc
 import weakref
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -497,6 +498,31 @@ def test_forest_finds_most_neighbours(spark):
     assert [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got] == [(5, 1, 5, 1.0)] * 2
 
 
+def test_forest_search_writes_less_than_the_vectors(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    data = [(i, draw.normal(size=16).tolist()) for i in range(3000)] + [(3000 + i, [1.0] * 16) for i in range(1500)]
+    rows = vectors.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3))
+    asked = rows.filter("vec_id % 3 = 0")
+    asked.count()
+    spark.range(1).checkpoint() if spark.sparkContext.getCheckpointDir() else ann.reliable(spark.range(1))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    held = lambda: sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
+    before = held()
+    got = ann.nearest(rows, asked, k=4)
+    assert got.count() == 4 * 1500
+    # what is left is the result, no copy of the vectors for each tree or piece of the queries
+    assert held() - before < 4500 * 16 * 8
+    equal = got.filter("query_id >= 3000").groupBy("query_id").agg(F.sort_array(F.collect_list("vec_id")).alias("near")).collect()
+    assert {r.query_id: r.near for r in equal} == {
+        i: [j for j in range(3000, 3006) if j != i][:4] for i in range(3000, 4500, 3)
+    }
+    # the result does not depend on how many queries are sent and rows are compared at once
+    whole = sorted(map(tuple, got.collect()))
+    for name, size in (("GROUP", 400), ("PIECE", 7), ("QUERY_PIECE", 90), ("COMPONENTS", 100), ("BROADCAST_IDS", 10)):
+        monkeypatch.setattr(ann, name, size)
+    assert sorted(map(tuple, ann.nearest(rows, asked, k=4).collect())) == whole
+
+
 # --- BPE
 
 
