@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import length_bound, matching_ratio
 from ..functions.text import casefold, normalize_entity, normalize_entity_literal, split_values
-from ..session import broadcast_within, materialize, stored, top_k_per_group
+from ..session import among, broadcast_within, freed_shuffles, materialize, stored, top_k_per_group
 
 FUZZY_CUTOFF = 0.45
 CONFIDENT_MATCH = 0.5
@@ -283,29 +283,25 @@ def _adjacency(edges: DataFrame, directed: bool) -> DataFrame:
 def _next_layer(adjacency: DataFrame, layer: DataFrame, source: str, target: str, backwards: bool) -> DataFrame:
     """Nodes one step on from a layer (``node``), ends left out: a path passes neither in between."""
     start, stop = ("there", "here") if backwards else ("here", "there")
-    near = adjacency.join(broadcast_within(layer.withColumnRenamed("node", start)), start, "left_semi")
+    near = among(adjacency.select("here", "there"), layer.withColumnRenamed("node", start))
     found = near.select(F.col(stop).alias("node")).filter(~F.col("node").isin(source, target))
     return materialize(found.distinct())
 
 
 def _leading_to(adjacency: DataFrame, layer: DataFrame, following: DataFrame) -> DataFrame:
     """The nodes of a layer from which an edge leads to one of the nodes ``following``."""
-    steps = adjacency.select("here", "there").join(broadcast_within(layer.withColumnRenamed("node", "here")), "here", "left_semi")
-    leading = steps.join(broadcast_within(following.withColumnRenamed("node", "there")), "there", "left_semi")
+    leading = among(adjacency.select("here", "there"), layer.withColumnRenamed("node", "here"), following.withColumnRenamed("node", "there"))
     return materialize(leading.select(F.col("here").alias("node")).distinct())
 
 
 def _grown(adjacency: DataFrame, paths: DataFrame, allowed: DataFrame, most: int | None) -> DataFrame:
     """Partial paths one edge longer, through nodes that ``allowed`` holds and that they do not hold yet.
 
-    With ``most`` only so many, the first in the order of their keys.
+    With ``most`` only so many, the first in the order of their keys.  Of very many nodes allowed a few
+    others may pass; such a path ends where no edge leads on.
     """
-    longer = (
-        adjacency.join(broadcast_within(paths), "here")
-        .join(broadcast_within(allowed.withColumnRenamed("node", "there")), "there", "left_semi")
-        .filter(~F.array_contains("visited", F.col("there")))
-    )
-    longer = longer.select(
+    longer = adjacency.join(broadcast_within(paths), "here").filter(~F.array_contains("visited", F.col("there")))
+    longer = among(longer, allowed.withColumnRenamed("node", "there"), roughly=True).select(
         F.col("there").alias("here"),
         F.array_append("visited", F.col("there")).alias("visited"),
         F.array_append("key", F.col("step")).alias("key"),
@@ -358,6 +354,11 @@ def find_paths(
             raise KeyError("both source and target must be known graph nodes")
     if not 1 <= max_hops <= 6:
         raise ValueError("max_hops must be between 1 and 6")
+    with freed_shuffles(edges.sparkSession):
+        return _paths(edges, source, target, max_hops, limit, directed)
+
+
+def _paths(edges: DataFrame, source: str, target: str, max_hops: int, limit: int, directed: bool) -> DataFrame:
     spark = edges.sparkSession
     seq = edges.schema["edge_seq"].dataType.simpleString()
     trail_schema = (
@@ -385,7 +386,7 @@ def find_paths(
                 break  # no walk of this length, so none that is longer
             steps = [behind[k] for k in range(len(behind) - 1, -1, -1)]
             if hops > 1:
-                steps[0] = materialize(ahead[-1].join(broadcast_within(behind[-1]), "node", "left_semi"))
+                steps[0] = materialize(among(ahead[-1], behind[-1]))
                 if steps[0].isEmpty():
                     continue
                 for layer in ahead[-2:0:-1]:

@@ -21,7 +21,7 @@ from ..operators.fusion import reciprocal_rank_fusion
 from ..operators.graph_build import SpecGraph
 from ..operators.graph_export import export_subgraph
 from ..operators.vector import vector_search
-from ..session import number_ordered, shared_folder, stored
+from ..session import freed_shuffles, number_ordered, shared_folder, stored
 from ..sources import graphml
 from ..sources.chunks import duplicate_ids, parse_lines
 from ..sources.records import read_alignments, write_alignments
@@ -283,7 +283,8 @@ def node_inspect(spark, sf):
 def _trade_edges(spark, sf) -> DataFrame:
     """The edges of the trade graph as paths need them: derived, and read once per hop."""
     edges = adapters.trade_graph(spark, sf)[1]
-    return stored(edges.select("edge_id", "source", "target", "edge_seq"), name="edges")
+    with freed_shuffles(spark):
+        return stored(edges.select("edge_id", "source", "target", "edge_seq"), name="edges", codec="zstd")
 
 
 def _path_rows(paths: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
+# A larger side is known by bits, so many a row and at most so many in all (16 MB), sent in pieces of so many words.
+MEMBER_BITS = 16
+MOST_BITS = 1 << 27
+_WORDS = 1 << 12
+
 # Spark inserts a map-side WindowGroupLimit only for ranks below this default.
 _GROUP_LIMIT_THRESHOLD = 1000
 _TOP_K_SALTS = 64
@@ -57,10 +65,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, *, name: str) -> DataFrame:
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside free their shuffle files when they are done, for steps that materialize what they hand on."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, *, name: str, codec: str = "snappy") -> DataFrame:
     """Keep a large relation that is read many times as Parquet in the shared folder: a fraction of a checkpoint's size."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -91,6 +114,49 @@ def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def _maybe_among(df: DataFrame, members: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is one of ``members``, and a few others; no shuffle of ``df``.
+
+    Of all members the bits at their hashes are broadcast, of two that share a bit one would do.
+    """
+    spark = members.sparkSession
+    bits = 64 * _WORDS
+    while bits < min(MOST_BITS, MEMBER_BITS * members.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
+    set_bits = members.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(
+        F.expr("bit_or(shiftleft(one, bit))").alias("bits")
+    )
+    found = set_bits.toArrow()  # at most MOST_BITS / 64 words
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    ends = pa.array(np.arange(0, len(words) + 1, _WORDS, dtype=np.int32))
+    pieces = pa.table({"_piece": pa.array(np.arange(len(words) // _WORDS, dtype=np.int32)), "_words": pa.ListArray.from_arrays(ends, pa.array(words))})
+    sent = F.broadcast(spark.createDataFrame(pieces))
+    inside = F.getbit(F.get("_words", word % _WORDS), bit) == 1
+    return df.join(sent, (F.floor(word / _WORDS).cast("int") == F.col("_piece")) & inside, "left_semi")
+
+
+def among(df: DataFrame, *sides: DataFrame, roughly: bool = False) -> DataFrame:
+    """The rows of ``df`` whose columns are in the one column of each of ``sides``, which have its name.
+
+    Sides within the bounds are broadcast.  By larger ones ``df`` is first cut with their hash
+    bits, so only rows that nearly all belong are shuffled; with ``roughly`` nothing is, and a few others stay.
+    """
+    large = []
+    for side in sides:
+        (column,) = side.columns
+        if fits_broadcast(side):
+            df = df.join(F.broadcast(side), column, "left_semi")
+        else:
+            df = _maybe_among(df, side, column)
+            large.append(side)
+    for side in [] if roughly else large:
+        df = df.join(side, side.columns, "left_semi")
+    return df
+
+
 def top_k_per_group(
     df: DataFrame,
     keys: Sequence[str],
