@@ -106,7 +106,7 @@ def _part_hits(
 ) -> Iterator[tuple[np.ndarray, ...]]:
     """(search numbers, rows, scores) that may be among the best, of chunks with ``factors`` (chunks x terms).
 
-    ``rare`` are factors of other terms, one by one: (chunk, term, factor), ordered by term.
+    ``rare`` are factors of other terms, one by one: (chunk, term, factor), those of a term one after the other.
     """
     place, search, weight = batch.entries(terms)
     bound = np.bincount(search, weight * factors.max(0)[place], len(batch.numbers)) if len(terms) else np.zeros(len(batch.numbers))
@@ -154,6 +154,7 @@ def found(blocks: DataFrame, batches: DataFrame, factor, k: int) -> DataFrame:
 
     def scored(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, _Searches] = {}
+        block = None
         for frame in frames:
             for i in range(frame.num_rows):
                 number = frame.column("batch")[i].as_py()
@@ -161,40 +162,113 @@ def found(blocks: DataFrame, batches: DataFrame, factor, k: int) -> DataFrame:
                     if len(kept) == _KEPT_BATCHES:
                         kept.clear()
                     kept[number] = _Searches(frame.column("searches")[i].values, frame.column("known")[i].values, k)
-                values = {c: frame.column(c)[i].values for c in _BLOCK_COLUMNS}
-                for hits in _block_hits(kept[number], values, factor):
+                rows = frame.column("rows")[i].values
+                if block is None or not block.rows.equals(rows):  # a block meets its batches one after the other
+                    block = _Block({c: frame.column(c)[i].values for c in _BLOCK_COLUMNS}, factor)
+                for hits in _hits_in(kept[number], block):
                     yield pa.RecordBatch.from_arrays([pa.array(h) for h in hits], names=["search_no", "row_no", "about"])
 
     return blocks.join(batches).select("batch", *_BLOCK_COLUMNS, "searches", "known").mapInArrow(scored, _FOUND)
 
 
+class _Block:
+    """A block's chunks by length, cut into parts, with the entries of each part by term; made once for all batches."""
+
+    def __init__(self, block: dict[str, pa.Array], factor) -> None:
+        self.rows = block["rows"]
+        lengths, sizes = block["lengths"].to_numpy(), block["sizes"].to_numpy()
+        coded = block["terms"].dictionary_encode()
+        self.terms = coded.dictionary
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        chunk = np.repeat(np.arange(len(lengths)), sizes)
+        value = factor(block["tfs"].to_numpy().astype(np.float64), lengths[chunk].astype(np.float64))
+        # chunks of about one length have parts that are alike, which makes the bounds tight
+        by_length = np.argsort(lengths, kind="stable")
+        place = np.empty(len(lengths), np.int64)
+        place[by_length] = np.arange(len(lengths))
+        at = place[chunk]
+        order = np.argsort(at // PART_CHUNKS * (len(self.terms) + 1) + code, kind="stable")
+        at, code, value = at[order], code[order], value[order]
+        edges = np.searchsorted(at // PART_CHUNKS, np.arange(-(-len(lengths) // PART_CHUNKS) + 1))
+        numbers = self.rows.to_numpy()[by_length]
+        self.parts = [
+            (numbers[n * PART_CHUNKS : (n + 1) * PART_CHUNKS], at[a:b] - n * PART_CHUNKS, code[a:b], value[a:b])
+            for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))
+            if a < b
+        ]
+
+
 def _block_hits(batch: _Searches, block: dict[str, pa.Array], factor) -> Iterator[tuple[np.ndarray, ...]]:
-    coded = pc.index_in(block["terms"], value_set=batch.vocabulary)
-    known = np.flatnonzero(coded.is_valid().to_numpy(zero_copy_only=False))
-    if not len(known):
-        return
-    code = coded.take(pa.array(known)).to_numpy(zero_copy_only=False)
-    rows, lengths = block["rows"].to_numpy(), block["lengths"].to_numpy()
-    chunk = np.repeat(np.arange(len(rows)), block["sizes"].to_numpy())[known]
-    value = factor(block["tfs"].to_numpy()[known].astype(np.float64), lengths[chunk].astype(np.float64))
-    # chunks of about one length have parts that are alike, which makes the bounds tight
-    place = np.empty(len(rows), np.int64)
-    by_length = np.argsort(lengths, kind="stable")
-    place[by_length] = np.arange(len(rows))
-    order = np.argsort(place[chunk], kind="stable")
-    at, code, value = place[chunk][order], code[order], value[order]
-    edges = np.searchsorted(at, np.arange(0, len(rows) + PART_CHUNKS, PART_CHUNKS))
-    for number, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if a == b:
+    return _hits_in(batch, _Block(block, factor))
+
+
+def _hits_in(batch: _Searches, block: _Block) -> Iterator[tuple[np.ndarray, ...]]:
+    # the batch's number of each term of the block
+    mine = pc.fill_null(pc.index_in(block.terms, value_set=batch.vocabulary), -1).to_numpy(zero_copy_only=False)
+    for rows, chunk, code, value in block.parts:
+        known = np.flatnonzero(mine[code] >= 0)
+        if not len(known):
             continue
-        first, size = number * PART_CHUNKS, min(PART_CHUNKS, len(rows) - number * PART_CHUNKS)
-        by_term = a + np.argsort(code[a:b], kind="stable")
-        term, chunk, part = code[by_term], at[by_term] - first, value[by_term]
-        starts = np.flatnonzero(np.diff(term, prepend=-1))
-        often = np.diff(starts, append=len(term)) * _DENSE >= size
-        dense = np.repeat(often, np.diff(starts, append=len(term)))
-        terms = term[starts[often]]
-        factors = np.zeros((size, len(terms)), np.float32)
-        factors[chunk[dense], np.searchsorted(terms, term[dense])] = part[dense]
-        rare = (chunk[~dense], term[~dense], part[~dense])
-        yield from _part_hits(batch, factors, terms, rows[by_length[first : first + PART_CHUNKS]], rare)
+        chunk, code, part = chunk[known], code[known], value[known]
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        counts = np.diff(starts, append=len(code))
+        often = counts * _DENSE >= len(rows)
+        dense = np.repeat(often, counts)
+        terms = mine[code[starts]]
+        factors = np.zeros((len(rows), int(often.sum())), np.float32)
+        factors[chunk[dense], np.repeat(np.arange(factors.shape[1]), counts[often])] = part[dense]
+        rare = (chunk[~dense], np.repeat(terms[~often], counts[~often]), part[~dense])
+        yield from _part_hits(batch, factors, terms[often], rows, rare)
+
+
+_SCORED = "search_no long, row_no long, chunk_id string, section string, score double, matched_terms array<string>"
+# Pairs whose terms are matched together.
+_PAIRS = 1024
+
+
+def scored(pairs: DataFrame, part) -> DataFrame:
+    """Scores and matched terms of (search_no, row_no, chunk_id, section, doc_len, terms, tfs, asked), a pair a row.
+
+    ``asked`` are the search's (pos, idf, term); ``part(idf, tf, length)`` is a term's part, and
+    parts are added one after the other in the order of ``asked``.  Pairs without a common term are left out.
+    """
+    names = [field.split()[0] for field in _SCORED.split(", ")]
+
+    def added(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for start in range(0, frame.num_rows, _PAIRS):
+                some = frame.slice(start, _PAIRS)
+                at, place, entry, values, score = _added(some, part)
+                terms = pc.list_flatten(some.column("asked")).field("term").take(pa.array(entry))
+                first = np.searchsorted(place, np.arange(len(at) + 1)).astype(np.int32)
+                columns = [some.column(c).take(pa.array(at)) for c in names[:4]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.ListArray.from_arrays(pa.array(first), terms)], names=names)
+
+    return pairs.mapInArrow(added, _SCORED)
+
+
+def _added(pairs: pa.RecordBatch, part) -> tuple[np.ndarray, ...]:
+    """(pairs with a common term, then by match: place of the pair among them, place of the term asked, its part; scores)."""
+    held, asked = pairs.column("terms"), pc.list_flatten(pairs.column("asked"))
+    both = pa.concat_arrays([asked.field("term"), pc.list_flatten(held)]).dictionary_encode()
+    code, codes = both.indices.to_numpy().astype(np.int64), max(1, len(both.dictionary))
+    rows = np.arange(pairs.num_rows)
+    row_asked = np.repeat(rows, pc.list_value_length(pairs.column("asked")).to_numpy())
+    row_held = np.repeat(rows, pc.list_value_length(held).to_numpy())
+    key_asked, key_held = row_asked * codes + code[: len(asked)], row_held * codes + code[len(asked) :]
+    order = np.argsort(key_asked)
+    entry = np.searchsorted(key_asked[order], key_held)
+    entry[entry == len(order)] = 0
+    entry = order[entry] if len(order) else entry
+    known = np.flatnonzero(key_asked[entry] == key_held) if len(order) else np.zeros(0, np.int64)
+    entry, row = entry[known], row_held[known]
+    tf = pc.list_flatten(pairs.column("tfs")).to_numpy()[known].astype(np.float64)
+    length = pairs.column("doc_len").to_numpy().astype(np.float64)[row]
+    values = part(asked.field("idf").to_numpy()[entry], tf, length)
+    order = np.lexsort((values, asked.field("pos").to_numpy()[entry], row))
+    entry, row, values = entry[order], row[order], values[order]
+    at, place = np.unique(row, return_inverse=True)
+    rank = np.arange(len(place)) - np.searchsorted(place, place)
+    lines = np.zeros((len(at), int(rank.max(initial=0)) + 1))
+    lines[place, rank] = values
+    return at, place, entry, values, np.cumsum(lines, axis=1)[:, -1]

@@ -102,8 +102,9 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
 
 
 def _partial_score(idf: Column, tf: Column, doc_len: Column, avg_len: Column, p: Bm25Params) -> Column:
-    norm = F.lit(1 - p.b) + F.lit(p.b) * doc_len / avg_len
-    return idf * tf * F.lit(p.k1 + 1) / (tf + F.lit(p.k1) * norm)
+    """Of columns or of arrays, with the same operations in the same order."""
+    norm = (1 - p.b) + p.b * doc_len / avg_len
+    return idf * tf * (p.k1 + 1) / (tf + p.k1 * norm)
 
 
 def _candidate_filter(section_prefix: str | None, content_types: Iterable[str] | None) -> Column:
@@ -405,20 +406,14 @@ class Bm25Index:
 
     def _scores(self, documents: DataFrame, pairs: DataFrame, weights: DataFrame, avg_len: float) -> DataFrame:
         """Scores of (search_no, row_no) pairs, parts added in the order of the query's terms, as :meth:`search` adds them."""
-        rows = documents.join(broadcast_within(pairs), "row_no")
-        hits = rows.select("search_no", "row_no", "chunk_id", "section", "doc_len", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-        hits = hits.select("*", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")).drop("p")
-        parts = hits.join(broadcast_within(weights), ["search_no", "term"])
-        part = _partial_score(F.col("idf"), F.col("tf"), F.col("doc_len"), F.lit(avg_len), self.params)
-        ordered = F.array_sort(F.collect_list(F.struct("pos", part.alias("part"), "term"))).alias("parts")
-        return parts.groupBy("search_no", "row_no", "chunk_id", "section").agg(ordered).select(
-            "search_no",
-            "row_no",
-            "chunk_id",
-            "section",
-            F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["part"]).alias("score"),
-            F.transform("parts", lambda p: p["term"]).alias("matched_terms"),
-        )
+        p = self.params
+
+        def part(idf, tf, length):
+            return _partial_score(idf, tf, length, avg_len, p)
+
+        asked = weights.groupBy("search_no").agg(F.array_sort(F.collect_list(F.struct("pos", "idf", "term"))).alias("asked"))
+        rows = documents.join(broadcast_within(pairs), "row_no").join(asked, "search_no")
+        return block_max.scored(rows.select("search_no", "row_no", "chunk_id", "section", "doc_len", "terms", "tfs", "asked"), part)
 
 
 def _kth(found: DataFrame, k: int, slack: float) -> DataFrame:

@@ -153,6 +153,49 @@ def test_parts_of_a_search_are_skipped_by_their_bounds():
     assert list(block_max._block_hits(batch, empty, lambda tf, n: tf)) == []
 
 
+def test_pairs_are_scored_in_their_row_and_blocks_prepared_once(spark):
+    """No term of a pair is a row of its own; a block prepared once serves every batch of searches."""
+    import pyarrow as pa
+
+    import clauseweave.operators.block_max as block_max
+
+    index = Bm25Index(frame(spark, [chunk("a", "1", "t", "red red pump"), chunk("b", "2", "t", "pump"), chunk("c", "3", "t", "cold")]))
+    weights = spark.createDataFrame([(0, 0, "pump", 0.5), (0, 1, "red", 2.0), (0, 2, "none", 9.0)], "search_no long, pos int, term string, idf double")
+    documents = spark.createDataFrame(
+        [(5, "a", "1", 3, ["pump", "red", "pump"], [1, 2, 3]), (6, None, None, 1, ["cold"], [1])],
+        "row_no long, chunk_id string, section string, doc_len int, terms array<string>, tfs array<int>",
+    )
+    pairs = spark.createDataFrame([(0, 5), (0, 6)], "search_no long, row_no long")
+    scored = index._scores(documents, pairs, weights, 2.0)
+    assert "Generate" not in scored._jdf.queryExecution().executedPlan().toString()
+    norm = 1.5 * (0.25 + 0.75 * 3 / 2.0)
+    part = lambda idf, tf: idf * tf * 2.5 / (tf + norm)
+    total = part(0.5, 1.0) + part(0.5, 3.0) + part(2.0, 2.0)  # rows that were merged may hold a term twice
+    assert [tuple(r) for r in scored.collect()] == [(0, 5, "a", "1", total, ["pump", "pump", "red"])]
+    draw, words = np.random.default_rng(4), np.array([f"w{i}" for i in range(60)])
+    texts = [np.unique(draw.choice(words, 12)) for _ in range(90)]
+    block = {
+        "rows": pa.array(range(90), pa.int64()), "lengths": pa.array([int(draw.integers(5, 60)) for _ in texts], pa.int32()),
+        "sizes": pa.array([len(t) for t in texts], pa.int32()), "terms": pa.array(np.concatenate(texts).tolist()),
+        "tfs": pa.array([int(draw.integers(1, 4)) for t in texts for _ in t], pa.int32()),
+    }
+    factor = lambda tf, length: tf / (tf + length / 20)
+    once = block_max._Block(block, factor)
+    for first in (0, 30):
+        searches = [{"search_no": n, "parts": [{"term": f"w{n + k}", "weight": 1.0 + k} for k in range(0, 40, 7)]} for n in range(first, first + 20)]
+        every = {}
+        for (a, size), length in zip([(sum(map(len, texts[:i])), len(t)) for i, t in enumerate(texts)], block["lengths"].to_pylist(), strict=True):
+            for search in searches:
+                held = {t: factor(f, length) for t, f in zip(block["terms"][a : a + size].to_pylist(), block["tfs"][a : a + size].to_pylist(), strict=True)}
+                every.setdefault(search["search_no"], []).append(sum(p["weight"] * held.get(p["term"], 0.0) for p in search["parts"]))
+        batch = block_max._Searches(pa.array(searches), None, 3)
+        hits = list(block_max._hits_in(batch, once))
+        met = {(int(n), int(r)) for numbers, rows, _ in hits for n, r in zip(numbers, rows, strict=True)}
+        for number, scores in every.items():
+            best = sorted(scores)[-3]
+            assert {r for r, score in enumerate(scores) if score >= best} <= {r for n, r in met if n == number}
+
+
 def test_long_queries_report_every_matched_term(spark):
     words = [f"w{i}" for i in range(150)]
     index = Bm25Index(frame(spark, [chunk("a", "1", "t", " ".join(words)), chunk("b", "2", "t", "w3 w149")]))
